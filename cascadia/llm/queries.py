@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op4_benchmark_decontamination
 from .jaccard_join import op1_ngram_jaccard_join
+from .language import op7_language_id
 from .pieces import op5_sentencepiece
 from .quality import op6_quality_classifier
 from .suffix_dedup import op10_suffix_array_dedup
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_language_id": op7_language_id,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
