@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op4_benchmark_decontamination
+from .html_text import op2_html_extraction
 from .jaccard_join import op1_ngram_jaccard_join
 from .language import op7_language_id
 from .pieces import op5_sentencepiece
@@ -15,6 +16,7 @@ from .suffix_dedup import op10_suffix_array_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_html_extraction": op2_html_extraction,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_quality_classifier": op6_quality_classifier,
