@@ -13,6 +13,7 @@ from .language import op7_language_id
 from .pieces import op5_sentencepiece
 from .quality import op6_quality_classifier
 from .suffix_dedup import op10_suffix_array_dedup
+from .vector_dedup import op8_embedding_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sentencepiece": op5_sentencepiece,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_language_id": op7_language_id,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
