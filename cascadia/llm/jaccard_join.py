@@ -6,7 +6,8 @@ their l-prefixes, the first ``n - ceil(t n) + l`` tokens, for every l. A
 document whose prefix holds frequent tokens takes a longer prefix and in return
 a candidate must share more of it: with s the summed frequency in the l-prefix,
 at most s / l documents can share l of its tokens, and the l with the least
-estimated cost is taken.
+estimated cost is taken. Before verification a pair must share l tokens of the
+shorter prefixes and as many of the whole prefixes as its sizes call for.
 
 Exact copies have one set, so they are one node. A group of thousands of near
 copies is never expanded into all pairs: long posting lists first link their
@@ -31,7 +32,7 @@ U64 = np.uint64
 SMALL = 6
 #: A bound on the table of frequent tokens that is broadcast (9 bytes each).
 #: It shapes the order of tokens only; every order gives the same links.
-MOST_FREQUENT = 1 << 19
+MOST_FREQUENT = 1 << 20
 FREQUENT = 4
 LEVELS = 4
 FLUSH = 1 << 22
@@ -125,8 +126,17 @@ def frequent_tokens(docs: DataFrame, k: int, bits: int, most: int = MOST_FREQUEN
         least = log
     if least is None:
         return np.zeros(0, U64), np.zeros(0, np.uint8)
-    top = found.where(F.col("log") >= least).select("fp", "log").toPandas().sort_values("fp")
-    return top["fp"].to_numpy().astype(U64), top["log"].to_numpy().astype(np.uint8)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(np.asarray(b.column(0)), np.asarray(b.column(1)).astype(np.uint8)) for b in batches]
+        if got:
+            fp, log = (np.concatenate(x) for x in zip(*got, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array([fp.tobytes()]), pa.array([log.tobytes()])], names=["fp", "log"])
+
+    top = found.where(F.col("log") >= least).select("fp", "log").mapInArrow(pack, "fp binary, log binary").collect()
+    fps, logs = (np.concatenate([np.frombuffer(r[i], t) for r in top]) for i, t in ((0, U64), (1, np.uint8)))
+    order = np.argsort(fps)
+    return fps[order], logs[order]
 
 
 def choose_level(freq: np.ndarray, n: int, most: int, weight: float = 4.0) -> int:
@@ -206,12 +216,25 @@ def _size_ok(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
 
 
+def _bound(na: np.ndarray, nb: np.ndarray, la: np.ndarray, lb: np.ndarray, percent: int) -> np.ndarray:
+    """How many tokens of the prefixes two similar sets share at least.
+
+    Behind the prefix that ends first in the order, at most the rest of its own
+    set is shared; all that is shared before stands in both prefixes.
+    """
+    na, nb, la, lb = (x.astype(np.int64) for x in (na, nb, la, lb))
+    both = -(-percent * (na + nb) // (100 + percent))
+    rest = [-(-percent * n // 100) - k for n, k in ((na, la), (nb, lb))]
+    return both - np.maximum(*rest)
+
+
 def bucket_rows(blobs: DataFrame, percent: int) -> DataFrame:
     """Rows of three kinds from each token range.
 
-    ``pair``: a and b share c tokens of short lists (c counts those within the
-    prefixes of the smaller l only); ``star``: b and the pivot a of a long list;
-    ``post``: a long list's entry (token c, node a, with size, level and l).
+    ``pair``: a and b share c prefix tokens of short lists, ``lev`` of them within
+    the prefixes of their smaller l, ``ell``; ``size`` is the least c of a link;
+    ``star``: b and the pivot a of a long list; ``post``: a long list's entry
+    (token c, node a, with size, level and l).
     """
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
@@ -245,20 +268,19 @@ def bucket_rows(blobs: DataFrame, percent: int) -> DataFrame:
         m = length[of] if len(tok) else length
         out = []
         short = np.flatnonzero((m > 1) & (m <= SMALL))
-        pa_, pb_, need = [], [], []
+        got = []
         for gap in range(1, SMALL):
             i = short[short + gap < len(tok)]
             i = i[of[i] == of[i + gap]]
             j = i + gap
+            ok = _size_ok(size[i].astype(np.int64), size[j].astype(np.int64), percent)
+            i, j = i[ok], j[ok]
             low = np.minimum(ell[i], ell[j])
-            ok = _size_ok(size[i].astype(np.int64), size[j].astype(np.int64), percent) & (lev[i] <= low) & (lev[j] <= low)
-            pa_.append(node[i[ok]])
-            pb_.append(node[j[ok]])
-            need.append(low[ok])
-        if sum(map(len, pa_)):
-            p = pd.DataFrame({"a": _ids(np.concatenate(pa_)), "b": _ids(np.concatenate(pb_)), "need": np.concatenate(need).astype(np.int32)})
-            p = p.groupby(["a", "b", "need"], as_index=False).size()
-            out.append(pd.DataFrame({"kind": "pair", "a": p["a"], "b": p["b"], "c": p["size"], "size": 0, "lev": 0, "ell": p["need"]}))
+            got.append((_ids(node[i]), _ids(node[j]), (lev[i] <= low) & (lev[j] <= low), low, _bound(size[i], size[j], ell[i], ell[j], percent)))
+        if sum(len(x[0]) for x in got):
+            p = pd.DataFrame(dict(zip(("a", "b", "low", "need", "bound"), (np.concatenate(x).astype(np.int64) for x in zip(*got, strict=True)), strict=True)))
+            p = p.groupby(["a", "b", "need", "bound"], as_index=False).agg(c=("low", "size"), low=("low", "sum"))
+            out.append(pd.DataFrame({"kind": "pair", "a": p["a"], "b": p["b"], "c": p["c"], "size": p["bound"], "lev": p["low"], "ell": p["need"]}))
         long = np.flatnonzero(m > SMALL)
         if len(long):
             band = np.floor(np.log(size[long]) / np.log(100 / percent)).astype(np.int64)
@@ -320,7 +342,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     bits = min(20, max(4, int(np.ceil(np.log2(max(1, total / (8 << 20)))))))
     fps, logs = frequent_tokens(docs, k, bits)
     rows = saved(bucket_rows(postings(docs, k, percent, bits, fps, logs), percent), "buckets")
-    pairs = rows.where("kind = 'pair'").groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("ell").alias("need"))
+    pairs = rows.where("kind = 'pair'").groupBy("a", "b").agg(F.sum("c").alias("c"), F.sum("lev").alias("low"), F.max("ell").alias("need"), F.max("size").alias("bound"))
     star = rows.where("kind = 'star'").groupBy("a", "b").agg(F.sum("c").alias("c"))
     post = rows.where("kind = 'post'").select(F.col("c").alias("token"), F.col("a").alias("node"), "size", "lev", "ell")
 
@@ -332,7 +354,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     texts = saved(texts, "texts")
 
     # First the likeliest partner of each node, then all pairs between components.
-    first = pairs.where("c >= need").select("a", "b", "c").union(star)
+    first = pairs.where("low >= need").select("a", "b", "c").union(star)
     best = first.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
     links = saved(linked(best, texts, k, percent), "links")
     comp = components(links)
@@ -343,20 +365,34 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     minor = post.join(main, "token").where("comp <> main")
     x, y = minor.alias("x"), post.alias("y")
     low = F.least("x.ell", "y.ell")
-    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & (100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size")) & (F.col("x.lev") <= low) & (F.col("y.lev") <= low)
+    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & (100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size"))
     apart &= (F.col("y.comp") == F.col("x.main")) | (F.col("x.node") < F.col("y.node"))
-    cross = x.join(y, apart).groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).agg(F.count("*").alias("c"), F.max(low).alias("need"))
+    rest_of = [F.ceil(percent * F.col(f"{i}.size") / 100) - F.col(f"{i}.ell") for i in "xy"]
+    bound = F.ceil(percent * (F.col("x.size") + F.col("y.size")) / (100 + percent)) - F.greatest(*rest_of)
+    within = ((F.col("x.lev") <= low) & (F.col("y.lev") <= low)).cast("long")
+    cross = x.join(y, apart).groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).agg(F.count("*").alias("c"), F.sum(within).alias("low"), F.max(low).alias("need"), F.max(bound).alias("bound"))
     left = pairs.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
-    left = left.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "c", "need")
-    rest = left.unionByName(cross).groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need")).where("c >= need")
+    left = left.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "c", "low", "need", "bound")
+    rest = left.unionByName(cross).groupBy("a", "b").agg(F.sum("c").alias("c"), F.sum("low").alias("low"), F.max("need").alias("need"), F.max("bound").alias("bound")).where("low >= need and c >= bound")
     more = saved(linked(rest, texts, k, percent), "links")
-    comp = components(links.select("a", "b").union(more.select("a", "b")))
+    # Components of components: few edges are left.
+    of_a, of_b = (comp.select(F.col("node").alias(i), F.col("comp").alias(f"c{i}")) for i in "ab")
+    edges = more.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    over = components(edges)
+    nodes = comp.unionByName(more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(comp, "node", "left_anti").withColumn("comp", F.col("node")))
+    comp = nodes.join(over.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
 
     of = sets.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = of.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
     return of.join(smallest, "comp", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
+def keep_first(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+    """The documents, all their columns, with the smallest doc_id of their component (doc_id is a key)."""
+    heads = jaccard_join(docs, k, percent).where("doc_id = component_id").select("doc_id")
+    return docs.join(heads, "doc_id", "left_semi").select(docs.columns)
+
+
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents: five words, similarity 0.75."""
     return jaccard_join(table(spark, sf_dir, "documents"))
