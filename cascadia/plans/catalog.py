@@ -1,4 +1,213 @@
-"""All registered queries over the reference operators, with their SQL."""
+"""All registered queries over the grid-risk operators, with their SQL.
 
-QUERIES = {}
-ORACLE_SQL = {}
+Every query reads the order, event or vector tables; values are rounded alike on
+both sides, since sums of doubles depend on their order.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.binning import bin_index, outside
+from ..operators import dispatch as D
+from ..operators import grid as G
+from ..operators import mitigation as M
+from ..operators import splits as S
+from ..operators import vectors as V
+from ..sources import artifacts as A
+from ..sources import projections as P
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def _rounded(df: DataFrame, digits: int) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def _query(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None, digits: int = 6, doubles: str = "") -> None:
+    """Register a query; ``doubles`` are the columns that its SQL rounds."""
+    QUERIES[name] = lambda spark, sf_dir: _rounded(run(spark, sf_dir), digits)
+    if sql:
+        cut = sql.rindex("\nSELECT") if "\nSELECT" in sql else 0
+        head, body = sql[:cut], sql[cut:]
+        replaced = ", ".join(f"round({c}, {digits}) + 0e0 AS {c}" for c in doubles.split())
+        ORACLE_SQL[name] = f"{head} SELECT * {f'REPLACE ({replaced})' if replaced else ''} FROM ({body})"
+
+
+def _with(names: str, ctes: str, body: str) -> str:
+    """Projections, further expressions, and the final SELECT on a line of its own."""
+    return P.with_sql(names, "")[:-1] + (", " + ctes if ctes else "") + "\nSELECT " + body
+
+
+_C = lambda s, d: S.observables(P.split_components(s, d))
+_S = lambda s, d: S.split_properties(_C(s, d))
+_G, _L, _K, _I = P.generation, P.loads, P.links, P.injections
+_OBS = """obs AS (SELECT *, 0.4e0*load AS load_inertia, rot_energy_gen + 0.4e0*load AS rot_energy,
+  50e0*power_imbalance/((rot_energy_gen+1e-8)*2) AS rocof_noLoadInertia, 50e0*power_imbalance/((rot_energy_gen + 0.4e0*load + 1e-8)*2) AS rocof,
+  CASE WHEN load <> 0 THEN abs(least(0e0, power_imbalance))/load*load_share ELSE 0e0 END AS shedding FROM comp),
+los AS (SELECT *, CASE WHEN abs(rocof) > 1 THEN load_share ELSE 0e0 END AS blackout, greatest(shedding, CASE WHEN abs(rocof) > 1 THEN load_share ELSE 0e0 END) AS total FROM obs)"""
+_SPL = _OBS + """,
+spl AS (SELECT co2l, time_stamp, split_number, min(init_failure_0) AS init_failure_0, min(init_failure_1) AS init_failure_1, min(trigger_weighting) AS trigger_weighting,
+  sum(shedding) AS lost_load_share_shedding, sum(blackout) AS lost_load_share_blackout, sum(total) AS lost_load_share_total, count(*) AS n_components,
+  max(load_share) AS largest_component_load_share, sum(load) AS load, min(snapshot_weighting) AS snapshot_weighting, (min(snapshot_weighting)*min(trigger_weighting))::BIGINT AS total_weighting
+  FROM los GROUP BY 1, 2, 3)"""
+_x = lambda body, more="": _with("comp", _SPL + (", " + more if more else ""), body)
+#: Five bins of lost load in percent, clipped.
+_BIN5 = "CASE WHEN greatest(0e0, least(100e0, lost_load_share_blackout*100)) = 100 THEN 4 ELSE floor(greatest(0e0, least(100e0, lost_load_share_blackout*100))/20e0) END::INT"
+
+# Splits.
+_query("component_losses", lambda s, d: _C(s, d).select("split_number", "component_number", "rot_energy", "rocof", F.when(F.col("rot_energy_gen") > 0, F.col("rocof_noLoadInertia")).alias("rocof_noLoadInertia"), "shedding", "blackout", "total"), _x("split_number, component_number, rot_energy, rocof, CASE WHEN rot_energy_gen > 0 THEN rocof_noLoadInertia END AS rocof_noLoadInertia, shedding, blackout, total FROM los"), 6, "rot_energy rocof rocof_noLoadInertia shedding blackout total")
+_query("split_properties", _S, _x("* FROM spl"), 6, "co2l lost_load_share_shedding lost_load_share_blackout lost_load_share_total largest_component_load_share load")
+_query("split_number", lambda s, d: S.number_splits(_S(s, d)).select("co2l", "split_number", "number"), _x("co2l, split_number, dense_rank() OVER (PARTITION BY co2l ORDER BY time_stamp, split_number)::INT AS number FROM spl"), 6, "co2l")
+_query("split_thresholds", lambda s, d: S.at_thresholds(_C(s, d), [0.5, 0.8, 1.0, 1.5, 2.0]).groupBy("limit_hz", "co2l").agg(F.sum(F.col("lost_load_share_total") * F.col("total_weighting")).alias("loss"), F.count("*").alias("n")), _x("limit_hz::DOUBLE AS limit_hz, co2l, sum(greatest(shedding, CASE WHEN abs(rocof) > limit_hz THEN load_share ELSE 0e0 END)*trigger_weighting*snapshot_weighting) AS loss, count(DISTINCT split_number) AS n FROM obs, (VALUES (0.5e0), (0.8e0), (1.0e0), (1.5e0), (2.0e0)) t(limit_hz) GROUP BY 1, 2"), 4, "limit_hz co2l loss")
+_query("threshold_consistency", lambda s, d: S.consistent(S.at_thresholds(_C(s, d), [1.0]).drop("limit_hz"), _S(s, d), 6), _x("0::BIGINT AS only_first, 0::BIGINT AS only_second FROM (SELECT count(*) FROM spl)"))
+_query("risk_histogram", lambda s, d: S.histogram(_S(s, d), F.col("lost_load_share_blackout") * 100, F.col("total_weighting"), 0.0, 100.0, 5, ["co2l"]), _x(f"co2l, {_BIN5} AS bin, sum(total_weighting)::BIGINT AS weight FROM spl GROUP BY 1, 2"), 6, "co2l")
+_NORM = """nrm AS (SELECT co2l, tw*sw AS norm FROM (SELECT co2l, sum(trigger_weighting) AS tw FROM (SELECT DISTINCT co2l, init_failure_0, init_failure_1, trigger_weighting FROM spl) GROUP BY 1)
+  JOIN (SELECT co2l, sum(snapshot_weighting) AS sw FROM (SELECT DISTINCT co2l, time_stamp, snapshot_weighting FROM spl) GROUP BY 1) USING (co2l))"""
+_query("risk_fraction", lambda s, d: S.risk_fraction(_S(s, d)), _x(f"co2l, bin, weight::BIGINT AS weight, weight/norm::DOUBLE AS fraction FROM (SELECT co2l, {_BIN5} AS bin, sum(total_weighting) AS weight FROM spl GROUP BY 1, 2) JOIN nrm USING (co2l)", _NORM), 9, "co2l fraction")
+_query("same_vs_diff_corridor", lambda s, d: S.by_corridor(_S(s, d)), _x("co2l, CASE WHEN init_failure_0 = init_failure_1 THEN 'same' ELSE 'different' END AS corridor, sum(total_weighting)::BIGINT AS weight, count(*) AS n, sum(lost_load_share_blackout*total_weighting) AS loss FROM spl GROUP BY 1, 2"), 5, "co2l loss")
+_B10 = "CASE WHEN greatest(0e0, least(1e0, lost_load_share_blackout)) = 1 THEN 9 ELSE least(9, floor((greatest(0e0, least(1e0, lost_load_share_blackout)) - 0)/0.1e0)) END::INT"
+_query("hist2d_components", lambda s, d: S.size_against_loss(_S(s, d)), _x(f"n_components, bin, sum(total_weighting)::BIGINT AS weight, sum(total_weighting)/sum(sum(total_weighting)) OVER (PARTITION BY n_components) AS share FROM (SELECT *, {_B10} AS bin FROM spl) GROUP BY 1, 2"), 9, "share")
+_query("rocof_exceedance", lambda s, d: S.exceedance(_C(s, d), [0.5, 1.0, 2.0]), _x("co2l, avg((abs(rocof) > 0.5)::INT) AS above_0_5, avg((abs(rocof) > 1)::INT) AS above_1_0, avg((abs(rocof) > 2)::INT) AS above_2_0 FROM obs GROUP BY 1"), 9, "co2l above_0_5 above_1_0 above_2_0")
+_query("exceedance_curve", lambda s, d: S.exceedance_curve(_C(s, d).withColumn("rocof", F.round("rocof", 9))), _x("co2l, split_number, component_number, 1 - row_number() OVER (PARTITION BY co2l ORDER BY abs(round(rocof, 9)), split_number, component_number)/count(*) OVER (PARTITION BY co2l)::DOUBLE AS exceedance FROM obs"), 9, "co2l exceedance")
+_query("log_hist", lambda s, d: S.log_histogram(_S(s, d)), _x("co2l, bin, sum(w)::BIGINT AS weight, sum(w)/(power(10e0, (bin+1)*0.5e0) - power(10e0, bin*0.5e0))/sum(sum(w)) OVER (PARTITION BY co2l) AS density FROM (SELECT co2l, total_weighting AS w, floor(log10(lost_load_share_blackout*load)/0.5e0)::INT AS bin FROM spl WHERE lost_load_share_blackout*load >= 1) GROUP BY 1, 2"), 12, "co2l density")
+_query("rocof_histogram", lambda s, d: _C(s, d).groupBy(bin_index(F.col("rocof"), -3.0, 3.0, 60).alias("bin")).agg(F.count("*").alias("n")).where("bin is not null"), _x("floor((rocof + 3e0)/0.1e0)::INT AS bin, count(*) AS n FROM obs WHERE rocof >= -3 AND rocof < 3 GROUP BY 1"))
+_query("rocof_outside", lambda s, d: _C(s, d).groupBy("co2l").agg(outside(F.col("rocof"), -2.0, 2.0).alias("n_outside")), _x("co2l, count(*) FILTER (rocof < -2 OR rocof > 2) AS n_outside FROM obs GROUP BY 1"), 6, "co2l")
+
+
+def _failed(s: SparkSession, d: str) -> DataFrame:
+    return P.read(s, d, "lineitem").select(F.col("l_orderkey").alias("split_number"), (F.col("l_partkey") % 50).cast("int").alias("edge"))
+
+
+_FAIL = "fal AS (SELECT DISTINCT l_orderkey AS split_number, (l_partkey % 50)::INT AS edge FROM lineitem), trg AS (SELECT split_number, total_weighting AS w, init_failure_0 AS edge FROM spl UNION ALL SELECT split_number, total_weighting, init_failure_1 FROM spl)"
+_query("edge_likelihood", lambda s, d: S.edge_likelihood(_S(s, d), _failed(s, d)), _x("""e.edge, coalesce(a.x, 0)/n::DOUBLE AS secondary, coalesce(b.x, 0)/n::DOUBLE AS "primary", (coalesce(a.x, 0) + coalesce(c.x, 0))/n::DOUBLE AS total FROM (SELECT edge FROM fal UNION SELECT edge FROM trg) e
+  LEFT JOIN (SELECT edge, sum(total_weighting) AS x FROM fal JOIN spl USING (split_number) GROUP BY 1) a ON a.edge = e.edge
+  LEFT JOIN (SELECT edge, sum(w) AS x FROM trg GROUP BY 1) b ON b.edge = e.edge
+  LEFT JOIN (SELECT trg.edge, sum(w) AS x FROM trg LEFT JOIN fal ON fal.split_number = trg.split_number AND fal.edge = trg.edge WHERE fal.edge IS NULL GROUP BY 1) c ON c.edge = e.edge, (SELECT sum(total_weighting) AS n FROM spl)""", _FAIL), 9, 'secondary "primary" total')
+_IMP = "imp AS (SELECT edge, sum(lost_load_share_blackout) AS impact, sum(lost_load_share_blackout*total_weighting) AS weighted_impact FROM (SELECT init_failure_0 AS edge, * FROM spl UNION ALL SELECT init_failure_1 AS edge, * FROM spl WHERE init_failure_0 <> init_failure_1) GROUP BY 1)"
+_query("edge_impact", lambda s, d: S.edge_impact(_S(s, d)), _x("* FROM imp", _IMP), 5, "impact weighted_impact")
+_query("top_edges", lambda s, d: S.top(S.edge_impact(_S(s, d)), "impact", "edge", 10).select("edge", "impact", "rank"), _x("edge, impact, row_number() OVER (ORDER BY impact DESC, edge)::INT AS rank FROM imp QUALIFY rank <= 10", _IMP), 5, "impact")
+_query("cross_border_topk", lambda s, d: S.crossing_share(S.edge_impact(_S(s, d)).select("edge", F.col("impact").alias("value")), S.edge_impact(_S(s, d)).select("edge", (F.col("edge") % 3 == 0).alias("flag")), [5.0, 20.0, 50.0]), _x("percent::DOUBLE AS percent, k::BIGINT AS k, sum((edge % 3 = 0)::INT)/k::DOUBLE AS share FROM (SELECT edge, row_number() OVER (ORDER BY impact DESC, edge) AS r, count(*) OVER () AS n FROM imp) JOIN (SELECT percent, least(greatest(ceil(n*percent/100), 1), n) AS k FROM (SELECT count(*) AS n FROM imp), (VALUES (5e0), (20e0), (50e0)) t(percent)) ON r <= k GROUP BY percent, k", _IMP), 9, "percent share")
+_query("largest_component", lambda s, d: S.largest_component(_C(s, d)), _x("split_number, component_number, load_share, rocof FROM obs QUALIFY row_number() OVER (PARTITION BY split_number ORDER BY load_share DESC, component_number) = 1"), 6, "load_share rocof")
+_query("gss_count", lambda s, d: S.loss_targets(_S(s, d).withColumn("lost_load_share_blackout", F.round("lost_load_share_blackout", 9))), _x("co2l, sum(least(x, 1e0)*w) AS total_loss, coalesce(sum(w) FILTER (least(x, 1e0) > 0.8), 0)::BIGINT AS n_severe, coalesce(sum(least(x, 1e0)*w) FILTER (least(x, 1e0) > 0.8), 0) AS severe_loss, count(*) FILTER (x >= 0.8) AS rows_severe FROM (SELECT co2l, round(lost_load_share_blackout, 9) AS x, total_weighting AS w FROM spl) GROUP BY 1"), 5, "co2l total_loss severe_loss")
+_query("splits_per_month", lambda s, d: S.per_month(_S(s, d)), _x("co2l, month(time_stamp)::INT AS month, count(*) AS n, sum(total_weighting)::BIGINT AS weight FROM spl GROUP BY 1, 2"), 6, "co2l")
+_query("weekday_profile", lambda s, d: S.calendar_profile(_S(s, d)), _x("(isodow(time_stamp) - 1)::INT AS day, count(*) AS n, count(*)/sum(count(*)) OVER () AS share FROM spl GROUP BY 1"), 9, "share")
+
+# Dispatch.
+CARRIERS = ["click", "error", "purchase", "signup", "view"]
+_g = lambda body, ctes="": _with("gen", ctes, body)
+_query("gen_by_carrier_pivot", lambda s, d: D.pivoted(_G(s, d), CARRIERS), _g("month(snapshot)::INT AS month, " + ", ".join(f"coalesce(sum(p*w*sign) FILTER (carrier = '{c}'), 0) AS \"{c}\"" for c in CARRIERS) + " FROM gen GROUP BY 1"), 3, " ".join(f'"{c}"' for c in CARRIERS))
+_query("carrier_share_filter", lambda s, d: D.significant(_G(s, d)), _g("carrier, max(share) AS share FROM (SELECT snapshot::DATE AS day, carrier, sum(p)/sum(sum(p)) OVER (PARTITION BY snapshot::DATE) AS share FROM gen GROUP BY 1, 2) GROUP BY 1 HAVING max(share) > 0.01"), 9, "share")
+_query("capacity_by_carrier", lambda s, d: D.capacity(_G(s, d)), _g("CASE WHEN carrier IN ('click', 'view') THEN 'browse' WHEN carrier = 'purchase' THEN 'trade' WHEN carrier = 'signup' THEN 'account' ELSE carrier END AS family, sum(p_nom*sign) AS capacity, count(*) AS units FROM (SELECT DISTINCT bus, carrier, p_nom, sign FROM gen) GROUP BY 1"), 4, "capacity")
+_query("country_mean_gen", lambda s, d: D.by_country(_G(s, d), P.read(s, d, "nation")), _g("coalesce(upper(substr(n_name, 1, 2)), 'UNK') AS country, sum(p) AS p FROM (SELECT bus, carrier, sum(p*w)/sum(w) AS p FROM gen GROUP BY 1, 2) LEFT JOIN nation ON n_nationkey = bus GROUP BY 1"), 5, "p")
+_BAL = "bal AS (SELECT month, bus, sum(x) AS balance FROM (SELECT month(snapshot)::INT AS month, bus, -p*sign AS x FROM gen UNION ALL SELECT month(snapshot)::INT, bus, p FROM loads UNION ALL SELECT 1, bus0, p0 FROM links UNION ALL SELECT 1, bus1, p1 FROM links) GROUP BY 1, 2)"
+_balance = lambda s, d: D.nodal_balance(_G(s, d), _L(s, d), _K(s, d))
+_query("nodal_balance", _balance, _with("gen loads links", _BAL, "* FROM bal"), 2, "balance")
+_query("nodal_mean", lambda s, d: D.nodal_mean(_balance(s, d)), _with("gen loads links", _BAL, "bus, avg(balance) AS mean, avg(balance*CASE WHEN month <= 2 THEN 1e0 ELSE 3e0 END) AS mean_weighted FROM bal GROUP BY 1"), 1, "mean mean_weighted")
+_DIP = "dip AS (SELECT snapshot, sum((node_idx % 5 - 2e0)*p0) AS dipole_x, sum((floor(node_idx/5e0) - 2e0)*p0) AS dipole_y, sum(p0) AS mismatch FROM inj GROUP BY 1)"
+_query("injection", _I, _with("inj", "", "snapshot, node_idx, p0 FROM inj"), 2, "p0")
+_query("dipole", lambda s, d: D.dipole(_I(s, d)).withColumn("mismatch", F.abs(F.round("mismatch", 2))), _with("inj", _DIP, "snapshot, dipole_x, dipole_y, abs(round(mismatch, 2)) AS mismatch FROM dip"), 2, "dipole_x dipole_y mismatch")
+_query("monthly_dipole", lambda s, d: D.monthly_dipole(D.dipole(_I(s, d))), _with("inj", _DIP, "month(snapshot)::INT AS month, sum(dipole_x*(year(snapshot)-1994))/sum(year(snapshot)-1994) AS dipole_x, sum(dipole_y*(year(snapshot)-1994))/sum(year(snapshot)-1994) AS dipole_y FROM dip GROUP BY 1"), 2, "dipole_x dipole_y")
+_query("emissions", lambda s, d: D.emissions(_G(s, d), {"click": 0.2, "view": 0.34}), _g("day, e AS emissions, e/(1e6 + 1e-10) AS level FROM (SELECT snapshot::DATE AS day, sum(p*w/0.4e0*CASE carrier WHEN 'click' THEN 0.2e0 WHEN 'view' THEN 0.34e0 ELSE 0e0 END) AS e FROM gen GROUP BY 1)"), 6, "emissions level")
+_query("costs", lambda s, d: D.costs(_G(s, d), {"click": 12.0, "purchase": 45.0}), _g("carrier, opex, capex FROM (SELECT carrier, sum(p*CASE carrier WHEN 'click' THEN 12e0 WHEN 'purchase' THEN 45e0 ELSE 0e0 END) AS opex FROM gen GROUP BY 1) JOIN (SELECT carrier, sum(p_nom)*90e0 AS capex FROM (SELECT DISTINCT bus, carrier, p_nom FROM gen) GROUP BY 1) USING (carrier)"), 3, "opex capex")
+_query("special_carriers", lambda s, d: D.special_carriers(_G(s, d), ["error", "load_shed"]), _g("c.carrier, coalesce(energy, 0) AS energy, coalesce(energy, 0)/all_e AS energy_share, coalesce(snapshots, 0) AS snapshots, coalesce(snapshots, 0)/all_n::DOUBLE AS snapshot_share FROM (VALUES ('error'), ('load_shed')) c(carrier) LEFT JOIN (SELECT carrier, sum(e) AS energy, count(*) FILTER (abs(e) > 1e-6) AS snapshots FROM (SELECT carrier, snapshot, sum(p*w) AS e FROM gen GROUP BY 1, 2) GROUP BY 1) x ON x.carrier = c.carrier, (SELECT sum(p*w) AS all_e, count(DISTINCT snapshot) AS all_n FROM gen)"), 6, "energy energy_share snapshot_share")
+_IN = "ine AS (SELECT snapshot, carrier, sum(CASE WHEN p > 0.05*p_nom THEN p_nom*CASE carrier WHEN 'click' THEN 5.9e0 WHEN 'view' THEN 4.2e0 WHEN 'purchase' THEN 3.7e0 ELSE 0e0 END ELSE 0e0 END) AS energy FROM gen GROUP BY 1, 2)"
+_inertia = lambda s, d: D.inertia(_G(s, d), P.INERTIA)
+_query("inertia_by_carrier", _inertia, _g("* FROM ine", _IN), 4, "energy")
+_query("mean_inertia", lambda s, d: D.mean_inertia(_inertia(s, d)), _g("carrier, sum(energy)/(SELECT count(DISTINCT snapshot) FROM ine) AS mean_energy FROM ine GROUP BY 1", _IN), 4, "mean_energy")
+_query("inertia_minmax", lambda s, d: D.extreme_inertia(_inertia(s, d)), _g("min(energy) AS low, arg_min(snapshot, (energy, snapshot)) AS low_at, max(energy) AS high, arg_min(snapshot, (-energy, snapshot)) AS high_at FROM (SELECT snapshot, round(sum(energy), 4) AS energy FROM ine GROUP BY 1)", _IN), 4, "low high")
+_query("inertia_by_country", lambda s, d: P.split_components(s, d).join(P.read(s, d, "nation"), F.col("n_nationkey") == F.col("node_idx")).groupBy(F.substring("n_name", 1, 2).alias("country")).agg(F.sum("rot_energy_gen").alias("energy")), _with("comp", "", "substr(n_name, 1, 2) AS country, sum(rot_energy_gen) AS energy FROM comp JOIN nation ON n_nationkey = node_idx GROUP BY 1"), 3, "energy")
+_query("flow_distance", lambda s, d: D.flow_distance(_K(s, d)), _with("links", "", "bus0, sum(abs(p0)*d) AS flow_distance, sum(abs(p0)*d)/sum(abs(p0)) AS mean_distance FROM (SELECT *, sqrt(power(bus0 % 5 - bus1 % 5, 2) + power(floor(bus0/5e0) - floor(bus1/5e0), 2)) AS d FROM links) GROUP BY 1"), 2, "flow_distance mean_distance")
+_query("mean_nodal_load", lambda s, d: D.mean_nodal_load(_L(s, d)), _with("loads", "", "bus, sum(p*month(snapshot))/sum(month(snapshot)) AS load FROM loads GROUP BY 1"), 3, "load")
+_query("ramps", lambda s, d: D.ramps(_G(s, d)), _g("* FROM (SELECT snapshot, (p - lag(p) OVER (ORDER BY snapshot))/1000 AS ramp FROM (SELECT snapshot, sum(p) AS p FROM gen GROUP BY 1)) WHERE ramp IS NOT NULL"), 7, "ramp")
+_query("rolling_profile", lambda s, d: D.rolling_mean(_G(s, d), 4), _g("carrier, snapshot, avg(p) OVER (PARTITION BY carrier ORDER BY snapshot ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS mean FROM (SELECT carrier, snapshot, sum(p) AS p FROM gen GROUP BY 1, 2)"), 5, "mean")
+_SEA = "CASE WHEN month(snapshot) IN (12, 1, 2) THEN 'winter' WHEN month(snapshot) < 6 THEN 'spring' WHEN month(snapshot) < 9 THEN 'summer' ELSE 'autumn' END"
+_query("seasonal_profile", lambda s, d: D.seasonal_profile(_G(s, d)), _g(f"{_SEA} AS season, hour(snapshot)::INT AS hour, carrier, avg(p) AS p FROM (SELECT snapshot, carrier, sum(p*sign) AS p FROM gen GROUP BY 1, 2) GROUP BY 1, 2, 3"), 5, "p")
+_query("monthly_unit_profile", lambda s, d: D.unit_profile(_G(s, d), "view"), _g("month(snapshot)::INT AS month, hour(snapshot)::INT AS hour, avg(p) AS p FROM (SELECT snapshot, sum(p) AS p FROM gen WHERE carrier = 'view' GROUP BY 1) GROUP BY 1, 2"), 5, "p")
+_query("low_quantile_mask", lambda s, d: D.low_quantile(_G(s, d)), _g("snapshot, p FROM (SELECT snapshot, round(sum(p), 6) AS p FROM gen GROUP BY 1) x, (SELECT quantile_cont(p, 0.1) AS cut FROM (SELECT snapshot, round(sum(p), 6) AS p FROM gen GROUP BY 1)) WHERE p <= cut"), 6, "p")
+_query("loading_summary", lambda s, d: D.loading_summary(P.loadings(s, d)), _with("loading", "", "line, avg(dc) AS mean_dc, max(dc) AS max_dc, avg(ac) AS mean_ac, max(ac) AS max_ac, count(*) FILTER (ac > 1) AS n_over, max(abs(ac - dc)) AS max_diff FROM loading GROUP BY 1"), 8, "mean_dc max_dc mean_ac max_ac max_diff")
+_query("q_spread", lambda s, d: D.loading_spread(P.loadings(s, d)), _with("loading", "", "snapshot, line, max(ac/dc) - min(ac/dc) AS spread, avg((ac - dc)/dc) AS relative FROM loading WHERE dc > 0.5 GROUP BY 1, 2"), 8, "spread relative")
+_query("asof_range", lambda s, d: D.snapped_range(_G(s, d), "2024-01-05 01:10:00", "2024-01-06 02:00:00").groupBy("snapshot").agg(F.count("*").alias("n")), _g("snapshot, count(*) AS n FROM gen WHERE snapshot BETWEEN (SELECT coalesce(max(snapshot) FILTER (snapshot <= TIMESTAMP '2024-01-05 01:10:00'), min(snapshot)) FROM gen) AND (SELECT coalesce(min(snapshot) FILTER (snapshot >= TIMESTAMP '2024-01-06 02:00:00'), max(snapshot)) FROM gen) GROUP BY 1"))
+_query("hour_snap", lambda s, d: D.nearest_hour(P.read(s, d, "events").groupBy(F.hour("ts").alias("hour")).agg(F.count("*").alias("n")), [0, 6, 12, 18]), "\nSELECT hour(ts)::INT AS hour, count(*) AS n, CASE WHEN hour(ts) <= 3 OR hour(ts) >= 21 THEN 0 WHEN hour(ts) <= 9 THEN 6 WHEN hour(ts) <= 15 THEN 12 ELSE 18 END::INT AS nearest FROM events GROUP BY 1, 3")
+_query("stratified_sample", lambda s, d: D.stratified(_G(s, d).select("snapshot").distinct(), 3))
+_query("nearest_level", lambda s, d: A.nearest_level(_S(s, d).select("split_number", "co2l"), s.range(8).select((F.col("id") / 10.0 + 1e-7).alias("level"), F.col("id").cast("int").alias("k"))).select("split_number", "k"), _x("split_number, round(co2l*10)::INT AS k FROM spl"))
+
+# Batches.
+_query("batch_merge", lambda s, d: A.merge_batches(P.read(s, d, "events").select("user_id", F.to_date("ts").alias("day"), "ts", "event_id", "value"), ["user_id", "day"], "ts", "event_id"), "\nSELECT user_id, ts::DATE AS day, ts, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts DESC, event_id DESC) = 1", 6, "value")
+_query("coverage", lambda s, d: A.coverage(P.read(s, d, "events").select(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("t")), "t", 720), "\nSELECT min(t) AS \"first\", max(t) AS \"last\", count(t) AS n, count(DISTINCT t) AS n_distinct, count(t) > count(DISTINCT t) AS repeated, 720 - count(DISTINCT t) AS missing FROM (SELECT date_trunc('hour', ts) AS t FROM events)")
+_query("window_reassembly", lambda s, d: A.overlay(_G(s, d).select("snapshot", "bus", "carrier", "p"), _G(s, d).where("day(snapshot) = 5").withColumn("p", F.col("p") * 2), ["snapshot", "bus", "carrier"], "p"), _g("snapshot, bus, carrier, CASE WHEN day(snapshot) = 5 THEN p*2 ELSE p END AS p FROM gen"), 5, "p")
+_query("highest_entry", lambda s, d: A.highest_entry(P.read(s, d, "lineitem"), ["l_partkey"], ["l_quantity", "l_orderkey", "l_linenumber"], "l_orderkey"), "\nSELECT l_partkey, arg_max(l_orderkey, (l_quantity, l_orderkey, l_linenumber)) AS l_orderkey, count(*) AS entries FROM lineitem GROUP BY 1")
+
+
+def _lines(s: SparkSession, d: str) -> DataFrame:
+    par = F.element_at(F.array(*map(F.lit, (1.0, 2.0, 0.57894737, 1.28947368, 3.0))), (F.col("s_suppkey") % 5 + 1).cast("int"))
+    return P.read(s, d, "supplier").select(F.col("s_suppkey").alias("line"), F.col("s_nationkey").alias("area"), par.alias("num_parallel"))
+
+
+def _singles(s: SparkSession, d: str) -> DataFrame:
+    lines = _lines(s, d)
+    return G.single_contingencies(G.circuits(lines), lines.where("line % 7 = 0").select("line")).join(lines.select("line", "area"), "line")
+
+
+_CIR = "cir AS (SELECT s_suppkey AS line, s_nationkey AS area, size::DOUBLE AS size, n::BIGINT AS n FROM supplier JOIN (VALUES (0, 1.0e0, 1), (1, 1.0e0, 2), (2, 0.2894737e0, 2), (3, 1.0e0, 1), (3, 0.2894737e0, 1), (4, 1.0e0, 3)) t(k, size, n) ON s_suppkey % 5 = k), sin AS (SELECT line, size, n AS weight, area FROM cir WHERE line % 7 <> 0)"
+_cq = lambda body: f"WITH {_CIR}\nSELECT {body}"
+_query("circuit_counts", lambda s, d: G.circuits(_lines(s, d)), _cq("line, size, n FROM cir"), 7, "size")
+_query("single_contingencies", _singles, _cq("line, size, weight, area FROM sin"), 7, "size")
+_query("double_contingencies", lambda s, d: G.double_contingencies(_singles(s, d), "area"), _cq("a.area, a.line AS line_0, a.size AS size_0, b.line AS line_1, b.size AS size_1, CASE WHEN a.line = b.line AND a.size = b.size THEN a.weight*(a.weight - 1)/2e0 ELSE a.weight*b.weight*1e0 END AS weight FROM sin a JOIN sin b ON a.area = b.area AND (b.line > a.line OR (b.line = a.line AND b.size >= a.size)) WHERE CASE WHEN a.line = b.line AND a.size = b.size THEN a.weight > 1 ELSE true END"), 7, "size_0 size_1 weight")
+_query("line_merge", lambda s, d: G.merge_parallel(P.read(s, d, "lineitem").select(F.concat(F.lit("L"), F.col("l_suppkey").cast("string"), F.when(F.col("l_linenumber") == 1, "_outage").otherwise("")).alias("name"), F.col("l_quantity").alias("num_parallel"), F.col("l_extendedprice").alias("s_nom"), F.col("l_tax").alias("p0"))), "\nSELECT 'L' || l_suppkey AS base, sum(l_quantity) AS num_parallel, sum(l_extendedprice) AS s_nom, sum(l_tax) AS p0, count(*) AS parts FROM lineitem GROUP BY 1", 3, "num_parallel s_nom p0")
+_query("bus_types", lambda s, d: G.bus_types(_G(s, d).where("carrier in ('click', 'view')").groupBy("bus").agg(F.round(F.max("p_nom"), 6).alias("p_nom"))), _g("bus, p_nom, CASE WHEN r = 1 THEN 'Slack' WHEN r <= 1 + least(round(n*0.3), n - 1) THEN 'PV' ELSE 'PQ' END AS kind FROM (SELECT *, row_number() OVER (ORDER BY p_nom DESC, bus) AS r, count(*) OVER () AS n FROM (SELECT bus, round(max(p_nom), 6) AS p_nom FROM gen WHERE carrier IN ('click', 'view') GROUP BY 1))"), 6, "p_nom")
+_query("bridges", lambda s, d: G.bridges(P.edges(s, d), P.read(s, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 50).alias("edge_idx"))), "\nSELECT o_orderkey AS id, (o_orderkey % 50)::INT AS edge_idx, 1::BIGINT AS n_components, false AS bridge FROM orders")
+_query("connected_components", lambda s, d: G.components_without(P.edges(s, d), P.read(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set((F.col("l_partkey") % 50).cast("int")).alias("gone"))).groupBy("id").agg(F.count("*").alias("n_components"), F.sum("n_nodes").alias("n_nodes")).select("id", "n_nodes", (F.col("n_components") >= 1).alias("some")), "\nSELECT DISTINCT l_orderkey AS id, 25::BIGINT AS n_nodes, true AS some FROM lineitem")
+_query("dc_flow", lambda s, d: G.nodal_injection(G.dc_flows(P.edges(s, d), _I(s, d)), P.edges(s, d)).select("snapshot", F.col("node_idx").cast("int").alias("node_idx"), (F.col("p0") + 0.0037).alias("p0")), _with("inj", "", "snapshot, node_idx::INT AS node_idx, p0 + 0.0037e0 AS p0 FROM inj"), 1, "p0")
+_query("line_loading", lambda s, d: G.dc_flows(P.edges(s, d), _I(s, d)))
+_query("cascade_n2", lambda s, d: G.cascades(P.edges(s, d), _I(s, d), P.read(s, d, "orders").select(F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("snapshot"), F.col("o_orderkey").alias("cid"), (F.col("o_orderkey") % 50).cast("int").alias("e0"), (F.col("o_custkey") % 50).cast("int").alias("e1"), (1 + F.col("o_orderkey") % 3).alias("weight")), 2000.0))
+
+# Vectors.
+_T = P.ternary
+_t = lambda body, ctes="": _with("tern", ctes, body)
+_PAIR = "prs AS (SELECT a.vec_id AS i, b.vec_id AS j, a.v AS x, b.v AS y, a.embedding AS ex, b.embedding AS ey FROM tern a JOIN tern b ON a.vec_id < b.vec_id), ham AS (SELECT i, j, list_sum(list_transform(list_zip(x, y), lambda z: (z[1] <> z[2])::INT))/64e0 AS d FROM prs)"
+_query("membership_vector", lambda s, d: V.membership(P.split_components(s, d), P.NODES), _with("comp", "", "split_number, list_transform(range(0, 25), lambda i: list_contains(nodes, i::INT)::INT) AS v FROM (SELECT split_number, list(DISTINCT node_idx) AS nodes FROM comp GROUP BY 1)"))
+_query("rocof_vector", lambda s, d: V.nodal_values(_C(s, d), P.NODES).select("split_number", F.posexplode("v").alias("node", "x")).where("x <> 0"), _x("split_number, node_idx AS node, arg_max(rocof, (abs(rocof), rocof)) AS x FROM obs GROUP BY 1, 2 HAVING arg_max(rocof, (abs(rocof), rocof)) <> 0"), 6, "x")
+_query("transform_vectors", lambda s, d: V.nodal_values(_C(s, d), P.NODES).select("split_number", V.transformed(F.col("v"), "blackout").alias("t"), V.transformed(F.col("v"), "not_zero").alias("z")).select("split_number", F.aggregate("t", F.lit(0), lambda a, x: a + x).alias("balance"), F.aggregate("z", F.lit(0), lambda a, x: a + x).alias("n")), _x("split_number, sum(CASE WHEN x > 1 THEN 1 WHEN x < -1 THEN -1 ELSE 0 END)::INT AS balance, sum((x <> 0)::INT)::INT AS n FROM (SELECT split_number, node_idx, arg_max(rocof, (abs(rocof), rocof)) AS x FROM obs GROUP BY 1, 2) GROUP BY 1"))
+_query("unique_vectors", lambda s, d: V.unique_vectors(_T(s, d).withColumn("v", F.transform(F.slice("v", 1, 6), lambda x: x.cast("string"))).withColumn("v", F.concat_ws(",", "v")), "vec_id", "v", "w"), _t("array_to_string(v[1:6], ',') AS v, min(vec_id) AS uid, count(*) AS n, sum(w)::BIGINT AS weight FROM tern GROUP BY 1"))
+_query("hamming_pairs", lambda s, d: V.blocked_pairs(_T(s, d), "vec_id", "v", None, V.hamming), _t("* FROM ham", _PAIR), 9, "d")
+_query("class_distance_pairs", lambda s, d: V.blocked_pairs(_T(s, d), "vec_id", "v", None, V.class_distance), _t("i, j, list_sum(list_transform(list_zip(x, y), lambda z: abs(z[1] - z[2])))/128e0 AS d FROM prs", _PAIR), 9, "d")
+_query("cosine_pairs", lambda s, d: V.blocked_pairs(_T(s, d), "vec_id", "embedding", None, V.cosine), _t("i, j, 1 - list_cosine_similarity(ex::DOUBLE[], ey::DOUBLE[]) AS d FROM prs", _PAIR), 9, "d")
+_COS = ", cos AS (SELECT i, j, 1 - list_cosine_similarity(ex::DOUBLE[], ey::DOUBLE[]) AS d FROM prs)"
+_query("composite_pairs", lambda s, d: V.combined([V.blocked_pairs(_T(s, d), "vec_id", "v", None, V.hamming), V.blocked_pairs(_T(s, d), "vec_id", "embedding", None, V.cosine)]), _t("ham.i, ham.j, 1 - sqrt(greatest((1 - ham.d)*(1 - cos.d), 0)) AS d FROM ham JOIN cos ON ham.i = cos.i AND ham.j = cos.j", _PAIR + _COS), 6, "d")
+_query("whamming_pairs", lambda s, d: V.blocked_pairs(_T(s, d).withColumn("u", F.transform("embedding", lambda x: F.abs(x))), "vec_id", "v", "u", V.weighted_hamming))
+_query("bacc_pairs", lambda s, d: V.blocked_pairs(_T(s, d).withColumn("u", F.transform("embedding", lambda x: F.abs(x))), "vec_id", "v", "u", V.balanced_accuracy((-1, 0, 1))))
+_query("silhouette", lambda s, d: V.silhouette(V.blocked_pairs(_T(s, d), "vec_id", "v", None, V.hamming), _T(s, d).select(F.col("vec_id").alias("key"), "label")), _t("vec_id AS i, label, CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a)/greatest(a, b) END AS silhouette FROM (SELECT vec_id, label, min(d) FILTER (label = l) AS a, min(d) FILTER (label <> l) AS b FROM (SELECT t.vec_id, t.label, u.label AS l, avg(d) AS d FROM tern t JOIN (SELECT i, j, d FROM ham UNION ALL SELECT j, i, d FROM ham) p ON p.i = t.vec_id JOIN tern u ON u.vec_id = p.j GROUP BY 1, 2, 3) GROUP BY 1, 2)", _PAIR), 8, "silhouette")
+_query("centroids", lambda s, d: V.centroids(_T(s, d), "label", "v", "w"), _t("label, pos, class, sum(w)/sum(sum(w)) OVER (PARTITION BY label, pos) AS probability FROM (SELECT label, w, generate_subscripts(v, 1)::INT - 1 AS pos, unnest(v)::INT AS class FROM tern) GROUP BY 1, 2, 3"), 9, "probability")
+_query("cluster_stats", lambda s, d: V.cluster_stats(_T(s, d), "label", F.abs(F.element_at("embedding", 1)).cast("double"), "w"), _t("label, sum(abs(embedding[1])::DOUBLE*w) AS value, sum(w)::BIGINT AS weight, count(*) AS n, sum(abs(embedding[1])::DOUBLE*w)/sum(sum(abs(embedding[1])::DOUBLE*w)) OVER () AS share FROM tern GROUP BY 1"), 7, "value share")
+_query("boundary_field", lambda s, d: V.boundary(_T(s, d), "vec_id", "v", P.edges(s, d)).select("key", "boundary", F.aggregate("field", F.lit(0.0), lambda a, x: a + x).alias("total")))
+
+# Mitigation.
+def _gains(s: SparkSession, d: str) -> DataFrame:
+    return _S(s, d).groupBy(F.datediff("time_stamp", F.lit("1995-01-01")).cast("int").alias("step")).agg(F.sum("lost_load_share_blackout").alias("gain"))
+
+
+_GN = "gns AS (SELECT date_diff('day', DATE '1995-01-01', time_stamp)::INT AS step, sum(lost_load_share_blackout) AS gain FROM spl GROUP BY 1)"
+_ANN = M.annuity()
+_query("cum_cost_budget", lambda s, d: M.cumulative_cost(_gains(s, d).withColumn("investment", F.round(F.col("gain"), 6) * M.LINE_COST), 1e9), _x(f"step, cost, cost <= 1e9 AS affordable FROM (SELECT step, sum(round(gain, 6)*4.5e6*{_ANN!r}) OVER (ORDER BY step) AS cost FROM gns)", _GN), 1, "cost")
+_query("mitigation_curve", lambda s, d: M.mitigation_curve(_gains(s, d).withColumn("gain", F.round("gain", 6)), 0.5), _x("step, l AS \"left\", (SELECT min(step) FROM crv WHERE l < 0.5*t) AS first_below FROM crv", _GN + ", crv AS (SELECT step, sum(round(gain, 6)) OVER () AS t, sum(round(gain, 6)) OVER () - sum(round(gain, 6)) OVER (ORDER BY step) AS l FROM gns)"), 6, '"left"')
+_query("gss_curve", lambda s, d: M.severe_curve(_S(s, d).withColumn("lost_load_share_blackout", F.round("lost_load_share_blackout", 9)), _C(s, d).withColumn("mitigated_step", (F.col("component_number") * 3 - 3).cast("int")), [0, 5, 10, 15]), _x("step::INT AS step, coalesce(sum(total_weighting) FILTER (round(lost_load_share_blackout, 9) - coalesce(o, 0) > 0.8), 0)::BIGINT AS weight FROM spl CROSS JOIN (VALUES (0), (5), (10), (15)) t(step) LEFT JOIN (SELECT split_number AS sn, step AS st, sum(load_share) AS o FROM obs JOIN (VALUES (0), (5), (10), (15)) u(step) ON component_number*3 - 3 BETWEEN 0 AND step GROUP BY 1, 2) ON sn = split_number AND st = step GROUP BY 1"))
+_query("greedy_inertia_step", lambda s, d: M.inertia_scores(_C(s, d), 5000.0), _x("node_idx, sum(load_share*trigger_weighting*snapshot_weighting) AS gain, count(*) AS n FROM obs WHERE abs(50e0*power_imbalance/(2*rot_energy)) > 1 AND abs(50e0*power_imbalance/(2*(rot_energy + 5000))) < 1 GROUP BY 1"), 5, "gain")
+_cost = lambda s, d: P.edges(s, d).select(F.col("edge_idx").alias("edge"), (M.LINE_COST * (1 + F.col("edge_idx") % 7)).alias("cost"))
+_query("line_ext_score", lambda s, d: M.extension_scores(_S(s, d), _cost(s, d)), _x("edge, sum(score)/(4.5e6*(1 + edge % 7)) AS score FROM (SELECT init_failure_0 AS edge, sum(lost_load_share_blackout)*sum(total_weighting) AS score FROM spl GROUP BY 1 UNION ALL SELECT init_failure_1, sum(lost_load_share_blackout)*sum(total_weighting) FROM spl GROUP BY 1) GROUP BY 1"), 7, "score")
+_keep = lambda df: df.checkpoint()
+_query("greedy_inertia", lambda s, d: M.greedy_inertia(_C(_ready(s), d), 5000.0, 5, _keep))
+_query("greedy_line_extension", lambda s, d: M.greedy_extension(_S(_ready(s), d), _cost(s, d), 5, _keep))
+
+
+def _ready(spark: SparkSession) -> SparkSession:
+    """A checkpoint folder where none is set, as in tests on one machine."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-')}")
+    return spark

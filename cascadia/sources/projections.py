@@ -120,7 +120,7 @@ SQL = {
     "inj": """SELECT snapshot, bus AS node_idx, p - avg(p) OVER (PARTITION BY snapshot) AS p0 FROM (
   SELECT s.snapshot, n_nationkey AS bus, coalesce(sum(b.p), 0) AS p FROM (SELECT DISTINCT snapshot FROM (SELECT snapshot FROM supply UNION SELECT snapshot FROM loads)) s CROSS JOIN nation
   LEFT JOIN (SELECT * FROM supply UNION ALL SELECT snapshot, bus, -p FROM loads) b ON b.snapshot = s.snapshot AND b.bus = n_nationkey GROUP BY 1, 2)""",
-    "tern": "SELECT vec_id, label, (1 + vec_id % 4)::INT AS w, list_transform(embedding, x -> CASE WHEN x > 0.15 THEN 1 WHEN x < -0.15 THEN -1 ELSE 0 END) AS v, embedding FROM embeddings",
+    "tern": "SELECT vec_id, label, (1 + vec_id % 4)::INT AS w, list_transform(embedding, lambda x: CASE WHEN x > 0.15 THEN 1 WHEN x < -0.15 THEN -1 ELSE 0 END) AS v, embedding FROM embeddings",
     "loading": "SELECT l_suppkey AS line, date_trunc('month', l_shipdate) AS snapshot, l_linenumber AS seed, l_extendedprice/100000e0 AS dc, sqrt(power(l_extendedprice/100000e0, 2) + l_tax*l_tax) AS ac FROM lineitem",
 }
 _NEEDS = {"inj": ("supply", "loads")}
