@@ -33,11 +33,11 @@ GRAM = 20
 #: Starts of one segment at most; longer runs are cut.
 MOST_STARTS = 256
 #: Segments that a task gathers before it sends them.
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 #: Bytes that one kernel call cuts into segments.
 SLICE = 1 << 20
 #: Bytes of one index shard, about.
-SHARD = 3 << 19
+SHARD = 1 << 20
 
 
 def segments(buf: np.ndarray, off: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -212,7 +212,7 @@ def segment_blobs(docs: DataFrame, length: int, bits: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             v, c, doc, start, count, inner = (np.concatenate(x) for x in zip(*held, strict=True))
-            r = (v >> U64(64 - bits)).astype(np.int64)
+            r = (K.mix(v) >> U64(64 - bits)).astype(np.int64)  # minimizers are small numbers
             order = np.argsort(r, kind="stable")
             ids, at = np.unique(r[order], return_index=True)
             at = np.append(at, len(r))
@@ -226,7 +226,7 @@ def segment_blobs(docs: DataFrame, length: int, bits: int) -> DataFrame:
 
         for b in batches:
             ids = np.asarray(b.column(0))
-            for i, _, buf, off in K.text_chunks(b.column(1)):
+            for i, _, buf, off in K.text_chunks(b.column(1), SLICE // 4):
                 v, c, row, start, count, inner = segments(buf, off, length)
                 if len(v):
                     held.append((v, c, ids[i + row], start, count, inner))
@@ -314,7 +314,7 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     n = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(20, max(4, int(np.ceil(np.log2(max(1, n / (48 << 20)))))))
+    bits = min(20, max(4, int(np.ceil(np.log2(max(1, n / (24 << 20)))))))
     refs = saved(shared_segments(segment_blobs(docs, length, bits)), "segments")
     firsts = refs.where("first")
     size = firsts.agg(F.sum(F.col("count") + length - 1)).first()[0] or 0
@@ -324,6 +324,40 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     return marks.union(copies).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
+def cut_spans(raw: bytes, starts: list | None, length: int) -> tuple[bytes, int, int]:
+    """What is left of ``raw``, the number of bytes removed, and of maximal removed runs."""
+    runs: list[list[int]] = []
+    for lo, hi in sorted((x["lo"], x["hi"] + length - 1) for x in starts or ()):
+        if runs and lo <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], hi)
+        else:
+            runs.append([lo, hi])
+    edges = [0, *(x for r in runs for x in r), len(raw)]
+    return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)), sum(b - a for a, b in runs), len(runs)
+
+
+def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
+    """``docs`` with what ``suffix_dedup`` keeps of each text, and n_chars, if it is there, set to its length.
+
+    A character that is cut through goes. All rows stay, also those with nothing left.
+    """
+    spans = repeated_spans(docs, length)
+    names, kind = docs.columns, docs.schema
+    text, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = b.columns[:-1]
+            new = [t if not s else cut_spans(t.encode(), s, length)[0].decode(errors="ignore") for t, s in zip(cols[text].to_pylist(), b.columns[-1].to_pylist(), strict=True)]
+            cols[text] = pa.array(new, pa.string())
+            if chars is not None:
+                cols[chars] = pa.array([None if t is None else len(t) for t in new]).cast(cols[chars].type)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    both = docs.join(spans, "doc_id", "left").select(*names, "spans")
+    return both.mapInArrow(run, kind)
+
+
 def suffix_dedup(docs: DataFrame, length: int = 100) -> DataFrame:
     """Remove each byte that a string of ``length`` bytes covers which also starts earlier.
 
@@ -340,31 +374,9 @@ def suffix_dedup(docs: DataFrame, length: int = 100) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n_bytes, removed, n_spans, kept, sha = [], [], [], [], []
-            for text, spans_ in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                raw = (text or "").encode()
-                rest, gone, parts, at, hi = raw, 0, 0, 0, -1
-                if spans_:
-                    pieces, lo = [], 0
-                    for s in sorted((x["lo"], x["hi"] + length - 1) for x in spans_):
-                        if s[0] > hi:
-                            if hi >= 0:
-                                gone += hi - lo
-                            pieces.append(raw[at : s[0]])
-                            parts += 1
-                            lo, hi = s
-                        else:
-                            hi = max(hi, s[1])
-                        at = hi
-                    gone += hi - lo
-                    pieces.append(raw[hi:])
-                    rest = b"".join(pieces)
-                n_bytes.append(len(raw))
-                removed.append(gone)
-                n_spans.append(parts)
-                kept.append(rest)
-                sha.append(hashlib.sha256(rest).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary()), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+            raws = [(t or "").encode() for t in b.column(1).to_pylist()]
+            cut = [cut_spans(raw, s, length) for raw, s in zip(raws, b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, raws), pa.int64()), pa.array([c[1] for c in cut], pa.int64()), pa.array([c[2] for c in cut], pa.int64()), pa.array([c[0] for c in cut], pa.binary()), pa.array([hashlib.sha256(c[0]).hexdigest() for c in cut], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
     both = docs.select("doc_id", "text").join(spans, "doc_id", "left").select("doc_id", "text", "spans")
     return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
