@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch. Texts may be long, so batches hold few rows.
@@ -73,5 +76,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     raise RuntimeError("the components did not settle")
 
 
-def sha256_hex(c: Column) -> Column:
-    return F.sha2(c, 256)
+def filtered(docs: DataFrame, start: Callable[[], Callable[[pa.Array], np.ndarray]]) -> DataFrame:
+    """The rows of ``docs``, all their columns, whose texts pass; ``start`` runs once in each task and returns the test."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = start()
+        for b in batches:
+            yield b.filter(pa.array(passes(b.column(at)), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

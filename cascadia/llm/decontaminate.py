@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import small_batches, table
+from .common import filtered, small_batches, table
 
 U64 = np.uint64
 #: Bytes of benchmark text that one broadcast holds; a larger benchmark is searched block by block.
@@ -209,8 +209,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The documents, all their columns, that hold no benchmark window."""
-    hit = contamination(docs, benchmark, window).where("contaminated").select("doc_id")
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    small_batches(docs.sparkSession)
+    for block in _blocks(benchmark):
+        rows = block.collect()  # at most BLOCK bytes of text
+        known = docs.sparkSession.sparkContext.broadcast(Suffixes([r[0] for r in rows], [r[1] for r in rows], window))
+
+        def clean(texts: pa.Array, known=known) -> np.ndarray:
+            ok = np.ones(len(texts), bool)
+            for i, _, buf, off in K.text_chunks(texts):
+                words, row = K.word_hashes(buf, off, K.ALNUM)
+                ok[i + search(words, row, known.value)[0]] = False
+            return ok
+
+        docs = filtered(docs, lambda clean=clean: clean)
+    return docs
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import small_batches, table
+from .common import filtered, small_batches, table
 
 #: Labelled rows to train on at most, those with the smallest hashes of doc_id.
 MOST_LABELS = 20_000
@@ -200,9 +200,13 @@ def quality(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> Data
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> DataFrame:
-    """The documents, all their columns, that the classifier doesn't reject (doc_id is a key)."""
-    bad = quality(docs, labels, most).where("predicted = 0").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """The documents, all their columns, that the classifier doesn't reject; with nothing learned all stay."""
+    small_batches(docs.sparkSession)
+    model = learn_quality(docs, labels, most)
+    if not len(model.feature):
+        return docs
+    known = docs.sparkSession.sparkContext.broadcast(model)
+    return filtered(docs, lambda: lambda texts: known.value.score(statistics(texts)) >= GOOD)
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
