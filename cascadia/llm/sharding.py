@@ -46,7 +46,7 @@ class ShardTable:
         """The manifest's runs: run, path, first (order of arrival), level (merges so far), rows, bytes of text."""
         found = self.versions()
         if not found:
-            return self.spark.createDataFrame([], RUN)
+            return self.spark.createDataFrame([], RUN)  # nothing was committed yet
         return self.spark.read.schema(RUN).json(f"{self.root}/manifest/v{found[-1] if version is None else version:08d}.json")
 
     def _commit(self, base: int, runs: list[dict]) -> int:
@@ -66,13 +66,13 @@ class ShardTable:
     def append(self, docs: DataFrame, arrival: str) -> int:
         """Append each value of the integer column ``arrival`` as a run of its own, all in one version."""
         base = (self.versions() or [0])[-1]
+        if docs.isEmpty():
+            return self._commit(base, [r.asDict() for r in self.runs().collect()])
         name = uuid.uuid4().hex
         path = f"{self.root}/runs/{name}"
         docs.write.partitionBy(arrival).option("compression", "zstd").parquet(path)
         old = [r.asDict() for r in self.runs().collect()]
         after = max((r["first"] for r in old), default=-1) + 1
-        if not self.spark.read.parquet(path).schema.fieldNames().count(arrival):
-            return self._commit(base, old)  # nothing arrived
         sizes = self.spark.read.parquet(path).groupBy(arrival).agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).orderBy(arrival).collect()
         new = [{"run": f"{name}-{i}", "path": f"{path}/{arrival}={r[0]}", "first": after + i, "level": 0, "rows": r["rows"], "bytes": r["bytes"]} for i, r in enumerate(sizes)]
         return self._commit(base, old + new)
@@ -104,12 +104,12 @@ class ShardTable:
                 for path in gone:
                     self._fs.delete(self._path(path), True)
 
-    def read(self) -> DataFrame:
-        """All documents, with their run's first, level, rows and bytes."""
+    def read(self, like: DataFrame) -> DataFrame:
+        """All documents, with their run's first, level, rows and bytes; with no runs an empty table ``like`` that one."""
         runs = self.runs()
         paths = [r["path"] for r in runs.select("path").collect()]
         if not paths:
-            raise ValueError("the table has no runs")
+            return like.where("false").selectExpr("*", "0L as run_first", "0 as run_level", "0L as run_rows", "0L as run_bytes")
         at = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
         # Paths differ in their scheme's slashes; what follows runs/ names the run.
         key = lambda c: F.regexp_extract(c, "/runs/(.*)$", 1)
@@ -134,7 +134,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = f"{shared_dir(spark)}/shards/{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     shards = shard_documents(docs, root)
-    return shards.read().select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "run_first", "run_level", "run_rows", "run_bytes")
+    return shards.read(docs).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "run_first", "run_level", "run_rows", "run_bytes")
 
 
 _TIER = " + ".join(f"(bytes >= {TIER * FAN**i})::INT" for i in range(TIERS))
