@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.binning import bin_index, outside
+from ..operators import clusters as K
 from ..operators import dispatch as D
 from ..operators import grid as G
 from ..operators import mitigation as M
@@ -43,6 +44,7 @@ def _with(names: str, ctes: str, body: str) -> str:
     return P.with_sql(names, "")[:-1] + (", " + ctes if ctes else "") + "\nSELECT " + body
 
 
+_keep = lambda df: df.checkpoint()
 _C = lambda s, d: S.observables(P.split_components(s, d))
 _S = lambda s, d: S.split_properties(_C(s, d))
 _G, _L, _K, _I = P.generation, P.loads, P.links, P.injections
@@ -186,6 +188,13 @@ _query("centroids", lambda s, d: V.centroids(_T(s, d), "label", "v", "w"), _t("l
 _query("cluster_stats", lambda s, d: V.cluster_stats(_T(s, d), "label", F.abs(F.element_at("embedding", 1)).cast("double"), "w"), _t("label, sum(abs(embedding[1])::DOUBLE*w) AS value, sum(w)::BIGINT AS weight, count(*) AS n, sum(abs(embedding[1])::DOUBLE*w)/sum(sum(abs(embedding[1])::DOUBLE*w)) OVER () AS share FROM tern GROUP BY 1"), 7, "value share")
 _query("boundary_field", lambda s, d: V.boundary(_T(s, d), "vec_id", "v", P.edges(s, d)).select("key", "boundary", F.aggregate("field", F.lit(0.0), lambda a, x: a + x).alias("total")))
 
+_ham = lambda s, d: V.blocked_pairs(_T(s, d), "vec_id", "v", None, V.hamming)
+_query("dbscan", lambda s, d: K.dbscan(_ham(_ready(s), d), _T(s, d).select(F.col("vec_id").alias("key")), 0.25, 4, _keep))
+_query("agglomerative", lambda s, d: K.agglomerative(_ham(s, d).join(_T(s, d).select(F.col("vec_id").alias("i"), F.col("label").alias("li")), "i").join(_T(s, d).select(F.col("vec_id").alias("j"), F.col("label").alias("lj")), "j").where("li = lj").withColumn("label", F.col("li").cast("long")), "label", [2, 4]))
+_query("pca_profiles", lambda s, d: K.principal_components(_I(s, d), "snapshot", "node_idx", "p0", 3), digits=2)
+_query("ac_flow", lambda s, d: K.ac_flows(P.edges(s, d), _I(s, d), 1e8))
+
+
 # Mitigation.
 def _gains(s: SparkSession, d: str) -> DataFrame:
     return _S(s, d).groupBy(F.datediff("time_stamp", F.lit("1995-01-01")).cast("int").alias("step")).agg(F.sum("lost_load_share_blackout").alias("gain"))
@@ -199,7 +208,6 @@ _query("gss_curve", lambda s, d: M.severe_curve(_S(s, d).withColumn("lost_load_s
 _query("greedy_inertia_step", lambda s, d: M.inertia_scores(_C(s, d), 5000.0), _x("node_idx, sum(load_share*trigger_weighting*snapshot_weighting) AS gain, count(*) AS n FROM obs WHERE abs(50e0*power_imbalance/(2*rot_energy)) > 1 AND abs(50e0*power_imbalance/(2*(rot_energy + 5000))) < 1 GROUP BY 1"), 5, "gain")
 _cost = lambda s, d: P.edges(s, d).select(F.col("edge_idx").alias("edge"), (M.LINE_COST * (1 + F.col("edge_idx") % 7)).alias("cost"))
 _query("line_ext_score", lambda s, d: M.extension_scores(_S(s, d), _cost(s, d)), _x("edge, sum(score)/(4.5e6*(1 + edge % 7)) AS score FROM (SELECT init_failure_0 AS edge, sum(lost_load_share_blackout)*sum(total_weighting) AS score FROM spl GROUP BY 1 UNION ALL SELECT init_failure_1, sum(lost_load_share_blackout)*sum(total_weighting) FROM spl GROUP BY 1) GROUP BY 1"), 7, "score")
-_keep = lambda df: df.checkpoint()
 _query("greedy_inertia", lambda s, d: M.greedy_inertia(_C(_ready(s), d), 5000.0, 5, _keep))
 _query("greedy_line_extension", lambda s, d: M.greedy_extension(_S(_ready(s), d), _cost(s, d), 5, _keep))
 

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from cascadia.functions.binning import bin_index, clip_to
-from cascadia.operators import grid, mitigation, splits, vectors
+from cascadia.operators import clusters, grid, mitigation, splits, vectors
 from cascadia.sources import artifacts
 from pyspark.sql import functions as F
 
@@ -88,3 +88,38 @@ def test_artifacts(spark, tmp_path):
     assert len(calls) == 1 and out.count() == 2
     with pytest.raises(KeyError):
         artifacts.require(df, ["y"])
+
+
+def test_density_clusters(spark, tmp_path):
+    x = {1: 0.0, 2: 0.1, 3: 0.2, 4: 0.35, 5: 5.0, 6: 5.1, 7: 9.0}
+    pairs = spark.createDataFrame([(i, j, abs(x[i] - x[j])) for i in x for j in x if i < j], "i long, j long, d double")
+    keys = spark.createDataFrame([(i,) for i in x], "key long")
+    got = {r.key: (r.cluster, r.core) for r in clusters.dbscan(pairs, keys, 0.16, 3, lambda d: d.checkpoint()).collect()}
+    assert got == {1: (2, False), 2: (2, True), 3: (2, True), 4: (2, False), 5: (-1, False), 6: (-1, False), 7: (-1, False)}
+
+
+def test_agglomerate():
+    x = np.array([0.0, 0.1, 1.0, 1.1, 9.0])
+    d = np.abs(x[:, None] - x)
+    assert clusters.agglomerate(d, 3).tolist() == [0, 0, 1, 1, 2]
+    assert clusters.agglomerate(d, 2, "complete").tolist() == [0, 0, 0, 0, 1]
+
+
+def test_principal_components(spark):
+    rng = np.random.default_rng(0)
+    m = rng.normal(size=(50, 3)) * [5, 2, 0.1]
+    df = spark.createDataFrame([(i, j, float(m[i, j])) for i in range(50) for j in range(3)], "r long, c int, x double")
+    got = clusters.principal_components(df, "r", "c", "x", 2).toPandas().sort_values(["component", "r"])
+    c = m - m.mean(0)
+    w, v = np.linalg.eigh(c.T @ c)
+    first = c @ v[:, -1]
+    assert np.allclose(np.abs(got[got.component == 0].score), np.abs(first)) and np.isclose(got[got.component == 1].explained.iloc[0], w[1:].sum() / w.sum())
+
+
+def test_ac_flow_meets_its_injections():
+    y = np.array([[1 - 10j, -1 + 10j, 0], [-1 + 10j, 2 - 20j, -1 + 10j], [0, -1 + 10j, 1 - 10j]])
+    p, q = np.array([0.0, -0.5, 0.3]), np.array([0.0, -0.1, 0.0])
+    m, a, ok = clusters.ac_flow(y, p, q, np.array([0, 2, 1]), np.zeros(3))
+    v = m * np.exp(1j * a)
+    s = v * np.conj(y @ v)
+    assert ok and np.allclose(s.real[1:], p[1:], atol=1e-6) and np.isclose(s.imag[1], q[1], atol=1e-6) and m[2] == 1
