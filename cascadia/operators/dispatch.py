@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SEASON = F.element_at(F.array(*map(F.lit, ("winter", "winter", "spring", "spring", "spring", "summer", "summer", "summer", "autumn", "autumn", "autumn", "winter"))), F.month("snapshot"))
+SEASONS = ("winter", "winter", "spring", "spring", "spring", "summer", "summer", "summer", "autumn", "autumn", "autumn", "winter")
+
+
+def season(time: str = "snapshot") -> Column:
+    return F.element_at(F.array(*map(F.lit, SEASONS)), F.month(time))
 
 
 def families(carrier: Column) -> Column:
@@ -139,7 +143,7 @@ def rolling_mean(g: DataFrame, width: int) -> DataFrame:
 def seasonal_profile(g: DataFrame) -> DataFrame:
     """Mean power by season, hour and carrier of the snapshots' sums."""
     s = g.groupBy("snapshot", "carrier").agg(F.sum(F.col("p") * F.col("sign")).alias("p"))
-    return s.groupBy(SEASON.alias("season"), F.hour("snapshot").alias("hour"), "carrier").agg(F.avg("p").alias("p"))
+    return s.groupBy(season().alias("season"), F.hour("snapshot").alias("hour"), "carrier").agg(F.avg("p").alias("p"))
 
 
 def unit_profile(g: DataFrame, carrier: str) -> DataFrame:
@@ -182,7 +186,7 @@ def nearest_hour(hours: DataFrame, available: list[int]) -> DataFrame:
 
 def stratified(times: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """``n`` weekdays and ``n`` Sundays of each season by hash, all their snapshots."""
-    day = times.select(F.to_date("snapshot").alias("day"), SEASON.alias("season")).distinct()
+    day = times.select(F.to_date("snapshot").alias("day"), season().alias("season")).distinct()
     day = day.withColumn("kind", F.when(F.weekday("day") == 6, "sunday").when(F.weekday("day") < 5, "weekday")).where("kind is not null")
     pick = day.withColumn("r", F.row_number().over(Window.partitionBy("season", "kind").orderBy(F.xxhash64("day", F.lit(seed)), "day"))).where(F.col("r") <= n)
     return times.join(pick.select("day", "season", "kind"), F.to_date(times.snapshot) == F.col("day")).drop("day")
