@@ -166,3 +166,34 @@ def boundary(x: DataFrame, key: str, v: str, edges: DataFrame, alpha: float = 0.
             yield pd.DataFrame({"key": d["key"], "boundary": b.sum(1), "field": list(s)})
 
     return x.select(F.col(key).alias("key"), F.col(v).alias("v")).mapInPandas(run, "key long, boundary double, field array<double>")
+
+
+def homogeneity(x: DataFrame, key: str, v: str, edges: DataFrame, depth: int = 3, decay: float = 1.0, measure: str = "entropy") -> DataFrame:
+    """How alike the classes around each node are: key, homogeneity as an array over nodes.
+
+    A node at d steps weighs by its share of the walks of that length times d**-decay;
+    1 is one class only, 0 an even mix (by entropy, or the Gini index).
+    """
+    if measure not in ("entropy", "gini"):
+        raise ValueError(f"unknown measure {measure}")
+    e = edges.select("u", "v").orderBy("u", "v").toPandas().to_numpy()  # one grid's edges
+    n = int(e.max()) + 1
+    adj = np.zeros((n, n))
+    adj[e[:, 0], e[:, 1]] = adj[e[:, 1], e[:, 0]] = 1
+    weight, power = np.zeros((n, n)), np.eye(n)
+    for d in range(1, depth + 1):
+        power = power @ adj
+        weight += power / np.maximum(power.sum(0, keepdims=True), 1e-12) * d**-decay
+    weight /= np.maximum(weight.sum(0, keepdims=True), 1e-12)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            m = np.stack(b["v"].to_numpy())[:, :n]
+            classes = np.unique(m)
+            p = np.stack([(m == c).astype(float) @ weight for c in classes], 2)
+            k = np.maximum(2, np.array([len(np.unique(row)) for row in m]))[:, None]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                mixed = -np.where(p > 0, p * np.log(p), 0).sum(2) / np.log(k) if measure == "entropy" else (1 - (p**2).sum(2)) / (1 - 1 / k)
+            yield pd.DataFrame({"key": b["key"], "homogeneity": list(1 - mixed)})
+
+    return x.select(F.col(key).alias("key"), F.col(v).alias("v")).mapInPandas(run, "key long, homogeneity array<double>")

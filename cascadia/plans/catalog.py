@@ -191,6 +191,8 @@ _query("boundary_field", lambda s, d: V.boundary(_T(s, d), "vec_id", "v", P.edge
 _ham = lambda s, d: V.blocked_pairs(_T(s, d), "vec_id", "v", None, V.hamming)
 _query("dbscan", lambda s, d: K.dbscan(_ham(_ready(s), d), _T(s, d).select(F.col("vec_id").alias("key")), 0.25, 4, _keep))
 _query("agglomerative", lambda s, d: K.agglomerative(_ham(s, d).join(_T(s, d).select(F.col("vec_id").alias("i"), F.col("label").alias("li")), "i").join(_T(s, d).select(F.col("vec_id").alias("j"), F.col("label").alias("lj")), "j").where("li = lj").withColumn("label", F.col("li").cast("long")), "label", [2, 4]))
+_query("homogeneity", lambda s, d: V.homogeneity(_T(s, d), "vec_id", "v", P.edges(s, d)).select("key", F.aggregate("homogeneity", F.lit(0.0), lambda a, x: a + x).alias("total")))
+_query("communities", lambda s, d: K.communities(P.edges(s, d), G.dc_flows(P.edges(s, d), _I(s, d))))
 _query("pca_profiles", lambda s, d: K.principal_components(_I(s, d), "snapshot", "node_idx", "p0", 3), digits=2)
 _query("ac_flow", lambda s, d: K.ac_flows(P.edges(s, d), _I(s, d), 1e8))
 
