@@ -229,12 +229,13 @@ def _bound(na: np.ndarray, nb: np.ndarray, la: np.ndarray, lb: np.ndarray, perce
 
 
 def bucket_rows(blobs: DataFrame, percent: int) -> DataFrame:
-    """Rows of three kinds from each token range.
+    """Rows of four kinds from each token range.
 
     ``pair``: a and b share c prefix tokens of short lists, ``lev`` of them within
     the prefixes of their smaller l, ``ell``; ``size`` is the least c of a link;
     ``star``: b and the pivot a of a long list; ``post``: a long list's entry
-    (token c, node a, with size, level and l).
+    (token c, node a, with size, level and l); ``seen``: c tokens of node a are in
+    short lists.
     """
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
@@ -281,6 +282,9 @@ def bucket_rows(blobs: DataFrame, percent: int) -> DataFrame:
             p = pd.DataFrame(dict(zip(("a", "b", "low", "need", "bound"), (np.concatenate(x).astype(np.int64) for x in zip(*got, strict=True)), strict=True)))
             p = p.groupby(["a", "b", "need", "bound"], as_index=False).agg(c=("low", "size"), low=("low", "sum"))
             out.append(pd.DataFrame({"kind": "pair", "a": p["a"], "b": p["b"], "c": p["c"], "size": p["bound"], "lev": p["low"], "ell": p["need"]}))
+        if len(short):
+            own, n = np.unique(node[short], return_counts=True)
+            out.append(pd.DataFrame({"kind": "seen", "a": _ids(own), "b": 0, "c": n, "size": 0, "lev": 0, "ell": 0}))
         long = np.flatnonzero(m > SMALL)
         if len(long):
             band = np.floor(np.log(size[long]) / np.log(100 / percent)).astype(np.int64)
@@ -347,7 +351,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     post = rows.where("kind = 'post'").select(F.col("c").alias("token"), F.col("a").alias("node"), "size", "lev", "ell")
 
     # One text for each node that any pair may need.
-    wanted = rows.where("kind <> 'star'").select(F.explode(F.when(F.col("kind") == "pair", F.array("a", "b")).otherwise(F.array("a"))).alias("node")).distinct()
+    wanted = rows.where("kind in ('pair', 'post')").select(F.explode(F.when(F.col("kind") == "pair", F.array("a", "b")).otherwise(F.array("a"))).alias("node")).distinct()
     heads = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     heads = heads.join(wanted, "node")
     texts = docs.select("doc_id", "text").join(heads, "doc_id").groupBy("node").agg(F.first("text").alias("text"))
@@ -358,7 +362,8 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     best = first.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
     links = saved(linked(best, texts, k, percent), "links")
     comp = components(links)
-    post = post.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    seen = rows.where("kind in ('post', 'seen')").groupBy(F.col("a").alias("node")).agg(F.sum(F.when(F.col("kind") == "post", 1).otherwise(F.col("c"))).alias("seen"))
+    post = post.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(seen, "node")
     post = saved(post, "post")
     size_of = post.groupBy("token", "comp").agg(F.count("*").alias("n"))
     main = size_of.groupBy("token").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
@@ -369,6 +374,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     apart &= (F.col("y.comp") == F.col("x.main")) | (F.col("x.node") < F.col("y.node"))
     rest_of = [F.ceil(percent * F.col(f"{i}.size") / 100) - F.col(f"{i}.ell") for i in "xy"]
     bound = F.ceil(percent * (F.col("x.size") + F.col("y.size")) / (100 + percent)) - F.greatest(*rest_of)
+    apart &= F.least("x.seen", "y.seen") >= bound  # no more tokens than these can be shared
     within = ((F.col("x.lev") <= low) & (F.col("y.lev") <= low)).cast("long")
     cross = x.join(y, apart).groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).agg(F.count("*").alias("c"), F.sum(within).alias("low"), F.max(low).alias("need"), F.max(bound).alias("bound"))
     left = pairs.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
