@@ -102,36 +102,36 @@ _query("weekday_profile", lambda s, d: S.calendar_profile(_S(s, d)), _x("(isodow
 # Dispatch.
 CARRIERS = ["click", "error", "purchase", "signup", "view"]
 _g = lambda body, ctes="": _with("gen", ctes, body)
-_query("gen_by_carrier_pivot", lambda s, d: D.pivoted(_G(s, d), CARRIERS), _g("month(snapshot)::INT AS month, " + ", ".join(f"coalesce(sum(p*w*sign) FILTER (carrier = '{c}'), 0) AS \"{c}\"" for c in CARRIERS) + " FROM gen GROUP BY 1"), 3, " ".join(f'"{c}"' for c in CARRIERS))
+_query("gen_by_carrier_pivot", lambda s, d: D.pivoted(_G(s, d), CARRIERS), _g("month(snapshot)::INT AS month, " + ", ".join(f"coalesce(sum(p*w*sign) FILTER (carrier = '{c}'), 0) AS \"{c}\"" for c in CARRIERS) + " FROM gen GROUP BY 1"), 7, " ".join(f'"{c}"' for c in CARRIERS))
 _query("carrier_share_filter", lambda s, d: D.significant(_G(s, d)), _g("carrier, max(share) AS share FROM (SELECT snapshot::DATE AS day, carrier, sum(p)/sum(sum(p)) OVER (PARTITION BY snapshot::DATE) AS share FROM gen GROUP BY 1, 2) GROUP BY 1 HAVING max(share) > 0.01"), 9, "share")
-_query("capacity_by_carrier", lambda s, d: D.capacity(_G(s, d)), _g("CASE WHEN carrier IN ('click', 'view') THEN 'browse' WHEN carrier = 'purchase' THEN 'trade' WHEN carrier = 'signup' THEN 'account' ELSE carrier END AS family, sum(p_nom*sign) AS capacity, count(*) AS units FROM (SELECT DISTINCT bus, carrier, p_nom, sign FROM gen) GROUP BY 1"), 4, "capacity")
-_query("country_mean_gen", lambda s, d: D.by_country(_G(s, d), P.read(s, d, "nation")), _g("coalesce(upper(substr(n_name, 1, 2)), 'UNK') AS country, sum(p) AS p FROM (SELECT bus, carrier, sum(p*w)/sum(w) AS p FROM gen GROUP BY 1, 2) LEFT JOIN nation ON n_nationkey = bus GROUP BY 1"), 5, "p")
+_query("capacity_by_carrier", lambda s, d: D.capacity(_G(s, d)), _g("CASE WHEN carrier IN ('click', 'view') THEN 'browse' WHEN carrier = 'purchase' THEN 'trade' WHEN carrier = 'signup' THEN 'account' ELSE carrier END AS family, sum(p_nom*sign) AS capacity, count(*) AS units FROM (SELECT DISTINCT bus, carrier, p_nom, sign FROM gen) GROUP BY 1"), 7, "capacity")
+_query("country_mean_gen", lambda s, d: D.by_country(_G(s, d), P.read(s, d, "nation")), _g("coalesce(upper(substr(n_name, 1, 2)), 'UNK') AS country, sum(p) AS p FROM (SELECT bus, carrier, sum(p*w)/sum(w) AS p FROM gen GROUP BY 1, 2) LEFT JOIN nation ON n_nationkey = bus GROUP BY 1"), 9, "p")
 _BAL = "bal AS (SELECT month, bus, sum(x) AS balance FROM (SELECT month(snapshot)::INT AS month, bus, -p*sign AS x FROM gen UNION ALL SELECT month(snapshot)::INT, bus, p FROM loads UNION ALL SELECT 1, bus0, p0 FROM links UNION ALL SELECT 1, bus1, p1 FROM links) GROUP BY 1, 2)"
 _balance = lambda s, d: D.nodal_balance(_G(s, d), _L(s, d), _K(s, d))
-_query("nodal_balance", _balance, _with("gen loads links", _BAL, "* FROM bal"), 2, "balance")
-_query("nodal_mean", lambda s, d: D.nodal_mean(_balance(s, d)), _with("gen loads links", _BAL, "bus, avg(balance) AS mean, avg(balance*CASE WHEN month <= 2 THEN 1e0 ELSE 3e0 END) AS mean_weighted FROM bal GROUP BY 1"), 1, "mean mean_weighted")
+_query("nodal_balance", _balance, _with("gen loads links", _BAL, "* FROM bal"), 5, "balance")
+_query("nodal_mean", lambda s, d: D.nodal_mean(_balance(s, d)), _with("gen loads links", _BAL, "bus, avg(balance) AS mean, avg(balance*CASE WHEN month <= 2 THEN 1e0 ELSE 3e0 END) AS mean_weighted FROM bal GROUP BY 1"), 4, "mean mean_weighted")
 _DIP = "dip AS (SELECT snapshot, sum((node_idx % 5 - 2e0)*p0) AS dipole_x, sum((floor(node_idx/5e0) - 2e0)*p0) AS dipole_y, sum(p0) AS mismatch FROM inj GROUP BY 1)"
-_query("injection", _I, _with("inj", "", "snapshot, node_idx, p0 FROM inj"), 2, "p0")
-_query("dipole", lambda s, d: D.dipole(_I(s, d)).withColumn("mismatch", F.abs(F.round("mismatch", 2))), _with("inj", _DIP, "snapshot, dipole_x, dipole_y, abs(round(mismatch, 2)) AS mismatch FROM dip"), 2, "dipole_x dipole_y mismatch")
-_query("monthly_dipole", lambda s, d: D.monthly_dipole(D.dipole(_I(s, d))), _with("inj", _DIP, "month(snapshot)::INT AS month, sum(dipole_x*(year(snapshot)-1994))/sum(year(snapshot)-1994) AS dipole_x, sum(dipole_y*(year(snapshot)-1994))/sum(year(snapshot)-1994) AS dipole_y FROM dip GROUP BY 1"), 2, "dipole_x dipole_y")
-_query("emissions", lambda s, d: D.emissions(_G(s, d), {"click": 0.2, "view": 0.34}), _g("day, e AS emissions, e/(1e6 + 1e-10) AS level FROM (SELECT snapshot::DATE AS day, sum(p*w/0.4e0*CASE carrier WHEN 'click' THEN 0.2e0 WHEN 'view' THEN 0.34e0 ELSE 0e0 END) AS e FROM gen GROUP BY 1)"), 6, "emissions level")
-_query("costs", lambda s, d: D.costs(_G(s, d), {"click": 12.0, "purchase": 45.0}), _g("carrier, opex, capex FROM (SELECT carrier, sum(p*CASE carrier WHEN 'click' THEN 12e0 WHEN 'purchase' THEN 45e0 ELSE 0e0 END) AS opex FROM gen GROUP BY 1) JOIN (SELECT carrier, sum(p_nom)*90e0 AS capex FROM (SELECT DISTINCT bus, carrier, p_nom FROM gen) GROUP BY 1) USING (carrier)"), 3, "opex capex")
+_query("injection", _I, _with("inj", "", "snapshot, node_idx, p0 FROM inj"), 5, "p0")
+_query("dipole", lambda s, d: D.dipole(_I(s, d)).withColumn("mismatch", F.abs(F.round("mismatch", 2))), _with("inj", _DIP, "snapshot, dipole_x, dipole_y, abs(round(mismatch, 2)) AS mismatch FROM dip"), 5, "dipole_x dipole_y mismatch")
+_query("monthly_dipole", lambda s, d: D.monthly_dipole(D.dipole(_I(s, d))), _with("inj", _DIP, "month(snapshot)::INT AS month, sum(dipole_x*(year(snapshot)-1994))/sum(year(snapshot)-1994) AS dipole_x, sum(dipole_y*(year(snapshot)-1994))/sum(year(snapshot)-1994) AS dipole_y FROM dip GROUP BY 1"), 5, "dipole_x dipole_y")
+_query("emissions", lambda s, d: D.emissions(_G(s, d), {"click": 0.2, "view": 0.34}), _g("day, e AS emissions, e/(1e6 + 1e-10) AS level FROM (SELECT snapshot::DATE AS day, sum(p*w/0.4e0*CASE carrier WHEN 'click' THEN 0.2e0 WHEN 'view' THEN 0.34e0 ELSE 0e0 END) AS e FROM gen GROUP BY 1)"), 8, "emissions level")
+_query("costs", lambda s, d: D.costs(_G(s, d), {"click": 12.0, "purchase": 45.0}), _g("carrier, opex, capex FROM (SELECT carrier, sum(p*CASE carrier WHEN 'click' THEN 12e0 WHEN 'purchase' THEN 45e0 ELSE 0e0 END) AS opex FROM gen GROUP BY 1) JOIN (SELECT carrier, sum(p_nom)*90e0 AS capex FROM (SELECT DISTINCT bus, carrier, p_nom FROM gen) GROUP BY 1) USING (carrier)"), 7, "opex capex")
 _query("special_carriers", lambda s, d: D.special_carriers(_G(s, d), ["error", "load_shed"]), _g("c.carrier, coalesce(energy, 0) AS energy, coalesce(energy, 0)/all_e AS energy_share, coalesce(snapshots, 0) AS snapshots, coalesce(snapshots, 0)/all_n::DOUBLE AS snapshot_share FROM (VALUES ('error'), ('load_shed')) c(carrier) LEFT JOIN (SELECT carrier, sum(e) AS energy, count(*) FILTER (abs(e) > 1e-6) AS snapshots FROM (SELECT carrier, snapshot, sum(p*w) AS e FROM gen GROUP BY 1, 2) GROUP BY 1) x ON x.carrier = c.carrier, (SELECT sum(p*w) AS all_e, count(DISTINCT snapshot) AS all_n FROM gen)"), 6, "energy energy_share snapshot_share")
 _IN = "ine AS (SELECT snapshot, carrier, sum(CASE WHEN p > 0.05*p_nom THEN p_nom*CASE carrier WHEN 'click' THEN 5.9e0 WHEN 'view' THEN 4.2e0 WHEN 'purchase' THEN 3.7e0 ELSE 0e0 END ELSE 0e0 END) AS energy FROM gen GROUP BY 1, 2)"
 _inertia = lambda s, d: D.inertia(_G(s, d), P.INERTIA)
-_query("inertia_by_carrier", _inertia, _g("* FROM ine", _IN), 4, "energy")
-_query("mean_inertia", lambda s, d: D.mean_inertia(_inertia(s, d)), _g("carrier, sum(energy)/(SELECT count(DISTINCT snapshot) FROM ine) AS mean_energy FROM ine GROUP BY 1", _IN), 4, "mean_energy")
+_query("inertia_by_carrier", _inertia, _g("* FROM ine", _IN), 8, "energy")
+_query("mean_inertia", lambda s, d: D.mean_inertia(_inertia(s, d)), _g("carrier, sum(energy)/(SELECT count(DISTINCT snapshot) FROM ine) AS mean_energy FROM ine GROUP BY 1", _IN), 8, "mean_energy")
 _query("inertia_minmax", lambda s, d: D.extreme_inertia(_inertia(s, d)), _g("min(energy) AS low, arg_min(snapshot, (energy, snapshot)) AS low_at, max(energy) AS high, arg_min(snapshot, (-energy, snapshot)) AS high_at FROM (SELECT snapshot, round(sum(energy), 4) AS energy FROM ine GROUP BY 1)", _IN), 4, "low high")
 _query("inertia_by_country", lambda s, d: P.split_components(s, d).join(P.read(s, d, "nation"), F.col("n_nationkey") == F.col("node_idx")).groupBy(F.substring("n_name", 1, 2).alias("country")).agg(F.sum("rot_energy_gen").alias("energy")), _with("comp", "", "substr(n_name, 1, 2) AS country, sum(rot_energy_gen) AS energy FROM comp JOIN nation ON n_nationkey = node_idx GROUP BY 1"), 3, "energy")
 _query("flow_distance", lambda s, d: D.flow_distance(_K(s, d)), _with("links", "", "bus0, sum(abs(p0)*d) AS flow_distance, sum(abs(p0)*d)/sum(abs(p0)) AS mean_distance FROM (SELECT *, sqrt(power(bus0 % 5 - bus1 % 5, 2) + power(floor(bus0/5e0) - floor(bus1/5e0), 2)) AS d FROM links) GROUP BY 1"), 2, "flow_distance mean_distance")
-_query("mean_nodal_load", lambda s, d: D.mean_nodal_load(_L(s, d)), _with("loads", "", "bus, sum(p*month(snapshot))/sum(month(snapshot)) AS load FROM loads GROUP BY 1"), 3, "load")
+_query("mean_nodal_load", lambda s, d: D.mean_nodal_load(_L(s, d)), _with("loads", "", "bus, sum(p*month(snapshot))/sum(month(snapshot)) AS load FROM loads GROUP BY 1"), 5, "load")
 _query("ramps", lambda s, d: D.ramps(_G(s, d)), _g("* FROM (SELECT snapshot, (p - lag(p) OVER (ORDER BY snapshot))/1000 AS ramp FROM (SELECT snapshot, sum(p) AS p FROM gen GROUP BY 1)) WHERE ramp IS NOT NULL"), 7, "ramp")
-_query("rolling_profile", lambda s, d: D.rolling_mean(_G(s, d), 4), _g("carrier, snapshot, avg(p) OVER (PARTITION BY carrier ORDER BY snapshot ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS mean FROM (SELECT carrier, snapshot, sum(p) AS p FROM gen GROUP BY 1, 2)"), 5, "mean")
+_query("rolling_profile", lambda s, d: D.rolling_mean(_G(s, d), 4), _g("carrier, snapshot, avg(p) OVER (PARTITION BY carrier ORDER BY snapshot ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS mean FROM (SELECT carrier, snapshot, sum(p) AS p FROM gen GROUP BY 1, 2)"), 9, "mean")
 _SEA = "CASE WHEN month(snapshot) IN (12, 1, 2) THEN 'winter' WHEN month(snapshot) < 6 THEN 'spring' WHEN month(snapshot) < 9 THEN 'summer' ELSE 'autumn' END"
-_query("seasonal_profile", lambda s, d: D.seasonal_profile(_G(s, d)), _g(f"{_SEA} AS season, hour(snapshot)::INT AS hour, carrier, avg(p) AS p FROM (SELECT snapshot, carrier, sum(p*sign) AS p FROM gen GROUP BY 1, 2) GROUP BY 1, 2, 3"), 5, "p")
-_query("monthly_unit_profile", lambda s, d: D.unit_profile(_G(s, d), "view"), _g("month(snapshot)::INT AS month, hour(snapshot)::INT AS hour, avg(p) AS p FROM (SELECT snapshot, sum(p) AS p FROM gen WHERE carrier = 'view' GROUP BY 1) GROUP BY 1, 2"), 5, "p")
+_query("seasonal_profile", lambda s, d: D.seasonal_profile(_G(s, d)), _g(f"{_SEA} AS season, hour(snapshot)::INT AS hour, carrier, avg(p) AS p FROM (SELECT snapshot, carrier, sum(p*sign) AS p FROM gen GROUP BY 1, 2) GROUP BY 1, 2, 3"), 9, "p")
+_query("monthly_unit_profile", lambda s, d: D.unit_profile(_G(s, d), "view"), _g("month(snapshot)::INT AS month, hour(snapshot)::INT AS hour, avg(p) AS p FROM (SELECT snapshot, sum(p) AS p FROM gen WHERE carrier = 'view' GROUP BY 1) GROUP BY 1, 2"), 9, "p")
 _query("low_quantile_mask", lambda s, d: D.low_quantile(_G(s, d)), _g("snapshot, p FROM (SELECT snapshot, round(sum(p), 6) AS p FROM gen GROUP BY 1) x, (SELECT quantile_cont(p, 0.1) AS cut FROM (SELECT snapshot, round(sum(p), 6) AS p FROM gen GROUP BY 1)) WHERE p <= cut"), 6, "p")
-_query("loading_summary", lambda s, d: D.loading_summary(P.loadings(s, d)), _with("loading", "", "line, avg(dc) AS mean_dc, max(dc) AS max_dc, avg(ac) AS mean_ac, max(ac) AS max_ac, count(*) FILTER (ac > 1) AS n_over, max(abs(ac - dc)) AS max_diff FROM loading GROUP BY 1"), 8, "mean_dc max_dc mean_ac max_ac max_diff")
+_query("loading_summary", lambda s, d: D.loading_summary(P.loadings(s, d)), _with("loading", "", "line, avg(dc) AS mean_dc, max(dc) AS max_dc, avg(ac) AS mean_ac, max(ac) AS max_ac, count(*) FILTER (ac > 1) AS n_over, max(abs(ac - dc)) AS max_diff FROM loading GROUP BY 1"), 12, "mean_dc max_dc mean_ac max_ac max_diff")
 _query("q_spread", lambda s, d: D.loading_spread(P.loadings(s, d)), _with("loading", "", "snapshot, line, max(ac/dc) - min(ac/dc) AS spread, avg((ac - dc)/dc) AS relative FROM loading WHERE dc > 0.5 GROUP BY 1, 2"), 8, "spread relative")
 _query("asof_range", lambda s, d: D.snapped_range(_G(s, d), "2024-01-05 01:10:00", "2024-01-06 02:00:00").groupBy("snapshot").agg(F.count("*").alias("n")), _g("snapshot, count(*) AS n FROM gen WHERE snapshot BETWEEN (SELECT coalesce(max(snapshot) FILTER (snapshot <= TIMESTAMP '2024-01-05 01:10:00'), min(snapshot)) FROM gen) AND (SELECT coalesce(min(snapshot) FILTER (snapshot >= TIMESTAMP '2024-01-06 02:00:00'), max(snapshot)) FROM gen) GROUP BY 1"))
 _query("hour_snap", lambda s, d: D.nearest_hour(P.read(s, d, "events").groupBy(F.hour("ts").alias("hour")).agg(F.count("*").alias("n")), [0, 6, 12, 18]), "\nSELECT hour(ts)::INT AS hour, count(*) AS n, CASE WHEN hour(ts) <= 3 OR hour(ts) >= 21 THEN 0 WHEN hour(ts) <= 9 THEN 6 WHEN hour(ts) <= 15 THEN 12 ELSE 18 END::INT AS nearest FROM events GROUP BY 1, 3")
