@@ -394,9 +394,12 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
-    """The documents, all their columns, with the smallest doc_id of their component (doc_id is a key)."""
+    """The documents, all their columns, with the smallest doc_id of their component.
+
+    doc_id is a key; rows where it is null can't be told apart, so they all stay.
+    """
     heads = jaccard_join(docs, k, percent).where("doc_id = component_id").select("doc_id")
-    return docs.join(heads, "doc_id", "left_semi").select(docs.columns)
+    return docs.join(heads, "doc_id", "left_semi").select(docs.columns).union(docs.where("doc_id is null"))
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

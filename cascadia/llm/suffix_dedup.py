@@ -310,8 +310,12 @@ def index_marks(rows: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
-    """(doc_id, spans): for documents that repeat earlier strings, the starts of those strings as runs [lo, hi)."""
+    """(doc_id, spans): for documents that repeat earlier strings, the starts of those strings as runs [lo, hi).
+
+    A row without a doc_id has no place in the order: it repeats nothing, and nothing repeats it.
+    """
     spark = docs.sparkSession
+    docs = docs.where("doc_id is not null")
     small_batches(spark)
     n = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(20, max(4, int(np.ceil(np.log2(max(1, n / (24 << 20)))))))
@@ -339,7 +343,8 @@ def cut_spans(raw: bytes, starts: list | None, length: int) -> tuple[bytes, int,
 def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """``docs`` with what ``suffix_dedup`` keeps of each text, and n_chars, if it is there, set to its length.
 
-    A character that is cut through goes. All rows stay, also those with nothing left.
+    A character that is cut through goes. All rows stay, also those with nothing left;
+    rows with a null doc_id stay as they are.
     """
     spans = repeated_spans(docs, length)
     names, kind = docs.columns, docs.schema
@@ -366,7 +371,8 @@ def suffix_dedup(docs: DataFrame, length: int = 100) -> DataFrame:
     row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans (maximal removed
     runs), kept (binary, the remaining bytes) and kept_sha256 (lowercase hex).
 
-    doc_id is a unique key. A null text is empty; texts shorter than ``length``
+    doc_id is a unique key; rows where it is null have no place in the order, so they
+    keep all bytes and others keep theirs beside them. A null text is empty; texts shorter than ``length``
     keep all bytes; texts are taken whole; an empty table gives no rows; other
     columns are ignored.
     """

@@ -146,6 +146,23 @@ def test_suffix_dedup_of_long_and_cut_texts(spark):
     assert left[2] == "é" + base[600_000:600_099] and left[3] == ""
 
 
+def test_rows_without_an_id(spark):
+    """They stay as they are, and documents in one batch with them lose their repeats all the same."""
+    a, b = "".join(chr(97 + i * i % 23) for i in range(150)), " ".join(f"word{i}" for i in range(40))
+    rows = [(None, b), (1, a + "!"), (2, "?" + a), (3, b), (None, a), (4, b), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = suffix_dedup.suffix_dedup(df).collect()
+    want = brute_spans({i: t for i, t in rows if i is not None})
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got if r.doc_id is not None} == want
+    lone = sorted(t or "" for i, t in rows if i is None)
+    assert sorted(bytes(r.kept).decode() for r in got if r.doc_id is None) == lone
+    left = suffix_dedup.remove_repeats(df).collect()
+    assert sorted(r.text or "" for r in left if r.doc_id is None) == lone and len(left) == len(rows)
+    kept = jaccard_join.keep_first(df).collect()
+    assert sorted(r.text or "" for r in kept if r.doc_id is None) == lone
+    assert {r.doc_id for r in kept} == {1, 2, 3, None}
+
+
 def test_run_index():
     text = b"banana_bandana_banana"
     left = len(text) - np.arange(len(text))
