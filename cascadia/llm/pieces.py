@@ -1,7 +1,10 @@
 """Encoding and decoding with a vocabulary of scored pieces.
 
 The best segmentation under a unigram model, the one with the greatest sum of
-piece scores, is found by Viterbi over a double-array trie. No piece has a
+piece scores, is found by Viterbi over a double-array trie. Scores are log
+probabilities, estimated from the documents themselves by rounds of expectation
+and maximisation over their distinct words; the vocabulary file gives the pieces
+only, since the scores of a merge model are ranks. No piece has a
 whitespace marker behind another character, so the text falls apart into runs of
 markers with the word behind them, which are segmented independently and
 remembered by each task; many words advance through the trie in step.
@@ -13,14 +16,17 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import saved, small_batches, table
 
 MARK = "▁"
 #: A vocabulary file; any SentencePiece model with byte pieces will do.
@@ -28,6 +34,11 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words that a task remembers before it starts anew.
 MOST_WORDS = 1 << 19
 UNKNOWN = 10.0
+#: Rounds of estimation at most, and the relative gain in likelihood below which they end.
+MOST_ROUNDS = 12
+LEAST_GAIN = 1e-3
+#: Expected counts are summed as integers of this part, so that no order of tasks changes them.
+QUANTUM = 2.0**-20
 
 
 @dataclass
@@ -182,17 +193,21 @@ class Encoder:
         row = found[0][by]
         return found[2][by].astype(np.int32), np.searchsorted(row, np.arange(len(words) + 1))
 
-    def _batch(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word, first byte, piece) for each piece of each word; byte pieces stand at their own bytes."""
-        trie, scores = self.v.trie, self.v.scores
-        n, size = len(words), np.array([len(w) for w in words])
-        width = int(size.max())
-        text = np.zeros((n, width + 1), np.int64)
+    def _padded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        size = np.array([len(w) for w in words])
+        text = np.zeros((len(words), int(size.max()) + 1), np.int64)
         for i, w in enumerate(words):
             text[i, : len(w)] = np.frombuffer(w, np.uint8)
-        best = np.full((n, width + 1), -np.inf)
-        best[:, 0] = 0
-        start, piece = np.zeros((n, width + 1), np.int64), np.full((n, width + 1), -1)
+        return text, size
+
+    def _edges(self, text: np.ndarray, size: np.ndarray, best: np.ndarray) -> Iterator[tuple[int, np.ndarray, int | np.ndarray, np.ndarray | None]]:
+        """(first byte, words, end, pieces) of all pieces, by first byte; ends and None for characters without a piece.
+
+        Only words whose ``best`` at the first byte is finite by then are asked;
+        each word stands once in one step.
+        """
+        trie = self.v.trie
+        n, width = len(text), text.shape[1] - 1
         literal = text[:, 0] * 65536 + text[:, min(1, width)] * 256 + text[:, min(2, width)] == int.from_bytes(MARK.encode(), "big")
         for i in range(width):
             row = np.flatnonzero((size > i) & (best[:, i] > -np.inf))
@@ -212,18 +227,63 @@ class Encoder:
                     break
                 v = trie.value[state]
                 has = v >= 0
-                rr, vv = r[has], v[has]
+                rr = r[has]
                 single[rr[length[rr] == d + 1 - i]] = True
-                score = best[rr, i] + scores[vv]
-                win = score > best[rr, d + 1]
-                rr, vv = rr[win], vv[win]
-                best[rr, d + 1], start[rr, d + 1], piece[rr, d + 1] = score[win], i, vv
+                if len(rr):
+                    yield i, rr, d + 1, v[has]
             lost = ~single[row]
-            r, e = row[lost], np.minimum(i + step[lost], size[row[lost]])
-            score = best[r, i] + self.unknown
+            if lost.any():
+                yield i, row[lost], np.minimum(i + step[lost], size[row[lost]]), None
+
+    def expected(self, words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, int]:
+        """Expected counts of all pieces over all segmentations of words that occur ``counts`` times, and their log likelihood.
+
+        Both are sums of whole quanta.
+        """
+        out, likely = np.zeros(len(self.v.pieces), np.int64), 0
+        order = np.argsort([len(w) for w in words], kind="stable")
+        i = 0
+        while i < len(order):
+            j = min(len(order), i + 1 + (1 << 17) // (len(words[order[i]]) + 16))
+            while j > i + 1 and len(words[order[j - 1]]) > 2 * len(words[order[i]]) + 8:
+                j = i + (j - i) // 2
+            likely += self._expected([words[o] for o in order[i:j]], counts[order[i:j]], out)
+            i = j
+        return out, likely
+
+    def _expected(self, words: list[bytes], counts: np.ndarray, out: np.ndarray) -> int:
+        (text, size), scores = self._padded(words), self.v.scores
+        ahead = np.full(text.shape, -np.inf)
+        ahead[:, 0] = 0
+        behind = np.full(text.shape, -np.inf)
+        behind[np.arange(len(words)), size] = 0
+        steps = []
+        for i, r, e, v in self._edges(text, size, ahead):
+            s = scores[v] if v is not None else self.unknown
+            ahead[r, e] = np.logaddexp(ahead[r, e], ahead[r, i] + s)
+            steps.append((i, r, e, v, s))
+        whole = ahead[np.arange(len(words)), size]
+        for i, r, e, v, s in reversed(steps):
+            rest = behind[r, e] + s
+            behind[r, i] = np.logaddexp(behind[r, i], rest)
+            if v is not None:
+                n = np.rint(np.exp(ahead[r, i] + rest - whole[r]) * counts[r] / QUANTUM)
+                np.add.at(out, v, n.astype(np.int64))
+        return sum(int(x) for x in np.rint(whole * counts * 1024))
+
+    def _batch(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, first byte, piece) for each piece of each word; byte pieces stand at their own bytes."""
+        scores = self.v.scores
+        n, (text, size) = len(words), self._padded(words)
+        width = int(size.max())
+        best = np.full((n, width + 1), -np.inf)
+        best[:, 0] = 0
+        start, piece = np.zeros((n, width + 1), np.int64), np.full((n, width + 1), -1)
+        for i, r, e, v in self._edges(text, size, best):
+            score = best[r, i] + (scores[v] if v is not None else self.unknown)
             win = score > best[r, e]
-            r, e = r[win], e[win]
-            best[r, e], start[r, e], piece[r, e] = score[win], i, -1
+            r, e = r[win], e if v is not None else e[win]
+            best[r, e], start[r, e], piece[r, e] = score[win], i, -1 if v is None else v[win]
         rows, starts, pieces = [], [], []
         row, end = np.arange(n), size.copy()
         while len(row):
@@ -252,6 +312,86 @@ class Encoder:
         return out
 
 
+def word_counts(docs: DataFrame, known: Broadcast) -> DataFrame:
+    """(word, n): the distinct words of all texts, as they are segmented, and how often they occur."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = Encoder(known.value).split
+        held: Counter[str] = Counter()
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["word", "n"])
+
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                if t:
+                    before = len(held)
+                    held.update(split(" " + t))
+                    size += len(t) if len(held) > before else 0
+                if len(held) > MOST_WORDS or size > 1 << 26:
+                    yield flush()
+                    held.clear()
+                    size = 0
+        yield flush()
+
+    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def estimated(docs: DataFrame, v: Vocabulary, most_rounds: int = MOST_ROUNDS) -> Vocabulary:
+    """``v`` with unigram log probabilities of its pieces over all texts of ``docs``.
+
+    From equal probabilities, each round takes the expected count of every piece
+    over all segmentations of all words, and its share of their sum as the next
+    probability. Rounds end when the log likelihood gains less than LEAST_GAIN of
+    itself. A piece that is never expected gets the share of one quantum.
+    """
+    spark = docs.sparkSession
+    plain = v.trie.value[v.trie.value >= 0]
+    scores = np.full(len(v.pieces), -np.log(max(1, len(plain))))
+    v, last = replace(v, scores=scores), None
+    words = saved(word_counts(docs, spark.sparkContext.broadcast(v)), "words")
+    for _ in range(most_rounds):
+        known = spark.sparkContext.broadcast(v)
+
+        def run(batches: Iterator[pa.RecordBatch], known: Broadcast = known) -> Iterator[pa.RecordBatch]:
+            coder = Encoder(known.value)
+            total, likely = np.zeros(len(coder.v.pieces), np.int64), 0
+            some, counts, size = [], [], 0
+
+            def take() -> None:
+                nonlocal total, likely, size
+                got, more = coder.expected(some, np.array(counts, np.int64))
+                total, likely, size = total + got, likely + more, 0
+                some.clear()
+                counts.clear()
+
+            for b in batches:
+                for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    some.append(w.encode())
+                    counts.append(n)
+                    size += len(w)
+                if size > 1 << 20:
+                    take()
+            take()
+            (at,) = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(total[at], likely), pa.int64())], names=["piece", "n"])
+
+        # At most one row for each piece comes to the driver.
+        got = words.mapInArrow(run, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
+        likely = int(got.loc[got["piece"] < 0, "n"].sum())
+        got = got[got["piece"] >= 0]
+        if not len(got):
+            break
+        n = np.ones(len(v.pieces), np.int64)
+        n[got["piece"]] = np.maximum(1, got["n"])
+        v = replace(v, scores=np.log(n / int(n[plain].sum())))
+        if last is not None and likely - last < LEAST_GAIN * abs(last):
+            break
+        last = likely
+    return v
+
+
 def encode(docs: DataFrame, path: str = MODEL, most: int = 1 << 20) -> DataFrame:
     """Encode whole texts: doc_id, ids (array of int), n_tokens, n_byte_tokens, ids_sha256 and round_trip.
 
@@ -259,11 +399,12 @@ def encode(docs: DataFrame, path: str = MODEL, most: int = 1 << 20) -> DataFrame
     says that decoding gives the text back. A null or empty text has no pieces;
     a marker character in a text is encoded by its bytes, so that it isn't
     confused with a space; repeated rows are encoded each; other columns are
-    ignored. ``path`` is the vocabulary file, read by the driver.
+    ignored. ``path`` is the vocabulary file, read by the driver; the scores of its
+    pieces are estimated over the texts of ``docs``.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    known = spark.sparkContext.broadcast(Vocabulary.load(path))
+    known = spark.sparkContext.broadcast(estimated(docs, Vocabulary.load(path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Encoder(known.value)

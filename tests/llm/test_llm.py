@@ -256,6 +256,40 @@ def test_pieces_are_the_best_and_come_back():
         assert sum(v.scores[i] for i in own if i not in bytes_) + fallback * e.unknown == pytest.approx(brute_pieces(v, t))
 
 
+def test_expected_counts_against_all_segmentations():
+    base = pieces.Vocabulary.load()
+    at = {p: i for i, p in enumerate(base.pieces) if i not in set(base.byte_ids)}
+    coder = pieces.Encoder(base.__class__(base.pieces, -np.arange(len(base.pieces)) / 5000 - 1, base.byte_ids, base.trie, base.cuts))
+    word = b" there"
+    ways = []
+    for m in range(1 << (len(word) - 1)):
+        ends = [0, *(k + 1 for k in range(len(word) - 1) if m >> k & 1), len(word)]
+        parts = [word[a:b] for a, b in zip(ends, ends[1:])]
+        if all(p in at for p in parts):
+            ways.append(parts)
+    weight = np.exp([sum(coder.v.scores[at[p]] for p in w) for w in ways])
+    want = np.zeros(len(base.pieces))
+    for w, x in zip(ways, weight / weight.sum(), strict=True):
+        for p in w:
+            want[at[p]] += 3 * x
+    got, likely = coder.expected([word], np.array([3]))
+    assert len(ways) > 3 and np.allclose(got * pieces.QUANTUM, want, atol=1e-5)
+    assert likely / 1024 == pytest.approx(3 * np.log(weight.sum()), abs=1e-2)
+
+
+def test_piece_scores_are_log_probabilities(spark):
+    text = "The international community has considered the government responsibility"
+    df = spark.createDataFrame([(i, f"{text} {i}") for i in range(50)] + [(99, None)], "doc_id long, text string").repartition(4)
+    v = pieces.estimated(df, pieces.Vocabulary.load())
+    plain = v.trie.value[v.trie.value >= 0]
+    assert np.exp(v.scores[plain]).sum() == pytest.approx(1) and (v.scores[plain] < 0).all()
+    again = pieces.estimated(df.repartition(2), pieces.Vocabulary.load())
+    assert (again.scores == v.scores).all()
+    row = pieces.encode(df).where("doc_id = 7").first()
+    # Eight words and a number; the ranks of the merge model cut the words into 29 pieces.
+    assert row.round_trip and row.n_tokens <= 12
+
+
 def test_encode_and_decode(docs, spark):
     out = pieces.encode(docs)
     texts = texts_of(docs)
