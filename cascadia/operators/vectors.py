@@ -142,11 +142,19 @@ def cluster_stats(x: DataFrame, label: str, value: Column, w: str) -> DataFrame:
     return g.withColumn("share", F.col("value") / F.sum("value").over(Window.partitionBy()))
 
 
+def _on_grid(v: pd.Series, n: int) -> np.ndarray:
+    """Vectors as a matrix; one that doesn't have a position for each node is refused."""
+    if set(v.map(len)) - {n}:
+        raise ValueError(f"vectors must have {n} positions, one for each node")
+    return np.stack(v.to_numpy()) if len(v) else np.zeros((0, n))
+
+
 def boundary(x: DataFrame, key: str, v: str, edges: DataFrame, alpha: float = 0.5, steps: int = 3, signed: bool = True) -> DataFrame:
     """Boundary of classes on a grid, smoothed by a random walk with restart.
 
-    With ``signed`` two cut edges of opposite orientation at a node cancel. The grid
-    is one small table and goes to every task.
+    Vectors have one position for each node. With ``signed`` two cut edges of
+    opposite orientation at a node cancel. The grid is one small table and goes to
+    every task.
     """
     e = edges.select("u", "v").orderBy("u", "v").toPandas().to_numpy()  # one grid's edges
     n = int(e.max()) + 1
@@ -157,7 +165,7 @@ def boundary(x: DataFrame, key: str, v: str, edges: DataFrame, alpha: float = 0.
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
-            m = np.stack(d["v"].to_numpy())[:, :n].astype(float)
+            m = _on_grid(d["v"], n).astype(float)
             cut = (m @ inc != 0).astype(float)
             b = ((cut @ inc.T != 0) if signed else (cut @ np.abs(inc).T > 0)).astype(float)
             s = b.copy()
@@ -171,6 +179,7 @@ def boundary(x: DataFrame, key: str, v: str, edges: DataFrame, alpha: float = 0.
 def homogeneity(x: DataFrame, key: str, v: str, edges: DataFrame, depth: int = 3, decay: float = 1.0, measure: str = "entropy") -> DataFrame:
     """How alike the classes around each node are: key, homogeneity as an array over nodes.
 
+    Vectors have one position for each node.
     A node at d steps weighs by its share of the walks of that length times d**-decay;
     1 is one class only, 0 an even mix (by entropy, or the Gini index).
     """
@@ -188,7 +197,7 @@ def homogeneity(x: DataFrame, key: str, v: str, edges: DataFrame, depth: int = 3
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            m = np.stack(b["v"].to_numpy())[:, :n]
+            m = _on_grid(b["v"], n)
             classes = np.unique(m)
             p = np.stack([(m == c).astype(float) @ weight for c in classes], 2)
             k = np.maximum(2, np.array([len(np.unique(row)) for row in m]))[:, None]

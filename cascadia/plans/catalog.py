@@ -170,6 +170,7 @@ _query("cascade_n2", lambda s, d: G.cascades(P.edges(s, d), _I(s, d), P.read(s,
 
 # Vectors.
 _T = P.ternary
+_M = lambda s, d: V.membership(P.split_components(s, d), P.NODES)
 _t = lambda body, ctes="": _with("tern", ctes, body)
 _PAIR = "prs AS (SELECT a.vec_id AS i, b.vec_id AS j, a.v AS x, b.v AS y, a.embedding AS ex, b.embedding AS ey FROM tern a JOIN tern b ON a.vec_id < b.vec_id), ham AS (SELECT i, j, list_sum(list_transform(list_zip(x, y), lambda z: (z[1] <> z[2])::INT))/64e0 AS d FROM prs)"
 _query("membership_vector", lambda s, d: V.membership(P.split_components(s, d), P.NODES), _with("comp", "", "split_number, list_transform(range(0, 25), lambda i: list_contains(nodes, i::INT)::INT) AS v FROM (SELECT split_number, list(DISTINCT node_idx) AS nodes FROM comp GROUP BY 1)"))
@@ -186,12 +187,12 @@ _query("bacc_pairs", lambda s, d: V.blocked_pairs(_T(s, d).withColumn("u", F.tra
 _query("silhouette", lambda s, d: V.silhouette(V.blocked_pairs(_T(s, d), "vec_id", "v", None, V.hamming), _T(s, d).select(F.col("vec_id").alias("key"), "label")), _t("vec_id AS i, label, CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a)/greatest(a, b) END AS silhouette FROM (SELECT vec_id, label, min(d) FILTER (label = l) AS a, min(d) FILTER (label <> l) AS b FROM (SELECT t.vec_id, t.label, u.label AS l, avg(d) AS d FROM tern t JOIN (SELECT i, j, d FROM ham UNION ALL SELECT j, i, d FROM ham) p ON p.i = t.vec_id JOIN tern u ON u.vec_id = p.j GROUP BY 1, 2, 3) GROUP BY 1, 2)", _PAIR), 8, "silhouette")
 _query("centroids", lambda s, d: V.centroids(_T(s, d), "label", "v", "w"), _t("label, pos, class, sum(w)/sum(sum(w)) OVER (PARTITION BY label, pos) AS probability FROM (SELECT label, w, generate_subscripts(v, 1)::INT - 1 AS pos, unnest(v)::INT AS class FROM tern) GROUP BY 1, 2, 3"), 9, "probability")
 _query("cluster_stats", lambda s, d: V.cluster_stats(_T(s, d), "label", F.abs(F.element_at("embedding", 1)).cast("double"), "w"), _t("label, sum(abs(embedding[1])::DOUBLE*w) AS value, sum(w)::BIGINT AS weight, count(*) AS n, sum(abs(embedding[1])::DOUBLE*w)/sum(sum(abs(embedding[1])::DOUBLE*w)) OVER () AS share FROM tern GROUP BY 1"), 7, "value share")
-_query("boundary_field", lambda s, d: V.boundary(_T(s, d), "vec_id", "v", P.edges(s, d)).select("key", "boundary", F.aggregate("field", F.lit(0.0), lambda a, x: a + x).alias("total")))
+_query("boundary_field", lambda s, d: V.boundary(_M(s, d), "split_number", "v", P.edges(s, d)).select("key", "boundary", F.aggregate("field", F.lit(0.0), lambda a, x: a + x).alias("total")))
 
 _ham = lambda s, d: V.blocked_pairs(_T(s, d), "vec_id", "v", None, V.hamming)
 _query("dbscan", lambda s, d: K.dbscan(_ham(_ready(s), d), _T(s, d).select(F.col("vec_id").alias("key")), 0.25, 4, _keep))
 _query("agglomerative", lambda s, d: K.agglomerative(_ham(s, d).join(_T(s, d).select(F.col("vec_id").alias("i"), F.col("label").alias("li")), "i").join(_T(s, d).select(F.col("vec_id").alias("j"), F.col("label").alias("lj")), "j").where("li = lj").withColumn("label", F.col("li").cast("long")), "label", [2, 4]))
-_query("homogeneity", lambda s, d: V.homogeneity(_T(s, d), "vec_id", "v", P.edges(s, d)).select("key", F.aggregate("homogeneity", F.lit(0.0), lambda a, x: a + x).alias("total")))
+_query("homogeneity", lambda s, d: V.homogeneity(_M(s, d), "split_number", "v", P.edges(s, d)).select("key", F.aggregate("homogeneity", F.lit(0.0), lambda a, x: a + x).alias("total")))
 _query("communities", lambda s, d: K.communities(P.edges(s, d), G.dc_flows(P.edges(s, d), _I(s, d))))
 _query("pca_profiles", lambda s, d: K.principal_components(_I(s, d), "snapshot", "node_idx", "p0", 3), digits=2)
 _query("ac_flow", lambda s, d: K.ac_flows(P.edges(s, d), _I(s, d), 1e8))

@@ -137,3 +137,11 @@ def test_homogeneity(spark):
     e = spark.createDataFrame([(0, 1), (1, 2), (2, 3)], "u int, v int")
     got = {r.key: r.homogeneity for r in vectors.homogeneity(x, "k", "v", e, depth=2).collect()}
     assert got[1] == [1.0] * 4 and all(0 <= h < 1 for h in got[2])
+
+
+@pytest.mark.parametrize("run", [vectors.boundary, vectors.homogeneity])
+def test_vectors_beyond_the_grid_are_refused(spark, run):
+    x = spark.createDataFrame([(1, [0, 1, 0, 1])], "k long, v array<int>")
+    e = spark.createDataFrame([(0, 1), (1, 2)], "u int, v int")
+    with pytest.raises(Exception, match="3 positions"):
+        run(x, "k", "v", e).collect()
