@@ -91,6 +91,10 @@ def bus_types(capacity: DataFrame, share: float = 0.3) -> DataFrame:
     return x.select("bus", "p_nom", F.when(F.col("r") == 1, "Slack").when(F.col("r") <= 1 + pv, "PV").otherwise("PQ").alias("kind"))
 
 
+#: What a flow must exceed its limit by, in parts of it, for the edge to fail.
+EPSILON = 1e-4
+
+
 class Grid:
     """A small grid as arrays: ends, susceptances, limits."""
 
@@ -139,7 +143,7 @@ class Grid:
         for step in range(most):
             if len(np.unique(self.labels(b > 0))) > 1:
                 return failed, True, step
-            over = np.flatnonzero((np.abs(self.flow(p[:, None], b)[:, 0]) > limit * (1 + 1e-9)) & (b > 0))
+            over = np.flatnonzero((np.abs(self.flow(p[:, None], b)[:, 0]) > limit * (1 + EPSILON)) & (b > 0))
             if not len(over):
                 return failed, False, step
             failed += over.tolist()
@@ -200,26 +204,27 @@ def dc_flows(edges: DataFrame, injection: DataFrame) -> DataFrame:
 
 
 def cascades(edges: DataFrame, injection: DataFrame, contingencies: DataFrame, scale: float) -> DataFrame:
-    """Cascades of every contingency (cid, e0, e1, weight) at every snapshot: failed edges, split or not, steps.
+    """Cascades of every contingency (line_0, size_0, line_1, size_1, weight) at every snapshot: failed edges, split or not, steps.
 
-    A contingency removes one circuit (at most 1.0) of each of its edges; limits are
-    ``scale`` times nominal, for injections as they come.
+    A contingency removes one circuit of each of its sizes; limits are ``scale``
+    times nominal, for injections as they come.
     """
-    known = edges.sparkSession.sparkContext.broadcast(Grid(edges.toPandas()))
+    spark = edges.sparkSession
+    known = spark.sparkContext.broadcast(Grid(edges.toPandas()))
     p = injection.groupBy("snapshot").agg(F.array_sort(F.collect_list(F.struct("node_idx", "p0"))).alias("x")).select("snapshot", F.col("x.p0").alias("p"))
-    work = contingencies.join(p, "snapshot")
+    names = ["line_0", "size_0", "line_1", "size_1", "weight"]
+    work = contingencies.select(names).repartition(4 * spark.sparkContext.defaultParallelism, "line_0", "size_0", "line_1", "size_1").crossJoin(p)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grid = known.value
         for d in batches:
             out = []
-            for s, c, e0, e1, w, x in zip(d["snapshot"], d["cid"], d["e0"], d["e1"], d["weight"], d["p"], strict=True):
-                lost = [(e, min(1.0, grid.par[e])) for e in dict.fromkeys((e0, e1))]
-                failed, split, steps = grid.cascade(np.asarray(x, float), lost, scale)
-                out.append((s, c, w, sorted(failed), split, steps))
-            yield pd.DataFrame(out, columns=["snapshot", "cid", "weight", "failed_edges", "did_split", "steps"])
+            for s, e0, m0, e1, m1, w, x in zip(d["snapshot"], *(d[c] for c in names), d["p"], strict=True):
+                failed, split, steps = grid.cascade(np.asarray(x, float), [(e0, m0), (e1, m1)], scale)
+                out.append((s, e0, m0, e1, m1, w, sorted(failed), split, steps))
+            yield pd.DataFrame(out, columns=["snapshot", *names, "failed_edges", "did_split", "steps"])
 
-    return work.mapInPandas(run, "snapshot timestamp_ntz, cid long, weight long, failed_edges array<int>, did_split boolean, steps int")
+    return work.mapInPandas(run, "snapshot timestamp_ntz, line_0 int, size_0 double, line_1 int, size_1 double, weight double, failed_edges array<int>, did_split boolean, steps int")
 
 
 def nodal_injection(flows: DataFrame, edges: DataFrame) -> DataFrame:

@@ -145,3 +145,19 @@ def test_vectors_beyond_the_grid_are_refused(spark, run):
     e = spark.createDataFrame([(0, 1), (1, 2)], "u int, v int")
     with pytest.raises(Exception, match="3 positions"):
         run(x, "k", "v", e).collect()
+
+
+def test_every_contingency_at_every_snapshot(spark):
+    e = spark.createDataFrame(frame([0, 1, 0], [1, 2, 2], par=2.0))
+    p = spark.sql("SELECT timestamp_ntz'2024-01-01' + make_interval(0, m) AS snapshot, n AS node_idx, CASE n WHEN 0 THEN 1.0D WHEN 1 THEN -1.0D ELSE 0D END * (1 + m) AS p0 FROM (SELECT explode(array(0, 1)) AS m), (SELECT explode(array(0, 1, 2)) AS n)")
+    pairs = spark.createDataFrame([(0, 1.0, 0, 1.0, 1.0), (0, 1.0, 1, 1.0, 4.0), (2, 1.0, 2, 1.0, 1.0)], "line_0 int, size_0 double, line_1 int, size_1 double, weight double")
+    got = {(r.snapshot.month, r.line_0, r.line_1): (r.failed_edges, r.did_split) for r in grid.cascades(e, p, pairs, 10.0).collect()}
+    # Both circuits of one line are gone, not one of them.
+    assert got == {(m, a, b): ([a] if a == b else [], False) for m in (1, 2) for a, b in ((0, 0), (0, 1), (2, 2))}
+
+
+def test_overloads_within_the_margin_hold():
+    p = np.array([1.0, -1.0, 0.0])
+    for over, fails in ((5e-5, False), (2e-4, True)):
+        g = grid.Grid(frame([0, 1, 0], [1, 2, 2], s_nom=2 / 3 / (1 + over)))
+        assert bool(g.cascade(p, [])[0]) == fails
