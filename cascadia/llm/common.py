@@ -45,7 +45,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete scratch tables that ``saved`` returned; nothing lazy may still read them."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
@@ -63,16 +73,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     e = saved(e.union(e.select("v", "u")).distinct(), "edges")
-    labels = saved(e.groupBy(F.col("u").alias("node")).agg(F.least(F.min("u"), F.min("v")).alias("comp")), "labels")
+    old = saved(e.groupBy(F.col("u").alias("node")).agg(F.least(F.min("u"), F.min("v")).alias("comp")), "labels")
     for _ in range(most_rounds):
+        labels = old.select("node", "comp")
         near = e.join(labels.select(F.col("node").alias("v"), "comp"), "v").groupBy(F.col("u").alias("node")).agg(F.min("comp").alias("near"))
         step = labels.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("mid"))
         up = labels.select(F.col("node").alias("mid"), F.col("comp").alias("up"))
         new = step.join(up, "mid").select("node", F.least("mid", "up").alias("comp"), (F.least("mid", "up") < F.col("was")).alias("changed"))
         new = saved(new, "labels")
-        labels = new.select("node", "comp")
+        dropped(old)
+        old = new
         if new.where("changed").isEmpty():
-            return labels
+            dropped(e)
+            return new.select("node", "comp")
     raise RuntimeError("the components did not settle")
 
 

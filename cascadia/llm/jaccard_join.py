@@ -10,8 +10,12 @@ estimated cost is taken. Before verification a pair must share l tokens of the
 shorter prefixes and as many of the whole prefixes as its sizes call for.
 
 Exact copies have one set, so they are one node. A group of thousands of near
-copies is never expanded into all pairs: long posting lists first link their
-members to a pivot; pairs are then formed only between different components.
+copies is never expanded into all pairs. Lists of up to SMALL nodes give their
+pairs at once. Longer lists, those of hot tokens, first link their members to a
+pivot. What then is left are pairs of different components. Without a shared
+token of a short list, two prefixes share no more than the hot tokens of either;
+nodes with fewer than any link calls for leave the hot lists, and the rest is
+compared in blocks.
 """
 
 from __future__ import annotations
@@ -25,16 +29,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import components, saved, small_batches, table
+from .common import components, dropped, saved, small_batches, table
 
 U64 = np.uint64
-#: Posting lists of more nodes go through pivots first.
-SMALL = 6
+#: Posting lists of more nodes are hot: they go through pivots first.
+SMALL = 32
+#: Nodes of one block of a hot list.
+BLOCK = 4096
+#: Entries of hot lists that one group of blocks holds, about.
+GROUP = 1 << 17
 #: A bound on the table of frequent tokens that is broadcast (9 bytes each).
 #: It shapes the order of tokens only; every order gives the same links.
 MOST_FREQUENT = 1 << 20
 FREQUENT = 4
-LEVELS = 4
+LEVELS = 16
 FLUSH = 1 << 22
 FP_BITS = 26
 
@@ -51,7 +59,7 @@ def set_node(tokens: np.ndarray) -> np.uint64:
 
 
 def document_sets(docs: DataFrame, k: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, node): the size and digest of each document's shingle set, null for an empty one."""
+    """(doc_id, n_shingles, node, text_hash): the size and digest of each document's shingle set, null for an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -60,9 +68,9 @@ def document_sets(docs: DataFrame, k: int = 5) -> DataFrame:
                 for s in K.shingle_sets(buf, off, k):
                     sizes.append(len(s))
                     nodes.append(int(_ids(np.array([set_node(s)]))[0]) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())], names=["doc_id", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), b.column(2)], names=["doc_id", "n_shingles", "node", "text_hash"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, n_shingles long, node long, text_hash long")
 
 
 def _blobs(tokens: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,16 +149,9 @@ def frequent_tokens(docs: DataFrame, k: int, bits: int, most: int = MOST_FREQUEN
 
 def choose_level(freq: np.ndarray, n: int, most: int, weight: float = 4.0) -> int:
     """The l whose l-prefix costs least; ``freq`` are estimated frequencies in token order, ``most`` is n - ceil(t n)."""
-    best, level = None, 1
-    total = freq[:most].sum()
-    for ell in range(1, LEVELS + 1):
-        if most + ell > n:
-            break
-        total += freq[most + ell - 1]
-        cost = (most + ell) + weight * (total - (most + ell)) / ell
-        if best is None or cost < best:
-            best, level = cost, ell
-    return level
+    total = np.cumsum(freq[: most + LEVELS])[most:]
+    ell = np.arange(1, len(total) + 1)
+    return int(np.argmin((most + ell) + weight * (total - (most + ell)) / ell)) + 1
 
 
 def postings(docs: DataFrame, k: int, percent: int, bits: int, fps: np.ndarray, logs: np.ndarray) -> DataFrame:
@@ -229,13 +230,12 @@ def _bound(na: np.ndarray, nb: np.ndarray, la: np.ndarray, lb: np.ndarray, perce
 
 
 def bucket_rows(blobs: DataFrame, percent: int) -> DataFrame:
-    """Rows of four kinds from each token range.
+    """Rows of three kinds from each token range.
 
-    ``pair``: a and b share c prefix tokens of short lists, ``lev`` of them within
+    ``pair``: a and b share c prefix tokens of short lists, ``low`` of them within
     the prefixes of their smaller l, ``ell``; ``size`` is the least c of a link;
-    ``star``: b and the pivot a of a long list; ``post``: a long list's entry
-    (token c, node a, with size, level and l); ``seen``: c tokens of node a are in
-    short lists.
+    ``star``: b and the pivot a of a hot list; ``post``: a hot list's entry
+    (token c, node a, with size, level ``low`` and l).
     """
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
@@ -279,24 +279,80 @@ def bucket_rows(blobs: DataFrame, percent: int) -> DataFrame:
             low = np.minimum(ell[i], ell[j])
             got.append((_ids(node[i]), _ids(node[j]), (lev[i] <= low) & (lev[j] <= low), low, _bound(size[i], size[j], ell[i], ell[j], percent)))
         if sum(len(x[0]) for x in got):
-            p = pd.DataFrame(dict(zip(("a", "b", "low", "need", "bound"), (np.concatenate(x).astype(np.int64) for x in zip(*got, strict=True)), strict=True)))
-            p = p.groupby(["a", "b", "need", "bound"], as_index=False).agg(c=("low", "size"), low=("low", "sum"))
-            out.append(pd.DataFrame({"kind": "pair", "a": p["a"], "b": p["b"], "c": p["c"], "size": p["bound"], "lev": p["low"], "ell": p["need"]}))
-        if len(short):
-            own, n = np.unique(node[short], return_counts=True)
-            out.append(pd.DataFrame({"kind": "seen", "a": _ids(own), "b": 0, "c": n, "size": 0, "lev": 0, "ell": 0}))
+            p = pd.DataFrame(dict(zip(("a", "b", "low", "ell", "size"), (np.concatenate(x).astype(np.int64) for x in zip(*got, strict=True)), strict=True)))
+            p = p.groupby(["a", "b"], as_index=False).agg(c=("low", "size"), low=("low", "sum"), ell=("ell", "first"), size=("size", "first"))
+            out.append(p.assign(kind="pair"))
         long = np.flatnonzero(m > SMALL)
         if len(long):
             band = np.floor(np.log(size[long]) / np.log(100 / percent)).astype(np.int64)
             q = pd.DataFrame({"t": tok[long], "band": band, "b": _ids(node[long])})
             q["a"] = q.groupby(["t", "band"])["b"].transform("min")
             q = q[q["a"] != q["b"]].groupby(["a", "b"], as_index=False).size()
-            out.append(pd.DataFrame({"kind": "star", "a": q["a"], "b": q["b"], "c": q["size"], "size": 0, "lev": 0, "ell": 1}))
-            out.append(pd.DataFrame({"kind": "post", "a": _ids(node[long]), "b": 0, "c": _ids(tok[long]), "size": size[long].astype(np.int64), "lev": lev[long].astype(np.int64), "ell": ell[long].astype(np.int64)}))
-        d = pd.concat(out) if out else pd.DataFrame({"kind": [], "a": [], "b": [], "c": [], "size": [], "lev": [], "ell": []})
-        return pa.table({n: pa.array(d[n], pa.string() if n == "kind" else pa.int64()) for n in ("kind", "a", "b", "c", "size", "lev", "ell")})
+            out.append(pd.DataFrame({"kind": "star", "a": q["a"], "b": q["b"], "c": q["size"]}))
+            out.append(pd.DataFrame({"kind": "post", "a": _ids(node[long]), "c": _ids(tok[long]), "size": size[long].astype(np.int64), "low": lev[long].astype(np.int64), "ell": ell[long].astype(np.int64)}))
+        names = ("kind", "a", "b", "c", "low", "ell", "size")
+        return pa.concat_tables([pa.table({n: pa.array(d[n], pa.string() if n == "kind" else pa.int64()) if n in d else pa.nulls(len(d), pa.int64()) for n in names}) for d in out] or [pa.table({n: pa.array([], pa.string() if n == "kind" else pa.int64()) for n in names})])
+
+    return blobs.groupBy("r").applyInArrow(run, "kind string, a long, b long, c long, low long, ell long, size long")
+
+
+def _block_pairs(of: np.ndarray, probe: np.ndarray, most: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of probe rows i and stored rows j of equal ``of`` (sorted), some millions at a time."""
+    i, j = np.flatnonzero(probe), np.flatnonzero(~probe)
+    lo, hi = np.searchsorted(of[j], of[i], "left"), np.searchsorted(of[j], of[i], "right")
+    n = np.cumsum(hi - lo)
+    at = 0
+    while at < len(i):
+        end = max(at + 1, int(np.searchsorted(n, (n[at - 1] if at else 0) + most, "right")))
+        count = (hi - lo)[at:end]
+        k = np.repeat(np.arange(at, end), count)
+        yield i[k], j[lo[k] + np.arange(len(k)) - np.repeat(np.cumsum(count) - count, count)]
+        at = end
+
+
+def hot_pairs(post: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that may be similar by the tokens of hot lists alone.
+
+    ``post``: token, node, comp, size, low, ell and h, the node's entries in hot
+    lists. Rows: a, b, c (shared hot prefix tokens), low, need (those of them
+    that stand in the smaller prefixes, and how many must) and bound (the least c
+    of a link). The nodes of a list's main component are stored in blocks; the
+    others, and each other, are compared with them, so that a component's own
+    pairs are never formed.
+    """
+    size_of = post.groupBy("token", "comp").agg(F.count("*").alias("n"))
+    main = size_of.groupBy("token").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
+    main = main.where("n > most").select("token", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("lots"))
+    at = post.join(main, "token").withColumn("x", F.xxhash64("node", F.lit(1)))
+    probe = F.struct(F.lit(True).alias("probe"), F.sequence(F.lit(0), F.col("blocks") - 1).alias("s"), F.array(F.pmod("x", "lots").cast("int")).alias("q"))
+    store = F.struct(F.lit(False).alias("probe"), F.array(F.pmod("x", "blocks").cast("int")).alias("s"), F.sequence(F.lit(0), F.col("lots") - 1).alias("q"))
+    at = at.select("*", F.explode(F.when(F.col("comp") == F.col("main"), F.array(store)).otherwise(F.array(store, probe))).alias("as"))
+    at = at.select("*", F.explode("as.s").alias("s")).select("*", F.explode("as.q").alias("q"))
+    groups = max(64, int(post.count() // GROUP))
+    at = at.select("token", "node", "comp", "main", "size", "low", "ell", "h", "s", "q", F.col("as.probe").alias("probe"), F.pmod(F.xxhash64("token", "s", "q"), F.lit(groups)).alias("g"))
 
-    return blobs.groupBy("r").applyInArrow(run, "kind string, a long, b long, c long, size long, lev long, ell long")
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        c = {n: t.column(n).to_numpy() for n in t.column_names if n != "probe"}
+        probe = t.column("probe").to_numpy().astype(bool)
+        order = np.lexsort((c["q"], c["s"], c["token"]))
+        c, probe = {n: x[order] for n, x in c.items()}, probe[order]
+        new = np.ones(len(probe), bool)
+        new[1:] = (c["token"][1:] != c["token"][:-1]) | (c["s"][1:] != c["s"][:-1]) | (c["q"][1:] != c["q"][:-1])
+        of = np.cumsum(new)
+        held = []
+        for i, j in _block_pairs(of, probe):
+            ok = (c["comp"][i] != c["comp"][j]) & ((c["comp"][j] == c["main"][j]) | (c["node"][i] < c["node"][j]))
+            i, j = i[ok], j[ok]
+            bound = _bound(c["size"][i], c["size"][j], c["ell"][i], c["ell"][j], percent)
+            ok = (np.minimum(c["h"][i], c["h"][j]) >= bound) & _size_ok(c["size"][i], c["size"][j], percent)
+            i, j, bound = i[ok], j[ok], bound[ok]
+            need = np.minimum(c["ell"][i], c["ell"][j])
+            held.append(pd.DataFrame({"a": np.minimum(c["node"][i], c["node"][j]), "b": np.maximum(c["node"][i], c["node"][j]), "c": 1, "low": ((c["low"][i] <= need) & (c["low"][j] <= need)).astype(np.int64), "need": need, "bound": bound}))
+            held = [pd.concat(held).groupby(["a", "b", "need", "bound"], as_index=False).sum()]
+        names = ("a", "b", "c", "low", "need", "bound")
+        return pa.table({n: pa.array(held[0][n] if held else [], pa.int64()) for n in names})
+
+    return at.groupBy("g").applyInArrow(run, "a long, b long, c long, low long, need long, bound long")
 
 
 def linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -336,8 +392,10 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
 
     A null or empty text, or one without words, has an empty set and links with
     nothing. A text of fewer than k words is one shingle. Texts are taken whole.
-    Repeated rows and equal texts link with each other; an empty table gives no
-    rows; other columns are ignored.
+    Repeated rows and equal texts link with each other, also rows of one doc_id
+    with different texts, each by its own text. A null doc_id is no smallest one:
+    such a row has the component_id of the rows that it links with, or null.
+    An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -346,41 +404,41 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     bits = min(20, max(4, int(np.ceil(np.log2(max(1, total / (8 << 20)))))))
     fps, logs = frequent_tokens(docs, k, bits)
     rows = saved(bucket_rows(postings(docs, k, percent, bits, fps, logs), percent), "buckets")
-    pairs = rows.where("kind = 'pair'").groupBy("a", "b").agg(F.sum("c").alias("c"), F.sum("lev").alias("low"), F.max("ell").alias("need"), F.max("size").alias("bound"))
+    pairs = rows.where("kind = 'pair'").groupBy("a", "b").agg(F.sum("c").alias("c"), F.sum("low").alias("low"), F.max("ell").alias("ell"), F.max("size").alias("bound"))
+    pairs = counted = saved(pairs, "pairs")
     star = rows.where("kind = 'star'").groupBy("a", "b").agg(F.sum("c").alias("c"))
-    post = rows.where("kind = 'post'").select(F.col("c").alias("token"), F.col("a").alias("node"), "size", "lev", "ell")
+    post = rows.where("kind = 'post'").select(F.col("c").alias("token"), F.col("a").alias("node"), "size", "low", "ell")
+    # h: a node's entries in hot lists.
+    hot = saved(post.groupBy("node").agg(F.count("*").alias("h")), "hot")
+    # Shared tokens are those of short lists and the hot ones of either at most.
+    for i in "ab":
+        pairs_h = hot.select(F.col("node").alias(i), F.col("h").alias(f"h{i}"))
+        pairs = pairs.join(pairs_h, i, "left").fillna(0, f"h{i}")
+    pairs = pairs.where("low + least(ha, hb) >= ell and c + least(ha, hb) >= bound")
+    pairs = saved(pairs.select("a", "b", "c"), "pairs")
+    dropped(counted)
 
     # One text for each node that any pair may need.
-    wanted = rows.where("kind in ('pair', 'post')").select(F.explode(F.when(F.col("kind") == "pair", F.array("a", "b")).otherwise(F.array("a"))).alias("node")).distinct()
-    heads = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    heads = heads.join(wanted, "node")
-    texts = docs.select("doc_id", "text").join(heads, "doc_id").groupBy("node").agg(F.first("text").alias("text"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(hot.select("node")).distinct()
+    heads = sets.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("head")).join(wanted, "node")
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    texts = hashed.join(heads, hashed["doc_id"].eqNullSafe(heads["head.doc_id"]) & (hashed["text_hash"] == heads["head.text_hash"])).groupBy("node").agg(F.first("text").alias("text"))
     texts = saved(texts, "texts")
 
     # First the likeliest partner of each node, then all pairs between components.
-    first = pairs.where("low >= need").select("a", "b", "c").union(star)
+    first = pairs.union(star)
     best = first.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
     links = saved(linked(best, texts, k, percent), "links")
     comp = components(links)
-    seen = rows.where("kind in ('post', 'seen')").groupBy(F.col("a").alias("node")).agg(F.sum(F.when(F.col("kind") == "post", 1).otherwise(F.col("c"))).alias("seen"))
-    post = post.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(seen, "node")
+    post = post.join(hot, "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     post = saved(post, "post")
-    size_of = post.groupBy("token", "comp").agg(F.count("*").alias("n"))
-    main = size_of.groupBy("token").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
-    minor = post.join(main, "token").where("comp <> main")
-    x, y = minor.alias("x"), post.alias("y")
-    low = F.least("x.ell", "y.ell")
-    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & (100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size"))
-    apart &= (F.col("y.comp") == F.col("x.main")) | (F.col("x.node") < F.col("y.node"))
-    rest_of = [F.ceil(percent * F.col(f"{i}.size") / 100) - F.col(f"{i}.ell") for i in "xy"]
-    bound = F.ceil(percent * (F.col("x.size") + F.col("y.size")) / (100 + percent)) - F.greatest(*rest_of)
-    apart &= F.least("x.seen", "y.seen") >= bound  # no more tokens than these can be shared
-    within = ((F.col("x.lev") <= low) & (F.col("y.lev") <= low)).cast("long")
-    cross = x.join(y, apart).groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).agg(F.count("*").alias("c"), F.sum(within).alias("low"), F.max(low).alias("need"), F.max(bound).alias("bound"))
+    dropped(rows)
     left = pairs.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
-    left = left.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "c", "low", "need", "bound")
-    rest = left.unionByName(cross).groupBy("a", "b").agg(F.sum("c").alias("c"), F.sum("low").alias("low"), F.max("need").alias("need"), F.max("bound").alias("bound")).where("low >= need and c >= bound")
+    left = left.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    cross = hot_pairs(post, percent).groupBy("a", "b").agg(F.sum("c").alias("c"), F.sum("low").alias("low"), F.max("need").alias("need"), F.max("bound").alias("bound"))
+    rest = left.union(cross.where("low >= need and c >= bound").select("a", "b")).distinct()
     more = saved(linked(rest, texts, k, percent), "links")
+    dropped(texts, pairs, post)
     # Components of components: few edges are left.
     of_a, of_b = (comp.select(F.col("node").alias(i), F.col("comp").alias(f"c{i}")) for i in "ab")
     edges = more.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))

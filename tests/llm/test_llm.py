@@ -106,6 +106,35 @@ def test_jaccard_join_chain_of_near_copies(spark):
     assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(df).collect()} == root
 
 
+@pytest.mark.parametrize("block", [8, 4096])
+def test_jaccard_join_of_hot_lists(spark, monkeypatch, block):
+    """Near copies of one text with words from a short list changed, and other texts around one passage."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "SMALL", 4)
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(80)]
+    texts = {}
+    for i in range(250):
+        w = list(base)
+        for j in rng.choice(80, rng.integers(0, 7), replace=False):
+            w[j] = f"v{rng.integers(6)}"
+        texts[2 * i] = " ".join(w)
+    for i in range(250):
+        own = [f"u{i}x{j}" for j in range(rng.integers(5, 45))]
+        texts[2 * i + 1] = " ".join(own[: len(own) // 2] + base[20:70] + own[len(own) // 2 :])
+    df = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(df).collect()}
+    assert got == brute_components(texts)[1]
+    assert len(set(got.values())) > 50
+
+
+def test_jaccard_join_of_repeated_and_null_ids(spark):
+    t = [" ".join(f"{c}{i}" for i in range(30)) for c in "abc"]
+    df = spark.createDataFrame([(1, t[0]), (1, t[0]), (1, t[1]), (2, t[1] + " end"), (None, t[1]), (None, t[2]), (None, None), (7, "")], "doc_id long, text string")
+    got = sorted(tuple(r) for r in jaccard_join.jaccard_join(df).select(F.coalesce("doc_id", F.lit(-1)), "n_shingles", F.coalesce("component_id", F.lit(-1))).collect())
+    assert got == sorted([(1, 26, 1), (1, 26, 1), (1, 26, 1), (2, 27, 1), (-1, 26, 1), (-1, 26, -1), (-1, 0, -1), (7, 0, 7)])
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(7, 7), (100, 99), (None, 3)], "a long, b long")
     got = {r.node: r.comp for r in components(edges).collect()}
