@@ -10,12 +10,14 @@ estimated cost is taken. Before verification a pair must share l tokens of the
 shorter prefixes and as many of the whole prefixes as its sizes call for.
 
 Exact copies have one set, so they are one node. A group of thousands of near
-copies is never expanded into all pairs. Lists of up to SMALL nodes give their
-pairs at once. Longer lists, those of hot tokens, first link their members to a
-pivot. What then is left are pairs of different components. Without a shared
-token of a short list, two prefixes share no more than the hot tokens of either;
-nodes with fewer than any link calls for leave the hot lists, and the rest is
-compared in blocks.
+copies is never expanded into all pairs. Tokens of COLD documents or more are
+hot. Lists of other tokens give their pairs at once; hot ones first link their
+members to a pivot. What then is left are pairs of different components. A set
+whose prefix reaches a hot token has all its other tokens before it. So two such
+sets without a shared token of the other kind share at most the hot tokens of
+either, and the first that they share stands among the first hot ones of both:
+behind it, each still needs as many as their sizes call for. Only such pairs
+leave a hot list, and must then share l tokens of the shorter prefixes.
 """
 
 from __future__ import annotations
@@ -32,17 +34,20 @@ from . import kernels as K
 from .common import components, dropped, saved, small_batches, table
 
 U64 = np.uint64
-#: Posting lists of more nodes are hot: they go through pivots first.
+#: Tokens of 2**COLD documents or more are hot.
+COLD = 4
+#: Lists of other tokens with more nodes (where the table of frequent tokens is
+#: full) go through pivots too.
 SMALL = 32
-#: Nodes of one block of a hot list.
+#: Nodes of one block of a long list.
 BLOCK = 4096
-#: Entries of hot lists that one group of blocks holds, about.
+#: Entries of long lists that one group of blocks holds, about.
 GROUP = 1 << 17
 #: A bound on the table of frequent tokens that is broadcast (9 bytes each).
 #: It shapes the order of tokens only; every order gives the same links.
 MOST_FREQUENT = 1 << 20
 FREQUENT = 4
-LEVELS = 16
+LEVELS = 4
 FLUSH = 1 << 22
 FP_BITS = 26
 
@@ -155,27 +160,30 @@ def choose_level(freq: np.ndarray, n: int, most: int, weight: float = 4.0) -> in
 
 
 def postings(docs: DataFrame, k: int, percent: int, bits: int, fps: np.ndarray, logs: np.ndarray) -> DataFrame:
-    """Blobs of (token, document, level) by token range."""
+    """Blobs of (token, document, level, place among the hot tokens) by token range."""
     shift = U64(64 - bits - FP_BITS)
     known = docs.sparkSession.sparkContext.broadcast((fps, logs))
+    kinds = (U64, np.uint16, np.uint8, np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fps, logs = known.value
-        tok, doc, lev, nodes, sizes, ells, held = [], [], [], [], [], [], 0
+        rows: list[list[np.ndarray]] = [[], [], [], []]
+        own_rows: list[tuple] = []
+        held = 0
 
         def flush() -> pa.RecordBatch:
-            t, d, v = np.concatenate(tok), np.concatenate(doc), np.concatenate(lev)
-            order = np.argsort(t)
-            t, d, v = t[order], d[order], v[order]
-            node, size, ell = np.array(nodes, U64), np.array(sizes, np.uint32), np.array(ells, np.uint8)
-            ids, at = _blobs(t, bits)
-            cols: list[list] = [[] for _ in range(6)]
+            cols = [np.concatenate(x) for x in rows]
+            order = np.argsort(cols[0])
+            cols = [x[order] for x in cols]
+            own = [np.array(x, t) for x, t in zip(zip(*own_rows, strict=True), (U64, np.uint32, np.uint8, np.uint32), strict=True)]
+            ids, at = _blobs(cols[0], bits)
+            blobs: list[list] = [[] for _ in range(8)]
             for i in range(len(ids)):
-                here = slice(at[i], at[i + 1])
-                own, idx = np.unique(d[here], return_inverse=True)
-                for c, x in zip(cols, (t[here], idx.astype(np.uint32 if len(own) > 65535 else np.uint16), v[here], node[own], size[own], ell[own]), strict=True):
+                t, d, lev, hot = (x[at[i] : at[i + 1]] for x in cols)
+                here, idx = np.unique(d, return_inverse=True)
+                for c, x in zip(blobs, (t, idx.astype(kinds[1]), lev, hot, *(x[here] for x in own)), strict=True):
                     c.append(x.tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(c, pa.binary()) for c in cols)], names=["r", "tok", "doc", "lev", "node", "size", "ell"])
+            return pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(c, pa.binary()) for c in blobs)], names=["r", "tok", "doc", "lev", "hot", "node", "size", "ell", "cold"])
 
         for b in batches:
             for _, _, buf, off in K.text_chunks(b.column(0)):
@@ -197,20 +205,20 @@ def postings(docs: DataFrame, k: int, percent: int, bits: int, fps: np.ndarray,
                     most = n - -(-percent * n // 100)
                     ell = choose_level(2.0 ** r[order[: most + LEVELS]].astype(float), n, most)
                     take = order[: most + ell]
-                    tok.append(s[take])
-                    doc.append(np.full(len(take), len(nodes), np.uint32))
-                    lev.append(np.maximum(1, np.arange(1, len(take) + 1) - most).astype(np.uint8))
-                    nodes.append(set_node(s))
-                    sizes.append(n)
-                    ells.append(ell)
+                    place = np.arange(1, len(take) + 1)
+                    cold = int(np.searchsorted(r[take], COLD))
+                    for c, x in zip(rows, (s[take], np.full(len(take), len(own_rows), np.uint16), np.maximum(1, place - most).astype(np.uint8), np.clip(place - cold, 0, 255).astype(np.uint8)), strict=True):
+                        c.append(x)
+                    own_rows.append((set_node(s), n, ell, cold))
                     held += len(take)
-                if held >= FLUSH or len(nodes) >= 60_000:
-                    yield flush()
-                    tok, doc, lev, nodes, sizes, ells, held = [], [], [], [], [], [], 0
+                    if held >= FLUSH or len(own_rows) >= 60_000:
+                        yield flush()
+                        rows, own_rows, held = [[], [], [], []], [], 0
         if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "r long, tok binary, doc binary, lev binary, node binary, size binary, ell binary")
+    names = ("tok", "doc", "lev", "hot", "node", "size", "ell", "cold")
+    return docs.select("text").mapInArrow(run, "r long, " + ", ".join(f"{n} binary" for n in names))
 
 
 def _size_ok(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -229,71 +237,83 @@ def _bound(na: np.ndarray, nb: np.ndarray, la: np.ndarray, lb: np.ndarray, perce
     return both - np.maximum(*rest)
 
 
+def _cold_bound(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """How many tokens that aren't hot must be shared by the prefixes of two similar sets.
+
+    If both prefixes reach hot tokens, all shared tokens are hot ones or these.
+    """
+    bound = _bound(c["size"][i], c["size"][j], c["ell"][i], c["ell"][j], percent)
+    hot = c["size"] - c["cold"]
+    both = -(-percent * (c["size"][i] + c["size"][j]) // (100 + percent))
+    return np.where((c["hots"][i] > 0) & (c["hots"][j] > 0), both - np.minimum(hot[i], hot[j]), bound)
+
+
 def bucket_rows(blobs: DataFrame, percent: int) -> DataFrame:
     """Rows of three kinds from each token range.
 
-    ``pair``: a and b share c prefix tokens of short lists, ``low`` of them within
-    the prefixes of their smaller l, ``ell``; ``size`` is the least c of a link;
-    ``star``: b and the pivot a of a hot list; ``post``: a hot list's entry
-    (token c, node a, with size, level ``low`` and l).
+    ``pair``: a and b share c prefix tokens of short lists that aren't hot, ``low``
+    of them within the prefixes of their smaller l; a link needs ``need`` and
+    ``bound`` of them at least;
+    ``star``: b and the pivot a of a long list, with c shared tokens;
+    ``post``: a long list's entry (token c, node a, its level ``low`` and place
+    ``hot`` among the node's hot tokens, 0 if it isn't one, and the node's size, l
+    and ``cold``, the number of its other prefix tokens).
     """
+    kinds = {"tok": U64, "doc": np.uint16, "lev": np.uint8, "hot": np.uint8}
+    own_kinds = {"node": U64, "size": np.uint32, "ell": np.uint8, "cold": np.uint32}
+    names = ("kind", "a", "b", "c", "low", "need", "bound", "size", "ell", "cold", "hot")
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        tok, node, size, ell, lev = [], [], [], [], []
+        held: dict[str, list[np.ndarray]] = {n: [] for n in ("tok", "lev", "hot", *own_kinds)}
         for x in t.to_pylist():
-            own_node, own_size, own_ell = np.frombuffer(x["node"], U64), np.frombuffer(x["size"], np.uint32), np.frombuffer(x["ell"], np.uint8)
-            d = np.frombuffer(x["doc"], np.uint16 if len(own_node) <= 65535 else np.uint32)
-            tok.append(np.frombuffer(x["tok"], U64))
-            lev.append(np.frombuffer(x["lev"], np.uint8))
-            node.append(own_node[d])
-            size.append(own_size[d])
-            ell.append(own_ell[d])
-        tok, node, size, ell, lev = map(np.concatenate, (tok, node, size, ell, lev))
+            own = {n: np.frombuffer(x[n], k) for n, k in own_kinds.items()}
+            row = {n: np.frombuffer(x[n], k) for n, k in kinds.items()}
+            for n in held:
+                held[n].append(row[n] if n in row else own[n][row["doc"]])
+        c = {n: np.concatenate(x) for n, x in held.items()}
         # Only lists of two entries or more can link anything.
-        order = np.argsort(tok)
-        s = tok[order]
+        order = np.argsort(c["tok"])
+        s = c["tok"][order]
         same = np.zeros(len(s), bool)
         same[1:] = s[1:] == s[:-1]
         some = same.copy()
         some[:-1] |= same[1:]
-        order = order[some]
-        tok, node, size, ell, lev = (x[order] for x in (tok, node, size, ell, lev))
-        order = np.lexsort((node, tok))
-        tok, node, size, ell, lev = (x[order] for x in (tok, node, size, ell, lev))
-        new = np.ones(len(tok), bool)
-        new[1:] = (tok[1:] != tok[:-1]) | (node[1:] != node[:-1])
-        tok, node, size, ell, lev = (x[new] for x in (tok, node, size, ell, lev))
+        c = {n: x[order[some]] for n, x in c.items()}
+        order = np.lexsort((c["node"], c["tok"]))
+        c = {n: x[order] for n, x in c.items()}
+        new = np.ones(len(order), bool)
+        new[1:] = (c["tok"][1:] != c["tok"][:-1]) | (c["node"][1:] != c["node"][:-1])
+        c = {n: x[new] if n in ("tok", "node") else x[new].astype(np.int64) for n, x in c.items()}
+        c["hots"] = c["size"] - -(-percent * c["size"] // 100) + c["ell"] - c["cold"]
+        tok, node = c["tok"], _ids(c["node"])
         first = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1]))) if len(tok) else np.zeros(0, int)
         length = np.diff(np.append(first, len(tok)))
         of = np.repeat(np.arange(len(first)), length)
         m = length[of] if len(tok) else length
-        out = []
-        short = np.flatnonzero((m > 1) & (m <= SMALL))
-        got = []
+        out, got = [], []
+        short = np.flatnonzero((m > 1) & (m <= SMALL) & (c["hot"] == 0))
         for gap in range(1, SMALL):
             i = short[short + gap < len(tok)]
             i = i[of[i] == of[i + gap]]
             j = i + gap
-            ok = _size_ok(size[i].astype(np.int64), size[j].astype(np.int64), percent)
+            ok = _size_ok(c["size"][i], c["size"][j], percent)
             i, j = i[ok], j[ok]
-            low = np.minimum(ell[i], ell[j])
-            got.append((_ids(node[i]), _ids(node[j]), (lev[i] <= low) & (lev[j] <= low), low, _bound(size[i], size[j], ell[i], ell[j], percent)))
+            low = np.minimum(c["ell"][i], c["ell"][j])
+            got.append((node[i], node[j], (c["lev"][i] <= low) & (c["lev"][j] <= low), low - np.minimum(c["hots"][i], c["hots"][j]), _cold_bound(c, i, j, percent)))
         if sum(len(x[0]) for x in got):
-            p = pd.DataFrame(dict(zip(("a", "b", "low", "ell", "size"), (np.concatenate(x).astype(np.int64) for x in zip(*got, strict=True)), strict=True)))
-            p = p.groupby(["a", "b"], as_index=False).agg(c=("low", "size"), low=("low", "sum"), ell=("ell", "first"), size=("size", "first"))
-            out.append(p.assign(kind="pair"))
-        long = np.flatnonzero(m > SMALL)
+            p = pd.DataFrame(dict(zip(("a", "b", "low", "need", "bound"), (np.concatenate(x).astype(np.int64) for x in zip(*got, strict=True)), strict=True)))
+            out.append(p.groupby(["a", "b"], as_index=False).agg(c=("low", "size"), low=("low", "sum"), need=("need", "first"), bound=("bound", "first")).assign(kind="pair"))
+        long = np.flatnonzero((m > 1) & ((m > SMALL) | (c["hot"] > 0)))
         if len(long):
-            band = np.floor(np.log(size[long]) / np.log(100 / percent)).astype(np.int64)
-            q = pd.DataFrame({"t": tok[long], "band": band, "b": _ids(node[long])})
+            band = np.floor(np.log(c["size"][long]) / np.log(100 / percent)).astype(np.int64)
+            q = pd.DataFrame({"t": tok[long], "band": band, "b": node[long]})
             q["a"] = q.groupby(["t", "band"])["b"].transform("min")
-            q = q[q["a"] != q["b"]].groupby(["a", "b"], as_index=False).size()
-            out.append(pd.DataFrame({"kind": "star", "a": q["a"], "b": q["b"], "c": q["size"]}))
-            out.append(pd.DataFrame({"kind": "post", "a": _ids(node[long]), "c": _ids(tok[long]), "size": size[long].astype(np.int64), "low": lev[long].astype(np.int64), "ell": ell[long].astype(np.int64)}))
-        names = ("kind", "a", "b", "c", "low", "ell", "size")
-        return pa.concat_tables([pa.table({n: pa.array(d[n], pa.string() if n == "kind" else pa.int64()) if n in d else pa.nulls(len(d), pa.int64()) for n in names}) for d in out] or [pa.table({n: pa.array([], pa.string() if n == "kind" else pa.int64()) for n in names})])
+            out.append(q[q["a"] != q["b"]].groupby(["a", "b"]).size().reset_index(name="c").assign(kind="star"))
+            out.append(pd.DataFrame({"kind": "post", "a": node[long], "c": _ids(tok[long]), "low": c["lev"][long]} | {n: c[n][long] for n in ("size", "ell", "cold", "hot")}))
+        kind = {n: pa.string() if n == "kind" else pa.int64() for n in names}
+        return pa.concat_tables([pa.table({n: pa.array(d[n], kind[n]) if n in d else pa.nulls(len(d), kind[n]) for n in names}) for d in out] or [pa.table({n: pa.array([], kind[n]) for n in names})])
 
-    return blobs.groupBy("r").applyInArrow(run, "kind string, a long, b long, c long, low long, ell long, size long")
+    return blobs.groupBy("r").applyInArrow(run, "kind string, " + ", ".join(f"{n} long" for n in names[1:]))
 
 
 def _block_pairs(of: np.ndarray, probe: np.ndarray, most: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -310,15 +330,14 @@ def _block_pairs(of: np.ndarray, probe: np.ndarray, most: int = 1 << 22) -> Iter
         at = end
 
 
-def hot_pairs(post: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that may be similar by the tokens of hot lists alone.
+def long_list_pairs(post: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that may be similar, from long lists.
 
-    ``post``: token, node, comp, size, low, ell and h, the node's entries in hot
-    lists. Rows: a, b, c (shared hot prefix tokens), low, need (those of them
-    that stand in the smaller prefixes, and how many must) and bound (the least c
-    of a link). The nodes of a list's main component are stored in blocks; the
-    others, and each other, are compared with them, so that a component's own
-    pairs are never formed.
+    ``post``: rows of kind ``post`` with token, node and comp. The nodes of a
+    list's main component are stored in blocks; the others are stored and compared
+    with all, so that a component's own pairs are never formed. Rows: a, b, hot,
+    c, low, need and bound; with ``hot`` the pair has no need of other tokens, else
+    c, low, need and bound are as those of ``bucket_rows``.
     """
     size_of = post.groupBy("token", "comp").agg(F.count("*").alias("n"))
     main = size_of.groupBy("token").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
@@ -329,30 +348,33 @@ def hot_pairs(post: DataFrame, percent: int) -> DataFrame:
     at = at.select("*", F.explode(F.when(F.col("comp") == F.col("main"), F.array(store)).otherwise(F.array(store, probe))).alias("as"))
     at = at.select("*", F.explode("as.s").alias("s")).select("*", F.explode("as.q").alias("q"))
     groups = max(64, int(post.count() // GROUP))
-    at = at.select("token", "node", "comp", "main", "size", "low", "ell", "h", "s", "q", F.col("as.probe").alias("probe"), F.pmod(F.xxhash64("token", "s", "q"), F.lit(groups)).alias("g"))
+    at = at.select("token", "node", "comp", "main", "size", "low", "ell", "cold", "hot", "s", "q", F.col("as.probe").alias("probe"), F.pmod(F.xxhash64("token", "s", "q"), F.lit(groups)).alias("g"))
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         c = {n: t.column(n).to_numpy() for n in t.column_names if n != "probe"}
         probe = t.column("probe").to_numpy().astype(bool)
         order = np.lexsort((c["q"], c["s"], c["token"]))
         c, probe = {n: x[order] for n, x in c.items()}, probe[order]
+        c["hots"] = c["size"] - -(-percent * c["size"] // 100) + c["ell"] - c["cold"]
         new = np.ones(len(probe), bool)
         new[1:] = (c["token"][1:] != c["token"][:-1]) | (c["s"][1:] != c["s"][:-1]) | (c["q"][1:] != c["q"][:-1])
         of = np.cumsum(new)
+        spare = c["size"] - c["cold"] - c["hot"] + 1  # hot tokens from this one on
         held = []
         for i, j in _block_pairs(of, probe):
-            ok = (c["comp"][i] != c["comp"][j]) & ((c["comp"][j] == c["main"][j]) | (c["node"][i] < c["node"][j]))
+            ok = (c["comp"][i] != c["comp"][j]) & ((c["comp"][j] == c["main"][j]) | (c["node"][i] < c["node"][j])) & _size_ok(c["size"][i], c["size"][j], percent)
             i, j = i[ok], j[ok]
-            bound = _bound(c["size"][i], c["size"][j], c["ell"][i], c["ell"][j], percent)
-            ok = (np.minimum(c["h"][i], c["h"][j]) >= bound) & _size_ok(c["size"][i], c["size"][j], percent)
-            i, j, bound = i[ok], j[ok], bound[ok]
-            need = np.minimum(c["ell"][i], c["ell"][j])
-            held.append(pd.DataFrame({"a": np.minimum(c["node"][i], c["node"][j]), "b": np.maximum(c["node"][i], c["node"][j]), "c": 1, "low": ((c["low"][i] <= need) & (c["low"][j] <= need)).astype(np.int64), "need": need, "bound": bound}))
-            held = [pd.concat(held).groupby(["a", "b", "need", "bound"], as_index=False).sum()]
-        names = ("a", "b", "c", "low", "need", "bound")
-        return pa.table({n: pa.array(held[0][n] if held else [], pa.int64()) for n in names})
+            both = -(-percent * (c["size"][i] + c["size"][j]) // (100 + percent))
+            hot = c["hot"][i] > 0
+            ok = ~hot | (np.minimum(spare[i], spare[j]) >= both)
+            i, j, hot = i[ok], j[ok], hot[ok]
+            low = np.minimum(c["ell"][i], c["ell"][j])
+            held.append(pd.DataFrame({"a": np.minimum(c["node"][i], c["node"][j]), "b": np.maximum(c["node"][i], c["node"][j]), "hot": hot, "c": 1, "low": ((c["low"][i] <= low) & (c["low"][j] <= low)).astype(np.int64), "need": low - np.minimum(c["hots"][i], c["hots"][j]), "bound": _cold_bound(c, i, j, percent)}))
+            held = [pd.concat(held).groupby(["a", "b", "hot", "need", "bound"], as_index=False).sum()]
+        names = {"a": pa.int64(), "b": pa.int64(), "hot": pa.bool_(), "c": pa.int64(), "low": pa.int64(), "need": pa.int64(), "bound": pa.int64()}
+        return pa.table({n: pa.array(held[0][n] if held else [], k) for n, k in names.items()})
 
-    return at.groupBy("g").applyInArrow(run, "a long, b long, c long, low long, need long, bound long")
+    return at.groupBy("g").applyInArrow(run, "a long, b long, hot boolean, c long, low long, need long, bound long")
 
 
 def linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -404,41 +426,43 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     bits = min(20, max(4, int(np.ceil(np.log2(max(1, total / (8 << 20)))))))
     fps, logs = frequent_tokens(docs, k, bits)
     rows = saved(bucket_rows(postings(docs, k, percent, bits, fps, logs), percent), "buckets")
-    pairs = rows.where("kind = 'pair'").groupBy("a", "b").agg(F.sum("c").alias("c"), F.sum("low").alias("low"), F.max("ell").alias("ell"), F.max("size").alias("bound"))
-    pairs = counted = saved(pairs, "pairs")
+    pairs = rows.where("kind = 'pair'").groupBy("a", "b").agg(F.sum("c").alias("c"), F.sum("low").alias("low"), F.max("need").alias("need"), F.max("bound").alias("bound"))
+    pairs = saved(pairs, "pairs")
     star = rows.where("kind = 'star'").groupBy("a", "b").agg(F.sum("c").alias("c"))
-    post = rows.where("kind = 'post'").select(F.col("c").alias("token"), F.col("a").alias("node"), "size", "low", "ell")
-    # h: a node's entries in hot lists.
-    hot = saved(post.groupBy("node").agg(F.count("*").alias("h")), "hot")
-    # Shared tokens are those of short lists and the hot ones of either at most.
-    for i in "ab":
-        pairs_h = hot.select(F.col("node").alias(i), F.col("h").alias(f"h{i}"))
-        pairs = pairs.join(pairs_h, i, "left").fillna(0, f"h{i}")
-    pairs = pairs.where("low + least(ha, hb) >= ell and c + least(ha, hb) >= bound")
-    pairs = saved(pairs.select("a", "b", "c"), "pairs")
-    dropped(counted)
+    post = rows.where("kind = 'post'").select(F.col("c").alias("token"), F.col("a").alias("node"), "low", "size", "ell", "cold", "hot")
+    enough = "low >= need and c >= bound"
 
     # One text for each node that any pair may need.
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(hot.select("node")).distinct()
+    wanted = pairs.where(f"{enough}").select(F.explode(F.array("a", "b")).alias("node")).union(post.select("node")).distinct()
     heads = sets.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("head")).join(wanted, "node")
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     texts = hashed.join(heads, hashed["doc_id"].eqNullSafe(heads["head.doc_id"]) & (hashed["text_hash"] == heads["head.text_hash"])).groupBy("node").agg(F.first("text").alias("text"))
     texts = saved(texts, "texts")
 
     # First the likeliest partner of each node, then all pairs between components.
-    first = pairs.union(star)
+    first = pairs.where(enough).select("a", "b", "c").union(star)
     best = first.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
     links = saved(linked(best, texts, k, percent), "links")
     comp = components(links)
-    post = post.join(hot, "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    post = saved(post, "post")
+    post = saved(post.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "post")
     dropped(rows)
-    left = pairs.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
-    left = left.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    cross = hot_pairs(post, percent).groupBy("a", "b").agg(F.sum("c").alias("c"), F.sum("low").alias("low"), F.max("need").alias("need"), F.max("bound").alias("bound"))
-    rest = left.union(cross.where("low >= need and c >= bound").select("a", "b")).distinct()
+    across = saved(long_list_pairs(post, percent), "across")
+    cold = pairs.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
+    cold = cold.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "c", "low", "need", "bound")
+    cold = cold.unionByName(across.where("not hot").drop("hot")).groupBy("a", "b").agg(F.sum("c").alias("c"), F.sum("low").alias("low"), F.max("need").alias("need"), F.max("bound").alias("bound")).where(enough)
+    # Of pairs by hot tokens the prefixes are compared.
+    hot = across.where("hot").select("a", "b").distinct()
+    prefix = post.where("hot > 0").groupBy("node").agg(F.first("size").alias("n"), F.first("ell").alias("l"), F.collect_list(F.struct("token", "low")).alias("t"))
+    for i in "ab":
+        hot = hot.join(prefix.select(F.col("node").alias(i), F.col("n").alias(f"n{i}"), F.col("l").alias(f"l{i}"), F.col("t").alias(f"t{i}")), i)
+    low = F.least("la", "lb")
+    ends = [F.transform(F.filter(F.col(f"t{i}"), lambda x: x["low"] <= F.least("la", "lb")), lambda x: x["token"]) for i in "ab"]
+    rests = [F.ceil(percent * F.col(f"n{i}") / 100) - F.col(f"l{i}") for i in "ab"]
+    bound = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent)) - F.greatest(*rests)
+    hot = hot.where((F.size(F.array_intersect(*ends)) >= low) & (F.size(F.array_intersect("ta.token", "tb.token")) >= bound))
+    rest = cold.select("a", "b").union(hot.select("a", "b")).distinct()
     more = saved(linked(rest, texts, k, percent), "links")
-    dropped(texts, pairs, post)
+    dropped(texts, pairs, post, across)
     # Components of components: few edges are left.
     of_a, of_b = (comp.select(F.col("node").alias(i), F.col("comp").alias(f"c{i}")) for i in "ab")
     edges = more.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))

@@ -106,11 +106,16 @@ def test_jaccard_join_chain_of_near_copies(spark):
     assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(df).collect()} == root
 
 
-@pytest.mark.parametrize("block", [8, 4096])
-def test_jaccard_join_of_hot_lists(spark, monkeypatch, block):
-    """Near copies of one text with words from a short list changed, and other texts around one passage."""
+@pytest.mark.parametrize("block, cold", [(8, 4), (4096, 3), (16, 6)])
+def test_jaccard_join_of_hot_lists(spark, monkeypatch, block, cold):
+    """Near copies of one text with words from a short list changed, and other texts around one passage.
+
+    Blocks of any size and any measure of hot tokens give the same links; with the
+    last one, long lists of tokens that aren't hot are compared too.
+    """
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
-    monkeypatch.setattr(jaccard_join, "SMALL", 4)
+    monkeypatch.setattr(jaccard_join, "COLD", cold)
+    monkeypatch.setattr(jaccard_join, "SMALL", 12)
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in range(80)]
     texts = {}
