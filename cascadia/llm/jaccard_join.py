@@ -306,8 +306,9 @@ def bucket_rows(blobs: DataFrame, percent: int) -> DataFrame:
         long = np.flatnonzero((m > 1) & ((m > SMALL) | (c["hot"] > 0)))
         if len(long):
             band = np.floor(np.log(c["size"][long]) / np.log(100 / percent)).astype(np.int64)
-            q = pd.DataFrame({"t": tok[long], "band": band, "b": node[long]})
-            q["a"] = q.groupby(["t", "band"])["b"].transform("min")
+            # The pivot has the fewest tokens of its own, so it is near the text that the others come from.
+            q = pd.DataFrame({"t": tok[long], "band": band, "cold": c["cold"][long], "b": node[long]}).sort_values(["cold", "b"])
+            q["a"] = q.groupby(["t", "band"])["b"].transform("first")
             out.append(q[q["a"] != q["b"]].groupby(["a", "b"]).size().reset_index(name="c").assign(kind="star"))
             out.append(pd.DataFrame({"kind": "post", "a": node[long], "c": _ids(tok[long]), "low": c["lev"][long]} | {n: c[n][long] for n in ("size", "ell", "cold", "hot")}))
         kind = {n: pa.string() if n == "kind" else pa.int64() for n in names}
