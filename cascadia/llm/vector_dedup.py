@@ -6,7 +6,7 @@ few tables stand for tens of thousands of filters. A vector is list-decoded to
 all filters that it exceeds, those whose inner product comes within a slack of
 its best, block by block without a look at the others. Vectors meet in the
 filters they share and are verified there by their exact cosine. A pair counts
-in one filter only, the one nearest to the sum of both.
+in one filter only, the first of those that both exceed.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, saved, table
+from .common import components, dropped, saved, small_batches, table
 
 BLOCKS = 3
 #: Directions of a block at least; with more vectors there are more, so that filters stay small.
@@ -58,12 +58,22 @@ class ProductCode:
             row, code, lost = row[i], code[i] * self.n + k, total[i, k]
         return row, code
 
-    def nearest(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The filter nearest to the sum of each pair, from their tables."""
-        code = np.zeros(len(a), np.int64)
-        for k in (a + b).argmax(2).T:
-            code = code * self.n + k
-        return code
+    def first_shared(self, unit: np.ndarray, code: int, i: np.ndarray, j: np.ndarray, slack: float = SLACK) -> np.ndarray:
+        """Whether no filter before ``code`` is exceeded by both vectors of a pair (i, j)."""
+        row, codes = self.decode(unit, slack)
+        row, codes = row[codes < code], codes[codes < code]
+        order = np.argsort(row, kind="stable")
+        row, codes = row[order], codes[order]
+        at = np.searchsorted(row, np.arange(len(unit) + 1))
+        held = np.sort(row * self.n ** len(self.parts) + codes)
+        size = (at[1:] - at[:-1])[i]
+        pair = np.repeat(np.arange(len(i)), size)
+        own = codes[at[i][pair] + np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size)]
+        key = j[pair] * self.n ** len(self.parts) + own
+        found = held[np.minimum(np.searchsorted(held, key), len(held) - 1)] == key if len(held) else np.zeros(0, bool)
+        first = np.ones(len(i), bool)
+        first[pair[found]] = False
+        return first
 
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
@@ -99,7 +109,7 @@ def filter_rows(distinct: DataFrame, slack: float, directions: int) -> DataFrame
     return distinct.select("embedding", "rid", "copies").mapInArrow(run, "dim long, filter long, rid long, copies long, raw binary")
 
 
-def compare(rows: DataFrame, least: float, directions: int, kind: str) -> DataFrame:
+def compare(rows: DataFrame, least: float, slack: float, directions: int, kind: str) -> DataFrame:
     """Links within filters: rows (rid, n, comp) with link counts, and with edges to a local component."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
@@ -115,10 +125,9 @@ def compare(rows: DataFrame, least: float, directions: int, kind: str) -> DataFr
             i, j = a[i[keep]], b[j[keep]]
             if len(i):
                 product = ProductCode(dim, directions)
-                tables = product.tables(unit)
                 for at in range(0, len(i), 1 << 15):
                     p, q = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
-                    here = product.nearest(tables[p], tables[q]) == code
+                    here = product.first_shared(unit, code, p, q, slack)
                     n += np.bincount(p[here], copies[q[here]], len(rid)).astype(np.int64) + np.bincount(q[here], copies[p[here]], len(rid)).astype(np.int64)
                 while True:  # smallest rid of the linked vectors here
                     new = label.copy()
@@ -138,14 +147,19 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, slack: float = SLACK) -
 
     Returns one row per vector: vec_id (a key), n_links (other vectors linked
     directly), component_id (the smallest vec_id reachable by links, itself
-    included), kept (vec_id = component_id). Every reported link is exact; a link
-    is missed if its nearest filter lies beyond the slack for one of its ends.
+    included), kept (vec_id = component_id). Every reported link is exact, and a
+    vector has links if and only if its component holds another one; a link is
+    missed if no filter is exceeded by both ends. The number of directions of a
+    block grows with the cube root of the number of vectors, so that filters stay
+    small; with it a vector exceeds more of them and recall stays. A null vec_id
+    counts as no link's end: such a row has the links and the component of the
+    rows with its vector, or no link and a null component.
     Vectors that are null, empty, zero, or hold null or non-finite components
     link with nothing, and those of different lengths don't link. Equal vectors
     are compared once and counted each; other columns are ignored.
     """
     spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4096)
+    small_batches(spark)
     distinct = saved(unit_vectors(vectors), "vectors")
     directions = max(DIRECTIONS, round((distinct.count() / 12) ** (1 / BLOCKS)))
     kind = "float64" if dict(vectors.dtypes)["embedding"] == "array<double>" else "float32"
@@ -154,7 +168,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, slack: float = SLACK) -
     dealt = rows.join(full, ["dim", "filter"]).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
-    found = saved(compare(dealt.select("dim", "filter", "one", "two", "rid", "copies", "block", "raw"), least, directions, kind), "links")
+    found = saved(compare(dealt.select("dim", "filter", "one", "two", "rid", "copies", "block", "raw"), least, slack, directions, kind), "links")
+    dropped(rows)
     links = found.groupBy("rid").agg(F.sum("n").alias("n"))
     comp = components(found.where("rid <> comp").select(F.col("rid").alias("a"), F.col("comp").alias("b")))
     of = distinct.join(links, "rid", "left").join(comp.select(F.col("node").alias("rid"), "comp"), "rid", "left")
