@@ -1,10 +1,11 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-Two gated recurrent layers read the bytes of a word, one in each direction, and
-a softmax labels every position from both states. The network is trained here in
+Two gated recurrent layers read a text's bytes, one in each direction, and a
+softmax labels every position from both states. The network is trained here in
 numpy by backpropagation through time. A document's distribution is the pooled
-(geometric mean) distribution of all its positions. States start anew at each
-word, so equal words have equal labels and a task labels each of them once.
+(geometric mean) distribution of all its positions. Texts are read whole, in
+windows that overlap, so that every position is labelled in its context; a task
+labels equal windows, as copies of a text have them, once.
 """
 
 from __future__ import annotations
@@ -22,23 +23,20 @@ from .common import small_batches, table
 U64 = np.uint64
 #: Documents of each language to train on at most, those with the smallest hashes of doc_id.
 MOST_DOCUMENTS = 300
-#: Bytes that one pass of the network reads at most; longer words are cut.
-SPAN = 48
-#: Words that a task remembers before it starts anew.
-MOST_WORDS = 1 << 19
-WORD = np.zeros(256, dtype=bool)
-WORD[0x61:0x7B] = True
-WORD[0x80:] = True
+#: Bytes that one window labels, and those that it reads besides on either side.
+SPAN, CONTEXT = 112, 8
+#: Windows that a task remembers before it starts anew.
+MOST_WINDOWS = 1 << 18
+#: Bytes of one window in training, and windows of one document, those with the smallest hashes.
+TRAIN_SPAN, TRAIN_WINDOWS = 48, 32
 
 
-def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row) of words of letters and non-ASCII bytes, cut after SPAN bytes."""
-    s, e, row = K.words(buf, off, WORD)
-    n = -(-(e - s) // SPAN)
-    of = np.repeat(np.arange(len(s)), n)
-    k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-    s2 = s[of] + k * SPAN
-    return s2, np.minimum(e[of], s2 + SPAN), row[of]
+def windows(off: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of pieces of ``span`` bytes that cover each row."""
+    n = -(-(off[1:] - off[:-1]) // span)
+    row = np.repeat(np.arange(len(n)), n)
+    s = off[row] + (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * span
+    return s, np.minimum(s + span, off[row + 1]), row
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -62,6 +60,7 @@ class Network:
         n, t = x.shape
         state = np.zeros((n, h), np.float32)
         out, tape = np.zeros((t, n, h), np.float32), []
+        full = on.all(0)
         for i in range(t) if d == "f" else range(t - 1, -1, -1):
             a, b = w[x[:, i]], state @ u
             gates = _sigmoid(a[:, : 2 * h] + b[:, : 2 * h])
@@ -69,15 +68,14 @@ class Network:
             pre = b[:, 2 * h :] + c
             g = np.tanh(a[:, 2 * h :] + r * pre)
             new = g + z * (state - g)
-            live = on[:, i, None]
             if keep:
                 tape.append((i, state, z, r, pre, g))
-            state = np.where(live, new, state)
+            state = new if full[i] else np.where(on[:, i, None], new, state)
             out[i] = state
         return out, tape
 
     def positions(self, x: np.ndarray, on: np.ndarray, keep: bool = False) -> tuple:
-        """Log-probabilities of the classes at each position, (time, word, class)."""
+        """Log-probabilities of the classes at each position, (time, window, class)."""
         f, tf = self._layer(x, on, "f", keep)
         b, tb = self._layer(x, on, "b", keep)
         s = np.concatenate((f, b), 2)
@@ -118,26 +116,24 @@ class Network:
         return float(loss), g
 
 
-def pad(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    size = np.array([len(w) for w in words])
-    x = np.zeros((len(words), int(size.max())), np.uint8)
-    for i, w in enumerate(words):
+def pad(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    size = np.array([len(w) for w in found])
+    x = np.zeros((len(found), int(size.max())), np.uint8)
+    for i, w in enumerate(found):
         x[i, : len(w)] = np.frombuffer(w, np.uint8)
     return x, np.arange(x.shape[1]) < size[:, None]
 
 
-def train(words: list[bytes], labels: np.ndarray, classes: list[str], steps: int = 500, batch: int = 256, rate: float = 0.01, seed: int = 7) -> Network:
-    """Fit the network to labelled words by Adam; the words of a batch are of similar length."""
+def train(found: list[bytes], labels: np.ndarray, classes: list[str], steps: int = 300, batch: int = 96, rate: float = 0.01, seed: int = 7) -> Network:
+    """Fit the network to labelled windows by Adam, in batches of any windows."""
     net, r = Network(classes, seed=seed), np.random.default_rng(seed)
-    if not words or len(classes) < 2:
+    if not found or len(classes) < 2:
         return net
-    by_size = np.argsort([len(w) for w in words], kind="stable")
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
     for step in range(1, steps + 1):
-        at = r.integers(0, max(1, len(words) - batch + 1))
-        pick = by_size[at : at + batch]
-        x, on = pad([words[i] for i in pick])
+        pick = r.integers(0, len(found), batch)
+        x, on = pad([found[i] for i in pick])
         _, g = net.gradients(x, on, labels[pick])
         lr = rate * min(1.0, 2 * (1 - step / (steps + 1)))
         for k, d in g.items():
@@ -148,7 +144,7 @@ def train(words: list[bytes], labels: np.ndarray, classes: list[str], steps: int
 
 
 class Labeller:
-    """Sums of log-probabilities over the positions of words, remembered by their hashes."""
+    """Sums of log-probabilities over the positions of windows, remembered by their hashes."""
 
     def __init__(self, net: Network):
         self.net = net
@@ -158,30 +154,33 @@ class Labeller:
         self.keys = np.zeros(0, U64)
         self.sums = np.zeros((0, len(self.net.classes)), np.float32)
 
-    def words(self, data: np.ndarray, s: np.ndarray, e: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        """Rows of sums for each of the words data[s:e]."""
-        if len(self.keys) > MOST_WORDS:
+    def rows(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sums, row) of all windows of the rows of ``data``."""
+        s, e, row = windows(off, SPAN)
+        lo, hi = np.maximum(s - CONTEXT, off[row]), np.minimum(e + CONTEXT, off[row + 1])
+        c = K.prefix_hash(data)
+        hashes = K.mix(K.span_hash(c, lo, hi) + (s - lo).astype(U64) * U64(256) + (hi - e).astype(U64))
+        if len(self.keys) > MOST_WINDOWS:
             self.forget()
         u, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         at = np.minimum(np.searchsorted(self.keys, u), max(0, len(self.keys) - 1))
         new = np.flatnonzero(self.keys[at] != u) if len(self.keys) else np.arange(len(u))
         if len(new):
             k = first[new]
-            sums = self._label(data, s[k], e[k])
+            sums = self._label(data, lo[k], s[k], e[k], hi[k])
             where = np.searchsorted(self.keys, u[new])
             self.keys, self.sums = np.insert(self.keys, where, u[new]), np.insert(self.sums, where, sums, 0)
-        return self.sums[np.searchsorted(self.keys, u)][back]
+        return self.sums[np.searchsorted(self.keys, u)][back], row
 
-    def _label(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    def _label(self, data: np.ndarray, lo: np.ndarray, s: np.ndarray, e: np.ndarray, hi: np.ndarray) -> np.ndarray:
         out = np.zeros((len(s), len(self.net.classes)), np.float32)
-        order = np.argsort(e - s, kind="stable")
+        order = np.argsort(hi - lo, kind="stable")
         for i in range(0, len(order), 1024):
             o = order[i : i + 1024]
-            width = int((e[o] - s[o]).max())
-            at = s[o][:, None] + np.arange(width)
-            on = at < e[o][:, None]
-            (y,) = self.net.positions(data[np.minimum(at, len(data) - 1)], on)
-            out[o] = np.einsum("tnk,nt->nk", y, on.astype(np.float32))
+            at = lo[o][:, None] + np.arange(int((hi[o] - lo[o]).max()))
+            (y,) = self.net.positions(data[np.minimum(at, len(data) - 1)], at < hi[o][:, None])
+            own = (at >= s[o][:, None]) & (at < e[o][:, None])
+            out[o] = np.einsum("tnk,nt->nk", y, own.astype(np.float32))
         return out
 
 
@@ -189,9 +188,9 @@ def held_out(folds: int = 5, fold: int = 0) -> Column:
     return (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds) == fold
 
 
-def learn_languages(docs: DataFrame, most: int = MOST_DOCUMENTS, words_of: int = 400) -> Network:
+def learn_languages(docs: DataFrame, most: int = MOST_DOCUMENTS) -> Network:
     """A network from at most ``most`` documents of each language outside the held-out
-    fold, and at most ``words_of`` words of each, those with the smallest hashes."""
+    fold, and TRAIN_WINDOWS windows of each, those with the smallest hashes."""
     rows = docs.select("doc_id", "lang").where("lang is not null and doc_id is not null").where(~held_out())
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     few = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).select("doc_id", F.col("lang").alias("label"))
@@ -201,18 +200,20 @@ def learn_languages(docs: DataFrame, most: int = MOST_DOCUMENTS, words_of: int =
             found = []
             for _, _, buf, off in K.text_chunks(b.column(1)):
                 low = K.LOWER[buf]
-                s, e, row = word_spans(low, off)
+                s, e, row = windows(off, TRAIN_SPAN)
                 h = K.span_hash(K.prefix_hash(low), s, e) if len(s) else np.zeros(0, U64)
                 at = np.searchsorted(row, np.arange(len(off)))
                 for i in range(len(off) - 1):
                     own = np.arange(at[i], at[i + 1])
-                    own = own[np.argsort(h[own], kind="stable")[:words_of]]
+                    own = own[np.argsort(h[own], kind="stable")[:TRAIN_WINDOWS]]
                     found.append([low[s[k] : e[k]].tobytes() for k in own])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.binary()))], names=["label", "words"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.binary()))], names=["label", "windows"])
 
-    got = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("label", "text").mapInArrow(run, "label string, words array<binary>").toPandas()
+    # The distinct ids: a repeated doc_id must not multiply rows.
+    few = few.groupBy("doc_id").agg(F.min("label").alias("label"))
+    got = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("label", "text").mapInArrow(run, "label string, windows array<binary>").toPandas()
     classes = sorted(set(got["label"]))
-    pairs = sorted((bytes(w), classes.index(x)) for x, ws in zip(got["label"], got["words"], strict=True) for w in ws)
+    pairs = sorted((bytes(w), classes.index(x)) for x, ws in zip(got["label"], got["windows"], strict=True) for w in ws)
     return train([w for w, _ in pairs], np.array([k for _, k in pairs], np.int64), classes)
 
 
@@ -220,8 +221,8 @@ def languages(docs: DataFrame, most: int = MOST_DOCUMENTS) -> DataFrame:
     """Predict the language of each document: doc_id, held_out, lang_pred, score.
 
     The network learns from documents whose crc32(doc_id) mod 5 is not 0, at most
-    ``most`` of each language; a prediction reads all letters of the whole text
-    and nothing else. lang_pred is ``und`` with score 0 for a null text, one
+    ``most`` of each language; a prediction reads all bytes of the whole text, A-Z
+    lower-cased, and nothing else. lang_pred is ``und`` with score 0 for a null text, one
     without a letter, or if there was nothing to learn from; score is the pooled
     probability. Ties go to the first language by name; repeated rows are
     predicted each; other columns are ignored.
@@ -239,10 +240,10 @@ def languages(docs: DataFrame, most: int = MOST_DOCUMENTS) -> DataFrame:
             for i, j, buf, off in K.text_chunks(b.column(1)):
                 n = j - i
                 low = K.LOWER[buf]
-                s, e, row = word_spans(low, off)
-                total, size = np.zeros((n, len(net.classes))), np.bincount(row, e - s, n)
-                if len(s) and net.classes:
-                    np.add.at(total, row, lab.words(low, s, e, K.span_hash(K.prefix_hash(low), s, e)))
+                total, size = np.zeros((n, len(net.classes))), off[1:] - off[:-1]
+                if len(low) and net.classes:
+                    sums, row = lab.rows(low, off)
+                    np.add.at(total, row, sums)
                 mean = total / np.maximum(1, size)[:, None]
                 p = np.exp(mean - mean.max(1, keepdims=True)) if net.classes else np.zeros((n, 1))
                 p /= np.maximum(1e-30, p.sum(1, keepdims=True))
