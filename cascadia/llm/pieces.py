@@ -15,6 +15,7 @@ spaces and drops the one that encoding puts in front.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -34,8 +35,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words that a task remembers before it starts anew.
 MOST_WORDS = 1 << 19
 UNKNOWN = 10.0
+#: Bytes from which a word is segmented alone, edge by edge, and not in step with others.
+LONG = 1024
 #: Rounds of estimation at most, and the relative gain in likelihood below which they end.
-MOST_ROUNDS = 12
+MOST_ROUNDS = 4
 LEAST_GAIN = 1e-3
 #: Expected counts are summed as integers of this part, so that no order of tasks changes them.
 QUANTUM = 2.0**-20
@@ -180,6 +183,11 @@ class Encoder:
         order = np.argsort(size, kind="stable")
         found: list = [None] * 3
         rows, starts, pieces = [], [], []
+        for o in order[size[order] >= LONG]:
+            at, ids = self._alone(words[o])
+            for x, y in zip((rows, starts, pieces), (np.full(len(at), o), at, ids), strict=True):
+                x.append(y)
+        order = order[size[order] < LONG]
         i = 0
         while i < len(order):
             j = min(len(order), i + 1 + (1 << 20) // (int(size[order[i]]) + 16))
@@ -193,6 +201,86 @@ class Encoder:
         row = found[0][by]
         return found[2][by].astype(np.int32), np.searchsorted(row, np.arange(len(words) + 1))
 
+    def _edges_of(self, word: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, piece) of all edges of one word by start, -1 for characters without a piece; all starts walk the trie in step."""
+        trie = self.v.trie
+        text = np.frombuffer(word, np.uint8).astype(np.int64)
+        n = len(text)
+        at = np.arange(n)
+        lead = text
+        step = np.where(lead < 0x80, 1, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4)))
+        mark = np.frombuffer(MARK.encode(), np.uint8)
+        r = at if n != len(mark) or word != MARK.encode() else at[:0]
+        state = np.zeros(len(r), np.int64)
+        single = np.zeros(n, bool)
+        starts, ends, pieces = [], [], []
+        for d in range(trie.depth):
+            ok = r + d < n
+            r, state = r[ok], state[ok]
+            to = trie.base[state] + text[r + d] + 1
+            ok = trie.check[to] == state
+            r, state = r[ok], to[ok].astype(np.int64)
+            if not len(r):
+                break
+            v = trie.value[state]
+            has = v >= 0
+            starts.append(r[has])
+            ends.append(r[has] + d + 1)
+            pieces.append(v[has])
+            single[r[has][step[r[has]] == d + 1]] = True
+        lost = np.flatnonzero(~single & ((text & 0xC0) != 0x80))
+        starts.append(lost)
+        ends.append(np.minimum(lost + step[lost], n))
+        pieces.append(np.full(len(lost), -1))
+        s, e, v = (np.concatenate(x) for x in (starts, ends, pieces))
+        order = np.argsort(s, kind="stable")
+        return s[order], e[order], v[order]
+
+    def _alone(self, word: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(first byte, piece) of the best segmentation of one long word, edge by edge."""
+        s, e, v = self._edges_of(word)
+        score = np.where(v >= 0, self.v.scores[v], self.unknown).tolist()
+        best = [-np.inf] * (len(word) + 1)
+        best[0] = 0.0
+        by = [-1] * (len(word) + 1)
+        for k, (i, j, x) in enumerate(zip(s.tolist(), e.tolist(), score, strict=True)):
+            if (y := best[i] + x) > best[j]:
+                best[j], by[j] = y, k
+        at, ids, j = [], [], len(word)
+        while j:
+            i, piece = int(s[by[j]]), int(v[by[j]])
+            if piece >= 0:
+                at.append(i)
+                ids.append(piece)
+            else:
+                for b in range(j - 1, i - 1, -1):
+                    at.append(b)
+                    ids.append(int(self.v.byte_ids[word[b]]))
+            j = i
+        return np.array(at[::-1], np.int64), np.array(ids[::-1], np.int64)
+
+    def _expected_alone(self, word: bytes, count: int, out: np.ndarray) -> int:
+        """As ``_expected``, for one long word: sums of probabilities, rescaled as they go."""
+        s, e, v = self._edges_of(word)
+        score = np.where(v >= 0, self.v.scores[v], self.unknown)
+        ahead, behind = ([-np.inf] * (len(word) + 1) for _ in range(2))
+        ahead[0] = behind[len(word)] = 0.0
+        edges = list(zip(s.tolist(), e.tolist(), score.tolist(), strict=True))
+        for i, j, x in edges:
+            a, b = ahead[j], ahead[i] + x
+            if b > a:
+                a, b = b, a
+            ahead[j] = a + math.log1p(math.exp(b - a)) if b > -np.inf else a
+        for i, j, x in reversed(edges):
+            a, b = behind[i], behind[j] + x
+            if b > a:
+                a, b = b, a
+            behind[i] = a + math.log1p(math.exp(b - a)) if b > -np.inf else a
+        whole = ahead[-1]
+        n = np.rint(np.exp(np.minimum(0, np.array(ahead)[s] + score + np.array(behind)[e] - whole)) * count / QUANTUM)
+        np.add.at(out, v[v >= 0], n[v >= 0].astype(np.int64))
+        return int(np.rint(whole * count * 1024))
+
     def _padded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         size = np.array([len(w) for w in words])
         text = np.zeros((len(words), int(size.max()) + 1), np.int64)
@@ -241,7 +329,11 @@ class Encoder:
         Both are sums of whole quanta.
         """
         out, likely = np.zeros(len(self.v.pieces), np.int64), 0
-        order = np.argsort([len(w) for w in words], kind="stable")
+        size = np.array([len(w) for w in words])
+        order = np.argsort(size, kind="stable")
+        for o in order[size[order] >= LONG]:
+            likely += self._expected_alone(words[o], int(counts[o]), out)
+        order = order[size[order] < LONG]
         i = 0
         while i < len(order):
             j = min(len(order), i + 1 + (1 << 17) // (len(words[order[i]]) + 16))
