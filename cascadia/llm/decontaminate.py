@@ -1,10 +1,10 @@
 """Benchmark decontamination with suffix arrays of the training documents.
 
-Each task turns the documents it reads into shards. A shard's suffix array holds
-the word positions at which a match could begin, those whose first words open
-some benchmark window, in lexicographic order of the word sequences that follow.
-Every benchmark suffix is binary-searched in every shard; what is found is
-extended to the longest verbatim match and reported with its location.
+Each task turns the documents it reads into shards of about a megabyte. A
+shard's suffix array holds all its word positions in lexicographic order of the
+word sequences that follow. Every benchmark suffix whose words the shard knows is
+binary-searched in it; what is found is extended to the longest verbatim match
+and reported with its location.
 """
 
 from __future__ import annotations
@@ -19,12 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import filtered, small_batches, table
+from .common import filtered, saved, small_batches, table
 
 U64 = np.uint64
 #: Bytes of benchmark text that one broadcast holds; a larger benchmark is searched block by block.
 BLOCK = 8 << 20
-LEAD = 3
 
 
 class Suffixes:
@@ -58,13 +57,24 @@ class Suffixes:
         self.unique_size = (self.unique != 0).sum(1)
         self.by_key = np.argsort(self.which, kind="stable")
         self.key_at = np.searchsorted(self.which[self.by_key], np.arange(len(self.unique) + 1))
-        self.leads = []
-        for n in range(1, LEAD + 1):
-            own = self.unique[(np.minimum(self.unique_size, LEAD)) == n]
-            marks = np.zeros(1 << 18, bool)
-            for k in own:
-                marks[int(K.window_hashes(k[:n], n)[0]) & 0x3FFFF] = True
-            self.leads.append(marks if len(own) else None)
+        self.vocabulary, code = np.unique(self.unique, return_inverse=True)  # 0 fills up short items
+        self.codes = code.reshape(self.unique.shape)
+
+
+def suffix_array(codes: np.ndarray, end: np.ndarray, width: int) -> np.ndarray:
+    """Word positions in the order of the ``width`` words or more that follow in their document; ties by position."""
+    n = len(codes)
+    rank, size = codes.astype(np.int64) + 1, 1
+    at = np.arange(n)
+    while True:
+        next_ = np.where(at + size < end, rank[np.minimum(at + size, n - 1)], 0)
+        key = rank * (n + 2) + next_
+        size *= 2
+        order = np.argsort(key, kind="stable")
+        if size >= width:
+            return order
+        s = key[order]
+        rank[order] = np.cumsum(np.concatenate(([1], s[1:] != s[:-1])))
 
 
 def search(words: np.ndarray, row: np.ndarray, s: Suffixes) -> tuple[np.ndarray, ...]:
@@ -73,29 +83,27 @@ def search(words: np.ndarray, row: np.ndarray, s: Suffixes) -> tuple[np.ndarray,
     n, width = len(words), s.unique.shape[1]
     if not n or not len(s.unique):
         return none
-    may = np.zeros(n, bool)
-    for k, marks in enumerate(s.leads, 1):
-        if marks is not None:
-            w = K.window_hashes(words, k)
-            may[: len(w)] |= marks[(w & U64(0x3FFFF)).astype(np.int64)]
-    end = np.searchsorted(row, row, "right")
-    pos = np.flatnonzero(may)
-    if not len(pos):
+    known, codes = np.unique(words, return_inverse=True)
+    at = np.minimum(np.searchsorted(known, s.vocabulary), len(known) - 1)
+    here = (known[at] == s.vocabulary) | (s.vocabulary == 0)
+    maybe = np.flatnonzero(here[s.codes].all(1))
+    if not len(maybe):
         return none
+    end = np.searchsorted(row, row, "right")
+    pos = suffix_array(codes, end, width)
     padded = np.concatenate((words, np.zeros(width, U64)))
-    seq = np.stack([np.where(pos + j < end[pos], padded[pos + j], 0) for j in range(width)], 1)
-    order = np.lexsort(seq.T[::-1])
-    pos, seq = pos[order], seq[order]
+    asked, sizes, ahead = s.unique[maybe], s.unique_size[maybe], np.arange(width)
 
     def bound(upper: bool) -> np.ndarray:
-        lo, hi = np.zeros(len(s.unique), np.int64), np.full(len(s.unique), len(pos))
+        lo, hi = np.zeros(len(maybe), np.int64), np.full(len(maybe), n)
         while (lo < hi).any():
             mid = (lo + hi) // 2
-            at = seq[np.minimum(mid, len(pos) - 1)]
-            differs = (at != s.unique) & (np.arange(width) < s.unique_size[:, None])
+            p = pos[np.minimum(mid, n - 1)][:, None] + ahead
+            at = np.where(p < end[p[:, 0]][:, None], padded[p], 0)
+            differs = (at != asked) & (ahead < sizes[:, None])
             j = np.argmax(differs, 1)
             some, rows = differs.any(1), np.arange(len(mid))
-            less = np.where(some, at[rows, j] < s.unique[rows, j], upper)
+            less = np.where(some, at[rows, j] < asked[rows, j], upper)
             open_ = lo < hi
             lo = np.where(open_ & less, mid + 1, lo)
             hi = np.where(open_ & ~less, mid, hi)
@@ -106,11 +114,13 @@ def search(words: np.ndarray, row: np.ndarray, s: Suffixes) -> tuple[np.ndarray,
     if not len(found):
         return none
     # Each place of a window in the shard, with each place of it in the items.
-    places, homes = (hi - lo)[found], (s.key_at[found + 1] - s.key_at[found])
-    key = np.repeat(found, places * homes)
+    lo, places, found = lo[found], (hi - lo)[found], maybe[found]
+    homes = s.key_at[found + 1] - s.key_at[found]
+    which = np.repeat(np.arange(len(found)), places * homes)
+    key = found[which]
     k = np.arange(len(key)) - np.repeat(np.cumsum(places * homes) - places * homes, places * homes)
     h = np.repeat(homes, places * homes)
-    p = pos[lo[key] + k // h]
+    p = pos[lo[which] + k // h]
     w = s.by_key[s.key_at[key] + k % h]
     q, item = s.start[w], s.item[w]
     inside = (p > 0) & (q > s.bounds[item])
@@ -135,14 +145,21 @@ def _blocks(benchmark: DataFrame) -> list[DataFrame]:
     return [b] if n == 1 else [b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)]
 
 
+MATCHES = "matches array<struct<item_id: string, doc_word: long, item_word: long, n_words: long>>"
+
+
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """One row per document and benchmark block: doc_id, n_words and matches, the
-    longest verbatim matches as (item_id, doc_word, item_word, n_words)."""
+    """One row per document: doc_id, n_words and matches, the longest verbatim
+    matches as (item_id, doc_word, item_word, n_words).
+
+    Rows are never told apart by doc_id: with several benchmark blocks, each adds
+    its matches to the row as the last one left it.
+    """
     spark = docs.sparkSession
     small_batches(spark)
-    kind = "doc_id long, n_words long, matches array<struct<item_id: string, doc_word: long, item_word: long, n_words: long>>"
-    out = None
-    for block in _blocks(benchmark):
+    out = docs.select("doc_id", "text", F.lit(None).cast("long").alias("n_words"), F.expr("array()").cast(MATCHES.split(" ", 1)[1]).alias("matches"))
+    blocks = _blocks(benchmark)
+    for k, block in enumerate(blocks):
         rows = block.collect()  # at most BLOCK bytes of text
         known = spark.sparkContext.broadcast(Suffixes([r[0] for r in rows], [r[1] for r in rows], window))
 
@@ -163,12 +180,13 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10) -
                         c.append(x)
                 item_ids, *rest = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols)
                 fields = pa.StructArray.from_arrays([pa.array(list(item_ids), pa.string()), *(pa.array(x, pa.int64()) for x in rest)], ["item_id", "doc_word", "item_word", "n_words"])
-                matches = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), fields)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(counts) if counts else [], pa.int64()), matches], names=["doc_id", "n_words", "matches"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate(counts) if counts else [], pa.int64()), b.column(3), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), fields)], names=["doc_id", "text", "n_words", "matches", "more"])
 
-        part = docs.select("doc_id", "text").mapInArrow(run, kind)
-        out = part if out is None else out.union(part)
-    return out
+        part = out.mapInArrow(run, f"doc_id long, text string, n_words long, {MATCHES}, more {MATCHES.split(' ', 1)[1]}")
+        out = part.select("doc_id", "text", "n_words", F.concat("matches", "more").alias("matches"))
+        if k < len(blocks) - 1:
+            out = saved(out, "matches")
+    return out.drop("text")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
@@ -181,14 +199,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     windows), items_sha256 (of their ids, sorted as strings and comma-joined),
     contaminated (n_hit > 0) and matches (the longest verbatim matches).
 
-    doc_id is a unique key. Null texts have no words; a null item_id never counts
+    Rows are judged each by its own text, also with null or repeated doc_ids. Null texts have no words; a null item_id never counts
     as an item; an empty benchmark hits nothing; repeated items count by their
     ids; other columns are ignored.
     """
     found = benchmark_matches(docs, benchmark, window)
-    if len(_blocks(benchmark)) > 1:
-        found = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches"))
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
             hits, n_items, sha = [], [], []
