@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import saved, table
 
-#: Template notices.
+#: Template notices, sentences of licence texts, headers and identifiers.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
@@ -26,9 +26,29 @@ TEMPLATES = [
     ("MPL-2.0", "This file is subject to the terms of the Mozilla Public License, version 2.0."),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
     ("proprietary", "All rights reserved."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("Apache-2.0", "you may not use this file except in compliance with the License."),
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("MIT", "The MIT License (MIT)"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
+    ("MIT", "SPDX-License-Identifier: MIT"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-3.0", "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("GPL", "GNU General Public License"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 #: What a line must hold to be compared.
-CUE = r"(?i)licen[sc]e|copyright|rights reserved|spdx|redistribution"
+CUE = r"(?i)licen[sc]e|copyright|rights reserved|spdx|redistribution|permission|public domain"
 #: Least cosine of a notice.
 SIMILAR = 0.75
 #: Share of a text's characters that notices must make for a licence file.
@@ -60,8 +80,8 @@ def scan(files: DataFrame, templates: DataFrame, similar: float = SIMILAR, share
     """License of each file: path, own_license, own_score, license, origin, from_dir.
 
     ``files`` has path (a key, parts joined by /) and text, ``templates`` license
-    and line. Each distinct line takes its best template, of equal ones the first
-    by name, if the cosine is ``similar`` or more; a file takes its best line.
+    and line, any number of lines a licence (a few thousand in all). Each distinct
+    line takes its best template, of equal ones the first by licence, if the cosine is ``similar`` or more; a file takes its best line.
     Inverse document frequencies count distinct lines of all files and the
     templates. origin is own, inherited or none; from_dir is the directory that
     was inherited from ("" is the root). A null or empty text has no licence of
@@ -74,8 +94,9 @@ def scan(files: DataFrame, templates: DataFrame, similar: float = SIMILAR, share
     df = all_lines.select("line", F.explode(F.array_distinct(_terms(F.col("line")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     idf = df.join(F.broadcast(n)).select("term", (F.log(F.col("n") / F.col("df")) + 1.0).alias("idf"))  # one row of n
     of_line = _weights(lines.select("line").withColumn("key", F.col("line")), "key", idf)
-    of_template = _weights(templates, "license", idf).select("license", "term", F.col("w").alias("v"))
-    cosine = of_line.join(of_template, "term").groupBy(F.col("key").alias("line"), "license").agg(F.round(F.sum(F.col("w") * F.col("v")), 6).alias("score")).where(F.col("score") >= similar)
+    keyed = templates.select("license", "line", F.concat_ws(" | ", "license", "line").alias("template"))
+    of_template = _weights(keyed, "template", idf).join(keyed.select("template", "license"), "template").select("template", "license", "term", F.col("w").alias("v"))
+    cosine = of_line.join(of_template, "term").groupBy(F.col("key").alias("line"), "template", "license").agg(F.round(F.sum(F.col("w") * F.col("v")), 6).alias("score")).where(F.col("score") >= similar)
     best = cosine.groupBy("line").agg(F.min_by(F.struct("license", "score"), F.struct(-F.col("score"), F.col("license"))).alias("b")).select("line", "b.*")
     found = rows.join(best, "line")
     own = found.groupBy("path").agg(F.min_by(F.struct("license", "score"), F.struct(-F.col("score"), F.col("license"))).alias("b"), F.sum(F.length("line")).alias("noticed"), F.max("chars").alias("chars"))
@@ -96,9 +117,9 @@ def scan(files: DataFrame, templates: DataFrame, similar: float = SIMILAR, share
 
 
 def document_paths(docs: DataFrame) -> DataFrame:
-    """Documents as files: source/lang/shelf/doc_id, a hundred ids on a shelf."""
-    shelf = F.floor(F.col("doc_id") / 100).cast("string")
-    return docs.select("doc_id", F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), shelf, F.col("doc_id").cast("string")).alias("path"), "text")
+    """Documents as files: source/lang/shelf/doc_id, a hundred ids on a shelf; without an id, the text's hash is the name."""
+    shelf = F.coalesce(F.floor(F.col("doc_id") / 100).cast("string"), F.lit("none"))
+    return docs.select("doc_id", F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), shelf, F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("none-"), F.xxhash64("text").cast("string")))).alias("path"), "text")
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +127,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = document_paths(table(spark, sf_dir, "documents"))
     templates = spark.sql(" UNION ALL ".join(f"SELECT '{k}' AS license, '{v}' AS line" for k, v in TEMPLATES))
     found = scan(files.select("path", "text"), templates)
-    return found.withColumn("doc_id", F.regexp_extract("path", r"([^/]*)$", 1).cast("long"))
+    return found.withColumn("doc_id", F.expr("try_cast(regexp_extract(path, '([^/]*)$', 1) AS BIGINT)"))
 
 
 _LIST = " UNION ALL ".join(f"SELECT '{k}' AS license, '{v}' AS line" for k, v in TEMPLATES)
@@ -121,10 +142,10 @@ al AS (SELECT line FROM lines UNION SELECT line FROM tpl),
 df AS (SELECT term, count(*) AS df FROM (SELECT line, unnest(list_distinct({_TERMS.format('line')})) AS term FROM al) GROUP BY term),
 idf AS (SELECT term, ln((SELECT count(*) FROM al) / df::DOUBLE) + 1.0 AS idf FROM df),
 lw AS (SELECT line, t.term, count(*) * any_value(idf) AS w FROM (SELECT line, unnest({_TERMS.format('line')}) AS term FROM lines) t JOIN idf USING (term) GROUP BY line, t.term),
-tw AS (SELECT license, t.term, count(*) * any_value(idf) AS w FROM (SELECT license, unnest({_TERMS.format('line')}) AS term FROM tpl) t JOIN idf USING (term) GROUP BY license, t.term),
+tw AS (SELECT license, template, t.term, count(*) * any_value(idf) AS w FROM (SELECT license, line AS template, unnest({_TERMS.format('line')}) AS term FROM tpl) t JOIN idf USING (term) GROUP BY license, template, t.term),
 ln_ AS (SELECT line, sqrt(sum(w * w)) AS norm FROM lw GROUP BY line),
-tn AS (SELECT license, sqrt(sum(w * w)) AS norm FROM tw GROUP BY license),
-cs AS (SELECT lw.line, tw.license, round(sum(lw.w / ln_.norm * tw.w / tn.norm), 6) AS score FROM lw JOIN tw ON lw.term = tw.term JOIN ln_ ON ln_.line = lw.line JOIN tn ON tn.license = tw.license GROUP BY lw.line, tw.license),
+tn AS (SELECT license, template, sqrt(sum(w * w)) AS norm FROM tw GROUP BY license, template),
+cs AS (SELECT lw.line, tw.license, round(sum(lw.w / ln_.norm * tw.w / tn.norm), 6) AS score FROM lw JOIN tw ON lw.term = tw.term JOIN ln_ ON ln_.line = lw.line JOIN tn ON tn.license = tw.license AND tn.template = tw.template GROUP BY lw.line, tw.license, tw.template),
 best AS (SELECT line, license, score FROM cs WHERE score >= {SIMILAR} QUALIFY row_number() OVER (PARTITION BY line ORDER BY score DESC, license) = 1),
 own AS (SELECT path, first(license ORDER BY score DESC, license) AS own_license, first(score ORDER BY score DESC, license) AS own_score, sum(length(line)) >= {NOTICE_SHARE}e0 * max(chars) AS notice FROM rows_ JOIN best USING (line) GROUP BY path),
 votes AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, own_license AS license, count(*) AS n FROM own WHERE notice GROUP BY 1, 2),
