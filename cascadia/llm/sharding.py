@@ -4,15 +4,19 @@ Arrivals are appended as small immutable runs of Parquet files. Runs of one size
 tier (each tier's runs are ``fan`` times larger than the last one's) are merged
 ``fan`` at a time, in order of arrival, into files of about a target size. Every
 change is one new manifest version, put in place by an atomic rename that fails
-if another writer has taken the version.
+if another writer has taken the version; the change is then made to the newest
+version. Superseded runs stay readable through the older versions until these
+are expired.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir, table
@@ -63,19 +67,38 @@ class ShardTable:
         context.rename(draft, there, none)
         return base + 1
 
-    def append(self, docs: DataFrame, arrival: str) -> int:
-        """Append each value of the integer column ``arrival`` as a run of its own, all in one version."""
-        base = (self.versions() or [0])[-1]
+    def _change(self, gone: set[str], new: list[dict]) -> int | None:
+        """Commit the newest version without the runs in ``gone`` and with ``new``.
+
+        If another writer takes the version first, the next one is tried. None, if a
+        run that should go has been merged by another writer: ``new`` is then deleted.
+        """
+        while True:
+            base = (self.versions() or [0])[-1]
+            old = [r.asDict() for r in self.runs().collect()]
+            if not gone <= {r["run"] for r in old}:
+                for r in new:
+                    self._fs.delete(self._path(r["path"]), True)
+                return None
+            after = max((r["first"] for r in old), default=-1) + 1
+            placed = [r if gone else {**r, "first": after + i} for i, r in enumerate(new)]
+            try:
+                return self._commit(base, [r for r in old if r["run"] not in gone] + placed)
+            except Py4JJavaError as e:
+                if "FileAlreadyExists" not in str(e.java_exception):
+                    raise
+
+    def append(self, docs: DataFrame, arrival: Column) -> int:
+        """Append the rows of each value of ``arrival``, an integer, as a run of its own, all in one version."""
         if docs.isEmpty():
-            return self._commit(base, [r.asDict() for r in self.runs().collect()])
-        name = uuid.uuid4().hex
+            return self._change(set(), [])
+        name, key = uuid.uuid4().hex, "arrival"
+        while key in docs.columns:
+            key += "_"
         path = f"{self.root}/runs/{name}"
-        docs.write.partitionBy(arrival).option("compression", "zstd").parquet(path)
-        old = [r.asDict() for r in self.runs().collect()]
-        after = max((r["first"] for r in old), default=-1) + 1
-        sizes = self.spark.read.parquet(path).groupBy(arrival).agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).orderBy(arrival).collect()
-        new = [{"run": f"{name}-{i}", "path": f"{path}/{arrival}={r[0]}", "first": after + i, "level": 0, "rows": r["rows"], "bytes": r["bytes"]} for i, r in enumerate(sizes)]
-        return self._commit(base, old + new)
+        docs.withColumn(key, arrival.cast("int")).write.partitionBy(key).option("compression", "zstd").parquet(path)
+        sizes = self.spark.read.parquet(path).groupBy(key).agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).orderBy(key).collect()
+        return self._change(set(), [{"run": f"{name}-{i}", "path": f"{path}/{key}={r[0]}", "first": 0, "level": 0, "rows": r["rows"], "bytes": r["bytes"]} for i, r in enumerate(sizes)])
 
     def plan(self) -> DataFrame:
         """The runs to merge, with their group: ``fan`` runs in a row of one tier."""
@@ -84,47 +107,65 @@ class ShardTable:
         runs = self.runs().withColumn("tier", tier).withColumn("part", F.floor(place / FAN))
         return runs.withColumn("n", F.count("*").over(Window.partitionBy("tier", "part"))).where(F.col("n") == FAN)
 
-    def compact(self, keep_old: bool = False) -> int:
-        """Merge until no tier has ``fan`` runs; one version for each round. Superseded runs go unless they are kept."""
+    def compact(self) -> int:
+        """Merge until no tier has ``fan`` runs; one job and one version for each round."""
         while True:
-            base = (self.versions() or [0])[-1]
             groups = self.plan().groupBy("tier", "part").agg(F.sort_array(F.collect_list("path")).alias("paths"), F.collect_list("run").alias("runs"), F.min("first").alias("first"), (F.max("level") + 1).alias("level"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes")).collect()
             if not groups:
-                return base
-            old = {r["run"]: r.asDict() for r in self.runs().collect()}
-            gone = []
-            for g in groups:
-                name = uuid.uuid4().hex
-                files = max(1, -(-g["bytes"] // TARGET))
-                self.spark.read.parquet(*g["paths"]).coalesce(files).write.option("compression", "zstd").parquet(f"{self.root}/runs/{name}")
-                gone += [old.pop(r)["path"] for r in g["runs"]]
-                old[name] = {"run": name, "path": f"{self.root}/runs/{name}", "first": g["first"], "level": g["level"], "rows": g["rows"], "bytes": g["bytes"]}
-            self._commit(base, list(old.values()))
-            if not keep_old:
-                for path in gone:
-                    self._fs.delete(self._path(path), True)
-
-    def read(self, like: DataFrame) -> DataFrame:
-        """All documents, with their run's first, level, rows and bytes; with no runs an empty table ``like`` that one."""
-        runs = self.runs()
+                return (self.versions() or [0])[-1]
+            name, merged, new = uuid.uuid4().hex, [], []
+            path = f"{self.root}/runs/{name}"
+            for i, g in enumerate(groups):
+                part = self.spark.read.parquet(*g["paths"])
+                key = "merged"
+                while key in part.columns:
+                    key += "_"
+                merged.append(part.coalesce(max(1, -(-g["bytes"] // TARGET))).withColumn(key, F.lit(i)))
+                new.append({"run": f"{name}-{i}", "path": f"{path}/{key}={i}", "first": g["first"], "level": g["level"], "rows": g["rows"], "bytes": g["bytes"]})
+            reduce(DataFrame.unionByName, merged).write.partitionBy(key).option("compression", "zstd").parquet(path)
+            self._change({r for g in groups for r in g["runs"]}, new)
+
+    def expire(self, keep: int = 1) -> None:
+        """Delete all versions but the last ``keep``, and the runs that none of these holds."""
+        versions = self.versions()
+        stay = {r["path"] for v in versions[-keep:] for r in self.runs(v).select("path").collect()}
+        for v in versions[:-keep]:
+            for r in self.runs(v).select("path").collect():
+                if r["path"] not in stay:
+                    self._fs.delete(self._path(r["path"]), True)
+            self._fs.delete(self._path(f"{self.root}/manifest/v{v:08d}.json"), True)
+
+    def read(self, like: DataFrame, version: int | None = None) -> DataFrame:
+        """All documents of a version, with their run's first, level, rows and bytes as run_first and so on.
+
+        With no runs, an empty table like ``like``. A document's own column of such
+        a name stays, and the run's takes a further underscore.
+        """
+        runs = self.runs(version)
         paths = [r["path"] for r in runs.select("path").collect()]
+        names = {}
+        for n in ("first", "level", "rows", "bytes"):
+            names[n] = f"run_{n}"
+            while names[n] in like.columns:
+                names[n] += "_"
         if not paths:
-            return like.where("false").selectExpr("*", "0L as run_first", "0 as run_level", "0L as run_rows", "0L as run_bytes")
-        at = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
+            return like.where("false").select("*", *(F.lit(0).cast("int" if n == "level" else "long").alias(x) for n, x in names.items()))
         # Paths differ in their scheme's slashes; what follows runs/ names the run.
         key = lambda c: F.regexp_extract(c, "/runs/(.*)$", 1)
-        docs = self.spark.read.parquet(*paths).withColumn("run_key", key(at))
-        return docs.join(runs.select(key(F.col("path")).alias("run_key"), F.col("first").alias("run_first"), F.col("level").alias("run_level"), F.col("rows").alias("run_rows"), F.col("bytes").alias("run_bytes")), "run_key").drop("run_key")
+        at = key(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", ""))
+        docs = self.spark.read.schema(like.schema).parquet(*paths).select(F.struct(*like.columns).alias("row"), at.alias("run_key"))
+        of = runs.select(key(F.col("path")).alias("run_key"), *(F.col(n).alias(x) for n, x in names.items()))
+        return docs.join(of, "run_key").select("row.*", *names.values())
 
 
 def shard_documents(docs: DataFrame, root: str, arrivals: int = 12) -> ShardTable:
     """Append documents in ``arrivals`` runs by doc_id and compact them.
 
     A null doc_id arrives first; null texts count no bytes; repeated rows stay;
-    an empty table has no runs. A column named ``arrival`` is not allowed.
+    an empty table has no runs; other columns are kept, whatever their names.
     """
     shards = ShardTable(docs.sparkSession, root)
-    shards.append(docs.withColumn("arrival", F.coalesce(F.pmod("doc_id", F.lit(arrivals)), F.lit(0)).cast("int")), "arrival")
+    shards.append(docs, F.coalesce(F.pmod("doc_id", F.lit(arrivals)), F.lit(0)))
     shards.compact()
     return shards
 
@@ -134,6 +175,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = f"{shared_dir(spark)}/shards/{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     shards = shard_documents(docs, root)
+    shards.expire()
     return shards.read(docs).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "run_first", "run_level", "run_rows", "run_bytes")
 
 
