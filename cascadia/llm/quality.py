@@ -200,13 +200,13 @@ def quality(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> Data
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> DataFrame:
-    """The documents, all their columns, that the classifier doesn't reject; with nothing learned all stay."""
+    """The documents, all their columns, that ``quality`` predicts as 1; with no labels at all every one stays."""
     small_batches(docs.sparkSession)
     model = learn_quality(docs, labels, most)
-    if not len(model.feature):
+    if not len(model.feature) and model.base == 0:  # no labels, no decision
         return docs
     known = docs.sparkSession.sparkContext.broadcast(model)
-    return filtered(docs, lambda: lambda texts: known.value.score(statistics(texts)) >= GOOD)
+    return filtered(docs, lambda: lambda texts: known.value.score(statistics(texts).astype(np.float32)) >= GOOD)
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

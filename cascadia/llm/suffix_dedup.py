@@ -359,7 +359,10 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
                 cols[chars] = pa.array([None if t is None else len(t) for t in new]).cast(cols[chars].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    both = docs.join(spans, "doc_id", "left").select(*names, "spans")
+    own = "spans"
+    while own in names:
+        own += "_"
+    both = docs.join(spans.withColumnRenamed("spans", own), "doc_id", "left").select(*names, own)
     return both.mapInArrow(run, kind)
 
 

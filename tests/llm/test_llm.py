@@ -197,6 +197,14 @@ def test_rows_without_an_id(spark):
     assert {r.doc_id for r in kept} == {1, 2, 3, None}
 
 
+def test_remove_repeats_with_clashing_names(spark):
+    docs = odd(spark)
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert got[8].text == "" and got[7].text and got[7].spans == [1] and got[1].text is None and len(got) == len(ODD)
+    kept = jaccard_join.keep_first(docs)
+    assert kept.columns == docs.columns and 8 not in {r.doc_id for r in kept.collect()}
+
+
 def test_run_index():
     text = b"banana_bandana_banana"
     left = len(text) - np.arange(len(text))
@@ -247,6 +255,24 @@ def test_decontamination(docs, spark, monkeypatch, block):
     assert {r.doc_id for r in dec.decontaminate(docs, bench).collect()} == {i for i, x in want.items() if not x[1]}
 
 
+def test_decontamination_of_repeated_and_null_ids(spark, monkeypatch):
+    bench = spark.createDataFrame([(i, f"w{i} " * 12) for i in range(4)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "w1 " * 12), (1, "clean"), (None, "w2 " * 11)], "doc_id long, text string")
+    want = sorted([(1, 12, 12, 1), (1, 1, 0, 0), (-1, 11, 11, 1)])
+    for block in (8 << 20, 40):
+        monkeypatch.setattr(dec, "BLOCK", block)
+        assert sorted(tuple(r) for r in dec.contamination(docs, bench).select(F.coalesce("doc_id", F.lit(-1)), "n_words", "n_hit", "n_items").collect()) == want
+
+
+def test_suffix_array_of_words():
+    rng = np.random.default_rng(2)
+    codes = rng.integers(0, 3, 60)
+    row = np.repeat([0, 1, 2], 20)
+    end = np.searchsorted(row, row, "right")
+    got = dec.suffix_array(codes, end, 10)
+    assert [list(codes[p : min(end[p], p + 10)]) for p in got] == sorted(list(codes[p : min(end[p], p + 10)]) for p in range(60))
+
+
 def test_longest_match(spark):
     d = spark.createDataFrame([(1, "zero a b c d e f g h i j k l other")], "doc_id long, text string")
     b = spark.createDataFrame([(5, "start a b c d e f g h i j k l stop")], "item_id long, text string")
@@ -311,6 +337,21 @@ def test_expected_counts_against_all_segmentations():
     assert likely / 1024 == pytest.approx(3 * np.log(weight.sum()), abs=1e-2)
 
 
+def test_long_words_go_the_same_way(monkeypatch):
+    """Words of any length are segmented alike, alone or in step, and their expected counts agree."""
+    coder = pieces.Encoder(pieces.Vocabulary.load())
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefghinrstéß日😀"), n)).encode() for n in (3, 40, 300, 700)] + [b" " + b"the" * 90, "▁".encode(), b"x" * 500]
+    counts = np.array([1, 2, 3, 1, 5, 1, 2])
+    ids, at = coder.segment(words)
+    out, likely = coder.expected(words, counts)
+    monkeypatch.setattr(pieces, "LONG", 1)
+    ids2, at2 = coder.segment(words)
+    out2, likely2 = coder.expected(words, counts)
+    assert (ids == ids2).all() and (at == at2).all()
+    assert np.abs(out - out2).max() <= 2000 and abs(likely - likely2) <= 1e-9 * abs(likely) + len(words)
+
+
 def test_piece_scores_are_log_probabilities(spark):
     text = "The international community has considered the government responsibility"
     df = spark.createDataFrame([(i, f"{text} {i}") for i in range(50)] + [(99, None)], "doc_id long, text string").repartition(4)
@@ -386,6 +427,25 @@ def test_language_on_held_out_rows(spark):
     assert len(got) > 100 and np.mean([r.lang_pred == r.lang for r in got]) > 0.95
 
 
+def test_language_of_short_texts(spark):
+    """The first words of held-out documents, cut to some dozens of characters."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents").where("lang is not null and length(text) > 200").select("doc_id", "text", "lang")
+    short = docs.where(language.held_out()).select((F.col("doc_id") * 5 + 10**9).alias("doc_id"), F.substring("text", 1, 60).alias("text"), F.lit(None).cast("string").alias("lang"), F.col("lang").alias("true"))
+    short = short.where("length(regexp_replace(text, '[^a-zA-Z]', '')) > 30")
+    got = language.languages(docs.union(short.drop("true"))).join(short.select("doc_id", "true"), "doc_id").collect()
+    assert len(got) > 60 and np.mean([r.lang_pred == r["true"] for r in got]) > 0.9
+
+
+def test_language_windows_cover_each_byte_once():
+    net = language.Network(["a", "b"], hidden=4)
+    data = np.random.default_rng(1).integers(32, 127, 1000).astype(np.uint8)
+    sums, row = language.Labeller(net).rows(data, np.array([0, 0, 5, 700, 1000]))
+    (y,) = net.positions(data[None, :5], np.ones((1, 5), bool))
+    assert row.tolist() == [1] + [2] * 7 + [3] * 3
+    # Row 1 starts at 0: its one window reads bytes 0 to 5 only.
+    assert sums[0] == pytest.approx(y.sum((0, 1)), abs=1e-3)
+
+
 def test_language_of_odd_rows(spark):
     got = {r.doc_id: r for r in language.languages(odd(spark)).collect()}
     assert len(got) == len(ODD) and all(got[i].lang_pred == "und" and got[i].score == 0 for i in (1, 2, 3, 14))
@@ -416,6 +476,37 @@ def test_vectors(spark):
     assert vector_dedup.near_vectors(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("many", [40, 4000])
+def test_recall_of_vectors_right_at_the_bound(spark, many):
+    """Pairs at a cosine just over 0.9, among few and many other vectors; links and components agree."""
+    rng = np.random.default_rng(many)
+    rows, pairs = [], 300
+    for k in range(pairs):
+        a = rng.normal(size=48)
+        a /= np.linalg.norm(a)
+        b = rng.normal(size=48)
+        b -= (b @ a) * a
+        rows += [(2 * k, a.tolist()), (2 * k + 1, (0.9005 * a + np.sqrt(1 - 0.9005**2) * b / np.linalg.norm(b)).tolist())]
+    rows += [(10_000 + k, rng.normal(size=48).tolist()) for k in range(many)]
+    got = {r.vec_id: r for r in vector_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert np.mean([got[2 * k + 1].n_links == 1 for k in range(pairs)]) >= 0.95
+    members = collections.Counter(r.component_id for r in got.values())
+    assert all((r.n_links > 0) == (members[r.component_id] > 1) for r in got.values())
+
+
+def test_vectors_of_the_given_table(spark):
+    """Every vector of the smallest table beside copies with noise, against brute force."""
+    base = [(r.vec_id, list(r.embedding)) for r in table(spark, "/root/testdata/sf0.001", "embeddings").collect() if r.embedding]
+    rng = np.random.default_rng(8)
+    size = np.std(np.array(base[0][1]))
+    rows = base + [(10**6 + 10 * i + j, (np.array(v) + rng.normal(size=len(v)) * size * 0.3).tolist()) for i, v in base[:150] for j in range(2)]
+    n, root = brute_links(rows)
+    got = {r.vec_id: r for r in vector_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert sum(n.values()) > 200 and all(got[i].n_links <= n[i] for i in n)
+    assert sum(r.n_links for r in got.values()) >= 0.9 * sum(n.values())
+    assert np.mean([got[i].component_id == root[i] for i in n]) > 0.95
+
+
 def test_vectors_of_a_split_filter(spark, monkeypatch):
     monkeypatch.setattr(vector_dedup, "SIDE", 16)
     rng = np.random.default_rng(6)
@@ -447,6 +538,21 @@ def test_html_on_pages(spark):
     assert len(got) == table(spark, SF, "pages").count() and all(r.n_chars == len(r.text) and "track(" not in r.text for r in got)
 
 
+def test_licenses_of_real_notices(spark):
+    lines = [("MIT", "The MIT License (MIT)"), ("MIT", "// SPDX-License-Identifier: MIT"), ("Apache-2.0", "# SPDX-License-Identifier: Apache-2.0"), ("GPL", "GNU GENERAL PUBLIC LICENSE"), ("MPL-2.0", "/* This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."), (None, "A driving license is needed here."), (None, "permission was not given by the office")]
+    files = spark.createDataFrame([(f"d{i}/f", f"first line\n{t}\nlast line") for i, (_, t) in enumerate(lines)], "path string, text string")
+    templates = spark.createDataFrame(license_scan.TEMPLATES, "license string, line string")
+    got = {r.path: r.own_license for r in license_scan.scan(files, templates).collect()}
+    assert got == {f"d{i}/f": k for i, (k, _) in enumerate(lines)}
+
+
+def test_licenses_without_ids(spark):
+    docs = spark.createDataFrame([(None, "Released under the MIT License.", "en", "s"), (None, "text", "en", "s"), (5, None, None, None)], "doc_id long, text string, lang string, source string")
+    templates = spark.createDataFrame(license_scan.TEMPLATES, "license string, line string")
+    got = license_scan.scan(license_scan.document_paths(docs).select("path", "text"), templates).collect()
+    assert sorted((r.license or "", r.origin) for r in got) == [("", "none"), ("MIT", "inherited"), ("MIT", "own")]
+
+
 def test_licenses_of_odd_rows(spark):
     files = spark.createDataFrame([("a/LICENSE", "Released under the MIT License."), ("a/b/f", "code"), ("a/b/c/LICENSE", "Licensed under the Apache License, Version 2.0."), ("a/b/c/d/g", None), ("h", ""), (None, "x"), ("q/z", "long text " * 50 + "\nLicensed under CC BY-NC 4.0.")], "path string, text string")
     templates = spark.createDataFrame(license_scan.TEMPLATES, "license string, line string")
@@ -468,12 +574,37 @@ def test_sharding_versions(spark, tmp_path):
     with pytest.raises(Exception, match="(?i)exist"):
         shards._commit(shards.versions()[-1] - 1, [])
     before = shards.versions()[-1]
-    shards.append(docs.withColumn("arrival", F.lit(0)), "arrival")
+    shards.append(docs, F.lit(0))
     assert shards.versions()[-1] == before + 1 and shards.read(docs).count() == 2 * len(ODD)
-    assert shards.runs(before).agg(F.sum("rows")).first()[0] == len(ODD)
+    assert all(shards.read(docs, v).count() == len(ODD) for v in range(1, before + 1))  # superseded runs stay readable
     assert all(json.loads(x) for x in open(f"{tmp_path}/t/manifest/v{before:08d}.json"))
     none = sharding.shard_documents(docs.where("false"), f"file://{tmp_path}/e")
     assert none.read(docs).count() == 0
+    shards.expire()
+    assert shards.versions() == [before + 1] and shards.read(docs).count() == 2 * len(ODD)
+
+
+def test_sharding_of_two_writers_and_clashing_names(spark, tmp_path, monkeypatch):
+    """A writer that loses the race for a version takes the next one; a merge whose runs are gone is given up."""
+    monkeypatch.setattr(sharding, "FAN", 2)
+    docs = spark.createDataFrame([(i, f"text {i}", i, i) for i in range(6)], "doc_id long, text string, arrival long, run_first long")
+    one, two = (sharding.ShardTable(spark, f"file://{tmp_path}/t") for _ in range(2))
+    commit, lost = one._commit, []
+
+    def late(base, runs):
+        if not lost:
+            lost.append(two.append(docs, F.lit(0)))
+        return commit(base, runs)
+
+    monkeypatch.setattr(one, "_commit", late)
+    one.append(docs, F.col("doc_id"))
+    got = one.read(docs)
+    assert got.columns == ["doc_id", "text", "arrival", "run_first", "run_first_", "run_level", "run_rows", "run_bytes"]
+    assert sorted((r.doc_id, r.arrival) for r in got.collect()) == sorted(2 * [(i, i) for i in range(6)]) and len(one.versions()) == 2
+    gone = {r["run"] for r in one.runs().limit(2).collect()}
+    two.compact()
+    assert one._change(gone, [{"run": "x", "path": f"file://{tmp_path}/x", "first": 0, "level": 1, "rows": 0, "bytes": 0}]) is None
+    assert two.read(docs).count() == 12
 
 
 def test_pipeline_stages(spark):
