@@ -82,13 +82,31 @@ def merge_parallel(lines: DataFrame) -> DataFrame:
     return lines.groupBy(F.regexp_replace("name", "_outage$", "").alias("base")).agg(F.sum("num_parallel").alias("num_parallel"), F.sum("s_nom").alias("s_nom"), F.sum("p0").alias("p0"), F.count("*").alias("parts"))
 
 
-def bus_types(capacity: DataFrame, share: float = 0.3) -> DataFrame:
-    """Slack, PV and PQ buses by rank of capacity: bus, p_nom, kind; the greatest is slack, the next share PV."""
-    r = F.row_number().over(Window.orderBy(F.desc("p_nom"), "bus"))
+def bus_types(capacity: DataFrame, buses: DataFrame, share: float = 0.3) -> DataFrame:
+    """Slack, PV and PQ buses by rank of conventional capacity: bus, p_nom, kind.
+
+    ``capacity`` has bus and p_nom of units, summed here; only buses with some can
+    be more than PQ. The greatest is slack, the next ``share`` of all buses are PV,
+    as far as there are any; ties go to the smaller bus.
+    """
+    cap = capacity.groupBy("bus").agg(F.round(F.sum("p_nom"), 6).alias("p_nom"))
     n = F.count("*").over(Window.partitionBy())
-    x = capacity.select("bus", "p_nom", r.alias("r"), n.alias("n"))
-    pv = F.least(F.round(F.col("n") * share), F.col("n") - 1)
-    return x.select("bus", "p_nom", F.when(F.col("r") == 1, "Slack").when(F.col("r") <= 1 + pv, "PV").otherwise("PQ").alias("kind"))
+    x = buses.select("bus").join(cap, "bus", "left").fillna(0.0, ["p_nom"])
+    # One row for each bus of one grid.
+    x = x.select("bus", "p_nom", F.row_number().over(Window.orderBy(F.desc("p_nom"), "bus")).alias("r"), n.alias("n"), F.count_if(F.col("p_nom") > 0).over(Window.partitionBy()).alias("able"))
+    pv = F.least(F.bround(F.col("n") * share), F.col("able") - 1)
+    return x.select("bus", "p_nom", F.when(F.col("p_nom") <= 0, "PQ").when(F.col("r") == 1, "Slack").when(F.col("r") <= 1 + pv, "PV").otherwise("PQ").alias("kind"))
+
+
+def power_factors(types: DataFrame, middle: float = 0.95, width: float = 0.05, seed: int = 0) -> DataFrame:
+    """A power factor for each PQ bus, even over the range and clipped to 0 to 1, and the reactive share of its load.
+
+    The draw is a hash of bus and seed, so that it is the same at every run; other
+    buses have no factor and share 0.
+    """
+    draw = F.pmod(F.xxhash64("bus", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
+    factor = F.when(F.col("kind") == "PQ", F.greatest(F.lit(0.0), F.least(F.lit(1.0), middle - width / 2 + width * draw)))
+    return types.select("bus", "kind", factor.alias("factor")).withColumn("tangent", F.coalesce(F.tan(F.acos("factor")), F.lit(0.0)))
 
 
 #: What a flow must exceed its limit by, in parts of it, for the edge to fail.
@@ -127,20 +145,24 @@ class Grid:
         theta[1:] = np.linalg.solve(lap[1:, 1:], p[1:])
         return b[:, None] * (inc.T @ theta)
 
-    def cascade(self, p: np.ndarray, removed: list[tuple[int, float]], scale: float = 1.0, most: int = 100) -> tuple[list[int], bool, int]:
+    def cascade(self, p: np.ndarray, removed: list[tuple[int, float]], scale: float = 1.0, most: int | None = None) -> tuple[list[int], bool, int]:
         """(failed edges, whether the grid split, steps) after circuits are removed.
 
         A removal lowers an edge's susceptance and limit in proportion. Then, step
-        by step, connectivity is tested first, and overloaded edges fail.
+        by step, connectivity is tested first, and overloaded edges fail, until none
+        does or the grid splits (or for ``most`` steps). A removal of more than an edge
+        has is refused.
         """
         b, limit, par = self.b.copy(), self.limit * scale, self.par.copy()
         for e, size in removed:
+            if size > par[e] + 1e-6:
+                raise ValueError(f"edge {e} has {par[e]} circuits, not {size}")
             left = max(0.0, par[e] - size)
             left = 0.0 if left < 1e-6 else left
             f = left / par[e] if par[e] > 0 else 0.0
             b[e], limit[e], par[e] = b[e] * f, limit[e] * f, left
         failed = [e for e in range(len(b)) if b[e] == 0]
-        for step in range(most):
+        for step in range(len(b) + 1 if most is None else most):  # each step but the last loses an edge
             if len(np.unique(self.labels(b > 0))) > 1:
                 return failed, True, step
             over = np.flatnonzero((np.abs(self.flow(p[:, None], b)[:, 0]) > limit * (1 + EPSILON)) & (b > 0))
@@ -148,7 +170,7 @@ class Grid:
                 return failed, False, step
             failed += over.tolist()
             b[over] = 0
-        return failed, False, most
+        return failed, False, step + 1
 
 
 def bridges(edges: DataFrame, removals: DataFrame) -> DataFrame:
@@ -187,22 +209,48 @@ def components_without(edges: DataFrame, removals: DataFrame) -> DataFrame:
 
 
 def dc_flows(edges: DataFrame, injection: DataFrame) -> DataFrame:
-    """DC power flow of each snapshot: snapshot, edge_idx, flow, loading."""
-    known = edges.sparkSession.sparkContext.broadcast(Grid(edges.toPandas()))
+    """DC power flow of each snapshot: snapshot, edge_idx, flow, loading.
+
+    Flows are linear in the injections: the grid's factors are found once on the
+    driver and go to every task, which multiplies.
+    """
+    grid = Grid(edges.toPandas())
+    factors = edges.sparkSession.sparkContext.broadcast((grid.flow(np.eye(grid.n), grid.b), grid.limit))
     p = injection.groupBy("snapshot").agg(F.array_sort(F.collect_list(F.struct("node_idx", "p0"))).alias("x")).select("snapshot", F.col("x.p0").alias("p"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grid = known.value
+        by_node, limit = factors.value
         for d in batches:
             if not len(d):
                 continue
-            f = grid.flow(np.stack(d["p"].to_numpy()).T.astype(float), grid.b)
-            m = len(grid.u)
-            yield pd.DataFrame({"snapshot": np.repeat(d["snapshot"].to_numpy(), m), "edge_idx": np.tile(np.arange(m), len(d)), "flow": f.T.ravel(), "loading": (np.abs(f) / grid.limit[:, None]).T.ravel()})
+            f = by_node @ np.stack(d["p"].to_numpy()).T.astype(float)
+            m = len(limit)
+            yield pd.DataFrame({"snapshot": np.repeat(d["snapshot"].to_numpy(), m), "edge_idx": np.tile(np.arange(m), len(d)), "flow": f.T.ravel(), "loading": (np.abs(f) / limit[:, None]).T.ravel()})
 
     return p.mapInPandas(run, "snapshot timestamp_ntz, edge_idx int, flow double, loading double")
 
 
+def n1_check(edges: DataFrame, injection: DataFrame, scale: float) -> DataFrame:
+    """One step of a cascade for the loss of each edge at each snapshot: snapshot, edge_idx, n_failed, did_split, secure.
+
+    Secure: nothing fails besides the edge itself, and the grid holds together.
+    """
+    known = edges.sparkSession.sparkContext.broadcast(Grid(edges.toPandas()))
+    p = injection.groupBy("snapshot").agg(F.array_sort(F.collect_list(F.struct("node_idx", "p0"))).alias("x")).select("snapshot", F.col("x.p0").alias("p"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        grid = known.value
+        for d in batches:
+            out = []
+            for s, x in zip(d["snapshot"], d["p"], strict=True):
+                for e in range(len(grid.b)):
+                    failed, split, _ = grid.cascade(np.asarray(x, float), [(e, grid.par[e])], scale, 1)
+                    out.append((s, e, len(failed), split, len(failed) <= 1 and not split))
+            yield pd.DataFrame(out, columns=["snapshot", "edge_idx", "n_failed", "did_split", "secure"])
+
+    return p.mapInPandas(run, "snapshot timestamp_ntz, edge_idx int, n_failed int, did_split boolean, secure boolean")
+
+
 def cascades(edges: DataFrame, injection: DataFrame, contingencies: DataFrame, scale: float) -> DataFrame:
     """Cascades of every contingency (line_0, size_0, line_1, size_1, weight) at every snapshot: failed edges, split or not, steps.
 

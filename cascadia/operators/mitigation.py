@@ -47,6 +47,14 @@ def inertia_scores(c: DataFrame, energy: float, limit: float = 1.0, least_share:
     return hit.groupBy("node_idx").agg(F.sum(F.col("load_share") * F.col("trigger_weighting") * F.col("snapshot_weighting")).alias("gain"), F.count("*").alias("n"))
 
 
+def inertia_sweep(c: DataFrame, limit: float = 1.0) -> DataFrame:
+    """The gain at each node of each scenario, for every ``energy`` that the rows of ``c`` bring along: one aggregation for a whole sweep."""
+    now = F.abs(50.0 * F.col("power_imbalance") / (2 * F.col("rot_energy")))
+    then = F.abs(50.0 * F.col("power_imbalance") / (2 * (F.col("rot_energy") + F.col("energy"))))
+    hit = c.where((now > limit) & (then < limit))
+    return hit.groupBy("energy", "co2l", "node_idx").agg(F.sum(F.col("load_share") * F.col("trigger_weighting") * F.col("snapshot_weighting")).alias("gain"))
+
+
 def greedy_inertia(c: DataFrame, energy: float, steps: int, saved) -> DataFrame:
     """Place energy node by node where the gain is greatest (ties to the smaller node): step, node_idx, gain.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.binning import bin_index, clip_to, finite
+from ..functions.ranks import ranked
 
 NOMINAL_HZ = 50.0
 LOAD_INERTIA = 0.4
@@ -44,7 +45,8 @@ def at_thresholds(c: DataFrame, limits: list[float]) -> DataFrame:
 
 def number_splits(s: DataFrame) -> DataFrame:
     """Consecutive numbers of splits within a scenario, in order of time and own number."""
-    return s.withColumn("number", F.dense_rank().over(Window.partitionBy("co2l").orderBy("time_stamp", "split_number")))
+    r = ranked(s, "co2l", F.unix_timestamp(F.col("time_stamp").cast("timestamp")), ["split_number"])
+    return r.withColumn("number", F.col("rank").cast("int")).drop("rank", "group_rows")
 
 
 def histogram(df: DataFrame, x: Column, weight: Column, low: float, high: float, n: int, by: list[str] | None = None, clip: bool = True) -> DataFrame:
@@ -53,17 +55,24 @@ def histogram(df: DataFrame, x: Column, weight: Column, low: float, high: float,
     return df.withColumn("bin", bin_index(value, low, high, n)).where("bin is not null").groupBy(*(by or []), "bin").agg(F.sum(weight).alias("weight"))
 
 
-def contingency_weight(s: DataFrame) -> DataFrame:
-    """The weight of all contingencies over all snapshots of each scenario."""
-    trig = s.select("co2l", "init_failure_0", "init_failure_1", "trigger_weighting").distinct().groupBy("co2l").agg(F.sum("trigger_weighting").alias("tw"))
-    snap = s.select("co2l", "time_stamp", "snapshot_weighting").distinct().groupBy("co2l").agg(F.sum("snapshot_weighting").alias("sw"))
-    return trig.join(snap, "co2l").select("co2l", (F.col("tw") * F.col("sw")).alias("norm"))
+def contingency_norm(pairs: DataFrame, snapshots: DataFrame, corridor: str | None = None) -> DataFrame:
+    """The weight of all contingencies, whether they split or not, at all snapshots of each scenario: co2l, norm.
+
+    ``pairs`` has line_0, line_1 and weight; ``corridor`` takes only those of one line
+    ("same") or of two ("different"). ``snapshots`` has co2l, time_stamp and
+    snapshot_weighting, repeated or not.
+    """
+    same = F.col("line_0") == F.col("line_1")
+    kinds = {None: F.lit(True), "same": same, "different": ~same}
+    all_pairs = pairs.where(kinds[corridor]).agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("pw"))
+    snap = snapshots.select("co2l", "time_stamp", "snapshot_weighting").distinct().groupBy("co2l").agg(F.sum("snapshot_weighting").alias("sw"))
+    return snap.join(F.broadcast(all_pairs)).select("co2l", (F.col("pw") * F.col("sw")).alias("norm"))  # one row of pw
 
 
-def risk_fraction(s: DataFrame, n: int = 5) -> DataFrame:
+def risk_fraction(s: DataFrame, norm: DataFrame, n: int = 5) -> DataFrame:
     """Share of all weighted contingencies that lose this much load, by scenario and bin in percent."""
     h = histogram(s, F.col("lost_load_share_blackout") * 100, F.col("total_weighting"), 0.0, 100.0, n, ["co2l"])
-    return h.join(contingency_weight(s), "co2l").select("co2l", "bin", "weight", (F.col("weight") / F.col("norm")).alias("fraction"))
+    return h.join(norm, "co2l").select("co2l", "bin", "weight", (F.col("weight") / F.col("norm")).alias("fraction"))
 
 
 def by_corridor(s: DataFrame) -> DataFrame:
@@ -87,8 +96,8 @@ def exceedance(c: DataFrame, limits: list[float]) -> DataFrame:
 def exceedance_curve(c: DataFrame) -> DataFrame:
     """Empirical exceedance 1 - i / n of sorted absolute rates; ties keep their rows."""
     x = c.where(finite(F.col("rocof"))).select("co2l", "split_number", "component_number", F.abs("rocof").alias("x"))
-    i = F.row_number().over(Window.partitionBy("co2l").orderBy("x", "split_number", "component_number"))
-    return x.select("co2l", "split_number", "component_number", (1 - i / F.count("*").over(Window.partitionBy("co2l"))).alias("exceedance"))
+    r = ranked(x, "co2l", F.col("x"), ["split_number", "component_number"])
+    return r.select("co2l", "split_number", "component_number", (1 - F.col("rank") / F.col("group_rows")).alias("exceedance"))
 
 
 def log_histogram(s: DataFrame, low: int = 0, high: int = 8, n: int = 16) -> DataFrame:
@@ -100,21 +109,23 @@ def log_histogram(s: DataFrame, low: int = 0, high: int = 8, n: int = 16) -> Dat
     return h.withColumn("density", F.col("weight") / width / F.sum("weight").over(Window.partitionBy("co2l")))
 
 
-def edge_likelihood(s: DataFrame, failed: DataFrame) -> DataFrame:
-    """Weighted failures of each edge: secondary in cascades, primary as a trigger, and both.
+def edge_likelihood(s: DataFrame, failed: DataFrame, edges: DataFrame, norm: DataFrame) -> DataFrame:
+    """Weighted failures of each edge, by the weight of all simulations: secondary in cascades, primary as a trigger, and both.
 
-    ``failed`` has split_number and edge. A trigger edge named twice counts twice as
-    primary; total is secondary plus triggers that aren't in the cascade.
+    ``failed`` has split_number and edge, ``edges`` every edge of the grid; one that
+    never fails has zeros. ``norm`` has the weights of all simulations by scenario. A
+    trigger edge named twice counts twice as primary; total is secondary plus
+    triggers that aren't in the cascade.
     """
-    w = s.select("split_number", F.col("total_weighting").alias("w"), "init_failure_0", "init_failure_1")
-    cascade = failed.distinct()
-    secondary = cascade.join(w.select("split_number", "w"), "split_number").groupBy("edge").agg(F.sum("w").alias("secondary"))
-    trig = w.select("split_number", "w", F.explode(F.array("init_failure_0", "init_failure_1")).alias("edge"))
-    primary = trig.groupBy("edge").agg(F.sum("w").alias("primary"))
-    beyond = trig.join(cascade, ["split_number", "edge"], "left_anti").groupBy("edge").agg(F.sum("w").alias("beyond"))
-    out = secondary.join(primary, "edge", "full").join(beyond, "edge", "full").fillna(0)
-    total = w.agg(F.sum("w").alias("n"))
-    return out.join(F.broadcast(total)).select("edge", *((F.col(c) / F.col("n")).alias(c) for c in ("secondary", "primary")), ((F.col("secondary") + F.col("beyond")) / F.col("n")).alias("total"))
+    gone = failed.groupBy("split_number").agg(F.collect_set("edge").alias("gone"))  # at most the edges of the grid
+    w = s.select("split_number", F.col("total_weighting").alias("w"), F.array("init_failure_0", "init_failure_1").alias("trig"))
+    x = w.join(gone, "split_number", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    roles = F.concat(F.transform("gone", lambda e: F.struct(e.alias("edge"), F.lit(0).alias("first"), F.lit(1).alias("any"))), F.transform("trig", lambda e: F.struct(e.alias("edge"), F.lit(1).alias("first"), (~F.array_contains("gone", e)).cast("int").alias("any"))))
+    e = x.select("w", F.explode(roles).alias("r"))
+    sums = e.groupBy("r.edge").agg(F.sum(F.when(F.col("r.first") == 0, F.col("w"))).alias("secondary"), F.sum(F.when(F.col("r.first") == 1, F.col("w"))).alias("primary"), F.sum(F.col("w") * F.col("r.any")).alias("total"))
+    total = norm.agg(F.sum("norm").alias("n"))
+    out = edges.select("edge").join(sums, "edge", "left").fillna(0, ["secondary", "primary", "total"]).join(F.broadcast(total))  # one row of n
+    return out.select("edge", *((F.col(c) / F.col("n")).alias(c) for c in ("secondary", "primary", "total")))
 
 
 def edge_impact(s: DataFrame) -> DataFrame:
@@ -138,8 +149,8 @@ def crossing_share(ranked: DataFrame, flags: DataFrame, percents: list[float]) -
 
 def largest_component(c: DataFrame) -> DataFrame:
     """The component of each split with the greatest load share, of equal ones the first."""
-    w = Window.partitionBy("split_number").orderBy(F.desc("load_share"), "component_number")
-    return c.withColumn("r", F.row_number().over(w)).where("r = 1").select("split_number", "component_number", "load_share", "rocof")
+    best = F.max_by(F.struct("component_number", "load_share", "rocof"), F.struct(F.col("load_share"), -F.col("component_number")))
+    return c.groupBy("split_number").agg(best.alias("b")).select("split_number", "b.*")
 
 
 def loss_targets(s: DataFrame, severe: float = 0.8) -> DataFrame:

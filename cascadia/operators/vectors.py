@@ -86,20 +86,35 @@ def weighted_hamming(a: np.ndarray, b: np.ndarray, u: np.ndarray, v: np.ndarray)
 
 
 def balanced_accuracy(classes: tuple[int, ...]):
-    """One less the mean over all classes of the agreeing share of summed weights."""
+    """The mean over all classes of one less the share of both vectors' own weights on which they agree.
+
+    The weights of a class are each vector's own, where it has the class; agreeing
+    positions count with the sum of both. Every class's share is rounded to 6 digits.
+    """
 
     def distance(a: np.ndarray, b: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        score = np.zeros((len(a), len(b)))
+        lost = np.zeros((len(a), len(b)))
         for c in classes:
             x, y = (a == c).astype(float), (b == c).astype(float)
-            both = (u * x) @ y.T + x @ (v * y).T
-            either = (u * x).sum(1)[:, None] + (v * y).sum(1)[None, :] + u @ y.T - (u * x) @ y.T + x @ v.T - x @ (v * y).T
-            score += (both + 1e-10) / (either + 1e-10)
-        return 1 - score / len(classes)
+            agree = (u * x) @ y.T + x @ (v * y).T
+            own = (u * x).sum(1)[:, None] + (v * y).sum(1)[None, :]
+            lost += 1 - np.round((agree + 1e-10) / (own + 1e-10), 6)
+        return lost / len(classes)
 
     return distance
 
 
+def balanced_overlap(a: np.ndarray, b: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """One less the mean, over non-zero and zero positions, of agreeing products of weights by summed weights.
+
+    Equal vectors aren't at distance 0.
+    """
+    score = 0
+    for x, y in (((a != 0).astype(float), (b != 0).astype(float)), ((a == 0).astype(float), (b == 0).astype(float))):
+        score = score + ((u * x) @ (v * y).T) / ((u * x).sum(1)[:, None] + (v * y).sum(1)[None, :] + 1e-10)
+    return 1 - score / 2
+
+
 def cosine(a: np.ndarray, b: np.ndarray, *_: np.ndarray) -> np.ndarray:
     """Cosine distance; a zero vector is at distance 1 of every other."""
     na, nb = (np.linalg.norm(x, axis=1) for x in (a, b))
@@ -119,14 +134,61 @@ def combined(pairs: list[DataFrame]) -> DataFrame:
     return out.select("i", "j", (1 - F.pow(F.greatest(similar, F.lit(0.0)), F.lit(1.0 / len(pairs)))).alias("d"))
 
 
+def product_root(p: DataFrame, q: DataFrame) -> DataFrame:
+    """Square root of the product of the distances of two pair tables."""
+    return _two(p, q, F.sqrt(F.col("d0") * F.col("d1")))
+
+
+def harmonic(p: DataFrame, q: DataFrame) -> DataFrame:
+    """Harmonic mean of the distances of two pair tables."""
+    return _two(p, q, 2 * F.col("d0") * F.col("d1") / (F.col("d0") + F.col("d1") + 1e-10))
+
+
+def _two(p: DataFrame, q: DataFrame, d: Column) -> DataFrame:
+    return p.withColumnRenamed("d", "d0").join(q.withColumnRenamed("d", "d1"), ["i", "j"]).select("i", "j", d.alias("d"))
+
+
+def scalar_metrics(p: DataFrame) -> DataFrame:
+    """Metrics of single pairs, from arrays: i, j, x, y (classes) and u, v (weights of at least 0).
+
+    product: summed products of weights where the classes differ; overlap and
+    multiclass: one less the mean over two classes (non-zero or not), or over all
+    classes of the pair, of agreeing weights by both vectors' own; accuracy: one
+    less the agreeing share of the products; plain: overlap with all weights 1.
+    Pairs of one common class are at distance 0.
+    """
+    z = F.arrays_zip("x", "y", "u", "v")
+    total = lambda f: F.aggregate(z, F.lit(0.0), lambda s, e: s + f(e))
+    when = lambda c, w: F.when(c, w).otherwise(0.0)
+
+    def share(a, weights):  # of the class that a function of an entry tells
+        u, v = weights
+        agree = total(lambda e: when(a(e["x"]) & a(e["y"]), u(e) + v(e)))
+        return agree / total(lambda e: when(a(e["x"]), u(e)) + when(a(e["y"]), v(e)))
+
+    given, ones = (lambda e: e["u"], lambda e: e["v"]), (lambda e: F.lit(1.0), lambda e: F.lit(1.0))
+    two = lambda w: 1 - (share(lambda c: c != 0, w) + share(lambda c: c == 0, w)) / 2
+    classes = F.array_distinct(F.concat("x", "y"))
+    alone = F.size(classes) == 1
+    shares = F.transform(classes, lambda c: share(lambda x: x == c, given))
+    return p.select(
+        "i", "j", total(lambda e: when(e["x"] != e["y"], e["u"] * e["v"])).alias("product"),
+        F.when(alone, 0.0).otherwise(two(given)).alias("overlap"), F.when(alone, 0.0).otherwise(two(ones)).alias("plain"),
+        (1 - F.aggregate(shares, F.lit(0.0), lambda s, x: s + x) / F.size(classes)).alias("multiclass"),
+        (1 - total(lambda e: when(e["x"] == e["y"], e["u"] * e["v"])) / total(lambda e: e["u"] * e["v"])).alias("accuracy"),
+    )
+
+
 def silhouette(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Silhouette of each row from pair distances: i, label, silhouette; alone in a cluster it is 0."""
-    both = pairs.select("i", "j", "d").union(pairs.select("j", "i", "d"))
-    x = both.join(labels.select(F.col("key").alias("i"), F.col("label").alias("li")), "i").join(labels.select(F.col("key").alias("j"), F.col("label").alias("lj")), "j")
-    m = x.groupBy("i", "li", "lj").agg(F.avg("d").alias("d"))
-    s = m.groupBy("i", "li").agg(F.min(F.when(F.col("li") == F.col("lj"), F.col("d"))).alias("a"), F.min(F.when(F.col("li") != F.col("lj"), F.col("d"))).alias("b"))
+    i, j = (labels.select(F.col("key").alias(c), F.col("label").alias(f"l{c}")) for c in "ij")
+    x = pairs.join(i, "i").join(j, "j")
+    sides = F.explode(F.array(F.struct(F.col("i").alias("k"), F.col("li").alias("own"), F.col("lj").alias("other")), F.struct(F.col("j").alias("k"), F.col("lj").alias("own"), F.col("li").alias("other"))))
+    # Sums of a row by the others' label; they are formed before anything is shuffled by row.
+    m = x.select("d", sides.alias("s")).groupBy("s.k", "s.own", "s.other").agg(F.avg("d").alias("d"))
+    s = m.groupBy(F.col("k").alias("i"), F.col("own").alias("label")).agg(F.min(F.when(F.col("own") == F.col("other"), F.col("d"))).alias("a"), F.min(F.when(F.col("own") != F.col("other"), F.col("d"))).alias("b"))
     value = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    return s.select("i", F.col("li").alias("label"), value.alias("silhouette"))
+    return s.select("i", "label", value.alias("silhouette"))
 
 
 def centroids(x: DataFrame, label: str, v: str, w: str) -> DataFrame:
@@ -150,10 +212,12 @@ def _on_grid(v: pd.Series, n: int) -> np.ndarray:
 
 
 def boundary(x: DataFrame, key: str, v: str, edges: DataFrame, alpha: float = 0.5, steps: int = 3, signed: bool = True) -> DataFrame:
-    """Boundary of classes on a grid, smoothed by a random walk with restart.
+    """Boundary of classes on a grid, smoothed by steps of a lazy random walk: key, boundary (its size) and field.
 
-    Vectors have one position for each node. With ``signed`` two cut edges of
-    opposite orientation at a node cancel. The grid is one small table and goes to
+    Each step keeps 1 - alpha of a node's value and takes alpha of its neighbours'
+    mean; one less the field weighs nodes far from boundaries. Vectors have one
+    position for each node. With ``signed`` two cut edges of opposite orientation
+    at a node cancel. The grid is one small table and goes to
     every task.
     """
     e = edges.select("u", "v").orderBy("u", "v").toPandas().to_numpy()  # one grid's edges
@@ -170,39 +234,72 @@ def boundary(x: DataFrame, key: str, v: str, edges: DataFrame, alpha: float = 0.
             b = ((cut @ inc.T != 0) if signed else (cut @ np.abs(inc).T > 0)).astype(float)
             s = b.copy()
             for _ in range(steps):
-                s = (1 - alpha) * b + alpha * s @ walk.T
-            yield pd.DataFrame({"key": d["key"], "boundary": b.sum(1), "field": list(s)})
+                s = (1 - alpha) * s + alpha * s @ walk.T
+            yield pd.DataFrame({"key": d["key"], "boundary": b.sum(1), "field": list(np.clip(s, 0, 1))})
 
     return x.select(F.col(key).alias("key"), F.col(v).alias("v")).mapInPandas(run, "key long, boundary double, field array<double>")
 
 
-def homogeneity(x: DataFrame, key: str, v: str, edges: DataFrame, depth: int = 3, decay: float = 1.0, measure: str = "entropy") -> DataFrame:
+def _walks(adj: np.ndarray, depth: int, decay: float) -> np.ndarray:
+    """Share of the walks of each length that end at a node, times length**-decay, summed over lengths."""
+    weight, power = np.zeros(adj.shape), np.eye(len(adj))
+    for d in range(1, depth + 1):
+        power = power @ adj
+        weight += power / np.maximum(power.sum(0, keepdims=True), 1e-12) * float(d) ** -decay
+    return weight
+
+
+def _adjacency(edges: DataFrame) -> np.ndarray:
+    e = edges.select("u", "v").toPandas().to_numpy()  # one grid's edges
+    n = int(e.max()) + 1
+    adj = np.zeros((n, n))
+    adj[e[:, 0], e[:, 1]] = adj[e[:, 1], e[:, 0]] = 1
+    return adj
+
+
+def homogeneity(x: DataFrame, key: str, v: str, edges: DataFrame, classes: tuple[int, ...], depth: int = 10, decay: float = 1.5, measure: str = "entropy") -> DataFrame:
     """How alike the classes around each node are: key, homogeneity as an array over nodes.
 
-    Vectors have one position for each node.
+    Vectors have one position for each node; ``classes`` are those of all vectors, two at least.
     A node at d steps weighs by its share of the walks of that length times d**-decay;
-    1 is one class only, 0 an even mix (by entropy, or the Gini index).
+    the measure is one less the entropy by the logarithm of the number of classes, or
+    one less the Gini impurity. Values below 0 by less than 1e-6 are 0.
     """
     if measure not in ("entropy", "gini"):
         raise ValueError(f"unknown measure {measure}")
-    e = edges.select("u", "v").orderBy("u", "v").toPandas().to_numpy()  # one grid's edges
-    n = int(e.max()) + 1
-    adj = np.zeros((n, n))
-    adj[e[:, 0], e[:, 1]] = adj[e[:, 1], e[:, 0]] = 1
-    weight, power = np.zeros((n, n)), np.eye(n)
-    for d in range(1, depth + 1):
-        power = power @ adj
-        weight += power / np.maximum(power.sum(0, keepdims=True), 1e-12) * d**-decay
-    weight /= np.maximum(weight.sum(0, keepdims=True), 1e-12)
+    if len(classes) < 2:
+        raise ValueError("two classes at least are needed")
+    adj = _adjacency(edges)
+    n, weight = len(adj), _walks(adj, depth, decay)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             m = _on_grid(b["v"], n)
-            classes = np.unique(m)
-            p = np.stack([(m == c).astype(float) @ weight for c in classes], 2)
-            k = np.maximum(2, np.array([len(np.unique(row)) for row in m]))[:, None]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                mixed = -np.where(p > 0, p * np.log(p), 0).sum(2) / np.log(k) if measure == "entropy" else (1 - (p**2).sum(2)) / (1 - 1 / k)
-            yield pd.DataFrame({"key": b["key"], "homogeneity": list(1 - mixed)})
+            p = np.stack([(m == c).astype(float) @ weight for c in classes])
+            p = p / np.maximum(p.sum(0), 1e-300)
+            mixed = -(p * np.log(p + 1e-10)).sum(0) / np.log(len(classes)) if measure == "entropy" else 1 - (p**2).sum(0)
+            out = 1 - mixed
+            if out.size and out.min() <= -1e-6:
+                raise ValueError(f"homogeneity of {out.min()}")
+            yield pd.DataFrame({"key": b["key"], "homogeneity": list(np.clip(out, 0, 1))})
 
     return x.select(F.col(key).alias("key"), F.col(v).alias("v")).mapInPandas(run, "key long, homogeneity array<double>")
+
+
+def typed_katz(x: DataFrame, key: str, v: str, edges: DataFrame, depth: int = 10, decay: float = 1.5) -> DataFrame:
+    """How one-sided the surroundings of each node are: key, katz (an array over nodes, 0 for an even mix).
+
+    Classes are 0 and 1, taken as -1 and 1, or -1 and 1; nodes weigh as in ``homogeneity``.
+    """
+    adj = _adjacency(edges)
+    n, weight = len(adj), _walks(adj, depth, decay)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            m = _on_grid(b["v"], n).astype(float)
+            if not np.isin(m, (-1, 0, 1)).all() or ((m == 0).any(1) & (m == -1).any(1)).any():
+                raise ValueError("classes must be 0 and 1, or -1 and 1")
+            signed = np.where((m == -1).any(1, keepdims=True), m, 2 * m - 1)
+            yield pd.DataFrame({"key": b["key"], "katz": list(np.abs(signed @ weight))})
+
+    return x.select(F.col(key).alias("key"), F.col(v).alias("v")).mapInPandas(run, "key long, katz array<double>")

@@ -68,9 +68,14 @@ _query("split_number", lambda s, d: S.number_splits(_S(s, d)).select("co2l", "sp
 _query("split_thresholds", lambda s, d: S.at_thresholds(_C(s, d), [0.5, 0.8, 1.0, 1.5, 2.0]).groupBy("limit_hz", "co2l").agg(F.sum(F.col("lost_load_share_total") * F.col("total_weighting")).alias("loss"), F.count("*").alias("n")), _x("limit_hz::DOUBLE AS limit_hz, co2l, sum(greatest(shedding, CASE WHEN abs(rocof) > limit_hz THEN load_share ELSE 0e0 END)*trigger_weighting*snapshot_weighting) AS loss, count(DISTINCT split_number) AS n FROM obs, (VALUES (0.5e0), (0.8e0), (1.0e0), (1.5e0), (2.0e0)) t(limit_hz) GROUP BY 1, 2"), 4, "limit_hz co2l loss")
 _query("threshold_consistency", lambda s, d: S.consistent(S.at_thresholds(_C(s, d), [1.0]).drop("limit_hz"), _S(s, d), 6), _x("0::BIGINT AS only_first, 0::BIGINT AS only_second FROM (SELECT count(*) FROM spl)"))
 _query("risk_histogram", lambda s, d: S.histogram(_S(s, d), F.col("lost_load_share_blackout") * 100, F.col("total_weighting"), 0.0, 100.0, 5, ["co2l"]), _x(f"co2l, {_BIN5} AS bin, sum(total_weighting)::BIGINT AS weight FROM spl GROUP BY 1, 2"), 6, "co2l")
-_NORM = """nrm AS (SELECT co2l, tw*sw AS norm FROM (SELECT co2l, sum(trigger_weighting) AS tw FROM (SELECT DISTINCT co2l, init_failure_0, init_failure_1, trigger_weighting FROM spl) GROUP BY 1)
-  JOIN (SELECT co2l, sum(snapshot_weighting) AS sw FROM (SELECT DISTINCT co2l, time_stamp, snapshot_weighting FROM spl) GROUP BY 1) USING (co2l))"""
-_query("risk_fraction", lambda s, d: S.risk_fraction(_S(s, d)), _x(f"co2l, bin, weight::BIGINT AS weight, weight/norm::DOUBLE AS fraction FROM (SELECT co2l, {_BIN5} AS bin, sum(total_weighting) AS weight FROM spl GROUP BY 1, 2) JOIN nrm USING (co2l)", _NORM), 9, "co2l fraction")
+#: Circuits of the grid's edges, their pairs, and the weight of all simulations.
+_NORM = """ecr AS (SELECT e.range::INT AS line, size::DOUBLE AS size, n::DOUBLE AS n FROM range(50) e JOIN (VALUES (0, 1.0e0, 1), (1, 1.0e0, 2), (2, 0.2894737e0, 2), (3, 1.0e0, 1), (3, 0.2894737e0, 1), (4, 1.0e0, 3)) t(k, size, n) ON e.range % 5 = k),
+epr AS (SELECT a.line AS line_0, b.line AS line_1, CASE WHEN a.line = b.line AND a.size = b.size THEN a.n*(a.n - 1)/2 ELSE a.n*b.n END AS weight FROM ecr a JOIN ecr b ON b.line > a.line OR (b.line = a.line AND b.size >= a.size)),
+snp AS (SELECT co2l, sum(snapshot_weighting) AS sw FROM (SELECT DISTINCT co2l, time_stamp, snapshot_weighting FROM spl) GROUP BY 1),
+nrm AS (SELECT co2l, sw*(SELECT sum(weight) FROM epr) AS norm FROM snp)"""
+_norm = lambda s, d, corridor=None: S.contingency_norm(_pairs(s, d), P.snapshots(s, d), corridor)
+_query("risk_fraction", lambda s, d: S.risk_fraction(_S(s, d), _norm(s, d)), _x(f"co2l, bin, weight::BIGINT AS weight, weight/norm::DOUBLE AS fraction FROM (SELECT co2l, {_BIN5} AS bin, sum(total_weighting) AS weight FROM spl GROUP BY 1, 2) JOIN nrm USING (co2l)", _NORM), 9, "co2l fraction")
+_query("contingency_norm", lambda s, d: _norm(s, d).join(_norm(s, d, "same").withColumnRenamed("norm", "same"), "co2l").join(_norm(s, d, "different").withColumnRenamed("norm", "different"), "co2l"), _x("co2l, norm, sw*(SELECT coalesce(sum(weight), 0) FROM epr WHERE line_0 = line_1) AS same, sw*(SELECT sum(weight) FROM epr WHERE line_0 <> line_1) AS different FROM nrm JOIN snp USING (co2l)", _NORM), 3, "co2l norm same different")
 _query("same_vs_diff_corridor", lambda s, d: S.by_corridor(_S(s, d)), _x("co2l, CASE WHEN init_failure_0 = init_failure_1 THEN 'same' ELSE 'different' END AS corridor, sum(total_weighting)::BIGINT AS weight, count(*) AS n, sum(lost_load_share_blackout*total_weighting) AS loss FROM spl GROUP BY 1, 2"), 5, "co2l loss")
 _B10 = "CASE WHEN greatest(0e0, least(1e0, lost_load_share_blackout)) = 1 THEN 9 ELSE least(9, floor((greatest(0e0, least(1e0, lost_load_share_blackout)) - 0)/0.1e0)) END::INT"
 _query("hist2d_components", lambda s, d: S.size_against_loss(_S(s, d)), _x(f"n_components, bin, sum(total_weighting)::BIGINT AS weight, sum(total_weighting)/sum(sum(total_weighting)) OVER (PARTITION BY n_components) AS share FROM (SELECT *, {_B10} AS bin FROM spl) GROUP BY 1, 2"), 9, "share")
@@ -85,11 +90,12 @@ def _failed(s: SparkSession, d: str) -> DataFrame:
     return P.read(s, d, "lineitem").select(F.col("l_orderkey").alias("split_number"), (F.col("l_partkey") % 50).cast("int").alias("edge"))
 
 
-_FAIL = "fal AS (SELECT DISTINCT l_orderkey AS split_number, (l_partkey % 50)::INT AS edge FROM lineitem), trg AS (SELECT split_number, total_weighting AS w, init_failure_0 AS edge FROM spl UNION ALL SELECT split_number, total_weighting, init_failure_1 FROM spl)"
-_query("edge_likelihood", lambda s, d: S.edge_likelihood(_S(s, d), _failed(s, d)), _x("""e.edge, coalesce(a.x, 0)/n::DOUBLE AS secondary, coalesce(b.x, 0)/n::DOUBLE AS "primary", (coalesce(a.x, 0) + coalesce(c.x, 0))/n::DOUBLE AS total FROM (SELECT edge FROM fal UNION SELECT edge FROM trg) e
-  LEFT JOIN (SELECT edge, sum(total_weighting) AS x FROM fal JOIN spl USING (split_number) GROUP BY 1) a ON a.edge = e.edge
-  LEFT JOIN (SELECT edge, sum(w) AS x FROM trg GROUP BY 1) b ON b.edge = e.edge
-  LEFT JOIN (SELECT trg.edge, sum(w) AS x FROM trg LEFT JOIN fal ON fal.split_number = trg.split_number AND fal.edge = trg.edge WHERE fal.edge IS NULL GROUP BY 1) c ON c.edge = e.edge, (SELECT sum(total_weighting) AS n FROM spl)""", _FAIL), 9, 'secondary "primary" total')
+_FAIL = _NORM + ", fal AS (SELECT DISTINCT l_orderkey AS split_number, (l_partkey % 50)::INT AS edge FROM lineitem), trg AS (SELECT split_number, total_weighting AS w, init_failure_0 AS edge FROM spl UNION ALL SELECT split_number, total_weighting, init_failure_1 FROM spl)"
+_edges = lambda s, d: P.edges(s, d).select(F.col("edge_idx").alias("edge"))
+_query("edge_likelihood", lambda s, d: S.edge_likelihood(_S(s, d), _failed(s, d), _edges(s, d), _norm(s, d)), _x("""e.range::INT AS edge, coalesce(a.x, 0)/n::DOUBLE AS secondary, coalesce(b.x, 0)/n::DOUBLE AS "primary", (coalesce(a.x, 0) + coalesce(c.x, 0))/n::DOUBLE AS total FROM range(50) e
+  LEFT JOIN (SELECT edge, sum(total_weighting) AS x FROM fal JOIN spl USING (split_number) GROUP BY 1) a ON a.edge = e.range
+  LEFT JOIN (SELECT edge, sum(w) AS x FROM trg GROUP BY 1) b ON b.edge = e.range
+  LEFT JOIN (SELECT trg.edge, sum(w) AS x FROM trg LEFT JOIN fal ON fal.split_number = trg.split_number AND fal.edge = trg.edge WHERE fal.edge IS NULL GROUP BY 1) c ON c.edge = e.range, (SELECT sum(norm) AS n FROM nrm)""", _FAIL), 12, 'secondary "primary" total')
 _IMP = "imp AS (SELECT edge, sum(lost_load_share_blackout) AS impact, sum(lost_load_share_blackout*total_weighting) AS weighted_impact FROM (SELECT init_failure_0 AS edge, * FROM spl UNION ALL SELECT init_failure_1 AS edge, * FROM spl WHERE init_failure_0 <> init_failure_1) GROUP BY 1)"
 _query("edge_impact", lambda s, d: S.edge_impact(_S(s, d)), _x("* FROM imp", _IMP), 5, "impact weighted_impact")
 _query("top_edges", lambda s, d: S.top(S.edge_impact(_S(s, d)), "impact", "edge", 10).select("edge", "impact", "rank"), _x("edge, impact, row_number() OVER (ORDER BY impact DESC, edge)::INT AS rank FROM imp QUALIFY rank <= 10", _IMP), 5, "impact")
@@ -114,7 +120,7 @@ _DIP = "dip AS (SELECT snapshot, sum((node_idx % 5 - 2e0)*p0) AS dipole_x, sum((
 _query("injection", _I, _with("inj", "", "snapshot, node_idx, p0 FROM inj"), 5, "p0")
 _query("dipole", lambda s, d: D.dipole(_I(s, d)).withColumn("mismatch", F.abs(F.round("mismatch", 2))), _with("inj", _DIP, "snapshot, dipole_x, dipole_y, abs(round(mismatch, 2)) AS mismatch FROM dip"), 5, "dipole_x dipole_y mismatch")
 _query("monthly_dipole", lambda s, d: D.monthly_dipole(D.dipole(_I(s, d))), _with("inj", _DIP, "month(snapshot)::INT AS month, sum(dipole_x*(year(snapshot)-1994))/sum(year(snapshot)-1994) AS dipole_x, sum(dipole_y*(year(snapshot)-1994))/sum(year(snapshot)-1994) AS dipole_y FROM dip GROUP BY 1"), 5, "dipole_x dipole_y")
-_query("emissions", lambda s, d: D.emissions(_G(s, d), {"click": 0.2, "view": 0.34}), _g("day, e AS emissions, e/(1e6 + 1e-10) AS level FROM (SELECT snapshot::DATE AS day, sum(p*w/0.4e0*CASE carrier WHEN 'click' THEN 0.2e0 WHEN 'view' THEN 0.34e0 ELSE 0e0 END) AS e FROM gen GROUP BY 1)"), 8, "emissions level")
+_query("emissions", lambda s, d: D.emissions(_G(s, d), {"click": 0.2, "view": 0.34}).withColumn("emissions", F.round("emissions", 4)).withColumn("level", F.col("emissions") / (1e6 + 1e-10)), _g("day, e AS emissions, e/(1e6 + 1e-10) AS level FROM (SELECT snapshot::DATE AS day, round(sum(p*w/0.4e0*CASE carrier WHEN 'click' THEN 0.2e0 WHEN 'view' THEN 0.34e0 ELSE 0e0 END), 4) + 0e0 AS e FROM gen GROUP BY 1)"), 12, "emissions level")
 _query("costs", lambda s, d: D.costs(_G(s, d), {"click": 12.0, "purchase": 45.0}), _g("carrier, opex, capex FROM (SELECT carrier, sum(p*CASE carrier WHEN 'click' THEN 12e0 WHEN 'purchase' THEN 45e0 ELSE 0e0 END) AS opex FROM gen GROUP BY 1) JOIN (SELECT carrier, sum(p_nom)*90e0 AS capex FROM (SELECT DISTINCT bus, carrier, p_nom FROM gen) GROUP BY 1) USING (carrier)"), 7, "opex capex")
 _query("special_carriers", lambda s, d: D.special_carriers(_G(s, d), ["error", "load_shed"]), _g("c.carrier, coalesce(energy, 0) AS energy, coalesce(energy, 0)/all_e AS energy_share, coalesce(snapshots, 0) AS snapshots, coalesce(snapshots, 0)/all_n::DOUBLE AS snapshot_share FROM (VALUES ('error'), ('load_shed')) c(carrier) LEFT JOIN (SELECT carrier, sum(e) AS energy, count(*) FILTER (abs(e) > 1e-6) AS snapshots FROM (SELECT carrier, snapshot, sum(p*w) AS e FROM gen GROUP BY 1, 2) GROUP BY 1) x ON x.carrier = c.carrier, (SELECT sum(p*w) AS all_e, count(DISTINCT snapshot) AS all_n FROM gen)"), 6, "energy energy_share snapshot_share")
 _IN = "ine AS (SELECT snapshot, carrier, sum(CASE WHEN p > 0.05*p_nom THEN p_nom*CASE carrier WHEN 'click' THEN 5.9e0 WHEN 'view' THEN 4.2e0 WHEN 'purchase' THEN 3.7e0 ELSE 0e0 END ELSE 0e0 END) AS energy FROM gen GROUP BY 1, 2)"
@@ -161,11 +167,35 @@ _query("circuit_counts", lambda s, d: G.circuits(_lines(s, d)), _cq("line, size,
 _query("single_contingencies", _singles, _cq("line, size, weight, area FROM sin"), 7, "size")
 _query("double_contingencies", lambda s, d: G.double_contingencies(_singles(s, d), "area"), _cq("a.area, a.line AS line_0, a.size AS size_0, b.line AS line_1, b.size AS size_1, CASE WHEN a.line = b.line AND a.size = b.size THEN a.weight*(a.weight - 1)/2e0 ELSE a.weight*b.weight*1e0 END AS weight FROM sin a JOIN sin b ON a.area = b.area AND (b.line > a.line OR (b.line = a.line AND b.size >= a.size)) WHERE CASE WHEN a.line = b.line AND a.size = b.size THEN a.weight > 1 ELSE true END"), 7, "size_0 size_1 weight")
 _query("line_merge", lambda s, d: G.merge_parallel(P.read(s, d, "lineitem").select(F.concat(F.lit("L"), F.col("l_suppkey").cast("string"), F.when(F.col("l_linenumber") == 1, "_outage").otherwise("")).alias("name"), F.col("l_quantity").alias("num_parallel"), F.col("l_extendedprice").alias("s_nom"), F.col("l_tax").alias("p0"))), "\nSELECT 'L' || l_suppkey AS base, sum(l_quantity) AS num_parallel, sum(l_extendedprice) AS s_nom, sum(l_tax) AS p0, count(*) AS parts FROM lineitem GROUP BY 1", 3, "num_parallel s_nom p0")
-_query("bus_types", lambda s, d: G.bus_types(_G(s, d).where("carrier in ('click', 'view')").groupBy("bus").agg(F.round(F.max("p_nom"), 6).alias("p_nom"))), _g("bus, p_nom, CASE WHEN r = 1 THEN 'Slack' WHEN r <= 1 + least(round(n*0.3), n - 1) THEN 'PV' ELSE 'PQ' END AS kind FROM (SELECT *, row_number() OVER (ORDER BY p_nom DESC, bus) AS r, count(*) OVER () AS n FROM (SELECT bus, round(max(p_nom), 6) AS p_nom FROM gen WHERE carrier IN ('click', 'view') GROUP BY 1))"), 6, "p_nom")
-_query("bridges", lambda s, d: G.bridges(P.edges(s, d), P.read(s, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 50).alias("edge_idx"))), "\nSELECT o_orderkey AS id, (o_orderkey % 50)::INT AS edge_idx, 1::BIGINT AS n_components, false AS bridge FROM orders")
-_query("connected_components", lambda s, d: G.components_without(P.edges(s, d), P.read(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set((F.col("l_partkey") % 50).cast("int")).alias("gone"))).groupBy("id").agg(F.count("*").alias("n_components"), F.sum("n_nodes").alias("n_nodes")).select("id", "n_nodes", (F.col("n_components") >= 1).alias("some")), "\nSELECT DISTINCT l_orderkey AS id, 25::BIGINT AS n_nodes, true AS some FROM lineitem")
+_CAP = "cap AS (SELECT n_nationkey::INT AS bus, coalesce(round(sum(p_nom), 6), 0e0) AS p_nom FROM nation LEFT JOIN (SELECT DISTINCT bus, carrier, p_nom FROM gen WHERE carrier IN ('click', 'view')) ON bus = n_nationkey GROUP BY 1), typ AS (SELECT bus, p_nom, CASE WHEN p_nom <= 0 THEN 'PQ' WHEN r = 1 THEN 'Slack' WHEN r <= 1 + least(round_even(n*0.3, 0), able - 1) THEN 'PV' ELSE 'PQ' END AS kind FROM (SELECT *, row_number() OVER (ORDER BY p_nom DESC, bus) AS r, count(*) OVER () AS n, count(*) FILTER (p_nom > 0) OVER () AS able FROM cap))"
+_types = lambda s, d: G.bus_types(_G(s, d).where("carrier in ('click', 'view')").select("bus", "carrier", "p_nom").distinct(), P.read(s, d, "nation").select(F.col("n_nationkey").cast("int").alias("bus")))
+_query("bus_types", _types, _g("* FROM typ", _CAP), 6, "p_nom")
+_grid_b = lambda s, d: P.edges_with_pendants(s, d)
+_query("bridges", lambda s, d: G.bridges(_grid_b(s, d), P.read(s, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 55).alias("edge_idx"))), "\nSELECT o_orderkey AS id, (o_orderkey % 55)::INT AS edge_idx, CASE WHEN o_orderkey % 55 >= 50 THEN 2 ELSE 1 END::BIGINT AS n_components, o_orderkey % 55 >= 50 AS bridge FROM orders")
+_GONE = """ed AS (SELECT (row_number() OVER (ORDER BY u, v) - 1)::INT AS e, u::INT AS u, v::INT AS v FROM (SELECT least(n_nationkey, (n_nationkey + k) % 25) AS u, greatest(n_nationkey, (n_nationkey + k) % 25) AS v FROM nation, (VALUES (1), (5)) t(k))),
+off AS (SELECT DISTINCT l_orderkey AS id, ((l_partkey + k) % 50)::INT AS e FROM lineitem, range(6) t(k)),
+lnk AS (SELECT o.id, ed.u AS a, ed.v AS b FROM (SELECT DISTINCT id FROM off) o, ed WHERE NOT EXISTS (SELECT 1 FROM off WHERE off.id = o.id AND off.e = ed.e)),
+both_ AS (SELECT id, a, b FROM lnk UNION ALL SELECT id, b, a FROM lnk),
+reach AS (SELECT o.id, n_nationkey::INT AS a, n_nationkey::INT AS b FROM (SELECT DISTINCT id FROM off) o, nation UNION SELECT r.id, r.a, w.b FROM reach r JOIN both_ w ON w.id = r.id AND w.a = r.b)"""
+_query("connected_components", lambda s, d: G.components_without(P.edges(s, d), P.read(s, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k"), "l_partkey").groupBy("id").agg(F.collect_set(((F.col("l_partkey") + F.col("k")) % 50).cast("int")).alias("gone"))), f"WITH RECURSIVE {_GONE}\nSELECT id, component::BIGINT AS component, count(*) AS n_nodes FROM (SELECT id, b, min(a) AS component FROM reach GROUP BY 1, 2) GROUP BY 1, 2")
+# A flow is right if it balances at every node and its voltages add up to nothing around every loop.
 _query("dc_flow", lambda s, d: G.nodal_injection(G.dc_flows(P.edges(s, d), _I(s, d)), P.edges(s, d)).select("snapshot", F.col("node_idx").cast("int").alias("node_idx"), (F.col("p0") + 0.0037).alias("p0")), _with("inj", "", "snapshot, node_idx::INT AS node_idx, p0 + 0.0037e0 AS p0 FROM inj"), 1, "p0")
-_query("line_loading", lambda s, d: G.dc_flows(P.edges(s, d), _I(s, d)))
+
+
+def _loops(s: SparkSession, d: str) -> DataFrame:
+    """Sums of flow by susceptance around the loops i, i + 1, i + 6, i + 5 of the grid."""
+    f = G.dc_flows(P.edges(s, d), _I(s, d)).join(P.edges(s, d), "edge_idx")
+    drop = f.select("snapshot", F.explode(F.array(F.struct("u", "v", (F.col("flow") / F.col("weight")).alias("x")), F.struct(F.col("v").alias("u"), F.col("u").alias("v"), (-F.col("flow") / F.col("weight")).alias("x")))).alias("e")).select("snapshot", "e.*")
+    i = P.read(s, d, "nation").select(F.col("n_nationkey").cast("int").alias("loop"))
+    around = [F.pmod(F.col("loop") + k, F.lit(25)) for k in (0, 1, 6, 5, 0)]
+    sides = i.select("loop", F.explode(F.array(*(F.struct(a.alias("u"), b.alias("v")) for a, b in zip(around, around[1:], strict=False)))).alias("e")).select("loop", "e.u", "e.v")
+    return drop.join(sides, ["u", "v"]).groupBy("snapshot", "loop").agg((F.abs(F.sum("x")) < 1e-6 * (1 + F.max(F.abs("x")))).alias("closed"), F.count("*").alias("sides"))
+
+
+_query("voltage_law", _loops, _with("inj", "", "DISTINCT snapshot, l.n_nationkey::INT AS loop, true AS closed, 4::BIGINT AS sides FROM inj, nation l"))
+_query("line_loading", lambda s, d: G.dc_flows(P.edges(s, d), _I(s, d)).join(P.edges(s, d).select("edge_idx", "s_nom"), "edge_idx").select("snapshot", "edge_idx", (F.abs(F.col("flow")) / F.col("s_nom") - F.col("loading")).alias("gap"), (F.col("loading") >= 0).alias("valid")), _with("inj", "", "DISTINCT snapshot, e.range::INT AS edge_idx, 0e0 AS gap, true AS valid FROM inj, range(50) e"))
+_query("dc_loading", lambda s, d: G.dc_flows(P.edges(s, d), _I(s, d)))
+_query("n1_check", lambda s, d: G.n1_check(P.edges(s, d), _I(s, d), 2000.0))
 
 
 def _pairs(s: SparkSession, d: str) -> DataFrame:
@@ -186,14 +216,39 @@ _PAIR = "prs AS (SELECT a.vec_id AS i, b.vec_id AS j, a.v AS x, b.v AS y, a.embe
 _query("membership_vector", lambda s, d: V.membership(P.split_components(s, d), P.NODES), _with("comp", "", "split_number, list_transform(range(0, 25), lambda i: list_contains(nodes, i::INT)::INT) AS v FROM (SELECT split_number, list(DISTINCT node_idx) AS nodes FROM comp GROUP BY 1)"))
 _query("rocof_vector", lambda s, d: V.nodal_values(_C(s, d), P.NODES).select("split_number", F.posexplode("v").alias("node", "x")).where("x <> 0"), _x("split_number, node_idx AS node, arg_max(rocof, (abs(rocof), rocof)) AS x FROM obs GROUP BY 1, 2 HAVING arg_max(rocof, (abs(rocof), rocof)) <> 0"), 6, "x")
 _query("transform_vectors", lambda s, d: V.nodal_values(_C(s, d), P.NODES).select("split_number", V.transformed(F.col("v"), "blackout").alias("t"), V.transformed(F.col("v"), "not_zero").alias("z")).select("split_number", F.aggregate("t", F.lit(0), lambda a, x: a + x).alias("balance"), F.aggregate("z", F.lit(0), lambda a, x: a + x).alias("n")), _x("split_number, sum(CASE WHEN x > 1 THEN 1 WHEN x < -1 THEN -1 ELSE 0 END)::INT AS balance, sum((x <> 0)::INT)::INT AS n FROM (SELECT split_number, node_idx, arg_max(rocof, (abs(rocof), rocof)) AS x FROM obs GROUP BY 1, 2) GROUP BY 1"))
-_query("unique_vectors", lambda s, d: V.unique_vectors(_T(s, d).withColumn("v", F.transform(F.slice("v", 1, 6), lambda x: x.cast("string"))).withColumn("v", F.concat_ws(",", "v")), "vec_id", "v", "w"), _t("array_to_string(v[1:6], ',') AS v, min(vec_id) AS uid, count(*) AS n, sum(w)::BIGINT AS weight FROM tern GROUP BY 1"))
+_query("unique_vectors", lambda s, d: V.unique_vectors(_T(s, d).withColumn("v", F.concat_ws(",", F.transform("v", lambda x: x.cast("string")))), "vec_id", "v", "w"), _t("array_to_string(v, ',') AS v, min(vec_id) AS uid, count(*) AS n, sum(w)::BIGINT AS weight FROM tern GROUP BY 1"))
 _query("hamming_pairs", lambda s, d: V.blocked_pairs(_T(s, d), "vec_id", "v", None, V.hamming), _t("* FROM ham", _PAIR), 9, "d")
 _query("class_distance_pairs", lambda s, d: V.blocked_pairs(_T(s, d), "vec_id", "v", None, V.class_distance), _t("i, j, list_sum(list_transform(list_zip(x, y), lambda z: abs(z[1] - z[2])))/128e0 AS d FROM prs", _PAIR), 9, "d")
 _query("cosine_pairs", lambda s, d: V.blocked_pairs(_T(s, d), "vec_id", "embedding", None, V.cosine), _t("i, j, 1 - list_cosine_similarity(ex::DOUBLE[], ey::DOUBLE[]) AS d FROM prs", _PAIR), 9, "d")
 _COS = ", cos AS (SELECT i, j, 1 - list_cosine_similarity(ex::DOUBLE[], ey::DOUBLE[]) AS d FROM prs)"
-_query("composite_pairs", lambda s, d: V.combined([V.blocked_pairs(_T(s, d), "vec_id", "v", None, V.hamming), V.blocked_pairs(_T(s, d), "vec_id", "embedding", None, V.cosine)]), _t("ham.i, ham.j, 1 - sqrt(greatest((1 - ham.d)*(1 - cos.d), 0)) AS d FROM ham JOIN cos ON ham.i = cos.i AND ham.j = cos.j", _PAIR + _COS), 6, "d")
-_query("whamming_pairs", lambda s, d: V.blocked_pairs(_T(s, d).withColumn("u", F.transform("embedding", lambda x: F.abs(x))), "vec_id", "v", "u", V.weighted_hamming))
-_query("bacc_pairs", lambda s, d: V.blocked_pairs(_T(s, d).withColumn("u", F.transform("embedding", lambda x: F.abs(x))), "vec_id", "v", "u", V.balanced_accuracy((-1, 0, 1))))
+_HC = "hc AS (SELECT i, j, list_sum(list_transform(list_zip(x, y), lambda z: (z[1] <> z[2])::INT))/64e0 AS h, 1 - list_cosine_similarity(ex::DOUBLE[], ey::DOUBLE[]) AS c FROM prs)"
+_P = "prs AS (SELECT a.vec_id AS i, b.vec_id AS j, a.v AS x, b.v AS y, a.embedding AS ex, b.embedding AS ey, list_transform(a.embedding, lambda e: abs(e)::DOUBLE) AS u, list_transform(b.embedding, lambda e: abs(e)::DOUBLE) AS w FROM tern a JOIN tern b ON a.vec_id < b.vec_id)"
+_cosd = lambda s, d: V.blocked_pairs(_T(s, d), "vec_id", "embedding", None, V.cosine)
+_hamd = lambda s, d: V.blocked_pairs(_T(s, d), "vec_id", "v", None, V.hamming)
+_W = lambda s, d: _T(s, d).withColumn("u", F.transform("embedding", lambda x: F.abs(x).cast("double")))
+_query("composite_pairs", lambda s, d: V.combined([_hamd(s, d), _cosd(s, d)]), _t("i, j, 1 - sqrt(greatest((1 - h)*(1 - c), 0)) AS d FROM hc", _P + ", " + _HC), 6, "d")
+_query("product_root_pairs", lambda s, d: V.product_root(_hamd(s, d), _cosd(s, d)), _t("i, j, sqrt(greatest(h*c, 0)) AS d FROM hc", _P + ", " + _HC), 6, "d")
+_query("harmonic_pairs", lambda s, d: V.harmonic(_hamd(s, d), _cosd(s, d)), _t("i, j, 2*h*c/(h + c + 1e-10) AS d FROM hc", _P + ", " + _HC), 6, "d")
+_Z = "list_zip(x, y, u, w)"
+_sum = lambda f: f"list_sum(list_transform({_Z}, lambda z: {f}))"
+_query("whamming_pairs", lambda s, d: V.blocked_pairs(_W(s, d), "vec_id", "v", "u", V.weighted_hamming), _t(f"i, j, 1 - round(({_sum('CASE WHEN z[1] = z[2] THEN z[3]*z[4] ELSE 0e0 END')} + 1e-10)/({_sum('z[3]*z[4]')} + 1e-10), 6) AS d FROM prs", _P), 6, "d")
+_cls = lambda c: f"(1 - round(({_sum(f'CASE WHEN z[1] = {c} AND z[2] = {c} THEN z[3] + z[4] ELSE 0e0 END')} + 1e-10)/({_sum(f'(z[1] = {c})::INT*z[3] + (z[2] = {c})::INT*z[4]')} + 1e-10), 6))"
+_query("bacc_pairs", lambda s, d: V.blocked_pairs(_W(s, d), "vec_id", "v", "u", V.balanced_accuracy((-1, 0, 1))), _t(f"i, j, ({_cls(-1)} + {_cls(0)} + {_cls(1)})/3 AS d FROM prs", _P), 8, "d")
+_side = lambda c: f"{_sum(f'CASE WHEN z[1] {c} 0 AND z[2] {c} 0 THEN z[3]*z[4] ELSE 0e0 END')}/({_sum(f'(z[1] {c} 0)::INT*z[3] + (z[2] {c} 0)::INT*z[4]')} + 1e-10)"
+_query("balanced_overlap_pairs", lambda s, d: V.blocked_pairs(_W(s, d), "vec_id", "v", "u", V.balanced_overlap), _t(f"i, j, 1 - ({_side('<>')} + {_side('=')})/2 AS d FROM prs", _P), 8, "d")
+
+
+def _near_pairs(s: SparkSession, d: str) -> DataFrame:
+    """Each vector with the next four by key."""
+    x = _W(s, d).select("vec_id", "v", "u", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("k"))
+    y = _W(s, d).select(F.col("vec_id").alias("j"), F.col("v").alias("y"), F.col("u").alias("w"))
+    return x.join(y, F.col("vec_id") + F.col("k") == F.col("j")).select(F.col("vec_id").alias("i"), "j", F.col("v").alias("x"), "y", "u", F.col("w").alias("v"))
+
+
+_NEAR = _P.replace("ON a.vec_id < b.vec_id", "ON b.vec_id - a.vec_id BETWEEN 1 AND 4")
+_own = lambda c, w=("z[3]", "z[4]"): f"({_sum(f'CASE WHEN z[1] {c} AND z[2] {c} THEN {w[0]} + {w[1]} ELSE 0e0 END')}/{_sum(f'(z[1] {c})::INT*{w[0]} + (z[2] {c})::INT*{w[1]}')})"
+_query("scalar_metrics", lambda s, d: V.scalar_metrics(_near_pairs(s, d)), _t(f"""i, j, {_sum('CASE WHEN z[1] <> z[2] THEN z[3]*z[4] ELSE 0e0 END')} AS product, 1 - ({_own('<> 0')} + {_own('= 0')})/2 AS overlap, 1 - ({_own('<> 0', ('1e0', '1e0'))} + {_own('= 0', ('1e0', '1e0'))})/2 AS plain,
+  1 - ({' + '.join(f"CASE WHEN list_contains(x, {c}) OR list_contains(y, {c}) THEN {_own(f'= {c}')} ELSE 0e0 END" for c in (-1, 0, 1))})/len(list_distinct(list_concat(x, y))) AS multiclass, 1 - {_sum('CASE WHEN z[1] = z[2] THEN z[3]*z[4] ELSE 0e0 END')}/{_sum('z[3]*z[4]')} AS accuracy FROM prs""", _NEAR), 8, "product overlap plain multiclass accuracy")
 _query("silhouette", lambda s, d: V.silhouette(V.blocked_pairs(_T(s, d), "vec_id", "v", None, V.hamming), _T(s, d).select(F.col("vec_id").alias("key"), "label")), _t("vec_id AS i, label, CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a)/greatest(a, b) END AS silhouette FROM (SELECT vec_id, label, min(d) FILTER (label = l) AS a, min(d) FILTER (label <> l) AS b FROM (SELECT t.vec_id, t.label, u.label AS l, avg(d) AS d FROM tern t JOIN (SELECT i, j, d FROM ham UNION ALL SELECT j, i, d FROM ham) p ON p.i = t.vec_id JOIN tern u ON u.vec_id = p.j GROUP BY 1, 2, 3) GROUP BY 1, 2)", _PAIR), 8, "silhouette")
 _query("centroids", lambda s, d: V.centroids(_T(s, d), "label", "v", "w"), _t("label, pos, class, sum(w)/sum(sum(w)) OVER (PARTITION BY label, pos) AS probability FROM (SELECT label, w, generate_subscripts(v, 1)::INT - 1 AS pos, unnest(v)::INT AS class FROM tern) GROUP BY 1, 2, 3"), 9, "probability")
 _query("cluster_stats", lambda s, d: V.cluster_stats(_T(s, d), "label", F.abs(F.element_at("embedding", 1)).cast("double"), "w"), _t("label, sum(abs(embedding[1])::DOUBLE*w) AS value, sum(w)::BIGINT AS weight, count(*) AS n, sum(abs(embedding[1])::DOUBLE*w)/sum(sum(abs(embedding[1])::DOUBLE*w)) OVER () AS share FROM tern GROUP BY 1"), 7, "value share")
@@ -202,7 +257,10 @@ _query("boundary_field", lambda s, d: V.boundary(_M(s, d), "split_number", "v",
 _ham = lambda s, d: V.blocked_pairs(_T(s, d), "vec_id", "v", None, V.hamming)
 _query("dbscan", lambda s, d: K.dbscan(_ham(_ready(s), d), _T(s, d).select(F.col("vec_id").alias("key")), 0.25, 4, _keep))
 _query("agglomerative", lambda s, d: K.agglomerative(_ham(s, d).join(_T(s, d).select(F.col("vec_id").alias("i"), F.col("label").alias("li")), "i").join(_T(s, d).select(F.col("vec_id").alias("j"), F.col("label").alias("lj")), "j").where("li = lj").withColumn("label", F.col("li").cast("long")), "label", [2, 4]))
-_query("homogeneity", lambda s, d: V.homogeneity(_M(s, d), "split_number", "v", P.edges(s, d)).select("key", F.aggregate("homogeneity", F.lit(0.0), lambda a, x: a + x).alias("total")))
+_query("homogeneity", lambda s, d: V.homogeneity(_M(s, d), "split_number", "v", P.edges(s, d), (0, 1)).select("key", F.aggregate("homogeneity", F.lit(0.0), lambda a, x: a + x).alias("total")))
+_query("typed_katz", lambda s, d: V.typed_katz(_M(s, d), "split_number", "v", P.edges(s, d)).select("key", F.aggregate("katz", F.lit(0.0), lambda a, x: a + x).alias("total")))
+_query("low_weight_boundary", lambda s, d: V.boundary(_M(s, d), "split_number", "v", P.edges(s, d), 0.4, 0).select("key", F.aggregate("field", F.lit(0.0), lambda a, x: a + 1 - x).alias("far")), _with("comp", """mem AS (SELECT split_number, list(DISTINCT node_idx) AS nodes FROM comp GROUP BY 1), ed AS (SELECT u::INT AS u, v::INT AS v FROM (SELECT least(n_nationkey, (n_nationkey + k) % 25) AS u, greatest(n_nationkey, (n_nationkey + k) % 25) AS v FROM nation, (VALUES (1), (5)) t(k))),
+cut AS (SELECT split_number, u, v FROM mem, ed WHERE list_contains(nodes, u) <> list_contains(nodes, v)), nb AS (SELECT split_number, node, sum(x) AS x FROM (SELECT split_number, u AS node, 1 AS x FROM cut UNION ALL SELECT split_number, v, -1 FROM cut) GROUP BY 1, 2)""", "mem.split_number AS key, 25e0 - coalesce(n, 0) AS far FROM mem LEFT JOIN (SELECT split_number, count(*) AS n FROM nb WHERE x <> 0 GROUP BY 1) b ON b.split_number = mem.split_number"), 6, "far")
 _query("communities", lambda s, d: K.communities(P.edges(s, d), G.dc_flows(P.edges(s, d), _I(s, d))))
 _query("pca_profiles", lambda s, d: K.principal_components(_I(s, d), "snapshot", "node_idx", "p0", 3), digits=2)
 _query("ac_flow", lambda s, d: K.ac_flows(P.edges(s, d), _I(s, d), 1e8))
@@ -226,8 +284,10 @@ _query("greedy_line_extension", lambda s, d: M.greedy_extension(_S(_ready(s), d)
 
 
 def _ready(spark: SparkSession) -> SparkSession:
-    """A checkpoint folder where none is set, as in tests on one machine."""
+    """A checkpoint folder where none is set, as in tests on one machine; a cluster must set its own."""
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-')}")

@@ -68,9 +68,17 @@ def overlay(base: DataFrame, window: DataFrame, keys: list[str], value: str) ->
 
 
 def nearest_level(df: DataFrame, levels: DataFrame, tolerance: float = 1e-6) -> DataFrame:
-    """Rows with the nearest level that is closer than the tolerance."""
-    near = df.join(F.broadcast(levels), F.abs(df.co2l - levels.level) < tolerance)
-    return near
+    """Rows with the nearest level, if it is closer than the tolerance; of equally near ones the lower.
+
+    Both sides meet on cells twice as wide as the tolerance, a level in its own and
+    the neighbouring ones, so that the join is one of equal keys.
+    """
+    cell = lambda c: F.floor(c / (2 * tolerance))
+    near = levels.withColumn("_cell", F.explode(F.array(*(cell(F.col("level")) + k for k in (-1, 0, 1)))))
+    gap = F.abs(F.col("co2l") - F.col("level"))
+    both = df.withColumn("_cell", cell(F.col("co2l"))).withColumn("_row", F.struct(*df.columns)).join(near, "_cell").where(gap < tolerance)
+    best = both.groupBy("_row").agg(F.min_by(F.struct(*levels.columns), F.struct(gap, F.col("level"))).alias("_level"))
+    return best.select("_row.*", "_level.*")
 
 
 def highest_entry(df: DataFrame, keys: list[str], by: list[str], value: str) -> DataFrame:

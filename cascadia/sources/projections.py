@@ -50,6 +50,19 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("u", "v", idx).select("edge_idx", "u", "v", (1 + (F.col("edge_idx") * 7 % 13) / 10).alias("weight"), (400.0 + 50 * (F.col("edge_idx") % 9)).alias("s_nom"), F.element_at(F.array(*map(F.lit, (1.0, 2.0, 0.57894737, 1.28947368, 3.0))), (F.col("edge_idx") % 5 + 1).cast("int")).alias("num_parallel"))
 
 
+def edges_with_pendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid's edges and five more, 50 to 54, to pendant nodes 25 to 29: these are its bridges."""
+    more = spark.range(5).select((50 + F.col("id")).cast("int").alias("edge_idx"), (5 * F.col("id")).cast("int").alias("u"), (25 + F.col("id")).cast("int").alias("v"), F.lit(1.0).alias("weight"), F.lit(400.0).alias("s_nom"), F.lit(1.0).alias("num_parallel"))
+    return edges(spark, sf_dir).unionByName(more)
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenario and time of all splits with the weight of their snapshots."""
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    has = read(spark, sf_dir, "lineitem").select("l_orderkey")
+    return o.join(has, o.o_orderkey == has.l_orderkey, "left_semi").select(((F.col("o_custkey") % 8).cast("double") / 10.0).alias("co2l"), F.col("o_orderdate").alias("time_stamp"), F.lit(3).alias("snapshot_weighting")).distinct()
+
+
 def generation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Power by snapshot (3 h), bus and carrier, with sign and nominal power."""
     e = read(spark, sf_dir, "events").select("ts", "user_id", "event_type", "value")

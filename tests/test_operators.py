@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from cascadia.functions.binning import bin_index, clip_to
-from cascadia.operators import clusters, grid, mitigation, splits, vectors
+from cascadia.operators import clusters, frames, grid, mitigation, planning, splits, vectors
 from cascadia.sources import artifacts
 from pyspark.sql import functions as F
 
@@ -135,11 +135,101 @@ def test_communities_of_two_triangles():
 def test_homogeneity(spark):
     x = spark.createDataFrame([(1, [1, 1, 1, 1]), (2, [0, 1, 0, 1])], "k long, v array<int>")
     e = spark.createDataFrame([(0, 1), (1, 2), (2, 3)], "u int, v int")
-    got = {r.key: r.homogeneity for r in vectors.homogeneity(x, "k", "v", e, depth=2).collect()}
+    got = {r.key: r.homogeneity for r in vectors.homogeneity(x, "k", "v", e, (0, 1), depth=2).collect()}
     assert got[1] == [1.0] * 4 and all(0 <= h < 1 for h in got[2])
 
 
-@pytest.mark.parametrize("run", [vectors.boundary, vectors.homogeneity])
+def test_boundary_steps(spark):
+    """A path with one cut edge: half of the own value and half of the neighbours' mean."""
+    x = spark.createDataFrame([(1, [1, 1, 0, 0])], "k long, v array<int>")
+    e = spark.createDataFrame([(0, 1), (1, 2), (2, 3)], "u int, v int")
+    assert vectors.boundary(x, "k", "v", e, steps=1).first().field == [0.5, 0.75, 0.75, 0.5]
+    assert vectors.boundary(x, "k", "v", e, alpha=0.5, steps=2).first().field == [0.625, 0.6875, 0.6875, 0.625]
+
+
+def test_homogeneity_by_hand(spark):
+    """Path of three: node 0 sees node 1 at one step; at two steps itself and node 2."""
+    x = spark.createDataFrame([(1, [1, 0, 0])], "k long, v array<int>")
+    e = spark.createDataFrame([(0, 1), (1, 2)], "u int, v int")
+    got = vectors.homogeneity(x, "k", "v", e, (0, 1), depth=2, decay=1.0, measure="gini").first().homogeneity
+    # Node 0: class 0 has 1 + 1/4 of 3/2, class 1 has 1/4. Node 1: 1/2 and 1/2, then itself: 1/2.
+    assert got == pytest.approx([(5 / 6) ** 2 + (1 / 6) ** 2, (2 / 3) ** 2 + (1 / 3) ** 2, (5 / 6) ** 2 + (1 / 6) ** 2])
+    katz = vectors.typed_katz(x, "k", "v", e, depth=2, decay=1.0).first().katz
+    assert katz == pytest.approx([1.0, 0.5, 1.0])
+
+
+def test_balanced_accuracy_and_overlap():
+    a, b = np.array([[1, 1, 0, -1]]), np.array([[1, 0, 0, -1]])
+    u, v = np.array([[1.0, 2.0, 1.0, 1.0]]), np.array([[3.0, 1.0, 1.0, 1.0]])
+    # Class 1: 4 of 3 + 3; class 0: 2 of 1 + 2; class -1: all.
+    assert vectors.balanced_accuracy((-1, 0, 1))(a, b, u, v)[0, 0] == pytest.approx((1 - 0.666667 + 1 - 0.666667) / 3)
+    # Non-zero: 3 + 1 of 4 + 4; zero: 1 of 1 + 2.
+    assert vectors.balanced_overlap(a, b, u, v)[0, 0] == pytest.approx(1 - (4 / 8 + 1 / 3) / 2)
+
+
+def test_edge_order(spark):
+    e = spark.createDataFrame([(0, 0, 1), (1, 2, 1), (2, 1, 2), (3, 2, 3)], "edge_idx int, u int, v int")
+    assert tuple(planning.order_faults(e).first()) == (1, 2, 4)
+
+
+def test_snapshots_by_label_and_position(spark):
+    t = spark.createDataFrame([(f"2024-01-0{k}",) for k in (1, 2, 2, 3)], "snapshot string").select(F.to_date("snapshot").alias("snapshot"))
+    day = lambda df: sorted(str(r[0])[-1] for r in df.collect())
+    assert day(frames.snapshots_by(t)) == ["1", "2", "3"] and day(frames.snapshots_by(t, [0, -1])) == ["1", "3"]
+    assert day(frames.snapshots_by(t, ["2024-01-02"])) == ["2"]
+    for wrong in ([7], ["2024-02-01"]):
+        with pytest.raises(ValueError):
+            frames.snapshots_by(t, wrong)
+
+
+def test_partition_and_progress(spark):
+    w = spark.createDataFrame([(1, 2.5), (2, 0.3)], "id int, weight double")
+    assert {r.id: r.c for r in planning.partition(w, (1.0, 0.5, 0.25)).collect()} == {1: [0, 0, 10], 2: None}
+    log = spark.createDataFrame([(0, 3, 5.0), (1, 4, 3.0), (2, 3, 1.0)], "step int, node_idx int, gain double")
+    assert {r.node_idx: r.energy for r in planning.inertia_until(log, 10.0, 0.4, 10.0).collect()} == {3: 10.0, 4: 10.0}
+
+
+def test_geodesic_and_components_less_the_main_one(spark):
+    x = spark.range(1).select(planning.geodesic(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(90.0)).alias("km")).first().km
+    assert x == pytest.approx(6371.0088 * np.pi / 2)
+    v = spark.createDataFrame([(1, [2, 2, 5, 7, 7])], "k int, v array<int>")
+    assert {r.value: r.v for r in planning.component_vectors(v, "k", "v").collect()} == {5: [0, 0, 1, 0, 0], 7: [0, 0, 0, 1, 1]}
+
+
+def test_bus_types_count_all_buses(spark):
+    cap = spark.createDataFrame([(1, 5.0), (1, 4.0), (2, 8.0), (3, 1.0), (4, 0.0)], "bus int, p_nom double")
+    got = {r.bus: r.kind for r in grid.bus_types(cap, spark.range(1, 11).withColumnRenamed("id", "bus")).collect()}
+    assert {k: v for k, v in got.items() if v != "PQ"} == {1: "Slack", 2: "PV", 3: "PV"} and len(got) == 10
+    pf = {r.bus: r for r in grid.power_factors(grid.bus_types(cap, spark.range(1, 11).withColumnRenamed("id", "bus"))).collect()}
+    assert pf[1].factor is None and pf[1].tangent == 0 and all(0.925 <= pf[k].factor <= 0.975 for k in range(4, 11))
+
+
+def test_cascade_margin_and_limits():
+    g = grid.Grid(frame([0, 1, 0], [1, 2, 2], s_nom=2 / 3 / (1 + 5e-5)))
+    assert g.cascade(np.array([1.0, -1.0, 0.0]), []) == ([], False, 0)  # within the margin of 1e-4
+    with pytest.raises(ValueError):
+        g.cascade(np.array([1.0, -1.0, 0.0]), [(0, 2.0)])
+
+
+def test_edge_likelihood_by_hand(spark):
+    s = spark.createDataFrame([(1, 2, 0, 0), (2, 3, 1, 2)], "split_number long, total_weighting long, init_failure_0 int, init_failure_1 int")
+    failed = spark.createDataFrame([(1, 1), (2, 1), (2, 1)], "split_number long, edge int")
+    norm = spark.createDataFrame([(0.0, 6.0), (0.1, 4.0)], "co2l double, norm double")
+    got = {r.edge: (r.secondary, r.primary, r.total) for r in splits.edge_likelihood(s, failed, spark.range(4).selectExpr("int(id) edge"), norm).collect()}
+    assert got == {0: (0, 0.4, 0.4), 1: (0.5, 0.3, 0.5), 2: (0, 0.3, 0.3), 3: (0, 0, 0)}
+
+
+def test_ranks_of_a_large_group(spark):
+    from cascadia.functions.ranks import ranked
+
+    df = spark.range(3000).selectExpr("id % 2 as g", "id * 7919 % 1000 as x", "id")
+    got = ranked(df, "g", F.col("x"), ["id"], 16).collect()
+    for g in (0, 1):
+        order = sorted((r.x, r.id) for r in got if r.g == g)
+        assert {(r.x, r.id): (r["rank"], r.group_rows) for r in got if r.g == g} == {k: (i + 1, 1500) for i, k in enumerate(order)}
+
+
+@pytest.mark.parametrize("run", [vectors.boundary, lambda *a: vectors.homogeneity(*a, (0, 1))])
 def test_vectors_beyond_the_grid_are_refused(spark, run):
     x = spark.createDataFrame([(1, [0, 1, 0, 1])], "k long, v array<int>")
     e = spark.createDataFrame([(0, 1), (1, 2)], "u int, v int")
