@@ -48,7 +48,9 @@ GROUP = 1 << 17
 MOST_FREQUENT = 1 << 20
 FREQUENT = 4
 LEVELS = 4
-FLUSH = 1 << 22
+FLUSH = 1 << 20
+#: Tokens of one token range, about; a quarter of them or so are in prefixes.
+RANGE = 3 << 20
 FP_BITS = 26
 
 
@@ -270,7 +272,7 @@ def bucket_rows(blobs: DataFrame, percent: int) -> DataFrame:
             row = {n: np.frombuffer(x[n], k) for n, k in kinds.items()}
             for n in held:
                 held[n].append(row[n] if n in row else own[n][row["doc"]])
-        c = {n: np.concatenate(x) for n, x in held.items()}
+        c = {n: np.concatenate(held.pop(n)) for n in list(held)}
         # Only lists of two entries or more can link anything.
         order = np.argsort(c["tok"])
         s = c["tok"][order]
@@ -424,7 +426,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     small_batches(spark)
     sets = saved(document_sets(docs, k), "sets")
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
-    bits = min(20, max(4, int(np.ceil(np.log2(max(1, total / (8 << 20)))))))
+    bits = min(20, max(4, int(np.ceil(np.log2(max(1, total / RANGE))))))
     fps, logs = frequent_tokens(docs, k, bits)
     rows = saved(bucket_rows(postings(docs, k, percent, bits, fps, logs), percent), "buckets")
     pairs = rows.where("kind = 'pair'").groupBy("a", "b").agg(F.sum("c").alias("c"), F.sum("low").alias("low"), F.max("need").alias("need"), F.max("bound").alias("bound"))
