@@ -40,13 +40,18 @@ def windows(off: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+    """In place, of an array that is not used again."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x += 1
+    x *= 0.5
+    return x
 
 
 class Network:
     """Weights of both directions: input table w (256 x 3h), recurrent u (h x 3h), and the output layer."""
 
-    def __init__(self, classes: list[str], hidden: int = 16, seed: int = 7):
+    def __init__(self, classes: list[str], hidden: int = 8, seed: int = 7):
         r = np.random.default_rng(seed)
         self.classes, self.hidden = classes, hidden
         self.p: dict[str, np.ndarray] = {"o": r.normal(0, 0.1, (2 * hidden, len(classes))), "ob": np.zeros(len(classes))}
@@ -58,16 +63,18 @@ class Network:
         """States at each position; a gated unit with update, reset and candidate parts."""
         h, w, u, c = self.hidden, self.p[f"w{d}"], self.p[f"u{d}"], self.p[f"c{d}"]
         n, t = x.shape
-        state = np.zeros((n, h), np.float32)
-        out, tape = np.zeros((t, n, h), np.float32), []
-        full = on.all(0)
+        state = np.zeros((n, h), w.dtype)
+        out, tape = np.zeros((t, n, h), w.dtype), []
+        full, at = on.all(0), np.ascontiguousarray(x.T)
         for i in range(t) if d == "f" else range(t - 1, -1, -1):
-            a, b = w[x[:, i]], state @ u
+            a, b = w.take(at[i], 0), state @ u
             gates = _sigmoid(a[:, : 2 * h] + b[:, : 2 * h])
             z, r = gates[:, :h], gates[:, h:]
             pre = b[:, 2 * h :] + c
             g = np.tanh(a[:, 2 * h :] + r * pre)
-            new = g + z * (state - g)
+            new = state - g
+            new *= z
+            new += g
             if keep:
                 tape.append((i, state, z, r, pre, g))
             state = new if full[i] else np.where(on[:, i, None], new, state)
@@ -78,11 +85,18 @@ class Network:
         """Log-probabilities of the classes at each position, (time, window, class)."""
         f, tf = self._layer(x, on, "f", keep)
         b, tb = self._layer(x, on, "b", keep)
-        s = np.concatenate((f, b), 2)
-        y = s @ self.p["o"] + self.p["ob"]
-        y -= y.max(2, keepdims=True)
-        y -= np.log(np.exp(y).sum(2, keepdims=True))
-        return (y, s, tf, tb) if keep else (y,)
+        y = f @ self.p["o"][: self.hidden] + b @ self.p["o"][self.hidden :] + self.p["ob"]
+        # The few classes are worked through one by one: reductions over a short last axis are slow.
+        k = range(y.shape[2])
+        top = y[:, :, 0].copy()
+        for c in k:
+            np.maximum(top, y[:, :, c], out=top)
+        y -= top[:, :, None]
+        total = np.zeros_like(top)
+        for c in k:
+            total += np.exp(y[:, :, c])
+        y -= np.log(total)[:, :, None]
+        return (y, np.concatenate((f, b), 2), tf, tb) if keep else (y,)
 
     def gradients(self, x: np.ndarray, on: np.ndarray, label: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss over positions and its gradients, by backpropagation through time."""
@@ -175,8 +189,8 @@ class Labeller:
     def _label(self, data: np.ndarray, lo: np.ndarray, s: np.ndarray, e: np.ndarray, hi: np.ndarray) -> np.ndarray:
         out = np.zeros((len(s), len(self.net.classes)), np.float32)
         order = np.argsort(hi - lo, kind="stable")
-        for i in range(0, len(order), 1024):
-            o = order[i : i + 1024]
+        for i in range(0, len(order), 2048):
+            o = order[i : i + 2048]
             at = lo[o][:, None] + np.arange(int((hi[o] - lo[o]).max()))
             (y,) = self.net.positions(data[np.minimum(at, len(data) - 1)], at < hi[o][:, None])
             own = (at >= s[o][:, None]) & (at < e[o][:, None])
