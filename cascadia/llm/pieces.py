@@ -38,7 +38,7 @@ UNKNOWN = 10.0
 #: Bytes from which a word is segmented alone, edge by edge, and not in step with others.
 LONG = 1024
 #: Rounds of estimation at most, and the relative gain in likelihood below which they end.
-MOST_ROUNDS = 3
+MOST_ROUNDS = 2
 LEAST_GAIN = 1e-3
 #: Expected counts are summed as integers of this part, so that no order of tasks changes them.
 QUANTUM = 2.0**-20
