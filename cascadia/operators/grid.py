@@ -67,14 +67,29 @@ def single_contingencies(counts: DataFrame, bridges: DataFrame) -> DataFrame:
     return counts.join(bridges, "line", "left_anti").select("line", "size", F.col("n").alias("weight"))
 
 
-def double_contingencies(singles: DataFrame, within: str) -> DataFrame:
-    """Pairs of circuits in one group: n (n - 1) / 2 of one kind, else the product of their numbers."""
-    a, b = singles.alias("a"), singles.alias("b")
+def single_lines(lines: DataFrame, edges: DataFrame) -> DataFrame:
+    """Lines (line, corridor) that alone hold two parts of the grid together: no other line of a corridor that is a bridge."""
+    corridors = bridges(edges, edges.select(F.col("edge_idx").cast("long").alias("id"), "edge_idx")).where("bridge").select(F.col("edge_idx").alias("corridor"))
+    alone = lines.groupBy("corridor").agg(F.min("line").alias("line"), F.count("*").alias("n")).where("n = 1")
+    return alone.join(corridors, "corridor", "left_semi").select("line")
+
+
+def double_contingencies(singles: DataFrame, blocks: int = 8) -> DataFrame:
+    """All pairs of circuits: n (n - 1) / 2 of one kind, else the product of their numbers.
+
+    Lines are dealt to blocks by hash; each pair of blocks meets under a key of its own.
+    """
+    of = F.pmod(F.xxhash64("line", "size"), F.lit(blocks)).cast("int")
+    tiles = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least(of, o).alias("t0"), F.greatest(of, o).alias("t1")))
+    x = singles.select("line", "size", "weight", of.alias("block"), F.explode(tiles).alias("tile")).select("line", "size", "weight", "block", "tile.t0", "tile.t1")
+    a, b = x.alias("a"), x.alias("b")
     after = (F.col("b.line") > F.col("a.line")) | ((F.col("b.line") == F.col("a.line")) & (F.col("b.size") >= F.col("a.size")))
+    # In a tile of two blocks only pairs of the one with the other count.
+    across = (F.col("a.t0") == F.col("a.t1")) | (F.col("a.block") != F.col("b.block"))
     same = (F.col("a.line") == F.col("b.line")) & (F.col("a.size") == F.col("b.size"))
     w = F.when(same, F.col("a.weight") * (F.col("a.weight") - 1) / 2).otherwise(F.col("a.weight") * F.col("b.weight"))
-    pairs = a.join(b, (F.col(f"a.{within}") == F.col(f"b.{within}")) & after)
-    return pairs.select(F.col(f"a.{within}").alias(within), F.col("a.line").alias("line_0"), F.col("a.size").alias("size_0"), F.col("b.line").alias("line_1"), F.col("b.size").alias("size_1"), w.alias("weight")).where("weight > 0")
+    pairs = a.join(b, (F.col("a.t0") == F.col("b.t0")) & (F.col("a.t1") == F.col("b.t1")) & across & after)
+    return pairs.select(F.col("a.line").alias("line_0"), F.col("a.size").alias("size_0"), F.col("b.line").alias("line_1"), F.col("b.size").alias("size_1"), w.alias("weight")).where("weight > 0")
 
 
 def merge_parallel(lines: DataFrame) -> DataFrame:

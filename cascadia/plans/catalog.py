@@ -153,19 +153,19 @@ _query("highest_entry", lambda s, d: A.highest_entry(P.read(s, d, "lineitem"), [
 
 def _lines(s: SparkSession, d: str) -> DataFrame:
     par = F.element_at(F.array(*map(F.lit, (1.0, 2.0, 0.57894737, 1.28947368, 3.0))), (F.col("s_suppkey") % 5 + 1).cast("int"))
-    return P.read(s, d, "supplier").select(F.col("s_suppkey").alias("line"), F.col("s_nationkey").alias("area"), par.alias("num_parallel"))
+    return P.read(s, d, "supplier").select(F.col("s_suppkey").alias("line"), (F.col("s_suppkey") % 55).cast("int").alias("corridor"), par.alias("num_parallel"))
 
 
 def _singles(s: SparkSession, d: str) -> DataFrame:
     lines = _lines(s, d)
-    return G.single_contingencies(G.circuits(lines), lines.where("line % 7 = 0").select("line")).join(lines.select("line", "area"), "line")
+    return G.single_contingencies(G.circuits(lines), G.single_lines(lines, P.edges_with_pendants(s, d)))
 
 
-_CIR = "cir AS (SELECT s_suppkey AS line, s_nationkey AS area, size::DOUBLE AS size, n::BIGINT AS n FROM supplier JOIN (VALUES (0, 1.0e0, 1), (1, 1.0e0, 2), (2, 0.2894737e0, 2), (3, 1.0e0, 1), (3, 0.2894737e0, 1), (4, 1.0e0, 3)) t(k, size, n) ON s_suppkey % 5 = k), sin AS (SELECT line, size, n AS weight, area FROM cir WHERE line % 7 <> 0)"
+_CIR = "cir AS (SELECT s_suppkey AS line, size::DOUBLE AS size, n::BIGINT AS n FROM supplier JOIN (VALUES (0, 1.0e0, 1), (1, 1.0e0, 2), (2, 0.2894737e0, 2), (3, 1.0e0, 1), (3, 0.2894737e0, 1), (4, 1.0e0, 3)) t(k, size, n) ON s_suppkey % 5 = k), bri AS (SELECT min(s_suppkey) AS line FROM supplier WHERE s_suppkey % 55 >= 50 GROUP BY s_suppkey % 55 HAVING count(*) = 1), sin AS (SELECT line, size, n AS weight FROM cir WHERE line NOT IN (SELECT line FROM bri))"
 _cq = lambda body: f"WITH {_CIR}\nSELECT {body}"
 _query("circuit_counts", lambda s, d: G.circuits(_lines(s, d)), _cq("line, size, n FROM cir"), 7, "size")
-_query("single_contingencies", _singles, _cq("line, size, weight, area FROM sin"), 7, "size")
-_query("double_contingencies", lambda s, d: G.double_contingencies(_singles(s, d), "area"), _cq("a.area, a.line AS line_0, a.size AS size_0, b.line AS line_1, b.size AS size_1, CASE WHEN a.line = b.line AND a.size = b.size THEN a.weight*(a.weight - 1)/2e0 ELSE a.weight*b.weight*1e0 END AS weight FROM sin a JOIN sin b ON a.area = b.area AND (b.line > a.line OR (b.line = a.line AND b.size >= a.size)) WHERE CASE WHEN a.line = b.line AND a.size = b.size THEN a.weight > 1 ELSE true END"), 7, "size_0 size_1 weight")
+_query("single_contingencies", _singles, _cq("line, size, weight FROM sin"), 7, "size")
+_query("double_contingencies", lambda s, d: G.double_contingencies(_singles(s, d)), _cq("a.line AS line_0, a.size AS size_0, b.line AS line_1, b.size AS size_1, CASE WHEN a.line = b.line AND a.size = b.size THEN a.weight*(a.weight - 1)/2e0 ELSE a.weight*b.weight*1e0 END AS weight FROM sin a JOIN sin b ON b.line > a.line OR (b.line = a.line AND b.size >= a.size) WHERE CASE WHEN a.line = b.line AND a.size = b.size THEN a.weight > 1 ELSE true END"), 7, "size_0 size_1 weight")
 _query("line_merge", lambda s, d: G.merge_parallel(P.read(s, d, "lineitem").select(F.concat(F.lit("L"), F.col("l_suppkey").cast("string"), F.when(F.col("l_linenumber") == 1, "_outage").otherwise("")).alias("name"), F.col("l_quantity").alias("num_parallel"), F.col("l_extendedprice").alias("s_nom"), F.col("l_tax").alias("p0"))), "\nSELECT 'L' || l_suppkey AS base, sum(l_quantity) AS num_parallel, sum(l_extendedprice) AS s_nom, sum(l_tax) AS p0, count(*) AS parts FROM lineitem GROUP BY 1", 3, "num_parallel s_nom p0")
 _CAP = "cap AS (SELECT n_nationkey::INT AS bus, coalesce(round(sum(p_nom), 6), 0e0) AS p_nom FROM nation LEFT JOIN (SELECT DISTINCT bus, carrier, p_nom FROM gen WHERE carrier IN ('click', 'view')) ON bus = n_nationkey GROUP BY 1), typ AS (SELECT bus, p_nom, CASE WHEN p_nom <= 0 THEN 'PQ' WHEN r = 1 THEN 'Slack' WHEN r <= 1 + least(round_even(n*0.3, 0), able - 1) THEN 'PV' ELSE 'PQ' END AS kind FROM (SELECT *, row_number() OVER (ORDER BY p_nom DESC, bus) AS r, count(*) OVER () AS n, count(*) FILTER (p_nom > 0) OVER () AS able FROM cap))"
 _types = lambda s, d: G.bus_types(_G(s, d).where("carrier in ('click', 'view')").select("bus", "carrier", "p_nom").distinct(), P.read(s, d, "nation").select(F.col("n_nationkey").cast("int").alias("bus")))
@@ -203,7 +203,7 @@ def _pairs(s: SparkSession, d: str) -> DataFrame:
     e = P.edges(s, d)
     found = G.bridges(e, e.select(F.col("edge_idx").cast("long").alias("id"), "edge_idx")).where("bridge").select(F.col("edge_idx").alias("line"))
     singles = G.single_contingencies(G.circuits(e.select(F.col("edge_idx").alias("line"), "num_parallel")), found)
-    return G.double_contingencies(singles.withColumn("grid", F.lit(0)), "grid")
+    return G.double_contingencies(singles)
 
 
 _query("cascade_n2", lambda s, d: G.cascades(P.edges(s, d), _I(s, d), _pairs(s, d), 2000.0), digits=7)

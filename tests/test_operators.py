@@ -24,9 +24,23 @@ def test_circuits_step_down():
 
 
 def test_double_contingencies(spark):
-    one = spark.createDataFrame([(1, 1.0, 2, 0), (2, 1.0, 3, 0)], "line long, size double, weight long, area int")
-    got = {(r.line_0, r.line_1): r.weight for r in grid.double_contingencies(one, "area").collect()}
-    assert got == {(1, 1): 1, (2, 2): 3, (1, 2): 6} and sum(got.values()) == 10
+    one = spark.createDataFrame([(1, 1.0, 2), (2, 1.0, 3)], "line long, size double, weight long")
+    for blocks in (1, 2, 8):
+        got = {(r.line_0, r.line_1): r.weight for r in grid.double_contingencies(one, blocks).collect()}
+        assert got == {(1, 1): 1, (2, 2): 3, (1, 2): 6} and sum(got.values()) == 10
+
+
+def test_double_contingencies_of_many_lines(spark):
+    many = spark.range(40).select(F.col("id").alias("line"), F.lit(1.0).alias("size"), F.lit(1).cast("long").alias("weight"))
+    got = [(r.line_0, r.line_1) for r in grid.double_contingencies(many).collect()]
+    assert sorted(got) == [(i, j) for i in range(40) for j in range(i + 1, 40)]
+
+
+def test_lone_lines_of_bridges(spark):
+    # A triangle with a tail of two edges, of which one has two lines.
+    e = spark.createDataFrame(frame([0, 1, 0, 2, 3], [1, 2, 2, 3, 4]))
+    lines = spark.createDataFrame([(i, c) for i, c in enumerate([0, 1, 2, 3, 3, 4])], "line long, corridor int")
+    assert [r.line for r in grid.single_lines(lines, e).collect()] == [5]
 
 
 def test_triangle_flow_and_cascade():
