@@ -6,6 +6,11 @@ that have one minimizer make a segment. Segments whose minimizer occurs at one p
 are left where they are; of the others, one copy of each distinct content goes to
 an index shard.
 
+A minimizer with many distinct contents (one at the ends of a common passage, where
+each document has neighbouring bytes of its own) is dealt once more, string by
+string: by the place of the minimizer within the string, in blocks, and by the bytes
+that all strings of a block have in common; if need be again, by the whole string.
+
 A shard concatenates its contents in order of occurrence, sorts the suffixes,
 and keeps the Burrows-Wheeler transform as runs with the suffix positions at the
 run ends. Between two sampled positions the lexicographic neighbour of a suffix
@@ -38,6 +43,14 @@ FLUSH = 1 << 18
 SLICE = 1 << 20
 #: Bytes of one index shard, about.
 SHARD = 1 << 20
+#: Bytes of distinct contents beyond which a minimizer is dealt once more.
+HOT = SHARD
+#: Places of the minimizer in one block when it is dealt once more, and once again.
+STEPS = (9, 1)
+#: Segments of one minimizer in a lot beyond which they are dealt by their content.
+MANY = 16
+#: Flags beside the number of starts.
+INNER, KNOWN, COPY, WITNESS = 1 << 15, 1 << 14, 1 << 13, 1 << 12
 
 
 def segments(buf: np.ndarray, off: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -52,14 +65,10 @@ def segments(buf: np.ndarray, off: np.ndarray, length: int, gram: int = GRAM) ->
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _segments(whole: np.ndarray, off: np.ndarray, lo: int, hi: int, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    none = tuple(np.zeros(0, t) for t in (U64, U64, np.int64, np.int64, np.int64, bool))
-    buf = whole[lo:hi]
-    if len(buf) < length:
-        return none
-    c = K.prefix_hash(buf)
+def _minimizers(c: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(minimizer, its place) of each string of ``length`` bytes of at most SLICE bytes, from their ``prefix_hash``."""
     _, down = K.powers(len(c))
-    n = len(buf) - gram + 1
+    n = len(c) - gram
     h = K.mix((c[gram:] - c[:-gram]) * down[:n])
     # The least hash with the leftmost place of it: a function of the string alone.
     m = (h & ~U64(SLICE - 1)) | np.arange(n, dtype=U64)
@@ -70,7 +79,42 @@ def _segments(whole: np.ndarray, off: np.ndarray, lo: int, hi: int, length: int,
     if width > s:
         m = np.minimum(m[: s - width], m[width - s :])
     place = (m & U64(SLICE - 1)).astype(np.int64)
-    m = h[place]
+    return h[place], place
+
+
+def blocks(contents: list[bytes], step: int, length: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(key, content hash, index, start, number of starts) of runs of strings of the contents, at most SLICE bytes in all.
+
+    A run has one minimizer at one place, which stands at ``step`` places within its
+    strings; the key is of the minimizer, of those places and of the bytes that all
+    strings share which have it there. Equal strings have equal keys.
+    """
+    buf = np.frombuffer(b"".join(contents), np.uint8)
+    off = np.concatenate(([0], np.cumsum([len(x) for x in contents])))
+    c = K.prefix_hash(buf)
+    v, place = _minimizers(c, length, gram)
+    at = np.arange(len(v))
+    row = np.searchsorted(off, at, "right") - 1
+    ok = at + length <= off[row + 1]
+    v, place, at, row = v[ok], place[ok], at[ok], row[ok]
+    q = (place - at) // step
+    new = np.ones(len(at), bool)
+    new[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1]) | (q[1:] != q[:-1])
+    first = np.flatnonzero(new)
+    count = np.diff(np.append(first, len(at)))
+    v, place, at, row, q = (x[first] for x in (v, place, at, row, q))
+    core = K.span_hash(c, place - q * step, place - q * step - step + 1 + length)
+    key = K.mix(v ^ K.mix(core + q.astype(U64)))
+    return key, K.span_hash(c, at, at + count + length - 1), row, at - off[row], count
+
+
+def _segments(whole: np.ndarray, off: np.ndarray, lo: int, hi: int, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    none = tuple(np.zeros(0, t) for t in (U64, U64, np.int64, np.int64, np.int64, bool))
+    buf = whole[lo:hi]
+    if len(buf) < length:
+        return none
+    c = K.prefix_hash(buf)
+    m, place = _minimizers(c, length, gram)
     row = np.searchsorted(off, lo + np.arange(len(m)), "right") - 1
     ok = lo + np.arange(len(m)) + length <= off[row + 1]
     new = np.ones(len(m), bool)
@@ -212,7 +256,24 @@ def segment_blobs(docs: DataFrame, length: int, bits: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             v, c, doc, start, count, inner = (np.concatenate(x) for x in zip(*held, strict=True))
-            r = (K.mix(v) >> U64(64 - bits)).astype(np.int64)  # minimizers are small numbers
+            count = count.astype(np.uint16) | np.where(inner, INNER, 0).astype(np.uint16)
+            by = K.mix(v)  # minimizers are small numbers
+            # Those with many segments are known to repeat: contents are dealt on their own, their copies anywhere.
+            values, of, n_of = np.unique(v, return_inverse=True, return_counts=True)
+            many = np.flatnonzero(n_of[of] > MANY)
+            if len(many):
+                own = many[np.lexsort((start[many], doc[many], c[many], v[many]))]
+                again = own[1:][(v[own[1:]] == v[own[:-1]]) & (c[own[1:]] == c[own[:-1]])]
+                count[many] |= KNOWN
+                count[again] |= COPY
+                by[many] = K.mix(v[many] ^ K.mix(c[many]))
+                by[again] = K.mix(by[again] + doc[again].view(U64) * U64(31) + start[again].astype(U64))
+                # A witness of each minimizer tells those of other lots.
+                seen = values[n_of > MANY]
+                none = np.zeros(len(seen), np.int64)
+                v, c, doc, start = (np.concatenate(x) for x in ((v, seen), (c, none.astype(U64)), (doc, none + doc[0]), (start, none)))
+                count, by = np.concatenate((count, np.full(len(seen), WITNESS, np.uint16))), np.concatenate((by, K.mix(seen)))
+            r = (by >> U64(64 - bits)).astype(np.int64)
             order = np.argsort(r, kind="stable")
             ids, at = np.unique(r[order], return_index=True)
             at = np.append(at, len(r))
@@ -220,7 +281,7 @@ def segment_blobs(docs: DataFrame, length: int, bits: int) -> DataFrame:
             for i in range(len(ids)):
                 o = order[at[i] : at[i + 1]]
                 own, idx = np.unique(doc[o], return_inverse=True)
-                for col, x in zip(cols, (v[o], c[o], own, idx.astype(np.uint32 if len(own) > 65535 else np.uint16), start[o].astype(np.uint32), count[o].astype(np.uint16) | (inner[o].astype(np.uint16) << 15)), strict=True):
+                for col, x in zip(cols, (v[o], c[o], own, idx.astype(np.uint32 if len(own) > 65535 else np.uint16), start[o].astype(np.uint32), count[o]), strict=True):
                     col.append(x.tobytes())
             return pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(x, pa.binary()) for x in cols)], names=["r", "v", "c", "ids", "doc", "start", "count"])
 
@@ -241,7 +302,7 @@ def segment_blobs(docs: DataFrame, length: int, bits: int) -> DataFrame:
 
 
 def shared_segments(blobs: DataFrame) -> DataFrame:
-    """Segments whose minimizer occurs at more than one place; ``first`` marks the earliest of equal content."""
+    """Segments whose minimizer occurs at more than one place; ``first`` marks the earliest of equal content that met."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         parts = []
@@ -249,19 +310,23 @@ def shared_segments(blobs: DataFrame) -> DataFrame:
             ids = np.frombuffer(x["ids"], np.int64)
             doc = np.frombuffer(x["doc"], np.uint16 if len(ids) <= 65535 else np.uint32)
             parts.append((np.frombuffer(x["v"], U64), np.frombuffer(x["c"], U64), ids[doc], np.frombuffer(x["start"], np.uint32).astype(np.int64), np.frombuffer(x["count"], np.uint16).astype(np.int64)))
-        v, c, doc, start, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+        rows = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        copy = rows[4] & COPY > 0
+        copies = [x[copy] for x in rows]
+        v, c, doc, start, count = (x[~copy] for x in rows)
         order = np.argsort(v)
         s = v[order]
         same = np.zeros(len(s), bool)
         same[1:] = s[1:] == s[:-1]
-        some = same | (count[order] >> 15 == 1)
+        some = same | (count[order] & (INNER | KNOWN) > 0)
         some[:-1] |= same[1:]
-        order = order[some]
-        v, c, doc, start, count = (x[order] for x in (v, c, doc, start, count & 0x7FFF))
-        order = np.lexsort((start, doc, c, v))
+        order = order[some & (count[order] & WITNESS == 0)]
+        order = order[np.lexsort((start[order], doc[order], c[order], v[order]))]
         v, c, doc, start, count = (x[order] for x in (v, c, doc, start, count))
         first = np.ones(len(v), bool)
         first[1:] = (v[1:] != v[:-1]) | (c[1:] != c[:-1])
+        v, c, doc, start, count = (np.concatenate(x) for x in zip((v, c, doc, start, count), copies, strict=True))
+        first, count = np.append(first, np.zeros(len(copies[0]), bool)), count & (WITNESS - 1)
         return pa.table({"doc_id": doc, "v": v.view(np.int64), "start": start, "count": count, "first": first})
 
     return blobs.groupBy("r").applyInArrow(run, "doc_id long, v long, start long, count long, first boolean")
@@ -289,6 +354,40 @@ def contents(docs: DataFrame, firsts: DataFrame, length: int, shards: int) -> Da
     return both.mapInArrow(run, "shard long, doc_id long, v long, start long, count long, content binary")
 
 
+def dealt_again(docs: DataFrame, firsts: DataFrame, length: int, step: int) -> DataFrame:
+    """Segments cut into the runs of ``blocks``, with these as minimizers; ``first`` marks the earliest of equal content."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lot, of, base, size = [], [], [], 0
+            out = []
+
+            def cut() -> None:
+                key, c, row, start, count = blocks(lot, step, length)
+                out.append((np.array(of)[row], key, c, np.array(base)[row] + start, count))
+
+            for i, text, segs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                raw = text.encode()
+                for s in segs:
+                    if size + s["count"] + length > SLICE:
+                        cut()
+                        lot, of, base, size = [], [], [], 0
+                    lot.append(raw[s["start"] : s["start"] + s["count"] + length - 1])
+                    of.append(i)
+                    base.append(s["start"])
+                    size += len(lot[-1])
+            if lot:
+                cut()
+            if out:
+                doc, key, c, start, count = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(key.view(np.int64)), pa.array(c.view(np.int64)), pa.array(start, pa.int64()), pa.array(count, pa.int64())], names=["doc_id", "v", "c", "start", "count"])
+
+    segs = firsts.groupBy("doc_id").agg(F.collect_list(F.struct("start", "count")).alias("segs"))
+    runs = saved(docs.select("doc_id", "text").join(segs, "doc_id").select("doc_id", "text", "segs").mapInArrow(run, "doc_id long, v long, c long, start long, count long"), "runs")
+    least = runs.groupBy("v", "c").agg(F.min(F.struct("doc_id", "start")).alias("least"))
+    return runs.join(least, ["v", "c"]).select("doc_id", "v", "start", "count", (F.struct("doc_id", "start") == F.col("least")).alias("first"))
+
+
 def index_marks(rows: DataFrame, length: int) -> DataFrame:
     """(doc_id, lo, hi): runs of starts whose strings a shard's index has seen earlier."""
 
@@ -320,6 +419,15 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     n = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(20, max(4, int(np.ceil(np.log2(max(1, n / (24 << 20)))))))
     refs = saved(shared_segments(segment_blobs(docs, length, bits)), "segments")
+    parts = []
+    for step in STEPS:
+        hot = saved(refs.where("first").groupBy("v").agg(F.sum(F.col("count") + length - 1).alias("size")).where(F.col("size") > HOT).select("v"), "hot")
+        if hot.isEmpty():
+            break
+        parts += [refs.where("not first"), refs.where("first").join(hot, "v", "left_anti").select(refs.columns)]
+        refs = saved(dealt_again(docs, refs.where("first").join(hot, "v", "left_semi"), length, step), "segments")
+    for p in parts:
+        refs = refs.unionByName(p)
     firsts = refs.where("first")
     size = firsts.agg(F.sum(F.col("count") + length - 1)).first()[0] or 0
     shards = max(1, -(-size // SHARD))

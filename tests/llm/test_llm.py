@@ -169,6 +169,45 @@ def test_suffix_dedup(docs):
     assert all(r.kept_sha256 == hashlib.sha256(bytes(r.kept)).hexdigest() for r in got)
 
 
+def common_passages(n=120):
+    """Texts with one common passage among bytes of their own, some of these alike, and repeated bytes."""
+    rng = np.random.default_rng(9)
+    passage = "".join(rng.choice(list("abcdefgh "), 260))
+    ends = ["".join(rng.choice(list("xyz "), 70)) for _ in range(n)]
+    texts = {i: ends[rng.integers(n)] + passage + ends[rng.integers(n)] for i in range(n)}
+    texts |= {n: "ab" * 400, n + 1: "z" * 300 + passage[:150] + "ab" * 200, n + 2: passage * 3, n + 3: texts[5]}
+    return texts
+
+
+def test_suffix_dedup_of_hot_minimizers(spark, monkeypatch):
+    texts = common_passages()
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    want = brute_spans(texts)
+    steps = []
+    dealt = suffix_dedup.dealt_again
+    monkeypatch.setattr(suffix_dedup, "dealt_again", lambda d, f, n, step: steps.append(step) or dealt(d, f, n, step))
+    for hot, many, flush in ((2000, 16, 1 << 18), (200, 1, 500), (1 << 20, 2, 300)):
+        for name, x in (("HOT", hot), ("MANY", many), ("FLUSH", flush)):
+            monkeypatch.setattr(suffix_dedup, name, x)
+        got = suffix_dedup.suffix_dedup(df).collect()
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == want
+    assert steps == [9, 1, 9, 1]
+
+
+def test_blocks_of_equal_strings_have_equal_keys():
+    texts = [t.encode() for t in common_passages(20).values()]
+    for step in suffix_dedup.STEPS:
+        key, _, row, start, count = suffix_dedup.blocks(texts, step, 100)
+        keys = {}
+        for k, r, s, n in zip(key, row, start, count, strict=True):
+            for j in range(s, s + n):
+                keys.setdefault(texts[r][j : j + 100], set()).add(int(k))
+        assert all(len(k) == 1 for k in keys.values())
+        assert count.sum() == sum(len(t) - 99 for t in texts) and (count.max() <= step)
+        if step == 1:
+            assert len({k for x in keys.values() for k in x}) == len(keys)
+
+
 def test_suffix_dedup_of_long_and_cut_texts(spark):
     rng = np.random.default_rng(5)
     base = "".join(rng.choice(list("abcd "), 700_000))
