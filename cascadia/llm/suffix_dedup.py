@@ -382,7 +382,8 @@ def dealt_again(docs: DataFrame, firsts: DataFrame, length: int, step: int) -> D
                 doc, key, c, start, count = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(key.view(np.int64)), pa.array(c.view(np.int64)), pa.array(start, pa.int64()), pa.array(count, pa.int64())], names=["doc_id", "v", "c", "start", "count"])
 
-    segs = firsts.groupBy("doc_id").agg(F.collect_list(F.struct("start", "count")).alias("segs"))
+    # Written, so that its size is known: texts are shuffled again only if it is too large to broadcast.
+    segs = saved(firsts.groupBy("doc_id").agg(F.collect_list(F.struct("start", "count")).alias("segs")), "hot-segments")
     runs = saved(docs.select("doc_id", "text").join(segs, "doc_id").select("doc_id", "text", "segs").mapInArrow(run, "doc_id long, v long, c long, start long, count long"), "runs")
     least = runs.groupBy("v", "c").agg(F.min(F.struct("doc_id", "start")).alias("least"))
     return runs.join(least, ["v", "c"]).select("doc_id", "v", "start", "count", (F.struct("doc_id", "start") == F.col("least")).alias("first"))
