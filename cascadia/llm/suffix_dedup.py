@@ -496,7 +496,10 @@ def suffix_dedup(docs: DataFrame, length: int = 100) -> DataFrame:
             cut = [cut_spans(raw, s, length) for raw, s in zip(raws, b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, raws), pa.int64()), pa.array([c[1] for c in cut], pa.int64()), pa.array([c[2] for c in cut], pa.int64()), pa.array([c[0] for c in cut], pa.binary()), pa.array([hashlib.sha256(c[0]).hexdigest() for c in cut], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    both = docs.select("doc_id", "text").join(spans, "doc_id", "left").select("doc_id", "text", "spans")
+    # As ``contents`` reads the same rows by the same key, their shuffle is made once.
+    texts = docs.select("doc_id", "text")
+    both = texts.where("doc_id is not null").join(spans, "doc_id", "left").select("doc_id", "text", "spans")
+    both = both.union(texts.where("doc_id is null").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)))
     return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
 
 
