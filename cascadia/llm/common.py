@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch. Texts may be long, so batches hold few rows.
@@ -58,6 +58,52 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def repeated_ids(docs: DataFrame) -> DataFrame | None:
+    """(doc_id, count) of ids that more than one row has; None if there are none, as doc_id should be a key."""
+    found = saved(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1"), "repeated-ids")
+    if found.isEmpty():
+        dropped(found)
+        return None
+    return found
+
+
+def unused(name: str, taken: list[str]) -> str:
+    """``name``, with underscores at its end until no column is named so."""
+    while name in taken:
+        name += "_"
+    return name
+
+
+def placed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a column that is unique and in order of doc_id, null where that is null, and its name.
+
+    It is doc_id itself if that is a key. Otherwise rows of one doc_id are numbered, in the
+    order of their partitions, and ids are replaced by their ranks. Rows that share an id are
+    written, so that their numbers stay; no group is gathered in one task.
+    """
+    again = repeated_ids(docs)
+    if again is None:
+        return docs, "doc_id"
+    names = docs.columns
+    place, row, rank, key = (unused(x, names) for x in ("place_", "row_", "rank_", "id_"))
+    ids = again.select("doc_id")
+    shared = saved(docs.join(ids, "doc_id", "left_semi").select(*names, F.monotonically_increasing_id().alias(row)), "shared-ids")
+    # Numbers run within a part of the table, after those of the parts before it.
+    part = F.shiftright(row, 33)
+    sizes = shared.groupBy("doc_id", part.alias("part_")).agg(F.count("*").alias("n_")).withColumn("before_", F.sum("n_").over(Window.partitionBy("doc_id").orderBy("part_")) - F.col("n_"))
+    own = shared.select("doc_id", F.col(row).alias("at_"), part.alias("part_")).withColumn("k_", F.row_number().over(Window.partitionBy("doc_id", "part_").orderBy("at_")))
+    numbers = own.join(sizes, ["doc_id", "part_"]).select(F.col("at_").alias(row), (F.col("k_") + F.col("before_")).alias(place))
+    rows = shared.join(numbers, row).select(*names, place).union(docs.where("doc_id is not null").join(ids, "doc_id", "left_anti").select(*names, F.lit(0).cast("long").alias(place)))
+    # Ranks of ids: places in sorted parts, after those of the parts before.
+    order = saved(docs.where("doc_id is not null").select(F.col("doc_id").alias(key)).distinct().orderBy(key).withColumn("at_", F.monotonically_increasing_id()), "ids")
+    low = F.col("at_").bitwiseAND((1 << 33) - 1)
+    parts = order.groupBy(F.shiftright("at_", 33).alias("part_")).agg(F.count("*").alias("n_")).withColumn("before_", F.sum("n_").over(Window.orderBy("part_")) - F.col("n_"))  # a row for each part
+    ranks = order.withColumn("part_", F.shiftright("at_", 33)).join(F.broadcast(parts), "part_").select(key, (low + F.col("before_")).alias(rank))
+    most = again.agg(F.max("count")).first()[0] + 1
+    out = rows.join(ranks, F.col("doc_id") == F.col(key)).select(*names, (F.col(rank) * most + F.col(place)).alias(place))
+    return out.union(docs.where("doc_id is null").withColumn(place, F.lit(None).cast("long"))), place
+
+
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Bound the Arrow batches that carry whole texts to Python."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import components, dropped, saved, small_batches, table
+from .common import components, dropped, repeated_ids, saved, small_batches, table, unused
 
 U64 = np.uint64
 #: Tokens of 2**COLD documents or more are hot.
@@ -422,6 +422,13 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     such a row has the component_id of the rows that it links with, or null.
     An empty table gives no rows; other columns are ignored.
     """
+    of = grouped(docs, k, percent)
+    smallest = of.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    return of.join(smallest, "comp", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """A row for each row of ``docs``: doc_id, text_hash, n_shingles, comp (the same for all that are linked, null without words)."""
     spark = docs.sparkSession
     small_batches(spark)
     sets = saved(document_sets(docs, k), "sets")
@@ -473,18 +480,27 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     nodes = comp.unionByName(more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(comp, "node", "left_anti").withColumn("comp", F.col("node")))
     comp = nodes.join(over.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
 
-    of = sets.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    smallest = of.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    return of.join(smallest, "comp", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    return sets.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
-    """The documents, all their columns, with the smallest doc_id of their component.
+    """Of each group of linked documents the one with the smallest doc_id, all its columns.
 
-    doc_id is a key; rows where it is null can't be told apart, so they all stay.
+    Documents without words are linked with nothing and stay. Of equal rows (doc_id and text)
+    one stays, and of different texts of one doc_id that are linked one does. Rows where
+    doc_id is null can't be told apart, so they all stay.
     """
-    heads = jaccard_join(docs, k, percent).where("doc_id = component_id").select("doc_id")
-    return docs.join(heads, "doc_id", "left_semi").select(docs.columns).union(docs.where("doc_id is null"))
+    of = grouped(docs, k, percent).where("doc_id is not null")
+    heads = of.where("comp is not null").groupBy("comp").agg(F.min(F.struct("doc_id", "text_hash")).alias("head")).select("head.doc_id", "head.text_hash")
+    heads = heads.union(of.where("comp is null").select("doc_id", "text_hash"))
+    again = repeated_ids(docs)
+    known, names = docs.where("doc_id is not null"), docs.columns
+    mark = unused("text_hash", names)
+    kept = known.withColumn(mark, F.xxhash64("text")).join(heads.withColumnRenamed("text_hash", mark), ["doc_id", mark], "left_semi").select(names)
+    if again is not None:
+        shared = kept.join(again, "doc_id", "left_semi").select(names).dropDuplicates(["doc_id", "text"])
+        kept = kept.join(again, "doc_id", "left_anti").select(names).union(shared)
+    return kept.union(docs.where("doc_id is null"))
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

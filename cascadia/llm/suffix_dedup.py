@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import saved, small_batches, table
+from .common import placed, saved, small_batches, table, unused
 
 U64 = np.uint64
 GRAM = 20
@@ -453,9 +453,11 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """``docs`` with what ``suffix_dedup`` keeps of each text, and n_chars, if it is there, set to its length.
 
     A character that is cut through goes. All rows stay, also those with nothing left;
-    rows with a null doc_id stay as they are.
+    rows with a null doc_id stay as they are. Rows of one doc_id are taken in turn, so
+    that one of equal rows keeps its text.
     """
-    spans = repeated_spans(docs, length)
+    rows, place = placed(docs)
+    spans = repeated_spans(rows.select(F.col(place).alias("doc_id"), "text"), length)
     names, kind = docs.columns, docs.schema
     text, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
@@ -468,10 +470,8 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
                 cols[chars] = pa.array([None if t is None else len(t) for t in new]).cast(cols[chars].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    own = "spans"
-    while own in names:
-        own += "_"
-    both = docs.join(spans.withColumnRenamed("spans", own), "doc_id", "left").select(*names, own)
+    own = unused("spans", rows.columns)
+    both = rows.join(spans.select(F.col("doc_id").alias(place), F.col("spans").alias(own)), place, "left").select(*names, own)
     return both.mapInArrow(run, kind)
 
 
@@ -483,12 +483,14 @@ def suffix_dedup(docs: DataFrame, length: int = 100) -> DataFrame:
     row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans (maximal removed
     runs), kept (binary, the remaining bytes) and kept_sha256 (lowercase hex).
 
-    doc_id is a unique key; rows where it is null have no place in the order, so they
-    keep all bytes and others keep theirs beside them. A null text is empty; texts shorter than ``length``
-    keep all bytes; texts are taken whole; an empty table gives no rows; other
-    columns are ignored.
+    Rows that share a doc_id, repeated ones too, stand in an order of their own within it
+    (that of the table's parts), so that one copy of what they repeat stays. Rows where doc_id is null have no place
+    in the order, so they keep all bytes and others keep theirs beside them. A null text is empty;
+    texts shorter than ``length`` keep all bytes; texts are taken whole; an empty table
+    gives no rows; other columns are ignored.
     """
-    spans = repeated_spans(docs, length)
+    rows, place = placed(docs.select("doc_id", "text"))
+    spans = repeated_spans(rows.select(F.col(place).alias("doc_id"), "text"), length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -497,9 +499,9 @@ def suffix_dedup(docs: DataFrame, length: int = 100) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, raws), pa.int64()), pa.array([c[1] for c in cut], pa.int64()), pa.array([c[2] for c in cut], pa.int64()), pa.array([c[0] for c in cut], pa.binary()), pa.array([hashlib.sha256(c[0]).hexdigest() for c in cut], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
     # As ``contents`` reads the same rows by the same key, their shuffle is made once.
-    texts = docs.select("doc_id", "text")
-    both = texts.where("doc_id is not null").join(spans, "doc_id", "left").select("doc_id", "text", "spans")
-    both = both.union(texts.where("doc_id is null").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)))
+    found = spans.select(F.col("doc_id").alias(place), "spans")
+    both = rows.where("doc_id is not null").join(found, place, "left").select("doc_id", "text", "spans")
+    both = both.union(rows.where("doc_id is null").select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")))
     return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
 
 
