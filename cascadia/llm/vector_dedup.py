@@ -23,7 +23,8 @@ from .common import components, dropped, saved, small_batches, table
 BLOCKS = 3
 #: Directions of a block at least; with more vectors there are more, so that filters stay small.
 DIRECTIONS = 16
-#: How far below its best a filter's inner product may lie, for unit vectors.
+#: How far below its best a filter's inner product may lie, for unit vectors of 64
+#: dimensions. Inner products with a block's directions shrink as the root of the dimension grows, and the slack with them.
 SLACK = 0.12
 #: Vectors of one side of a comparison; a fuller filter is split into pairs of such blocks.
 SIDE = 1024
@@ -34,7 +35,7 @@ class ProductCode:
 
     def __init__(self, dim: int, directions: int = DIRECTIONS, seed: int = 11):
         r = np.random.default_rng([seed, dim])
-        self.n = directions
+        self.n, self.scale = directions, (64 / dim) ** 0.5
         self.rotation = np.linalg.qr(r.normal(size=(dim, dim)))[0]
         self.parts = np.array_split(np.arange(dim), min(BLOCKS, dim))
         self.directions = []
@@ -54,7 +55,7 @@ class ProductCode:
         row, code, lost = np.arange(len(unit)), np.zeros(len(unit), np.int64), np.zeros(len(unit))
         for b in range(t.shape[1]):
             total = lost[:, None] + loss[row, b]
-            i, k = np.nonzero(total <= slack)
+            i, k = np.nonzero(total <= slack * self.scale)
             row, code, lost = row[i], code[i] * self.n + k, total[i, k]
         return row, code
 
@@ -89,7 +90,7 @@ def _units(x: np.ndarray) -> np.ndarray:
 
 
 def filter_rows(distinct: DataFrame, slack: float, directions: int) -> DataFrame:
-    """(dim, filter, rid, copies, raw) for each filter of each vector; raw are its components as they came."""
+    """(dim, filter, rid, copies) for each filter of each vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -102,20 +103,19 @@ def filter_rows(distinct: DataFrame, slack: float, directions: int) -> DataFrame
                 for at in range(0, len(rows), 512):
                     part = unit[at : at + 512]
                     row, code = ProductCode(int(dim), directions).decode(part, slack)
-                    raw = [v.tobytes() for v in x[at : at + 512]]
                     own = rows[at : at + 512][row]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), dim), pa.int64()), pa.array(code), pa.array(rid[own]), pa.array(copies[own]), pa.array([raw[i] for i in row], pa.binary())], names=["dim", "filter", "rid", "copies", "raw"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), dim), pa.int64()), pa.array(code), pa.array(rid[own]), pa.array(copies[own])], names=["dim", "filter", "rid", "copies"])
 
-    return distinct.select("embedding", "rid", "copies").mapInArrow(run, "dim long, filter long, rid long, copies long, raw binary")
+    return distinct.select("embedding", "rid", "copies").mapInArrow(run, "dim long, filter long, rid long, copies long")
 
 
-def compare(rows: DataFrame, least: float, slack: float, directions: int, kind: str) -> DataFrame:
+def compare(rows: DataFrame, least: float, slack: float, directions: int) -> DataFrame:
     """Links within filters: rows (rid, n, comp) with link counts, and with edges to a local component."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         dim, code, one, two = (k.as_py() for k in key)
         rid, copies, block = (t.column(x).to_numpy() for x in ("rid", "copies", "block"))
-        unit = _units(np.frombuffer(b"".join(t.column("raw").to_pylist()), kind).reshape(-1, dim).astype(np.float64))
+        unit = _units(t.column("embedding").combine_chunks().flatten().to_numpy().reshape(-1, dim).astype(np.float64))
         a, b = np.flatnonzero(block == one), np.flatnonzero(block == two)
         n, label = np.zeros(len(rid), np.int64), rid.copy()
         if len(a) and len(b):
@@ -162,13 +162,14 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, slack: float = SLACK) -
     small_batches(spark)
     distinct = saved(unit_vectors(vectors), "vectors")
     directions = max(DIRECTIONS, round((distinct.count() / 12) ** (1 / BLOCKS)))
-    kind = "float64" if dict(vectors.dtypes)["embedding"] == "array<double>" else "float32"
     rows = saved(filter_rows(distinct, slack, directions), "filters")
     full = rows.groupBy("dim", "filter").agg(F.count("*").alias("size")).where("size > 1").withColumn("blocks", F.ceil(F.col("size") / SIDE).cast("int"))
     dealt = rows.join(full, ["dim", "filter"]).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
-    found = saved(compare(dealt.select("dim", "filter", "one", "two", "rid", "copies", "block", "raw"), least, slack, directions, kind), "links")
+    # Ids go through the filters; only those that meet others there take their vectors along.
+    met = dealt.join(distinct.select("rid", "embedding"), "rid").select("dim", "filter", "one", "two", "rid", "copies", "block", "embedding")
+    found = saved(compare(met, least, slack, directions), "links")
     dropped(rows)
     links = found.groupBy("rid").agg(F.sum("n").alias("n"))
     comp = components(found.where("rid <> comp").select(F.col("rid").alias("a"), F.col("comp").alias("b")))

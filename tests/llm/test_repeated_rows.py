@@ -68,3 +68,21 @@ def test_keep_first_of_repeated_rows(spark):
     last = [k for k in got if k[0] == 8]
     assert len(last) == 1 and got.pop(last[0]) == 1
     assert got == collections.Counter({(1, words[0]): 1, (1, words[1]): 1, (2, words[2]): 1, (4, ""): 1, (4, None): 1, (None, words[0]): 2})
+
+
+def test_filters_of_wide_vectors():
+    """At any width a vector exceeds some dozens of filters, and near pairs share one."""
+    from cascadia.llm.vector_dedup import ProductCode
+
+    rng = np.random.default_rng(13)
+    for dim in (64, 384, 768, 1536):
+        code = ProductCode(dim)
+        a = rng.normal(size=(200, dim))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b = rng.normal(size=(200, dim))
+        b -= (a * b).sum(1, keepdims=True) * a
+        b = 0.9005 * a + np.sqrt(1 - 0.9005**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+        (ra, ca), (rb, cb) = code.decode(a), code.decode(b)
+        assert len(ra) / 200 < 60
+        shared = {r for r, c in set(zip(ra, ca, strict=True)) & set(zip(rb, cb, strict=True))}
+        assert len(shared) >= 0.95 * 200
