@@ -4,11 +4,32 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def scratch(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder that driver and executors share, and read back.
+
+    This cuts the lineage, survives lost executors and gives the optimizer true sizes.
+    The folder is ``spark.checkpoint.dir``; a temporary one is used only where it is
+    missing and the master is local, as in tests.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        spark.sparkContext.setCheckpointDir(root)
+    path = f"{root.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def scenarios(df: DataFrame, without: list[float] | None = None) -> list[float]:
     """The scenario levels of a table, descending."""
     rows = df.select("co2l").distinct().where(~F.col("co2l").isin(without or [])).orderBy(F.desc("co2l")).collect()
