@@ -184,6 +184,34 @@ def nearest_hour(hours: DataFrame, available: list[int]) -> DataFrame:
     return hours.withColumn("nearest", F.array_min(options)["h"])
 
 
+#: Times of day that a drawn day contributes, and the hours asked for.
+TIMES = {"morning": 7, "noon": 12, "evening": 18, "night": 0}
+
+
+def drawn_snapshots(times: DataFrame, realizations: int, weekdays: int = 2, sundays: int = 1, hours: dict[str, int] | None = None, seed: int = 0) -> DataFrame:
+    """Reproducible draws of snapshots: realization, season, day_type, time_label, snapshot.
+
+    Each realization draws ``weekdays`` Mondays to Fridays and ``sundays`` Sundays of each season, as many as there
+    are, by a digest of seed, realization and day, so that a draw is the same on every run and
+    for every scenario. A drawn day contributes its snapshots at the hours nearest to those
+    asked for among all hours of the table (on the clock; of equal ones the smaller), where it has them.
+    """
+    spark = times.sparkSession
+    stamps = times.select("snapshot").distinct()
+    available = sorted(r[0] for r in stamps.select(F.hour("snapshot")).distinct().collect())  # 24 at most
+    asked = spark.createDataFrame(list((hours or TIMES).items()), "time_label string, hour int")
+    snapped = nearest_hour(asked, available) if available else asked.withColumn("nearest", F.col("hour"))
+    day = stamps.select(F.to_date("snapshot").alias("day"), season().alias("season")).distinct()
+    day = day.withColumn("day_type", F.when(F.weekday("day") == 6, "sunday").when(F.weekday("day") < 5, "weekday")).where("day_type is not null")
+    day = day.withColumn("realization", F.explode(F.sequence(F.lit(0), F.lit(realizations - 1))))
+    digest = F.md5(F.concat_ws("|", (F.col("realization") + seed).cast("string"), F.date_format("day", "yyyy-MM-dd")))
+    r = F.row_number().over(Window.partitionBy("realization", "season", "day_type").orderBy(digest, "day"))
+    most = F.when(F.col("day_type") == "sunday", sundays).otherwise(weekdays)
+    pick = day.withColumn("r", r).where(F.col("r") <= most).join(F.broadcast(snapped))
+    at = stamps.select("snapshot", F.to_date("snapshot").alias("day"), F.hour("snapshot").alias("nearest"))
+    return at.where((F.minute("snapshot") == 0) & (F.second("snapshot") == 0)).join(F.broadcast(pick), ["day", "nearest"]).select("realization", "season", "day_type", "time_label", "snapshot")
+
+
 def stratified(times: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """``n`` weekdays and ``n`` Sundays of each season by hash, all their snapshots."""
     day = times.select(F.to_date("snapshot").alias("day"), season().alias("season")).distinct()

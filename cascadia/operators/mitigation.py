@@ -55,43 +55,8 @@ def inertia_sweep(c: DataFrame, limit: float = 1.0) -> DataFrame:
     return hit.groupBy("energy", "co2l", "node_idx").agg(F.sum(F.col("load_share") * F.col("trigger_weighting") * F.col("snapshot_weighting")).alias("gain"))
 
 
-def greedy_inertia(c: DataFrame, energy: float, steps: int, saved) -> DataFrame:
-    """Place energy node by node where the gain is greatest (ties to the smaller node): step, node_idx, gain.
-
-    Each step is one aggregation; its result is a row. ``saved`` writes the components
-    between steps, so that the lineage stays short.
-    """
-    log = []
-    c = saved(c.select("node_idx", "power_imbalance", "rot_energy", "load_share", "trigger_weighting", "snapshot_weighting"))
-    placed: dict[int, int] = {}
-    for step in range(steps):
-        extra = F.coalesce(*[F.when(F.col("node_idx") == k, F.lit(n * energy)) for k, n in placed.items()], F.lit(0.0))
-        best = inertia_scores(c.withColumn("rot_energy", F.col("rot_energy") + extra), energy).orderBy(F.desc(F.round("gain", 8)), "node_idx").first()
-        if best is None:
-            break
-        placed[best["node_idx"]] = placed.get(best["node_idx"], 0) + 1
-        log.append((step, best["node_idx"], best["gain"]))
-    return c.sparkSession.createDataFrame(log, "step int, node_idx int, gain double")
-
-
 def extension_scores(s: DataFrame, cost: DataFrame) -> DataFrame:
     """Score of each trigger edge: for both sides the sum of losses times the sum of weights, by cost."""
     sides = [s.groupBy(F.col(f"init_failure_{k}").alias("edge")).agg((F.sum("lost_load_share_blackout") * F.sum("total_weighting")).alias("score")) for k in (0, 1)]
     both = sides[0].unionByName(sides[1]).groupBy("edge").agg(F.sum("score").alias("score"))
     return both.join(cost, "edge").select("edge", (F.col("score") / F.col("cost")).alias("score"))
-
-
-def greedy_extension(s: DataFrame, cost: DataFrame, steps: int, saved) -> DataFrame:
-    """Extend the edge with the best score, drop the splits it triggers, and go on: rank, edge, loss_after, count_after."""
-    log = []
-    s = saved(s.select("init_failure_0", "init_failure_1", "lost_load_share_blackout", "total_weighting"))
-    gone: list[int] = []
-    for rank in range(1, steps + 1):
-        left = s.where(~F.col("init_failure_0").isin(gone) & ~F.col("init_failure_1").isin(gone)) if gone else s
-        best = extension_scores(left, cost).orderBy(F.desc(F.round("score", 6)), "edge").first()
-        if best is None:
-            break
-        gone.append(best["edge"])
-        after = s.where(~F.col("init_failure_0").isin(gone) & ~F.col("init_failure_1").isin(gone)).agg(F.coalesce(F.sum(F.col("lost_load_share_blackout") * F.col("total_weighting")), F.lit(0.0)), F.count("*")).first()
-        log.append((rank, best["edge"], after[0], after[1]))
-    return s.sparkSession.createDataFrame(log, "rank int, edge int, loss_after double, count_after long")

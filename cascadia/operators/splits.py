@@ -175,3 +175,18 @@ def consistent(a: DataFrame, b: DataFrame, digits: int = 9) -> DataFrame:
     cols = [F.round(c, digits).alias(c) if kinds[c] == "double" else F.col(c) for c in a.columns]
     x, y = a.select(*cols), b.select(*a.columns).select(*cols)
     return x.exceptAll(y).agg(F.count("*").alias("only_first")).join(F.broadcast(y.exceptAll(x).agg(F.count("*").alias("only_second"))))
+
+
+def snapshot_weights(observed: DataFrame, listed: DataFrame) -> DataFrame:
+    """Hours that the snapshots of each scenario stand for, and how they are known: co2l, weight, missing, reason.
+
+    ``observed`` has the weights of snapshots with a split (co2l, time_stamp, snapshot_weighting),
+    ``listed`` the number of all snapshots of a scenario (co2l, n). Nothing missing: the sum
+    ("complete"); some missing, but all weights equal: that weight for all ("uniform");
+    some missing and weights differ: the sum, too small ("observed"); no list: the sum ("unlisted").
+    """
+    each = observed.select("co2l", "time_stamp", "snapshot_weighting").distinct()
+    sums = each.groupBy("co2l").agg(F.sum("snapshot_weighting").cast("double").alias("total"), F.count("*").alias("seen"), F.min("snapshot_weighting").alias("least"), F.max("snapshot_weighting").alias("most"))
+    x = sums.join(listed.select("co2l", "n"), "co2l", "left").withColumn("missing", F.when(F.col("n").isNotNull(), F.greatest(F.col("n") - F.col("seen"), F.lit(0))))
+    reason = F.when(F.col("n").isNull(), "unlisted").when(F.col("missing") == 0, "complete").when(F.col("least") == F.col("most"), "uniform").otherwise("observed")
+    return x.select("co2l", F.when(reason == "uniform", (F.col("least") * F.col("n")).cast("double")).otherwise(F.col("total")).alias("weight"), "missing", reason.alias("reason"))

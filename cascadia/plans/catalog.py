@@ -44,7 +44,7 @@ def _with(names: str, ctes: str, body: str) -> str:
     return P.with_sql(names, "")[:-1] + (", " + ctes if ctes else "") + "\nSELECT " + body
 
 
-_keep = lambda df: df.checkpoint()
+_keep = A.scratch
 _C = lambda s, d: S.observables(P.split_components(s, d))
 _S = lambda s, d: S.split_properties(_C(s, d))
 _G, _L, _K, _I = P.generation, P.loads, P.links, P.injections
@@ -255,8 +255,7 @@ _query("cluster_stats", lambda s, d: V.cluster_stats(_T(s, d), "label", F.abs(F.
 _query("boundary_field", lambda s, d: V.boundary(_M(s, d), "split_number", "v", P.edges(s, d)).select("key", "boundary", F.aggregate("field", F.lit(0.0), lambda a, x: a + x).alias("total")))
 
 _ham = lambda s, d: V.blocked_pairs(_T(s, d), "vec_id", "v", None, V.hamming)
-_query("dbscan", lambda s, d: K.dbscan(_ham(_ready(s), d), _T(s, d).select(F.col("vec_id").alias("key")), 0.25, 4, _keep))
-_query("agglomerative", lambda s, d: K.agglomerative(_ham(s, d).join(_T(s, d).select(F.col("vec_id").alias("i"), F.col("label").alias("li")), "i").join(_T(s, d).select(F.col("vec_id").alias("j"), F.col("label").alias("lj")), "j").where("li = lj").withColumn("label", F.col("li").cast("long")), "label", [2, 4]))
+_query("dbscan", lambda s, d: K.dbscan(_ham(s, d), _T(s, d).select(F.col("vec_id").alias("key")), 0.25, 4, _keep))
 _query("homogeneity", lambda s, d: V.homogeneity(_M(s, d), "split_number", "v", P.edges(s, d), (0, 1)).select("key", F.aggregate("homogeneity", F.lit(0.0), lambda a, x: a + x).alias("total")))
 _query("typed_katz", lambda s, d: V.typed_katz(_M(s, d), "split_number", "v", P.edges(s, d)).select("key", F.aggregate("katz", F.lit(0.0), lambda a, x: a + x).alias("total")))
 _query("low_weight_boundary", lambda s, d: V.boundary(_M(s, d), "split_number", "v", P.edges(s, d), 0.4, 0).select("key", F.aggregate("field", F.lit(0.0), lambda a, x: a + 1 - x).alias("far")), _with("comp", """mem AS (SELECT split_number, list(DISTINCT node_idx) AS nodes FROM comp GROUP BY 1), ed AS (SELECT u::INT AS u, v::INT AS v FROM (SELECT least(n_nationkey, (n_nationkey + k) % 25) AS u, greatest(n_nationkey, (n_nationkey + k) % 25) AS v FROM nation, (VALUES (1), (5)) t(k))),
@@ -279,16 +278,3 @@ _query("gss_curve", lambda s, d: M.severe_curve(_S(s, d).withColumn("lost_load_s
 _query("greedy_inertia_step", lambda s, d: M.inertia_scores(_C(s, d), 5000.0), _x("node_idx, sum(load_share*trigger_weighting*snapshot_weighting) AS gain, count(*) AS n FROM obs WHERE abs(50e0*power_imbalance/(2*rot_energy)) > 1 AND abs(50e0*power_imbalance/(2*(rot_energy + 5000))) < 1 GROUP BY 1"), 5, "gain")
 _cost = lambda s, d: P.edges(s, d).select(F.col("edge_idx").alias("edge"), (M.LINE_COST * (1 + F.col("edge_idx") % 7)).alias("cost"))
 _query("line_ext_score", lambda s, d: M.extension_scores(_S(s, d), _cost(s, d)), _x("edge, sum(score)/(4.5e6*(1 + edge % 7)) AS score FROM (SELECT init_failure_0 AS edge, sum(lost_load_share_blackout)*sum(total_weighting) AS score FROM spl GROUP BY 1 UNION ALL SELECT init_failure_1, sum(lost_load_share_blackout)*sum(total_weighting) FROM spl GROUP BY 1) GROUP BY 1"), 7, "score")
-_query("greedy_inertia", lambda s, d: M.greedy_inertia(_C(_ready(s), d), 5000.0, 5, _keep))
-_query("greedy_line_extension", lambda s, d: M.greedy_extension(_S(_ready(s), d), _cost(s, d), 5, _keep))
-
-
-def _ready(spark: SparkSession) -> SparkSession:
-    """A checkpoint folder where none is set, as in tests on one machine; a cluster must set its own."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-')}")
-    return spark

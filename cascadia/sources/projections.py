@@ -42,6 +42,17 @@ def split_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def member_nodes(c: DataFrame) -> DataFrame:
+    """Components with the nodes that belong to them: up to three each."""
+    n = [F.col("node_idx"), (F.col("node_idx") + F.col("component_number") + 1) % NODES, (F.col("split_number") + F.col("component_number")) % NODES]
+    return c.withColumn("members", F.array_distinct(F.array(*(x.cast("int") for x in n))))
+
+
+def study_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-hourly snapshots: the days of orders, each with the hours that its orders fall into."""
+    return read(spark, sf_dir, "orders").select((F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(hours=((F.col("o_orderkey") % 8) * 3).cast("int"))).alias("snapshot")).distinct()
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50 edges of the ring with chords over the nations, in order of their ends."""
     n = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("i"))

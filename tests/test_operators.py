@@ -112,13 +112,6 @@ def test_density_clusters(spark, tmp_path):
     assert got == {1: (2, False), 2: (2, True), 3: (2, True), 4: (2, False), 5: (-1, False), 6: (-1, False), 7: (-1, False)}
 
 
-def test_agglomerate():
-    x = np.array([0.0, 0.1, 1.0, 1.1, 9.0])
-    d = np.abs(x[:, None] - x)
-    assert clusters.agglomerate(d, 3).tolist() == [0, 0, 1, 1, 2]
-    assert clusters.agglomerate(d, 2, "complete").tolist() == [0, 0, 0, 0, 1]
-
-
 def test_principal_components(spark):
     rng = np.random.default_rng(0)
     m = rng.normal(size=(50, 3)) * [5, 2, 0.1]
