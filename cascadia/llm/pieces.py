@@ -37,9 +37,11 @@ MOST_WORDS = 1 << 19
 UNKNOWN = 10.0
 #: Bytes from which a word is segmented alone, edge by edge, and not in step with others.
 LONG = 1024
+#: Bytes of a word up to which products of probabilities are summed, with this logarithm of a factor for each byte.
+SHORT, LIFT = 32, 3.0
 #: Rounds of estimation at most, and the relative gain in likelihood below which they end.
-MOST_ROUNDS = 2
-LEAST_GAIN = 1e-3
+MOST_ROUNDS = 40
+LEAST_GAIN = 1e-4
 #: Expected counts are summed as integers of this part, so that no order of tasks changes them.
 QUANTUM = 2.0**-20
 
@@ -284,21 +286,20 @@ class Encoder:
     def _padded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         size = np.array([len(w) for w in words])
         text = np.zeros((len(words), int(size.max()) + 1), np.int64)
-        for i, w in enumerate(words):
-            text[i, : len(w)] = np.frombuffer(w, np.uint8)
+        text[np.arange(text.shape[1])[None, :] < size[:, None]] = np.frombuffer(b"".join(words), np.uint8)
         return text, size
 
-    def _edges(self, text: np.ndarray, size: np.ndarray, best: np.ndarray) -> Iterator[tuple[int, np.ndarray, int | np.ndarray, np.ndarray | None]]:
+    def _edges(self, text: np.ndarray, size: np.ndarray, best: np.ndarray, never: float = -np.inf) -> Iterator[tuple[int, np.ndarray, int | np.ndarray, np.ndarray | None]]:
         """(first byte, words, end, pieces) of all pieces, by first byte; ends and None for characters without a piece.
 
-        Only words whose ``best`` at the first byte is finite by then are asked;
+        Only words whose ``best`` at the first byte is more than ``never`` by then are asked;
         each word stands once in one step.
         """
         trie = self.v.trie
         n, width = len(text), text.shape[1] - 1
         literal = text[:, 0] * 65536 + text[:, min(1, width)] * 256 + text[:, min(2, width)] == int.from_bytes(MARK.encode(), "big")
         for i in range(width):
-            row = np.flatnonzero((size > i) & (best[:, i] > -np.inf))
+            row = np.flatnonzero((size > i) & (best[:, i] > never))
             if not len(row):
                 continue
             lead = text[row, i]
@@ -344,24 +345,46 @@ class Encoder:
         return out, likely
 
     def _expected(self, words: list[bytes], counts: np.ndarray, out: np.ndarray) -> int:
+        """Sums of products of probabilities over all segmentations of words up to SHORT bytes, else of their logarithms.
+
+        Every segmentation covers all bytes, so that a factor for each byte changes no
+        share; it keeps the products of short words within what a double holds.
+        """
         (text, size), scores = self._padded(words), self.v.scores
-        ahead = np.full(text.shape, -np.inf)
-        ahead[:, 0] = 0
-        behind = np.full(text.shape, -np.inf)
-        behind[np.arange(len(words)), size] = 0
-        steps = []
-        for i, r, e, v in self._edges(text, size, ahead):
-            s = scores[v] if v is not None else self.unknown
-            ahead[r, e] = np.logaddexp(ahead[r, e], ahead[r, i] + s)
+        short = int(size.max()) <= SHORT
+        whole_log = np.zeros(len(words))
+        at = np.arange(len(words))
+        ahead, behind = (np.full(text.shape, 0.0 if short else -np.inf) for _ in range(2))
+        ahead[:, 0] = behind[at, size] = 1.0 if short else 0.0
+        steps, pieces, parts = [], [], []
+        for i, r, e, v in self._edges(text, size, ahead, 0.0 if short else -np.inf):
+            s = scores[v] if v is not None else np.full(len(r), self.unknown)
+            if short:
+                s = np.exp(s + LIFT * (e - i))
+                ahead[r, e] += ahead[r, i] * s
+            else:
+                ahead[r, e] = np.logaddexp(ahead[r, e], ahead[r, i] + s)
             steps.append((i, r, e, v, s))
-        whole = ahead[np.arange(len(words)), size]
+        whole = ahead[at, size]
+        whole_log = np.log(whole) - LIFT * size if short else whole
+        per = counts / QUANTUM / whole if short else counts / QUANTUM
         for i, r, e, v, s in reversed(steps):
-            rest = behind[r, e] + s
-            behind[r, i] = np.logaddexp(behind[r, i], rest)
-            if v is not None:
-                n = np.rint(np.exp(ahead[r, i] + rest - whole[r]) * counts[r] / QUANTUM)
-                np.add.at(out, v, n.astype(np.int64))
-        return sum(int(x) for x in np.rint(whole * counts * 1024))
+            if short:
+                rest = behind[r, e] * s
+                behind[r, i] += rest
+                n = None if v is None else ahead[r, i] * rest * per[r]
+            else:
+                rest = behind[r, e] + s
+                behind[r, i] = np.logaddexp(behind[r, i], rest)
+                n = None if v is None else np.exp(ahead[r, i] + rest - whole[r]) * per[r]
+            if n is not None:
+                pieces.append(v)
+                parts.append(np.rint(n))
+        if pieces:  # whole numbers below 2**53: sums of doubles are exact
+            v, n = np.concatenate(pieces), np.concatenate(parts)
+            high = np.floor(n * 2.0**-26)
+            out += np.bincount(v, high, len(out)).astype(np.int64) * (1 << 26) + np.bincount(v, n - high * 2.0**26, len(out)).astype(np.int64)
+        return sum(int(x) for x in np.rint(whole_log * counts * 1024))
 
     def _batch(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word, first byte, piece) for each piece of each word; byte pieces stand at their own bytes."""
