@@ -22,13 +22,13 @@ from .common import small_batches, table
 
 U64 = np.uint64
 #: Documents of each language to train on at most, those with the smallest hashes of doc_id.
-MOST_DOCUMENTS = 300
+MOST_DOCUMENTS = 150
 #: Bytes that one window labels, and those that it reads besides on either side.
 SPAN, CONTEXT = 112, 8
 #: Windows that a task remembers before it starts anew.
 MOST_WINDOWS = 1 << 18
-#: Bytes of one window in training, and windows of one document, those with the smallest hashes.
-TRAIN_SPAN, TRAIN_WINDOWS = 48, 32
+#: Bytes of one window in training.
+TRAIN_SPAN = 48
 
 
 def windows(off: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,7 +51,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Network:
     """Weights of both directions: input table w (256 x 3h), recurrent u (h x 3h), and the output layer."""
 
-    def __init__(self, classes: list[str], hidden: int = 8, seed: int = 7):
+    def __init__(self, classes: list[str], hidden: int = 12, seed: int = 7):
         r = np.random.default_rng(seed)
         self.classes, self.hidden = classes, hidden
         self.p: dict[str, np.ndarray] = {"o": r.normal(0, 0.1, (2 * hidden, len(classes))), "ob": np.zeros(len(classes))}
@@ -138,7 +138,7 @@ def pad(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return x, np.arange(x.shape[1]) < size[:, None]
 
 
-def train(found: list[bytes], labels: np.ndarray, classes: list[str], steps: int = 300, batch: int = 96, rate: float = 0.01, seed: int = 7) -> Network:
+def train(found: list[bytes], labels: np.ndarray, classes: list[str], steps: int = 600, batch: int = 96, rate: float = 0.01, seed: int = 7) -> Network:
     """Fit the network to labelled windows by Adam, in batches of any windows."""
     net, r = Network(classes, seed=seed), np.random.default_rng(seed)
     if not found or len(classes) < 2:
@@ -203,8 +203,7 @@ def held_out(folds: int = 5, fold: int = 0) -> Column:
 
 
 def learn_languages(docs: DataFrame, most: int = MOST_DOCUMENTS) -> Network:
-    """A network from at most ``most`` documents of each language outside the held-out
-    fold, and TRAIN_WINDOWS windows of each, those with the smallest hashes."""
+    """A network from all windows of at most ``most`` documents of each language outside the held-out fold."""
     rows = docs.select("doc_id", "lang").where("lang is not null and doc_id is not null").where(~held_out())
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     few = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).select("doc_id", F.col("lang").alias("label"))
@@ -215,12 +214,9 @@ def learn_languages(docs: DataFrame, most: int = MOST_DOCUMENTS) -> Network:
             for _, _, buf, off in K.text_chunks(b.column(1)):
                 low = K.LOWER[buf]
                 s, e, row = windows(off, TRAIN_SPAN)
-                h = K.span_hash(K.prefix_hash(low), s, e) if len(s) else np.zeros(0, U64)
                 at = np.searchsorted(row, np.arange(len(off)))
                 for i in range(len(off) - 1):
-                    own = np.arange(at[i], at[i + 1])
-                    own = own[np.argsort(h[own], kind="stable")[:TRAIN_WINDOWS]]
-                    found.append([low[s[k] : e[k]].tobytes() for k in own])
+                    found.append([low[s[k] : e[k]].tobytes() for k in range(at[i], at[i + 1])])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.binary()))], names=["label", "windows"])
 
     # The distinct ids: a repeated doc_id must not multiply rows.
