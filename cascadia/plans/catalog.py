@@ -260,7 +260,6 @@ _query("homogeneity", lambda s, d: V.homogeneity(_M(s, d), "split_number", "v",
 _query("typed_katz", lambda s, d: V.typed_katz(_M(s, d), "split_number", "v", P.edges(s, d)).select("key", F.aggregate("katz", F.lit(0.0), lambda a, x: a + x).alias("total")))
 _query("low_weight_boundary", lambda s, d: V.boundary(_M(s, d), "split_number", "v", P.edges(s, d), 0.4, 0).select("key", F.aggregate("field", F.lit(0.0), lambda a, x: a + 1 - x).alias("far")), _with("comp", """mem AS (SELECT split_number, list(DISTINCT node_idx) AS nodes FROM comp GROUP BY 1), ed AS (SELECT u::INT AS u, v::INT AS v FROM (SELECT least(n_nationkey, (n_nationkey + k) % 25) AS u, greatest(n_nationkey, (n_nationkey + k) % 25) AS v FROM nation, (VALUES (1), (5)) t(k))),
 cut AS (SELECT split_number, u, v FROM mem, ed WHERE list_contains(nodes, u) <> list_contains(nodes, v)), nb AS (SELECT split_number, node, sum(x) AS x FROM (SELECT split_number, u AS node, 1 AS x FROM cut UNION ALL SELECT split_number, v, -1 FROM cut) GROUP BY 1, 2)""", "mem.split_number AS key, 25e0 - coalesce(n, 0) AS far FROM mem LEFT JOIN (SELECT split_number, count(*) AS n FROM nb WHERE x <> 0 GROUP BY 1) b ON b.split_number = mem.split_number"), 6, "far")
-_query("communities", lambda s, d: K.communities(P.edges(s, d), G.dc_flows(P.edges(s, d), _I(s, d))))
 _query("pca_profiles", lambda s, d: K.principal_components(_I(s, d), "snapshot", "node_idx", "p0", 3), digits=2)
 _query("ac_flow", lambda s, d: K.ac_flows(P.edges(s, d), _I(s, d), 1e8))
 

@@ -132,13 +132,6 @@ def test_ac_flow_meets_its_injections():
     assert ok and np.allclose(s.real[1:], p[1:], atol=1e-6) and np.isclose(s.imag[1], q[1], atol=1e-6) and m[2] == 1
 
 
-def test_communities_of_two_triangles():
-    w = np.zeros((6, 6))
-    for a, b in ((0, 1), (1, 2), (0, 2), (3, 4), (4, 5), (3, 5), (2, 3)):
-        w[a, b] = w[b, a] = 1
-    assert clusters.modular_communities(w).tolist() == [0, 0, 0, 3, 3, 3]
-
-
 def test_homogeneity(spark):
     x = spark.createDataFrame([(1, [1, 1, 1, 1]), (2, [0, 1, 0, 1])], "k long, v array<int>")
     e = spark.createDataFrame([(0, 1), (1, 2), (2, 3)], "u int, v int")
