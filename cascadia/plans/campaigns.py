@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import communities as Q
 from ..operators import dispatch as D
 from ..operators import grid as G
 from ..operators import linkage as L
@@ -198,30 +197,3 @@ def _study(s: SparkSession, d: str) -> DataFrame:
 
 
 _query("resumed_study", _study, _with("loading", _DRAW + ", lod AS (SELECT snapshot AS month, seed, avg(dc) AS loading, max(dc) AS most, count(*) AS n FROM loading GROUP BY 1, 2)", "sel.realization, k.seed::INT AS seed, sel.snapshot, lod.loading, lod.most, coalesce(n, 0) AS lines FROM (SELECT DISTINCT realization, snapshot FROM sel) sel CROSS JOIN (VALUES (1), (2), (3)) k(seed) LEFT JOIN lod ON lod.month = date_trunc('month', sel.snapshot) AND lod.seed = k.seed"), 9, "loading most")
-
-
-# Communities of the grid by its flows, month by month, and of customers and suppliers by what they trade.
-def _grid_graphs(s: SparkSession, d: str) -> DataFrame:
-    f = G.dc_flows(P.edges(s, d), _I(s, d)).join(F.broadcast(P.edges(s, d).select("edge_idx", "u", "v")), "edge_idx")
-    return f.select(F.col("snapshot").alias("g"), F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), F.abs("flow").alias("w"))
-
-
-def _trade_graph(s: SparkSession, d: str) -> DataFrame:
-    """Customers and suppliers (numbered behind the customers) with the value of what goes between them."""
-    li, o, c = P.read(s, d, "lineitem"), P.read(s, d, "orders"), P.read(s, d, "customer")
-    top = c.agg((F.max("c_custkey") + 1).alias("top"))  # one row
-    j = li.select("l_orderkey", "l_suppkey", "l_extendedprice").join(o.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").join(F.broadcast(top))
-    return j.groupBy(F.lit(0).alias("g"), F.col("o_custkey").alias("u"), (F.col("top") + F.col("l_suppkey")).alias("v")).agg(F.sum("l_extendedprice").alias("w"))
-
-
-def _communities(graphs):
-    def run(s: SparkSession, d: str) -> DataFrame:
-        e = A.scratch(graphs(s, d))
-        found = A.scratch(Q.leiden(e, A.scratch))
-        return found.join(Q.modularity(e, found), "g")
-
-    return run
-
-
-_query("communities", _communities(_grid_graphs))
-_query("trade_communities", _communities(_trade_graph))
