@@ -27,6 +27,8 @@ TIER = 1 << 20
 #: Text bytes of one file of a merged run, about.
 TARGET = 128 << 20
 TIERS = 20
+#: Folder name of rows without a value.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
 RUN = "run string, path string, first long, level int, rows long, bytes long"
 
 
@@ -89,16 +91,20 @@ class ShardTable:
                     raise
 
     def append(self, docs: DataFrame, arrival: Column) -> int:
-        """Append the rows of each value of ``arrival``, an integer, as a run of its own, all in one version."""
+        """Append the rows of each value of ``arrival``, an integer, as a run of its own, all in one version.
+
+        Rows without an arrival are one run too, the first. Rows of one arrival are gathered before they
+        are written, a large one in several tasks, so that no task leaves a small file for each.
+        """
         if docs.isEmpty():
             return self._change(set(), [])
         name, key = uuid.uuid4().hex, "arrival"
         while key in docs.columns:
             key += "_"
         path = f"{self.root}/runs/{name}"
-        docs.withColumn(key, arrival.cast("int")).write.partitionBy(key).option("compression", "zstd").parquet(path)
+        docs.withColumn(key, arrival.cast("int")).hint("rebalance", key).write.partitionBy(key).option("compression", "zstd").parquet(path)
         sizes = self.spark.read.parquet(path).groupBy(key).agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).orderBy(key).collect()
-        return self._change(set(), [{"run": f"{name}-{i}", "path": f"{path}/{key}={r[0]}", "first": 0, "level": 0, "rows": r["rows"], "bytes": r["bytes"]} for i, r in enumerate(sizes)])
+        return self._change(set(), [{"run": f"{name}-{i}", "path": f"{path}/{key}={NO_VALUE if r[0] is None else r[0]}", "first": 0, "level": 0, "rows": r["rows"], "bytes": r["bytes"]} for i, r in enumerate(sizes)])
 
     def plan(self) -> DataFrame:
         """The runs to merge, with their group: ``fan`` runs in a row of one tier."""
@@ -138,7 +144,7 @@ class ShardTable:
     def read(self, like: DataFrame, version: int | None = None) -> DataFrame:
         """All documents of a version, with their run's first, level, rows and bytes as run_first and so on.
 
-        With no runs, an empty table like ``like``. A document's own column of such
+        With no runs, an empty table like ``like``; a ``like`` of other columns than the runs' is refused. A document's own column of such
         a name stays, and the run's takes a further underscore.
         """
         runs = self.runs(version)
@@ -150,6 +156,9 @@ class ShardTable:
                 names[n] += "_"
         if not paths:
             return like.where("false").select("*", *(F.lit(0).cast("int" if n == "level" else "long").alias(x) for n, x in names.items()))
+        there = self.spark.read.parquet(paths[0]).schema
+        if [(f.name, f.dataType) for f in there] != [(f.name, f.dataType) for f in like.schema]:
+            raise ValueError(f"the shards hold {there.simpleString()}, not {like.schema.simpleString()}")
         # Paths differ in their scheme's slashes; what follows runs/ names the run.
         key = lambda c: F.regexp_extract(c, "/runs/(.*)$", 1)
         at = key(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", ""))
