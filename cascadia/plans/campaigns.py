@@ -15,6 +15,7 @@ from ..operators import placement as B
 from ..operators import splits as S
 from ..operators import vectors as V
 from ..sources import artifacts as A
+from ..sources import gml
 from ..sources import projections as P
 from .catalog import _C, _I, _NORM, _PAIR, _S, _T, _cost, _pairs, _query, _t, _with, _x
 from .studies import _ED, ORACLE_SQL, QUERIES
@@ -197,3 +198,20 @@ def _study(s: SparkSession, d: str) -> DataFrame:
 
 
 _query("resumed_study", _study, _with("loading", _DRAW + ", lod AS (SELECT snapshot AS month, seed, avg(dc) AS loading, max(dc) AS most, count(*) AS n FROM loading GROUP BY 1, 2)", "sel.realization, k.seed::INT AS seed, sel.snapshot, lod.loading, lod.most, coalesce(n, 0) AS lines FROM (SELECT DISTINCT realization, snapshot FROM sel) sel CROSS JOIN (VALUES (1), (2), (3)) k(seed) LEFT JOIN lod ON lod.month = date_trunc('month', sel.snapshot) AND lod.seed = k.seed"), 9, "loading most")
+
+
+def _graph_files(s: SparkSession, d: str) -> DataFrame:
+    """The grid of each level written as graph files and read back."""
+    e = P.edges(s, d).withColumn("graph", F.explode(F.array(*(F.lit(f"grid_{x:g}") for x in _LEVELS[:3]))))
+    none = F.lit(None).cast("long")
+    edges = e.select("graph", F.lit("edge").alias("kind"), none.alias("id"), F.col("u").cast("long").alias("source"), F.col("v").cast("long").alias("target"), F.create_map(F.lit("edge_idx"), F.col("edge_idx").cast("string"), F.lit("weight"), F.col("weight").cast("string")).alias("attributes"))
+    nodes = e.select("graph", F.lit("node").alias("kind"), F.explode(F.array(F.col("u").cast("long"), F.col("v").cast("long"))).alias("id")).distinct().select("*", none.alias("source"), none.alias("target"), F.create_map(F.lit("label"), F.concat(F.lit("bus "), F.col("id"))).alias("attributes"))
+    folder = A.scratch_root(s) + f"/graphs-{uuid.uuid4().hex}"
+    gml.write_graphs(nodes.unionByName(edges), folder)
+    g = gml.read_graphs(s, folder)
+    return g.select("graph", "kind", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("source", F.lit(-1)).alias("source"), F.coalesce("target", F.lit(-1)).alias("target"), F.col("attributes")["label"].alias("label"), F.col("attributes")["edge_idx"].cast("int").alias("edge_idx"), F.col("attributes")["weight"].cast("double").alias("weight"))
+
+
+_query("graph_files", _graph_files, f"""WITH {_ED}, lev AS (SELECT * FROM (VALUES ('grid_0'), ('grid_0.1'), ('grid_0.2')) t(graph))
+SELECT graph, 'node' AS kind, n_nationkey::BIGINT AS id, -1::BIGINT AS source, -1::BIGINT AS target, 'bus ' || n_nationkey AS label, NULL::INT AS edge_idx, NULL::DOUBLE AS weight FROM nation, lev
+  UNION ALL SELECT graph, 'edge', -1, u, v, NULL, e, 1 + (e*7 % 13)/10e0 FROM ed, lev""", 6, "weight")
