@@ -170,6 +170,32 @@ def loading_spread(x: DataFrame, limit: float = 0.5) -> DataFrame:
     return x.where(F.col("dc") > limit).groupBy("snapshot", "line").agg((F.max(r) - F.min(r)).alias("spread"), F.avg((F.col("ac") - F.col("dc")) / F.col("dc")).alias("relative"))
 
 
+def loading_spread(x: DataFrame) -> DataFrame:
+    """Median, upper decile (interpolated) and population deviation of each line's loading."""
+    return x.groupBy("line").agg(F.median("dc").alias("median"), F.percentile("dc", 0.9).alias("decile"), F.stddev_pop("dc").alias("deviation"))
+
+
+def ac_against_dc(ac: DataFrame, dc: DataFrame, converged: DataFrame) -> DataFrame:
+    """AC and DC loadings of the lines that both studies have, at snapshots and seeds that converged: snapshot, seed, line, ac, dc.
+
+    ``ac`` and ``dc`` have snapshot, seed, line and a value of that name, ``converged`` the
+    snapshots and seeds with a flag; rows without a value are left out.
+    """
+    keys = ["snapshot", "seed", "line"]
+    both = ac.where("ac is not null").join(dc.where("dc is not null"), keys)
+    return both.join(converged.where("converged").select("snapshot", "seed").distinct(), ["snapshot", "seed"], "left_semi").select(*keys, "ac", "dc")
+
+
+def at_splits(loadings: DataFrame, splits: DataFrame, threshold: float | None = None) -> DataFrame:
+    """Loadings at the snapshots with a split, or with one that loses more than ``threshold``; snapshots of splits that have none are refused."""
+    hit = splits if threshold is None else splits.where(F.col("lost_load_share_blackout") > threshold)
+    at = hit.select(F.col("time_stamp").alias("snapshot")).distinct()
+    lost = at.join(loadings.select("snapshot").distinct(), "snapshot", "left_anti").limit(1).collect()
+    if lost:
+        raise ValueError(f"no loadings at {lost[0][0]}, a snapshot with a split")
+    return loadings.join(at, "snapshot", "left_semi")
+
+
 def snapped_range(times: DataFrame, start: str, stop: str) -> DataFrame:
     """Rows between the last time at or before ``start`` (else the first) and the first at or after ``stop`` (else the last)."""
     t = F.col("snapshot")

@@ -39,6 +39,11 @@ def severe_curve(s: DataFrame, c: DataFrame, steps: list[int], severe: float = 0
     return x.join(off, ["split_number", "step"], "left").groupBy("step").agg(F.coalesce(F.sum(F.when(left > severe, F.col("total_weighting"))), F.lit(0)).alias("weight"))
 
 
+def first_within(curve: DataFrame, target: float) -> DataFrame:
+    """The first step at which a curve (step, weight) is at the target or below: one row, null if it never is."""
+    return curve.agg(F.min(F.when(F.col("weight") <= target, F.col("step"))).alias("first_step"), F.min("weight").alias("least"))
+
+
 def inertia_scores(c: DataFrame, energy: float, limit: float = 1.0, least_share: float = 0.0) -> DataFrame:
     """Gain of more energy at each node: weight of the components it would bring below the limit."""
     now = F.abs(50.0 * F.col("power_imbalance") / (2 * F.col("rot_energy")))

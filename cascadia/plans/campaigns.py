@@ -17,7 +17,7 @@ from ..operators import vectors as V
 from ..sources import artifacts as A
 from ..sources import gml
 from ..sources import projections as P
-from .catalog import _C, _I, _NORM, _PAIR, _S, _T, _cost, _pairs, _query, _t, _with, _x
+from .catalog import _C, _I, _M, _NORM, _PAIR, _S, _T, _cost, _pairs, _query, _t, _with, _x
 from .studies import _ED, ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -215,3 +215,50 @@ def _graph_files(s: SparkSession, d: str) -> DataFrame:
 _query("graph_files", _graph_files, f"""WITH {_ED}, lev AS (SELECT * FROM (VALUES ('grid_0'), ('grid_0.1'), ('grid_0.2')) t(graph))
 SELECT graph, 'node' AS kind, n_nationkey::BIGINT AS id, -1::BIGINT AS source, -1::BIGINT AS target, 'bus ' || n_nationkey AS label, NULL::INT AS edge_idx, NULL::DOUBLE AS weight FROM nation, lev
   UNION ALL SELECT graph, 'edge', -1, u, v, NULL, e, 1 + (e*7 % 13)/10e0 FROM ed, lev""", 6, "weight")
+
+
+# Fields over the grid. The other engine gets them from powers of the walk: node by node as rows of matrices.
+_SYM = _ED + ", sym AS (SELECT u AS i, v AS j FROM ed UNION ALL SELECT v, u FROM ed), deg AS (SELECT i, count(*) AS n FROM sym GROUP BY 1), nod AS (SELECT n_nationkey::INT AS i FROM nation)"
+_MEMB = "mem AS (SELECT DISTINCT split_number AS key, node_idx AS i FROM comp), kys AS (SELECT DISTINCT key FROM mem)"
+_WALKS = """wlk AS (SELECT 1 AS d, i, j, 1e0 AS x FROM sym UNION ALL SELECT w.d + 1, w.i, s.j, sum(w.x) FROM wlk w JOIN sym s ON s.i = w.j WHERE w.d < 10 GROUP BY 1, 2, 3),
+wgt AS (SELECT i, j, sum(x/total*power(d, -1.5e0)) AS w FROM wlk JOIN (SELECT d, j, sum(x) AS total FROM wlk GROUP BY 1, 2) USING (d, j) GROUP BY 1, 2),
+own AS (SELECT kys.key, n.i AS j, coalesce(sum(w) FILTER (mem.i IS NOT NULL), 0) AS one, sum(w) AS whole FROM kys CROSS JOIN nod n JOIN wgt ON wgt.j = n.i LEFT JOIN mem ON mem.key = kys.key AND mem.i = wgt.i GROUP BY 1, 2)"""
+
+
+def _smooth(alpha: float) -> str:
+    return f"""stp AS (SELECT a.i, b.i AS j, CASE WHEN a.i = b.i THEN {1 - alpha}e0 ELSE 0e0 END + CASE WHEN sym.i IS NOT NULL THEN {alpha}e0/deg.n ELSE 0e0 END AS x FROM nod a CROSS JOIN nod b LEFT JOIN sym ON sym.i = a.i AND sym.j = b.i JOIN deg ON deg.i = a.i),
+pow AS (SELECT 1 AS d, i, j, x FROM stp UNION ALL SELECT p.d + 1, p.i, s.j, sum(p.x*s.x) FROM pow p JOIN stp s ON s.i = p.j WHERE p.d < 3 GROUP BY 1, 2, 3),
+cut AS (SELECT key, u, v FROM kys, ed WHERE (SELECT count(*) FROM mem WHERE mem.key = kys.key AND mem.i = u) <> (SELECT count(*) FROM mem WHERE mem.key = kys.key AND mem.i = v)),
+bnd AS (SELECT key, i FROM (SELECT key, u AS i, 1 AS x FROM cut UNION ALL SELECT key, v, -1 FROM cut) GROUP BY 1, 2 HAVING sum(x) <> 0),
+fld AS (SELECT key, sum(pow.x) AS total FROM bnd JOIN pow ON pow.j = bnd.i AND pow.d = 3 GROUP BY 1)"""
+
+
+_total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+_grid_sql = lambda more, body: _with("comp", ", ".join((_SYM, _MEMB, more)), body).replace("WITH ", "WITH RECURSIVE ", 1)
+_query("boundary_field", lambda s, d: V.boundary(_M(s, d), "split_number", "v", P.edges(s, d)).select("key", "boundary", _total("field").alias("total")), _grid_sql(_smooth(0.5), "kys.key, (SELECT count(*) FROM bnd WHERE bnd.key = kys.key)::DOUBLE AS boundary, coalesce(total, 0) AS total FROM kys LEFT JOIN fld USING (key)"), 8, "boundary total")
+_query("low_weight_boundary", lambda s, d: V.boundary(_M(s, d), "split_number", "v", P.edges(s, d), 0.4).select("key", F.aggregate("field", F.lit(0.0), lambda a, x: a + 1 - x).alias("far")), _grid_sql(_smooth(0.4), "kys.key, 25 - coalesce(total, 0) AS far FROM kys LEFT JOIN fld USING (key)"), 8, "far")
+_query("homogeneity", lambda s, d: V.homogeneity(_M(s, d), "split_number", "v", P.edges(s, d), (0, 1)).select("key", _total("homogeneity").alias("total")), _grid_sql(_WALKS, "key, sum(greatest(0e0, least(1e0, 1 + (one/whole*ln(one/whole + 1e-10) + (1 - one/whole)*ln(1 - one/whole + 1e-10))/ln(2e0)))) AS total FROM own GROUP BY 1"), 7, "total")
+_query("typed_katz", lambda s, d: V.typed_katz(_M(s, d), "split_number", "v", P.edges(s, d)).select("key", _total("katz").alias("total")), _grid_sql(_WALKS, "key, sum(abs(2*one - whole)) AS total FROM own GROUP BY 1"), 7, "total")
+
+# Spreads of loadings, two studies side by side, and the step that reaches a target.
+_query("loading_spread", lambda s, d: D.loading_spread(P.loadings(s, d)), _with("loading", "", "line, median(dc) AS median, quantile_cont(dc, 0.9) AS decile, stddev_pop(dc) AS deviation FROM loading GROUP BY 1"), 8, "median decile deviation")
+
+
+def _two_studies(s: SparkSession, d: str) -> DataFrame:
+    x = P.loadings(s, d).groupBy("snapshot", "seed", "line").agg(F.max("ac").alias("ac"), F.max("dc").alias("dc"))
+    solved = x.select("snapshot", "seed").distinct().withColumn("converged", (F.month("snapshot") + F.col("seed")) % 5 > 0)
+    return D.ac_against_dc(x.where("line % 3 > 0").select("snapshot", "seed", "line", F.when(F.col("seed") < 7, F.col("ac")).alias("ac")), x.where("line % 4 > 0").drop("ac"), solved)
+
+
+_query("ac_against_dc", _two_studies, _with("loading", "", "snapshot, seed, line, max(ac) AS ac, max(dc) AS dc FROM loading WHERE line % 3 > 0 AND line % 4 > 0 AND seed < 7 AND (month(snapshot) + seed) % 5 > 0 GROUP BY 1, 2, 3"), 8, "ac dc")
+
+
+def _target_step(s: SparkSession, d: str) -> DataFrame:
+    c = _C(s, d).withColumn("mitigated_step", (F.col("component_number") * 3 - 3).cast("int"))
+    curve = M.severe_curve(_S(s, d).withColumn("lost_load_share_blackout", F.round("lost_load_share_blackout", 9)), c, list(range(0, 19, 3)))
+    whole = curve.where("step = 0").first()
+    return M.first_within(curve, 0.5 * (whole["weight"] if whole else 0))
+
+
+_query("target_step", _target_step, _x("min(step) FILTER (weight <= 0.5*(SELECT weight FROM cur WHERE step = 0)) AS first_step, min(weight) AS least FROM cur", """off AS (SELECT split_number, k::INT AS step, sum(load_share) AS o FROM los, range(0, 19, 3) t(k) WHERE component_number*3 - 3 >= 0 AND component_number*3 - 3 <= k GROUP BY 1, 2),
+cur AS (SELECT t.k::INT AS step, coalesce(sum(total_weighting) FILTER (round(lost_load_share_blackout, 9) - coalesce(o, 0) > 0.8), 0)::BIGINT AS weight FROM spl CROSS JOIN range(0, 19, 3) t(k) LEFT JOIN off ON off.split_number = spl.split_number AND off.step = t.k GROUP BY 1)"""))

@@ -252,14 +252,9 @@ _query("scalar_metrics", lambda s, d: V.scalar_metrics(_near_pairs(s, d)), _t(f"
 _query("silhouette", lambda s, d: V.silhouette(V.blocked_pairs(_T(s, d), "vec_id", "v", None, V.hamming), _T(s, d).select(F.col("vec_id").alias("key"), "label")), _t("vec_id AS i, label, CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a)/greatest(a, b) END AS silhouette FROM (SELECT vec_id, label, min(d) FILTER (label = l) AS a, min(d) FILTER (label <> l) AS b FROM (SELECT t.vec_id, t.label, u.label AS l, avg(d) AS d FROM tern t JOIN (SELECT i, j, d FROM ham UNION ALL SELECT j, i, d FROM ham) p ON p.i = t.vec_id JOIN tern u ON u.vec_id = p.j GROUP BY 1, 2, 3) GROUP BY 1, 2)", _PAIR), 8, "silhouette")
 _query("centroids", lambda s, d: V.centroids(_T(s, d), "label", "v", "w"), _t("label, pos, class, sum(w)/sum(sum(w)) OVER (PARTITION BY label, pos) AS probability FROM (SELECT label, w, generate_subscripts(v, 1)::INT - 1 AS pos, unnest(v)::INT AS class FROM tern) GROUP BY 1, 2, 3"), 9, "probability")
 _query("cluster_stats", lambda s, d: V.cluster_stats(_T(s, d), "label", F.abs(F.element_at("embedding", 1)).cast("double"), "w"), _t("label, sum(abs(embedding[1])::DOUBLE*w) AS value, sum(w)::BIGINT AS weight, count(*) AS n, sum(abs(embedding[1])::DOUBLE*w)/sum(sum(abs(embedding[1])::DOUBLE*w)) OVER () AS share FROM tern GROUP BY 1"), 7, "value share")
-_query("boundary_field", lambda s, d: V.boundary(_M(s, d), "split_number", "v", P.edges(s, d)).select("key", "boundary", F.aggregate("field", F.lit(0.0), lambda a, x: a + x).alias("total")))
 
 _ham = lambda s, d: V.blocked_pairs(_T(s, d), "vec_id", "v", None, V.hamming)
 _query("dbscan", lambda s, d: K.dbscan(_ham(s, d), _T(s, d).select(F.col("vec_id").alias("key")), 0.25, 4, _keep))
-_query("homogeneity", lambda s, d: V.homogeneity(_M(s, d), "split_number", "v", P.edges(s, d), (0, 1)).select("key", F.aggregate("homogeneity", F.lit(0.0), lambda a, x: a + x).alias("total")))
-_query("typed_katz", lambda s, d: V.typed_katz(_M(s, d), "split_number", "v", P.edges(s, d)).select("key", F.aggregate("katz", F.lit(0.0), lambda a, x: a + x).alias("total")))
-_query("low_weight_boundary", lambda s, d: V.boundary(_M(s, d), "split_number", "v", P.edges(s, d), 0.4, 0).select("key", F.aggregate("field", F.lit(0.0), lambda a, x: a + 1 - x).alias("far")), _with("comp", """mem AS (SELECT split_number, list(DISTINCT node_idx) AS nodes FROM comp GROUP BY 1), ed AS (SELECT u::INT AS u, v::INT AS v FROM (SELECT least(n_nationkey, (n_nationkey + k) % 25) AS u, greatest(n_nationkey, (n_nationkey + k) % 25) AS v FROM nation, (VALUES (1), (5)) t(k))),
-cut AS (SELECT split_number, u, v FROM mem, ed WHERE list_contains(nodes, u) <> list_contains(nodes, v)), nb AS (SELECT split_number, node, sum(x) AS x FROM (SELECT split_number, u AS node, 1 AS x FROM cut UNION ALL SELECT split_number, v, -1 FROM cut) GROUP BY 1, 2)""", "mem.split_number AS key, 25e0 - coalesce(n, 0) AS far FROM mem LEFT JOIN (SELECT split_number, count(*) AS n FROM nb WHERE x <> 0 GROUP BY 1) b ON b.split_number = mem.split_number"), 6, "far")
 _query("communities", lambda s, d: K.communities(P.edges(s, d), G.dc_flows(P.edges(s, d), _I(s, d))))
 _query("pca_profiles", lambda s, d: K.principal_components(_I(s, d), "snapshot", "node_idx", "p0", 3), digits=2)
 _query("ac_flow", lambda s, d: K.ac_flows(P.edges(s, d), _I(s, d), 1e8))
