@@ -170,7 +170,7 @@ def loading_spread(x: DataFrame, limit: float = 0.5) -> DataFrame:
     return x.where(F.col("dc") > limit).groupBy("snapshot", "line").agg((F.max(r) - F.min(r)).alias("spread"), F.avg((F.col("ac") - F.col("dc")) / F.col("dc")).alias("relative"))
 
 
-def loading_spread(x: DataFrame) -> DataFrame:
+def loading_deviation(x: DataFrame) -> DataFrame:
     """Median, upper decile (interpolated) and population deviation of each line's loading."""
     return x.groupBy("line").agg(F.median("dc").alias("median"), F.percentile("dc", 0.9).alias("decile"), F.stddev_pop("dc").alias("deviation"))
 

@@ -241,7 +241,7 @@ _query("homogeneity", lambda s, d: V.homogeneity(_M(s, d), "split_number", "v",
 _query("typed_katz", lambda s, d: V.typed_katz(_M(s, d), "split_number", "v", P.edges(s, d)).select("key", _total("katz").alias("total")), _grid_sql(_WALKS, "key, sum(abs(2*one - whole)) AS total FROM own GROUP BY 1"), 7, "total")
 
 # Spreads of loadings, two studies side by side, and the step that reaches a target.
-_query("loading_spread", lambda s, d: D.loading_spread(P.loadings(s, d)), _with("loading", "", "line, median(dc) AS median, quantile_cont(dc, 0.9) AS decile, stddev_pop(dc) AS deviation FROM loading GROUP BY 1"), 8, "median decile deviation")
+_query("loading_deviation", lambda s, d: D.loading_deviation(P.loadings(s, d)), _with("loading", "", "line, median(dc) AS median, quantile_cont(dc, 0.9) AS decile, stddev_pop(dc) AS deviation FROM loading GROUP BY 1"), 8, "median decile deviation")
 
 
 def _two_studies(s: SparkSession, d: str) -> DataFrame:
