@@ -585,6 +585,39 @@ def test_licenses_of_real_notices(spark):
     assert got == {f"d{i}/f": k for i, (k, _) in enumerate(lines)}
 
 
+def _wrapped(text, mark, width=60):
+    out, line = [], mark
+    for word in text.split():
+        if len(line) + len(word) > width:
+            out.append(line)
+            line = mark
+        line += " " + word
+    return "\n".join([*out, line])
+
+
+def test_licenses_of_headers_and_files(spark):
+    """Texts over several lines: without a heading, in comments, before code, as whole files."""
+    code = "\n".join(f"def f{i}(x):\n\n    return x * {i}" for i in range(200))
+    mit = "\n\n".join(_wrapped(t, "") for t in (license_scan._MIT_GRANT, license_scan._MIT_NOTICE, license_scan._MIT_WARRANTY))
+    cc = "# This work is licensed under a Creative Commons\n# Attribution 4.0 International License."
+    apache = next(t for k, t in license_scan.TEMPLATES if k == "Apache-2.0" and len(t) > 300)
+    bsd = "\n".join(_wrapped(t, " *") for t in (license_scan._BSD_OPENING, license_scan._BSD_TWO, license_scan._BSD_THIRD, license_scan._BSD_WARRANTY))
+    want = {
+        "a/LICENSE": ("MIT", "Copyright (c) 2020 Jane Doe\n\n" + mit),
+        "b/f.py": ("CC-BY-4.0", f"{cc}\n#\n{code}"),
+        "c/f.js": ("Apache-2.0", f"/*\n{_wrapped(apache, ' *')}\n *\n */\n{code}"),
+        "d/LICENSE": ("BSD-3-Clause", f"/*\n * Copyright (c) 2019, Some Company\n * All rights reserved.\n *\n{bsd}\n */"),
+        "e/COPYING": ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007"),
+        "f/f.py": (None, f"# The permission of users is read here,\n# and copyright lines are counted.\n\n{code}"),
+        "g/long": ("MIT", "no word of it\n" * 20000 + "\n" + mit),
+        "h/f.py": ("proprietary", f"All rights reserved.\n\n{code}"),
+    }
+    files = spark.createDataFrame([(k, t) for k, (_, t) in want.items()], "path string, text string")
+    got = license_scan.scan(files.union(spark.createDataFrame([("a/f", "x"), ("c/g", "x"), ("g/x", "x")], files.schema)), spark.createDataFrame(license_scan.TEMPLATES, "license string, line string")).collect()
+    assert {r.path: r.own_license for r in got if r.path in want} == {k: v for k, (v, _) in want.items()}
+    assert {r.path: r.license for r in got if r.path not in want} == {"a/f": "MIT", "c/g": None, "g/x": None}
+
+
 def test_licenses_without_ids(spark):
     docs = spark.createDataFrame([(None, "Released under the MIT License.", "en", "s"), (None, "text", "en", "s"), (5, None, None, None)], "doc_id long, text string, lang string, source string")
     templates = spark.createDataFrame(license_scan.TEMPLATES, "license string, line string")
