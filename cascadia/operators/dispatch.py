@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.binning import bin_index
+
 SEASONS = ("winter", "winter", "spring", "spring", "spring", "summer", "summer", "summer", "autumn", "autumn", "autumn", "winter")
 
 
@@ -121,6 +123,45 @@ def flow_distance(links: DataFrame) -> DataFrame:
     return links.groupBy("bus0").agg(F.sum(F.abs("p0") * d).alias("flow_distance"), (F.sum(F.abs("p0") * d) / F.sum(F.abs("p0"))).alias("mean_distance"))
 
 
+def flow_distances(flows: DataFrame, transmitted: DataFrame | None = None, unit: float = 1e6) -> DataFrame:
+    """Sum of absolute flow times length at each snapshot of a scenario: co2l, snapshot, flow_distance.
+
+    ``flows`` has co2l, snapshot, p0 and length of each line. It is in ``unit``, or, with the power that
+    is ``transmitted`` (co2l, snapshot, p), the mean distance of that power; without any power it is null.
+    """
+    keys = ["co2l", "snapshot"]
+    d = flows.groupBy(*keys).agg(F.sum(F.abs("p0") * F.col("length")).alias("d"))
+    if transmitted is None:
+        return d.select(*keys, (F.col("d") / unit).alias("flow_distance"))
+    return d.join(transmitted, keys, "left").select(*keys, F.try_divide("d", "p").alias("flow_distance"))
+
+
+def transmitted_power(generation: DataFrame, storage: DataFrame) -> DataFrame:
+    """Generation (co2l, snapshot, p, sign) and what storage units (co2l, snapshot, p) give, not what they take: co2l, snapshot, p."""
+    both = generation.select("co2l", "snapshot", (F.col("p") * F.col("sign")).alias("p")).unionByName(storage.where("p > 0").select("co2l", "snapshot", "p"))
+    return both.groupBy("co2l", "snapshot").agg(F.sum("p").alias("p"))
+
+
+def distance_histogram(series: DataFrame, weights: DataFrame, n: int = 39) -> DataFrame:
+    """Share of each scenario's weighted snapshots in n equal bins between the extremes of all scenarios: co2l, bin, share.
+
+    ``series`` is that of ``flow_distances``, ``weights`` has co2l, snapshot and w, whose sum over a scenario is its whole. Empty bins have no row.
+    """
+    ends = series.agg(F.min("flow_distance").alias("low"), F.max("flow_distance").alias("high"))
+    whole = weights.groupBy("co2l").agg(F.sum("w").alias("whole"))
+    x = series.join(weights, ["co2l", "snapshot"]).join(F.broadcast(ends))  # one row of ends
+    b = x.withColumn("bin", bin_index(F.col("flow_distance"), F.col("low"), F.col("high"), n)).where("bin is not null").groupBy("co2l", "bin").agg(F.sum("w").alias("w"))
+    return b.join(whole, "co2l").select("co2l", "bin", (F.col("w") / F.col("whole")).alias("share"))
+
+
+def on_calendar(df: DataFrame, time: str = "snapshot", months: list[int] | None = None, seasons: list[str] | None = None, weekdays: list[int] | None = None, hours: list[int] | None = None) -> DataFrame:
+    """Rows at the given months, seasons, days of the week (Monday is 0) and hours; what isn't given isn't asked."""
+    asked = ((F.month(time), months), (season(time), seasons), (F.weekday(time), weekdays), (F.hour(time), hours))
+    for part, values in asked:
+        df = df if values is None else df.where(part.isin(values))
+    return df
+
+
 def mean_nodal_load(loads: DataFrame) -> DataFrame:
     """Mean load of each bus, months weighed by their number."""
     w = F.month("snapshot")

@@ -129,6 +129,14 @@ def inhomogeneity(dipoles: DataFrame, lat: float, lon: float, scale: float = 1e6
     return dipoles.select("snapshot", d.alias("km"))
 
 
+def inhomogeneity_at(dipoles: DataFrame, buses: DataFrame, scale: float = 1e6) -> DataFrame:
+    """``inhomogeneity`` from the mean of the positions of ``buses`` (lat, lon); a dipole that leads off the globe is refused."""
+    at = buses.agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
+    lat, lon = (F.col(c) + F.col(f"dipole_{k}") / scale for c, k in (("lat", "y"), ("lon", "x")))
+    valid = F.assert_true((F.abs(lat) <= 90) & (F.abs(lon) <= 360), "a dipole leads to no valid position")
+    return dipoles.join(F.broadcast(at)).select("snapshot", F.when(valid.isNull(), geodesic(F.col("lat"), F.col("lon"), lat, lon)).alias("km"))  # one row of at
+
+
 def failed_edge_vector(failed: DataFrame, n: int) -> DataFrame:
     """Whether each of n edges fails in each split: split_number, v."""
     s = failed.groupBy("split_number").agg(F.collect_set("edge").alias("e"))

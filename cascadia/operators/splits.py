@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,9 +45,9 @@ def at_thresholds(c: DataFrame, limits: list[float]) -> DataFrame:
     return split_properties(each, ["limit_hz", *KEYS])
 
 
-def number_splits(s: DataFrame) -> DataFrame:
-    """Consecutive numbers of splits within a scenario, in order of time and own number."""
-    r = ranked(s, "co2l", F.unix_timestamp(F.col("time_stamp").cast("timestamp")), ["split_number"])
+def number_splits(s: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Consecutive numbers of splits within a scenario, in order of time and own number; ``keep`` writes the rows once."""
+    r = ranked(s, "co2l", F.unix_timestamp(F.col("time_stamp").cast("timestamp")), ["split_number"], keep=keep)
     return r.withColumn("number", F.col("rank").cast("int")).drop("rank", "group_rows")
 
 
@@ -93,10 +95,10 @@ def exceedance(c: DataFrame, limits: list[float]) -> DataFrame:
     return c.where(finite(F.col("rocof"))).groupBy("co2l").agg(*(F.avg((x > v).cast("double")).alias(f"above_{str(v).replace('.', '_')}") for v in limits))
 
 
-def exceedance_curve(c: DataFrame) -> DataFrame:
-    """Empirical exceedance 1 - i / n of sorted absolute rates; ties keep their rows."""
+def exceedance_curve(c: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Empirical exceedance 1 - i / n of sorted absolute rates; ties keep their rows; ``keep`` writes the rows once."""
     x = c.where(finite(F.col("rocof"))).select("co2l", "split_number", "component_number", F.abs("rocof").alias("x"))
-    r = ranked(x, "co2l", F.col("x"), ["split_number", "component_number"])
+    r = ranked(x, "co2l", F.col("x"), ["split_number", "component_number"], keep=keep)
     return r.select("co2l", "split_number", "component_number", (1 - F.col("rank") / F.col("group_rows")).alias("exceedance"))
 
 
@@ -177,6 +179,32 @@ def consistent(a: DataFrame, b: DataFrame, digits: int = 9) -> DataFrame:
     return x.exceptAll(y).agg(F.count("*").alias("only_first")).join(F.broadcast(y.exceptAll(x).agg(F.count("*").alias("only_second"))))
 
 
+def largest_cases(batched: DataFrame) -> DataFrame:
+    """The case with the most circuits out at each snapshot and pair of edges: time_stamp, edge_0, edge_1, circuits_0, circuits_1, splits.
+
+    ``batched`` has these columns; cases are compared by circuits_0, then circuits_1, then splits.
+    """
+    keys = ["time_stamp", "edge_0", "edge_1"]
+    return batched.groupBy(*keys).agg(F.max(F.struct("circuits_0", "circuits_1", "splits")).alias("x")).select(*keys, "x.*")
+
+
+def case_counts(old: DataFrame, batched: DataFrame) -> DataFrame:
+    """Splits of an old study and of one in batches, by snapshot of either: time_stamp, n_old, n_batched, difference, unsplit.
+
+    ``old`` has a row with time_stamp for each split, ``batched`` is that of ``largest_cases``;
+    unsplit counts kept cases that don't split, which a study of splits should not hold.
+    """
+    a = old.groupBy("time_stamp").agg(F.count("*").alias("n_old"))
+    b = largest_cases(batched).groupBy("time_stamp").agg(F.count_if("splits").alias("n_batched"), F.count_if(~F.col("splits")).alias("unsplit"))
+    x = a.join(b, "time_stamp", "full").fillna(0, ["n_old", "n_batched", "unsplit"])
+    return x.select("time_stamp", "n_old", "n_batched", (F.col("n_old") - F.col("n_batched")).alias("difference"), "unsplit")
+
+
+def trigger_edges(s: DataFrame) -> DataFrame:
+    """Edges that any of two triggers names, once for each scenario: co2l, edge."""
+    return s.select("co2l", F.explode(F.array("init_failure_0", "init_failure_1")).alias("edge")).where("edge is not null").distinct()
+
+
 def snapshot_weights(observed: DataFrame, listed: DataFrame) -> DataFrame:
     """Hours that the snapshots of each scenario stand for, and how they are known: co2l, weight, missing, reason.
 

@@ -30,6 +30,7 @@ def transformed(v: Column, kind: str) -> Column:
         "sign": lambda x: F.signum(x),
         "tanh": lambda x: F.tanh(x),
         "clipped": lambda x: F.greatest(F.least(x, F.lit(1.0)), F.lit(-1.0)),
+        "below_zero": lambda x: F.least(x, F.lit(0.0)),
         "blackout_under": lambda x: F.when(x < -1, 1).otherwise(0),
         "not_zero": lambda x: (x != 0).cast("int"),
         "over_under": lambda x: F.when(x > 1, 1).when(x < -1, 2).otherwise(0),
@@ -39,6 +40,36 @@ def transformed(v: Column, kind: str) -> Column:
     return F.transform(v, kinds[kind])
 
 
+def main_component(v: Column, by: str) -> Column:
+    """1 at the nodes of the main component, by vectors of each node's load share, else 0.
+
+    The main component has the greatest share ("largest") or the share that most nodes have
+    ("most_frequent", of equally frequent ones the first in the vector).
+    """
+    if by == "largest":
+        main = F.array_max(v)
+    elif by == "most_frequent":
+        main = F.array_max(F.transform(F.array_distinct(v), lambda x, i: F.struct(F.size(F.filter(v, lambda y: y == x)).alias("n"), (-i).alias("at"), x.alias("x"))))["x"]
+    else:
+        raise ValueError(f"unknown main component {by}")
+    return F.transform(v, lambda x: (x == main).cast("int"))
+
+
+def misplaced_nodes(c: DataFrame, n: int) -> DataFrame:
+    """How many of n nodes are in several components of a split, and how many in none: split_number, doubled, missing. Rows only where there are any."""
+    per = c.select("split_number", "component_number", "node_idx").distinct().groupBy("split_number", "node_idx").agg(F.count("*").alias("k"))
+    x = per.groupBy("split_number").agg(F.count_if(F.col("k") > 1).alias("doubled"), (n - F.count("*")).alias("missing"))
+    return x.where("doubled > 0 or missing > 0")
+
+
+def exact_nodal_values(c: DataFrame, n: int) -> DataFrame:
+    """Rates as in ``nodal_values``, but a split where a node isn't in exactly one component is refused."""
+    bad = misplaced_nodes(c, n).limit(1).collect()
+    if bad:
+        raise ValueError(f"split {bad[0][0]}: {bad[0][1]} nodes in several components, {bad[0][2]} in none")
+    return nodal_values(c, n)
+
+
 def unique_vectors(x: DataFrame, key: str, v: str, w: str) -> DataFrame:
     """Distinct vectors with the smallest key, their number and summed weight."""
     return x.groupBy(v).agg(F.min(key).alias("uid"), F.count("*").alias("n"), F.sum(w).alias("weight"))
@@ -303,3 +334,25 @@ def typed_katz(x: DataFrame, key: str, v: str, edges: DataFrame, depth: int = 10
             yield pd.DataFrame({"key": b["key"], "katz": list(np.abs(signed @ weight))})
 
     return x.select(F.col(key).alias("key"), F.col(v).alias("v")).mapInPandas(run, "key long, katz array<double>")
+
+
+def typed_katz_walks(x: DataFrame, key: str, v: str, edges: DataFrame, depth: int = 10, decay: float = 0.1) -> DataFrame:
+    """Walks from each node to nodes of class 1 less those to the other class, each of length d by decay**d: key, katz (signed, an array over nodes).
+
+    Vectors hold two classes, both of 0 and 1 or both of -1 and 1; others are refused. The grid is one small table and goes to every task.
+    """
+    adj = _adjacency(edges)
+    n, weight, power = len(adj), np.zeros(adj.shape), np.eye(len(adj))
+    for d in range(1, depth + 1):
+        power = power @ adj
+        weight += power * decay**d
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            m = _on_grid(b["v"], n).astype(float)
+            low = m.min(1, keepdims=True)
+            if not (np.isin(low, (-1, 0)).all() and ((m == 1) | (m == low)).all() and (m == 1).any(1).all()):
+                raise ValueError("classes must be 0 and 1, or -1 and 1")
+            yield pd.DataFrame({"key": b["key"], "katz": list(np.where(m == 1, 1.0, -1.0) @ weight)})
+
+    return x.select(F.col(key).alias("key"), F.col(v).alias("v")).mapInPandas(run, "key long, katz array<double>")

@@ -64,7 +64,7 @@ _BIN5 = "CASE WHEN greatest(0e0, least(100e0, lost_load_share_blackout*100)) = 1
 # Splits.
 _query("component_losses", lambda s, d: _C(s, d).select("split_number", "component_number", "rot_energy", "rocof", F.when(F.col("rot_energy_gen") > 0, F.col("rocof_noLoadInertia")).alias("rocof_noLoadInertia"), "shedding", "blackout", "total"), _x("split_number, component_number, rot_energy, rocof, CASE WHEN rot_energy_gen > 0 THEN rocof_noLoadInertia END AS rocof_noLoadInertia, shedding, blackout, total FROM los"), 6, "rot_energy rocof rocof_noLoadInertia shedding blackout total")
 _query("split_properties", _S, _x("* FROM spl"), 6, "co2l lost_load_share_shedding lost_load_share_blackout lost_load_share_total largest_component_load_share load")
-_query("split_number", lambda s, d: S.number_splits(_S(s, d)).select("co2l", "split_number", "number"), _x("co2l, split_number, dense_rank() OVER (PARTITION BY co2l ORDER BY time_stamp, split_number)::INT AS number FROM spl"), 6, "co2l")
+_query("split_number", lambda s, d: S.number_splits(_S(s, d), _keep).select("co2l", "split_number", "number"), _x("co2l, split_number, dense_rank() OVER (PARTITION BY co2l ORDER BY time_stamp, split_number)::INT AS number FROM spl"), 6, "co2l")
 _query("split_thresholds", lambda s, d: S.at_thresholds(_C(s, d), [0.5, 0.8, 1.0, 1.5, 2.0]).groupBy("limit_hz", "co2l").agg(F.sum(F.col("lost_load_share_total") * F.col("total_weighting")).alias("loss"), F.count("*").alias("n")), _x("limit_hz::DOUBLE AS limit_hz, co2l, sum(greatest(shedding, CASE WHEN abs(rocof) > limit_hz THEN load_share ELSE 0e0 END)*trigger_weighting*snapshot_weighting) AS loss, count(DISTINCT split_number) AS n FROM obs, (VALUES (0.5e0), (0.8e0), (1.0e0), (1.5e0), (2.0e0)) t(limit_hz) GROUP BY 1, 2"), 4, "limit_hz co2l loss")
 _query("threshold_consistency", lambda s, d: S.consistent(S.at_thresholds(_C(s, d), [1.0]).drop("limit_hz"), _S(s, d), 6), _x("0::BIGINT AS only_first, 0::BIGINT AS only_second FROM (SELECT count(*) FROM spl)"))
 _query("risk_histogram", lambda s, d: S.histogram(_S(s, d), F.col("lost_load_share_blackout") * 100, F.col("total_weighting"), 0.0, 100.0, 5, ["co2l"]), _x(f"co2l, {_BIN5} AS bin, sum(total_weighting)::BIGINT AS weight FROM spl GROUP BY 1, 2"), 6, "co2l")
@@ -80,7 +80,7 @@ _query("same_vs_diff_corridor", lambda s, d: S.by_corridor(_S(s, d)), _x("co2l,
 _B10 = "CASE WHEN greatest(0e0, least(1e0, lost_load_share_blackout)) = 1 THEN 9 ELSE least(9, floor((greatest(0e0, least(1e0, lost_load_share_blackout)) - 0)/0.1e0)) END::INT"
 _query("hist2d_components", lambda s, d: S.size_against_loss(_S(s, d)), _x(f"n_components, bin, sum(total_weighting)::BIGINT AS weight, sum(total_weighting)/sum(sum(total_weighting)) OVER (PARTITION BY n_components) AS share FROM (SELECT *, {_B10} AS bin FROM spl) GROUP BY 1, 2"), 9, "share")
 _query("rocof_exceedance", lambda s, d: S.exceedance(_C(s, d), [0.5, 1.0, 2.0]), _x("co2l, avg((abs(rocof) > 0.5)::INT) AS above_0_5, avg((abs(rocof) > 1)::INT) AS above_1_0, avg((abs(rocof) > 2)::INT) AS above_2_0 FROM obs GROUP BY 1"), 9, "co2l above_0_5 above_1_0 above_2_0")
-_query("exceedance_curve", lambda s, d: S.exceedance_curve(_C(s, d).withColumn("rocof", F.round("rocof", 9))), _x("co2l, split_number, component_number, 1 - row_number() OVER (PARTITION BY co2l ORDER BY abs(round(rocof, 9)), split_number, component_number)/count(*) OVER (PARTITION BY co2l)::DOUBLE AS exceedance FROM obs"), 9, "co2l exceedance")
+_query("exceedance_curve", lambda s, d: S.exceedance_curve(_C(s, d).withColumn("rocof", F.round("rocof", 9)), _keep), _x("co2l, split_number, component_number, 1 - row_number() OVER (PARTITION BY co2l ORDER BY abs(round(rocof, 9)), split_number, component_number)/count(*) OVER (PARTITION BY co2l)::DOUBLE AS exceedance FROM obs"), 9, "co2l exceedance")
 _query("log_hist", lambda s, d: S.log_histogram(_S(s, d)), _x("co2l, bin, sum(w)::BIGINT AS weight, sum(w)/(power(10e0, (bin+1)*0.5e0) - power(10e0, bin*0.5e0))/sum(sum(w)) OVER (PARTITION BY co2l) AS density FROM (SELECT co2l, total_weighting AS w, floor(log10(lost_load_share_blackout*load)/0.5e0)::INT AS bin FROM spl WHERE lost_load_share_blackout*load >= 1) GROUP BY 1, 2"), 12, "co2l density")
 _query("rocof_histogram", lambda s, d: _C(s, d).groupBy(bin_index(F.col("rocof"), -3.0, 3.0, 60).alias("bin")).agg(F.count("*").alias("n")).where("bin is not null"), _x("floor((rocof + 3e0)/0.1e0)::INT AS bin, count(*) AS n FROM obs WHERE rocof >= -3 AND rocof < 3 GROUP BY 1"))
 _query("rocof_outside", lambda s, d: _C(s, d).groupBy("co2l").agg(outside(F.col("rocof"), -2.0, 2.0).alias("n_outside")), _x("co2l, count(*) FILTER (rocof < -2 OR rocof > 2) AS n_outside FROM obs GROUP BY 1"), 6, "co2l")

@@ -103,6 +103,16 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy(F.col("s_nationkey").alias("bus0"), F.col("c_nationkey").alias("bus1")).agg(F.sum("l_extendedprice").alias("p0")).withColumn("p1", -F.col("p0"))
 
 
+def dated_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows between supplier and customer nations by scenario and month, with the distance of their places in rows of five."""
+    li, s, o, c = (read(spark, sf_dir, x) for x in ("lineitem", "supplier", "orders", "customer"))
+    j = li.select("l_orderkey", "l_suppkey", "l_extendedprice").join(s.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey")).join(o.select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey")).join(c.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    month = F.date_trunc("month", "o_orderdate").cast("timestamp_ntz")
+    sums = j.groupBy(((F.col("o_custkey") % 8).cast("double") / 10.0).alias("co2l"), month.alias("snapshot"), F.col("s_nationkey").alias("bus0"), F.col("c_nationkey").alias("bus1")).agg(F.sum("l_extendedprice").alias("p0"))
+    far = F.pow(F.col("bus0") % 5 - F.col("bus1") % 5, F.lit(2)) + F.pow(F.floor(F.col("bus0") / 5) - F.floor(F.col("bus1") / 5), F.lit(2))
+    return sums.withColumn("length", F.sqrt(far))
+
+
 def injections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly balance of each node, supply less load, less the mean over nodes."""
     both = supply(spark, sf_dir).unionByName(loads(spark, sf_dir).withColumn("p", -F.col("p"))).groupBy("snapshot", "bus").agg(F.sum("p").alias("p"))
@@ -141,6 +151,9 @@ SQL = {
     "loads": "SELECT date_trunc('month', o_orderdate) AS snapshot, c_nationkey AS bus, sum(o_totalprice) AS p FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2",
     "supply": "SELECT date_trunc('month', o_orderdate) AS snapshot, s_nationkey AS bus, sum(l_extendedprice) AS p FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2",
     "links": "SELECT s_nationkey AS bus0, c_nationkey AS bus1, sum(l_extendedprice) AS p0, -sum(l_extendedprice) AS p1 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2",
+    "dlinks": """SELECT *, sqrt(power(bus0 % 5 - bus1 % 5, 2) + power(floor(bus0/5e0) - floor(bus1/5e0), 2)) AS length FROM (
+  SELECT cast(o_custkey % 8 AS DOUBLE)/10e0 AS co2l, date_trunc('month', o_orderdate)::TIMESTAMP AS snapshot, s_nationkey AS bus0, c_nationkey AS bus1, sum(l_extendedprice) AS p0
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3, 4)""",
     "inj": """SELECT snapshot, bus AS node_idx, p - avg(p) OVER (PARTITION BY snapshot) AS p0 FROM (
   SELECT s.snapshot, n_nationkey AS bus, coalesce(sum(b.p), 0) AS p FROM (SELECT DISTINCT snapshot FROM (SELECT snapshot FROM supply UNION SELECT snapshot FROM loads)) s CROSS JOIN nation
   LEFT JOIN (SELECT * FROM supply UNION ALL SELECT snapshot, bus, -p FROM loads) b ON b.snapshot = s.snapshot AND b.bus = n_nationkey GROUP BY 1, 2)""",

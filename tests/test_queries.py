@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import __spark_entry__ as entry
 import pytest
-from cascadia.plans.campaigns import ORACLE_SQL, QUERIES
+from cascadia.plans.comparisons import ORACLE_SQL, QUERIES
 from compare import difference, duck
 
 SF = "/root/testdata/sf0.001"
