@@ -24,6 +24,8 @@ from .common import filtered, saved, small_batches, table
 U64 = np.uint64
 #: Bytes of benchmark text that one broadcast holds; a larger benchmark is searched block by block.
 BLOCK = 8 << 20
+#: Places of windows in a shard and the items that are held at once.
+EXPAND = 1 << 20
 
 
 class Suffixes:
@@ -113,20 +115,24 @@ def search(words: np.ndarray, row: np.ndarray, s: Suffixes) -> tuple[np.ndarray,
     found = np.flatnonzero(hi > lo)
     if not len(found):
         return none
-    # Each place of a window in the shard, with each place of it in the items.
+    # Each place of a window in the shard, with each place of it in the items, some at a time.
     lo, places, found = lo[found], (hi - lo)[found], maybe[found]
     homes = s.key_at[found + 1] - s.key_at[found]
-    which = np.repeat(np.arange(len(found)), places * homes)
-    key = found[which]
-    k = np.arange(len(key)) - np.repeat(np.cumsum(places * homes) - places * homes, places * homes)
-    h = np.repeat(homes, places * homes)
-    p = pos[lo[which] + k // h]
-    w = s.by_key[s.key_at[key] + k % h]
-    q, item = s.start[w], s.item[w]
-    inside = (p > 0) & (q > s.bounds[item])
-    left = inside & (row[np.maximum(p - 1, 0)] == row[p]) & (words[np.maximum(p - 1, 0)] == s.words[np.maximum(q - 1, 0)])
-    # A match that goes on to the left is part of a longer one, unless a shorter item's only window begins here.
-    p, q, item, w = (x[~left] for x in (p, q, item, w))
+    ends = np.cumsum(places * homes)
+    kept = []
+    for first in range(0, ends[-1], EXPAND):
+        flat = np.arange(first, min(first + EXPAND, ends[-1]))
+        which = np.searchsorted(ends, flat, "right")
+        h = homes[which]
+        k = flat - ends[which] + places[which] * h
+        p = pos[lo[which] + k // h]
+        w = s.by_key[s.key_at[found[which]] + k % h]
+        q, item = s.start[w], s.item[w]
+        inside = (p > 0) & (q > s.bounds[item])
+        left = inside & (row[np.maximum(p - 1, 0)] == row[p]) & (words[np.maximum(p - 1, 0)] == s.words[np.maximum(q - 1, 0)])
+        # A match that goes on to the left is part of a longer one, unless a shorter item's only window begins here.
+        kept.append([x[~left] for x in (p, q, item, w)])
+    p, q, item, w = (np.concatenate(x) for x in zip(*kept, strict=True))
     size = s.size[w].astype(np.int64)
     live = np.arange(len(p))
     while len(live):

@@ -294,6 +294,24 @@ def test_decontamination(docs, spark, monkeypatch, block):
     assert {r.doc_id for r in dec.decontaminate(docs, bench).collect()} == {i for i, x in want.items() if not x[1]}
 
 
+@pytest.mark.parametrize("expand", [1, 3, 7])
+def test_places_of_windows_in_parts(monkeypatch, expand):
+    """Windows with many places in a shard and in the items give the same matches however many are held at once."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(list("abc"), 30)) for _ in range(6)]
+    known = dec.Suffixes(["x", "y", "z"], [texts[0], texts[1] + " " + texts[0], "a b"], 4)
+    words, row = [], []
+    for i, t in enumerate([*texts, texts[0] + " " + texts[0]]):
+        for _, _, buf, off in dec.K.text_chunks(dec.pa.array([t])):
+            h, _ = dec.K.word_hashes(buf, off, dec.K.ALNUM)
+            words.append(h)
+            row.append(np.full(len(h), i))
+    words, row = np.concatenate(words), np.concatenate(row)
+    want = sorted(zip(*dec.search(words, row, known), strict=True))
+    monkeypatch.setattr(dec, "EXPAND", expand)
+    assert len(want) > 50 and sorted(zip(*dec.search(words, row, known), strict=True)) == want
+
+
 def test_decontamination_of_repeated_and_null_ids(spark, monkeypatch):
     bench = spark.createDataFrame([(i, f"w{i} " * 12) for i in range(4)], "item_id long, text string")
     docs = spark.createDataFrame([(1, "w1 " * 12), (1, "clean"), (None, "w2 " * 11)], "doc_id long, text string")
