@@ -39,6 +39,8 @@ UNKNOWN = 10.0
 LONG = 1024
 #: Bytes of a word up to which products of probabilities are summed, with this logarithm of a factor for each byte.
 SHORT, LIFT = 32, 3.0
+#: Least sum of such products that is trusted; words below it are summed as logarithms.
+LEAST_SUM = 1e-200
 #: Rounds of estimation at most, and the relative gain in likelihood below which they end.
 MOST_ROUNDS = 40
 LEAST_GAIN = 1e-4
@@ -340,18 +342,18 @@ class Encoder:
             j = min(len(order), i + 1 + (1 << 17) // (len(words[order[i]]) + 16))
             while j > i + 1 and len(words[order[j - 1]]) > 2 * len(words[order[i]]) + 8:
                 j = i + (j - i) // 2
-            likely += self._expected([words[o] for o in order[i:j]], counts[order[i:j]], out)
+            likely += self._expected([words[o] for o in order[i:j]], counts[order[i:j]], out, int(size[order[j - 1]]) <= SHORT)
             i = j
         return out, likely
 
-    def _expected(self, words: list[bytes], counts: np.ndarray, out: np.ndarray) -> int:
-        """Sums of products of probabilities over all segmentations of words up to SHORT bytes, else of their logarithms.
+    def _expected(self, words: list[bytes], counts: np.ndarray, out: np.ndarray, short: bool) -> int:
+        """Sums of products of probabilities over all segmentations of ``short`` words, else of their logarithms.
 
         Every segmentation covers all bytes, so that a factor for each byte changes no
-        share; it keeps the products of short words within what a double holds.
+        share; it keeps the products of most short words within what a double holds.
+        Improbable ones, as of many characters without a piece, are done again by logarithms.
         """
         (text, size), scores = self._padded(words), self.v.scores
-        short = int(size.max()) <= SHORT
         whole_log = np.zeros(len(words))
         at = np.arange(len(words))
         ahead, behind = (np.full(text.shape, 0.0 if short else -np.inf) for _ in range(2))
@@ -366,6 +368,11 @@ class Encoder:
                 ahead[r, e] = np.logaddexp(ahead[r, e], ahead[r, i] + s)
             steps.append((i, r, e, v, s))
         whole = ahead[at, size]
+        again = 0
+        if short and len(weak := np.flatnonzero(whole < LEAST_SUM)):
+            again = self._expected([words[o] for o in weak], counts[weak], out, False)
+            whole[weak], counts = 1.0, counts.copy()
+            counts[weak] = 0
         whole_log = np.log(whole) - LIFT * size if short else whole
         per = counts / QUANTUM / whole if short else counts / QUANTUM
         for i, r, e, v, s in reversed(steps):
@@ -384,7 +391,7 @@ class Encoder:
             v, n = np.concatenate(pieces), np.concatenate(parts)
             high = np.floor(n * 2.0**-26)
             out += np.bincount(v, high, len(out)).astype(np.int64) * (1 << 26) + np.bincount(v, n - high * 2.0**26, len(out)).astype(np.int64)
-        return sum(int(x) for x in np.rint(whole_log * counts * 1024))
+        return again + sum(int(x) for x in np.rint(whole_log * counts * 1024))
 
     def _batch(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word, first byte, piece) for each piece of each word; byte pieces stand at their own bytes."""

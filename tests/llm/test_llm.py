@@ -409,6 +409,22 @@ def test_long_words_go_the_same_way(monkeypatch):
     assert np.abs(out - out2).max() <= 2000 and abs(likely - likely2) <= 1e-9 * abs(likely) + len(words)
 
 
+def test_improbable_short_words_are_counted(spark):
+    """Words whose probability is below what a double holds, as of null characters, which have no piece."""
+    rows = [(i, f"some words of a common text {i}") for i in range(40)] + [(90, "\x00" * 31), (91, "\x00" * 30 + " words")]
+    out = {r.doc_id: r for r in pieces.encode(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(out) == len(rows) and all(r.round_trip for r in out.values())
+    assert out[90].n_byte_tokens == 31 and out[91].n_byte_tokens == 30
+    coder = pieces.Encoder(pieces.Vocabulary.load())
+    coder.v.scores = np.full(len(coder.v.pieces), -30.0)
+    coder.unknown = -40.0
+    words, counts = [b" " + b"\x00" * 31, b" the", b" \x01" + b"\x00" * 30], np.array([3, 2, 1])
+    got, likely = coder.expected(words, counts)
+    alone = np.zeros(len(got), np.int64)
+    assert abs(likely - sum(coder._expected_alone(w, int(n), alone) for w, n in zip(words, counts, strict=True))) <= len(words)
+    assert np.abs(got - alone).max() <= 1
+
+
 def test_piece_scores_are_log_probabilities(spark):
     text = "The international community has considered the government responsibility"
     df = spark.createDataFrame([(i, f"{text} {i}") for i in range(50)] + [(99, None)], "doc_id long, text string").repartition(4)
