@@ -59,8 +59,8 @@ class Network:
             self.p |= {f"w{d}": r.normal(0, 0.3, (256, 3 * hidden)), f"u{d}": r.normal(0, hidden**-0.5, (hidden, 3 * hidden)), f"c{d}": np.zeros(hidden)}
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
-    def _layer(self, x: np.ndarray, on: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
-        """States at each position; a gated unit with update, reset and candidate parts."""
+    def _layer(self, x: np.ndarray, on: np.ndarray, d: str) -> tuple[np.ndarray, list]:
+        """States at each position and what gradients need; a gated unit with update, reset and candidate parts."""
         h, w, u, c = self.hidden, self.p[f"w{d}"], self.p[f"u{d}"], self.p[f"c{d}"]
         n, t = x.shape
         state = np.zeros((n, h), w.dtype)
@@ -75,17 +75,59 @@ class Network:
             new = state - g
             new *= z
             new += g
-            if keep:
-                tape.append((i, state, z, r, pre, g))
+            tape.append((i, state, z, r, pre, g))
             state = new if full[i] else np.where(on[:, i, None], new, state)
             out[i] = state
         return out, tape
 
+    def _states(self, x: np.ndarray, on: np.ndarray, d: str) -> np.ndarray:
+        """The states of ``_layer`` alone, in half its time: the three parts lie apart, so that all steps run over whole blocks.
+
+        sigmoid(x) is 1 / (1 + exp(-x)) and tanh(x) is 1 - 2 / (1 + exp(2x)), as exp
+        is the faster function; the weights carry these factors.
+        """
+        h, (n, t) = self.hidden, x.shape
+        w, u = (self.p[f"{k}{d}"].reshape(-1, 3, h).transpose(1, 0, 2) for k in "wu")
+        factor = np.array([-1, -1, 2], w.dtype)[:, None, None]
+        w, u, c = np.ascontiguousarray(w * factor), np.ascontiguousarray(u * factor), np.tile(2 * self.p[f"c{d}"], (n, 1))
+        state = np.zeros((n, h), w.dtype)
+        out, a, b = np.empty((t, n, h), w.dtype), np.empty((3, n, h), w.dtype), np.empty((3, n, h), w.dtype)
+        full, at = on.all(0), np.ascontiguousarray(x.T).astype(np.intp)
+        gates, g, (z, r, pre) = b[:2], a[2], b
+        with np.errstate(over="ignore"):  # exp may be infinite, its reciprocal is 0 then
+            for i in range(t) if d == "f" else range(t - 1, -1, -1):
+                w.take(at[i], 1, out=a, mode="clip")
+                np.matmul(state, u, out=b)
+                gates += a[:2]
+                np.exp(gates, out=gates)
+                gates += 1
+                np.reciprocal(gates, out=gates)
+                pre += c
+                pre *= r
+                g += pre
+                np.exp(g, out=g)
+                g += 1
+                np.divide(-2, g, out=g)
+                g += 1
+                np.subtract(state, g, out=pre)
+                pre *= z
+                new = np.add(pre, g, out=out[i])
+                if not full[i]:
+                    np.copyto(new, state, where=~on[:, i, None])
+                state = new
+        return out
+
     def positions(self, x: np.ndarray, on: np.ndarray, keep: bool = False) -> tuple:
         """Log-probabilities of the classes at each position, (time, window, class)."""
-        f, tf = self._layer(x, on, "f", keep)
-        b, tb = self._layer(x, on, "b", keep)
-        y = f @ self.p["o"][: self.hidden] + b @ self.p["o"][self.hidden :] + self.p["ob"]
+        o, h = self.p["o"], self.hidden
+        if keep:
+            (f, tf), (b, tb) = self._layer(x, on, "f"), self._layer(x, on, "b")
+            y = f @ o[:h] + b @ o[h:] + self.p["ob"]
+        else:  # the positions of a class lie together
+            y = o[:h].T @ self._states(x, on, "f").transpose(0, 2, 1)
+            y += o[h:].T @ self._states(x, on, "b").transpose(0, 2, 1)
+            y += self.p["ob"][:, None]
+            y = y.transpose(0, 2, 1)
         # The few classes are worked through one by one: reductions over a short last axis are slow.
         k = range(y.shape[2])
         top = y[:, :, 0].copy()
