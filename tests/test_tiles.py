@@ -56,6 +56,6 @@ def test_means_of_two_distances_in_one_tile(spark, small, mean):
     assert all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
 
 
-@pytest.mark.parametrize("name", ["composite_pairs", "harmonic_pairs"])
+@pytest.mark.parametrize("name", ["composite_pairs", "harmonic_pairs", "product_root_pairs"])
 def test_means_take_no_join_of_pairs(spark, name):
     assert "Join" not in plan(entry.queries()[name](spark, SF))
