@@ -59,3 +59,22 @@ def test_means_of_two_distances_in_one_tile(spark, small, mean):
 @pytest.mark.parametrize("name", ["composite_pairs", "harmonic_pairs", "product_root_pairs"])
 def test_means_take_no_join_of_pairs(spark, name):
     assert "Join" not in plan(entry.queries()[name](spark, SF))
+
+
+DISTANCES = {
+    # name: distance, vectors, weights
+    "bacc_pairs": (V.balanced_accuracy((-1, 0, 1)), "v", "w"),
+}
+
+
+@pytest.mark.parametrize("name", sorted(DISTANCES))
+def test_distances_in_tiles(spark, small, name):
+    distance, vector, weight = DISTANCES[name]
+    x, keys, v, w = vectors(spark, 50, seed=1)
+    of = {"v": v, "w": w, None: None}
+    got = {(r.i, r.j): r.d for r in V.blocked_pairs(x, "key", vector, weight, distance, tile=24, digits=8).collect()}
+    d = distance(of[vector], of[vector], of[weight], of[weight])
+    assert len(got) == 50 * 49 // 2
+    for a in range(50):
+        for b in range(a):
+            assert got[min(keys[a], keys[b]), max(keys[a], keys[b])] == pytest.approx(d[a, b], abs=6e-9)
