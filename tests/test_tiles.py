@@ -63,6 +63,7 @@ def test_means_take_no_join_of_pairs(spark, name):
 
 DISTANCES = {
     # name: distance, vectors, weights
+    "whamming_pairs": (V.weighted_hamming, "v", "w"),
     "cosine_pairs": (V.cosine, "w", None),
     "balanced_overlap_pairs": (V.balanced_overlap, "v", "w"),
     "bacc_pairs": (V.balanced_accuracy((-1, 0, 1)), "v", "w"),
