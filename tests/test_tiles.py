@@ -63,6 +63,7 @@ def test_means_take_no_join_of_pairs(spark, name):
 
 DISTANCES = {
     # name: distance, vectors, weights
+    "hamming_pairs": (V.hamming, "v", None),
     "class_distance_pairs": (V.class_distance, "v", None),
     "whamming_pairs": (V.weighted_hamming, "v", "w"),
     "cosine_pairs": (V.cosine, "w", None),
