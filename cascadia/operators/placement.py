@@ -1,17 +1,19 @@
 """Greedy plans over whole tables of components and splits, for many cases at once.
 
 A case is a scenario with a step size and a rule for ties. All cases advance in one job
-a step: gains of nodes are kept up by what changes, as whole parts of a billion, so that
-sums don't depend on the order of tasks and a gain of nothing is exactly nothing. What comes to the
-driver has a row for each case and node of the grid.
+a step, which reads each component once and takes it through the cases of its scenario: gains of nodes
+are whole parts of a billion, so that sums don't depend on the order of tasks and a gain of nothing is
+exactly nothing. What comes to the driver has a row for each case and node of the grid.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,32 +46,55 @@ def _rate(imbalance: Column, energy: Column) -> Column:
     return F.abs(50.0 * imbalance / (2 * energy))
 
 
-def _placed(cases: list[Case], of: str) -> Column:
-    """Energy already at a component's members, from the state of its case (a row for each case and node of the grid)."""
-    per_case = F.create_map(*[x for k, c in enumerate(cases) for x in (F.lit(k), F.create_map(*[y for n, e in c.added.items() for y in (F.lit(n), F.lit(float(e)))]) if c.added else F.map_from_entries(F.array().cast("array<struct<k:int,v:double>>")))])
-    return F.aggregate("members", F.lit(0.0), lambda a, n: a + F.coalesce(F.element_at(F.element_at(per_case, F.col(of)), n), F.lit(0.0)))
+def _sums(rows: DataFrame, cases: dict[int, tuple[int, Case]], limit: float, least_share: float) -> DataFrame:
+    """(case, node, n, lost) with the cases' present state, summed by task.
 
-
-def _sums(rows: DataFrame, cases: list[Case], limit: float, least_share: float, sign: int) -> DataFrame:
-    """(case, node, n): gains of nodes and counts of components, as they are with the cases' present state, times ``sign``."""
-    energy = F.element_at(F.create_map(*[x for k, c in enumerate(cases) for x in (F.lit(k), F.lit(c.step_energy))]), F.col("case"))
-    now = F.col("rot_energy") + _placed(cases, "case")
-    beyond = _rate(F.col("power_imbalance"), now) > limit
-    eligible = beyond & (F.col("load_share") > least_share)
-    gains = eligible & (_rate(F.col("power_imbalance"), now + energy) < limit)
-    whole = F.round(F.col("load_share") * F.col("weight") / PART).cast("long")
-    nodes = F.array_compact(F.flatten(F.array(F.when(gains, F.transform("members", lambda n: F.struct(n.alias("node"), whole.alias("n")))).otherwise(F.array().cast("array<struct<node:int,n:bigint>>")), F.array(F.when(beyond, F.struct(F.lit(BEYOND).alias("node"), F.lit(1).cast("long").alias("n"))), F.when(eligible, F.struct(F.lit(OPEN).alias("node"), F.lit(1).cast("long").alias("n")))))))
-    return rows.select("case", F.explode(nodes).alias("x")).select("case", "x.node", (F.col("x.n") * sign).alias("n"))
-
-
-def _lost(rows: DataFrame, cases: list[Case], tied: dict[int, list[int]], limit: float) -> dict[tuple[int, int], float]:
-    """Load still lost in the components of each tied node after the next step there, weighted by their snapshots."""
-    pairs = rows.sparkSession.createDataFrame([(k, n) for k, ns in tied.items() for n in ns], "case int, node int")
-    energy = F.element_at(F.create_map(*[x for k, c in enumerate(cases) for x in (F.lit(k), F.lit(c.step_energy))]), F.col("case"))
-    then = F.col("rot_energy") + _placed(cases, "case") + energy
-    lost = rows.where(_rate(F.col("power_imbalance"), then) > limit).select("case", F.explode("members").alias("node"), F.round(F.col("load_share") * F.col("snapshot_weighting") / PART).cast("long").alias("n"))
-    got = lost.join(F.broadcast(pairs), ["case", "node"]).groupBy("case", "node").agg(F.sum("n").alias("n")).collect()
-    return {(r["case"], r["node"]): r["n"] * PART for r in got}
+    ``n`` are gains of nodes and counts of components, ``lost`` is the load still lost in a node's components after
+    the next step there, weighted by their snapshots. ``cases`` has the scenario's number and the case by the case's number.
+    """
+    states = [(k, level, dict(c.added), c.step_energy) for k, (level, c) in cases.items()]
+
+    def rate(imbalance: np.ndarray, energy: np.ndarray) -> np.ndarray:
+        return np.abs(50.0 * imbalance / (2 * energy))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], list[int]] = {}
+
+        def add(case: int, nodes: np.ndarray, sums: np.ndarray, which: int) -> None:
+            for node, x in zip(nodes.tolist(), sums.tolist(), strict=True):
+                if x:
+                    total.setdefault((case, node), [0, 0])[which] += x
+
+        for batch in batches:
+            level, whole, lost, energy, imbalance, share = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("level", "whole", "lost", "rot_energy", "power_imbalance", "load_share"))
+            members = batch.column("members")
+            nodes, at = np.unique(members.flatten().to_numpy(), return_inverse=True)
+            of = np.repeat(np.arange(len(batch)), members.value_lengths().to_numpy())
+            for here in np.unique(level):
+                mine = np.flatnonzero(level == here)
+                place = np.full(len(batch), -1)
+                place[mine] = np.arange(len(mine))
+                pick = place[of] >= 0
+                row, node = place[of][pick], at[pick]  # members of this scenario's components
+                e, i, s, w, z = energy[mine], imbalance[mine], share[mine], whole[mine], lost[mine]
+                for k, own, added, step in states:
+                    if own != here:
+                        continue
+                    now = e + np.bincount(row, np.array([added.get(n, 0.0) for n in nodes.tolist()])[node], len(mine)) if added else e + 0.0
+                    then = rate(i, now + step)
+                    beyond = rate(i, now) > limit
+                    eligible = beyond & (s > least_share)
+                    gains = eligible & (then < limit)
+                    for hit, value, which in ((gains, w, 0), (then > limit, z, 1)):
+                        sums, there = np.zeros(len(nodes), np.int64), hit[row]
+                        np.add.at(sums, node[there], value[row[there]])
+                        add(k, nodes, sums, which)
+                    add(k, np.array([BEYOND, OPEN]), np.array([beyond.sum(), eligible.sum()]), 0)
+        rows = [(k, n, x, y) for (k, n), (x, y) in total.items()]
+        case, node, n, lost = (list(z) for z in zip(*rows, strict=True)) if rows else ([], [], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(case, pa.int32()), pa.array(node, pa.int32()), pa.array(n, pa.int64()), pa.array(lost, pa.int64())], ["case", "node", "n", "lost"])
+
+    return rows.mapInArrow(run, "case int, node int, n long, lost long")
 
 
 def _pick(case: Case, nodes: list[int], lost: dict[int, float] | None) -> int:
@@ -101,61 +126,35 @@ def place_inertia(components: DataFrame, cases: list[Case], steps: int, saved, l
             raise ValueError(f"unknown rule {c.rule}")
     spark = components.sparkSession
     weight = F.col("weight") * (F.col("mitigation_weighting") if "mitigation_weighting" in components.columns else F.lit(1.0))
-    of = spark.createDataFrame([(k, float(c.scenario)) for k, c in enumerate(cases)], "case int, level double")
-    rows = components.where(_rate(F.col("power_imbalance"), F.col("rot_energy")) > limit).join(F.broadcast(of), F.abs(F.col("co2l") - F.col("level")) < 1e-9)
-    rows = saved(rows.select("case", "rot_energy", "power_imbalance", "load_share", weight.alias("weight"), "snapshot_weighting", F.array_distinct("members").alias("members")))
-    changed = {k: None for k in range(len(cases))}  # the node whose components changed; None: all
-    parts: list[DataFrame] = [_sums(rows, cases, limit, least_share, 1)]
+    levels = sorted({float(c.scenario) for c in cases})
+    of = spark.createDataFrame(list(enumerate(levels)), "level int, scenario double")
+    rows = components.where(_rate(F.col("power_imbalance"), F.col("rot_energy")) > limit).join(F.broadcast(of), F.abs(F.col("co2l") - F.col("scenario")) < 1e-9)
+    part = lambda w: F.coalesce(F.round(F.col("load_share") * w / PART).cast("long"), F.lit(0))
+    rows = saved(rows.select("level", F.col("rot_energy").cast("double").alias("rot_energy"), F.col("power_imbalance").cast("double").alias("power_imbalance"), F.col("load_share").cast("double").alias("load_share"), part(weight).alias("whole"), part(F.col("snapshot_weighting")).alias("lost"), F.array_distinct("members").cast("array<int>").alias("members")))
     for step in range(steps):
-        got = parts[0]
-        for p in parts[1:]:
-            got = got.union(p)
-        for k, node in changed.items():
-            if node is None:
-                cases[k].gains = {}
-        for r in got.groupBy("case", "node").agg(F.sum("n").alias("n")).collect():
-            g = cases[r["case"]].gains
-            g[r["node"]] = g.get(r["node"], 0) + r["n"]
-        changed, tied, before = {}, {}, []
-        for k, c in enumerate(cases):
-            if c.done:
-                continue
+        open_cases = {k: (levels.index(float(c.scenario)), c) for k, c in enumerate(cases) if not c.done}
+        if not open_cases:
+            break
+        lost: dict[int, dict[int, float]] = {k: {} for k in open_cases}
+        for _, c in open_cases.values():
+            c.gains = {}
+        for r in _sums(rows, open_cases, limit, least_share).groupBy("case", "node").agg(F.sum("n").alias("n"), F.sum("lost").alias("lost")).collect():
+            if r["n"]:
+                cases[r["case"]].gains[r["node"]] = r["n"]
+            lost[r["case"]][r["node"]] = r["lost"] * PART
+        for k, (_, c) in open_cases.items():
             best = max((v for n, v in c.gains.items() if n >= 0), default=0)
             if not c.gains.get(OPEN, 0) or (best <= 0 and fixed_step):
                 c.done = True
             elif best <= 0:
                 c.factor += 1
-                changed[k] = None
             else:
-                tied[k] = [n for n, v in c.gains.items() if n >= 0 and (best - v) * PART < TIE]
-        look = {k: ns for k, ns in tied.items() if len(ns) > 1 and cases[k].rule.startswith("hindsight")}
-        lost = _lost(rows, cases, look, limit) if look else {}
-        for k, ns in tied.items():
-            c = cases[k]
-            node = _pick(c, ns, {n: lost.get((k, n), 0.0) for n in ns} if k in look else None)
-            c.log.append((k, float(c.scenario), float(c.energy), c.rule, step, node, c.factor, c.gains[node] * PART, c.gains.get(BEYOND, 0)))
-            changed[k] = node
-        if not changed:
-            break
-        # What the components of the picked nodes gave is taken back; what they give now is added.
-        picked = {k: n for k, n in changed.items() if n is not None}
-        hit = F.lit(False)
-        for k, n in picked.items():
-            hit = hit | ((F.col("case") == k) & F.array_contains("members", n))
-        parts = [_sums(rows.where(hit), cases, limit, least_share, -1)] if picked else []
-        for k, n in picked.items():
-            c = cases[k]
-            c.added[n] = c.added.get(n, 0.0) + c.step_energy
-            if revert and c.factor > 1:
-                c.factor, changed[k] = 1.0, None
-        again = [k for k, n in changed.items() if n is None]
-        hit = F.col("case").isin(again) if again else F.lit(False)
-        for k, n in changed.items():
-            if n is not None:
-                hit = hit | ((F.col("case") == k) & F.array_contains("members", n))
-        parts.append(_sums(rows.where(hit), cases, limit, least_share, 1))
-        if again and picked:  # sums of a case that starts anew aren't taken back
-            parts[0] = parts[0].where(~F.col("case").isin(again))
+                tied = [n for n, v in c.gains.items() if n >= 0 and (best - v) * PART < TIE]
+                node = _pick(c, tied, lost[k] if len(tied) > 1 and c.rule.startswith("hindsight") else None)
+                c.log.append((k, float(c.scenario), float(c.energy), c.rule, step, node, c.factor, c.gains[node] * PART, c.gains.get(BEYOND, 0)))
+                c.added[node] = c.added.get(node, 0.0) + c.step_energy
+                if revert and c.factor > 1:
+                    c.factor = 1.0
     log = [x for c in cases for x in c.log]
     return spark.createDataFrame(log, "case int, co2l double, energy double, rule string, step int, node_idx int, factor double, gain double, beyond long")
 

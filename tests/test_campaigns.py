@@ -196,3 +196,19 @@ def test_nearest_level_keeps_repeated_rows(spark):
     df = spark.createDataFrame([(0.1, "a"), (0.1, "a"), (0.7, "b")], "co2l double, x string")
     levels = spark.createDataFrame([(0.1 + 1e-8, "p"), (0.4, "q")], "level double, name string")
     assert [tuple(r) for r in artifacts.nearest_level(df, levels).select("x", "name").collect()] == [("a", "p")] * 2
+
+
+def test_cases_share_the_components(spark):
+    """Components are kept once for all cases of a scenario, and a step is one job over them."""
+    rng = np.random.default_rng(3)
+    rows = [(0.1 * (k % 2), float(x), float(y), float(z), 1.0, 2, [int(n) for n in rng.integers(0, 5, 3)]) for k, (x, y, z) in enumerate(rng.random((60, 3)) + 0.1)]
+    df = spark.createDataFrame(rows, "co2l double, rot_energy double, power_imbalance double, load_share double, weight double, snapshot_weighting int, members array<int>")
+    kept = []
+
+    def saved(x):
+        kept.append(artifacts.scratch(x))
+        return kept[-1]
+
+    cases = [placement.Case(level, energy, rule) for level in (0.0, 0.1) for energy in (5.0, 20.0) for rule in placement.RULES]
+    assert placement.place_inertia(df, cases, 3, saved).count() > 0
+    assert [x.count() for x in kept] == [60]
