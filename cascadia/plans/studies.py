@@ -133,7 +133,7 @@ _query("cluster_histogram", lambda s, d: N.cluster_histogram(_clusters(s, d), _n
 
 
 def _scores(s: SparkSession, d: str) -> DataFrame:
-    sil = V.silhouette(V.blocked_pairs(_T(s, d), "vec_id", "v", None, V.hamming), _T(s, d).select(F.col("vec_id").alias("key"), "label"))
+    sil = V.hamming_silhouette(_T(s, d), "vec_id", "v", "label")
     return sil.select("i", "label", F.round("silhouette", 9).alias("score"))
 
 

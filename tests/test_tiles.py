@@ -83,3 +83,21 @@ def test_distances_in_tiles(spark, small, name):
     for a in range(50):
         for b in range(a):
             assert got[min(keys[a], keys[b]), max(keys[a], keys[b])] == pytest.approx(d[a, b], abs=6e-9)
+
+
+@pytest.mark.parametrize("most", [1_024, 2])
+def test_silhouettes_without_pairs(spark, small, monkeypatch, most):
+    """Those of the table of pairs, with lone, single and missing labels; too many labels take the pairs."""
+    monkeypatch.setattr(V, "LABELS", most)
+    x, *_ = vectors(spark, 40, width=8)
+    for label in ("key % 4", "if(key % 3 = 0, null, if(key > 100, 7, key % 2))", "1", "key"):
+        y = x.selectExpr("key", "v", f"cast({label} as int) as label")
+        want = V.silhouette(V.blocked_pairs(y, "key", "v", None, V.hamming), y.select("key", "label"))
+        ordered = lambda df: sorted((r.i, -1 if r.label is None else r.label, round(r.silhouette, 9)) for r in df.collect())
+        assert ordered(V.hamming_silhouette(y, "key", "v", "label")) == ordered(want)
+    assert V.hamming_silhouette(x.limit(1).selectExpr("key", "v", "1 as label"), "key", "v", "label").count() == 0
+
+
+@pytest.mark.parametrize("name", ["silhouette"])
+def test_scores_take_no_pairs(spark, name):
+    assert "FlatMapGroups" not in plan(entry.queries()[name](spark, SF))
