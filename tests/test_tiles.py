@@ -98,6 +98,6 @@ def test_silhouettes_without_pairs(spark, small, monkeypatch, most):
     assert V.hamming_silhouette(x.limit(1).selectExpr("key", "v", "1 as label"), "key", "v", "label").count() == 0
 
 
-@pytest.mark.parametrize("name", ["silhouette", "result_index"])
+@pytest.mark.parametrize("name", ["silhouette", "result_index", "best_results"])
 def test_scores_take_no_pairs(spark, name):
     assert "FlatMapGroups" not in plan(entry.queries()[name](spark, SF))
