@@ -258,3 +258,21 @@ def test_overloads_within_the_margin_hold():
     for over, fails in ((5e-5, False), (2e-4, True)):
         g = grid.Grid(frame([0, 1, 0], [1, 2, 2], s_nom=2 / 3 / (1 + over)))
         assert bool(g.cascade(p, [])[0]) == fails
+
+
+def test_dbscan_of_rows_that_stand_for_several(spark):
+    """Keys with a number of equal rows give the clusters of the whole table; far pairs never leave their tile."""
+    rng = np.random.default_rng(4)
+    few = np.unique(rng.integers(0, 2, (14, 6)), axis=0)
+    v = few[rng.integers(0, len(few), 40)]
+    x = spark.createDataFrame([(k, z.tolist()) for k, z in enumerate(v)], "key long, v array<int>")
+    pairs = spark.createDataFrame([(i, j, float((v[i] != v[j]).mean())) for j in range(40) for i in range(j)], "i long, j long, d double")
+    keep = lambda d: d.checkpoint()
+    first = {k: min(j for j in range(40) if (v[j] == v[k]).all()) for k in range(40)}
+    u = x.where(F.col("key").isin(sorted(set(first.values())))).withColumn("rows", F.element_at(F.create_map(*[F.lit(y) for k in set(first.values()) for y in (k, sum(f == k for f in first.values()))]), F.col("key").cast("int")))
+    near = vectors.blocked_pairs(u, "key", "v", None, vectors.hamming, most=0.2)
+    assert near.where("d > 0.2").isEmpty()
+    for least in (1, 3, 5, 8):
+        want = {r.key: (r.cluster, r.core) for r in clusters.dbscan(pairs, x.select("key"), 0.2, least, keep).collect()}
+        got = {r.key: (r.cluster, r.core) for r in clusters.dbscan(near, u.select("key", "rows"), 0.2, least, keep).collect()}
+        assert {k: got[f] for k, f in first.items()} == want
