@@ -13,6 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Lines of a block whose pairs are formed in one task; below what a sort-merge join keeps in memory for a key.
+PAIRED = 2_000
+
 #: What the number of parallel circuits drops to when one is lost, for security-constrained grids.
 STEP_DOWN = [
     (0.28947368, 0.0), (0.57894737, 0.28947368), (0.59210526, 0.0), (0.86842105, 0.57894737), (0.88157895, 0.28947368), (1.0, 0.0),
@@ -74,22 +77,26 @@ def single_lines(lines: DataFrame, edges: DataFrame) -> DataFrame:
     return alone.join(corridors, "corridor", "left_semi").select("line")
 
 
-def double_contingencies(singles: DataFrame, blocks: int = 8) -> DataFrame:
+def double_contingencies(singles: DataFrame, blocks: int | None = None) -> DataFrame:
     """All pairs of circuits: n (n - 1) / 2 of one kind, else the product of their numbers.
 
-    Lines are dealt to blocks by hash; each pair of blocks meets under a key of its own.
+    Lines are dealt to blocks by hash, of PAIRED lines if no number is given; each pair of blocks meets under a key of
+    its own, the first on the left and the second on the right, so that each pair of lines is looked at once.
     """
+    singles = singles.select("line", "size", "weight").where("line is not null and size is not null")
+    if blocks is None:
+        blocks = max(8, -(-singles.count() // PAIRED))
     of = F.pmod(F.xxhash64("line", "size"), F.lit(blocks)).cast("int")
-    tiles = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least(of, o).alias("t0"), F.greatest(of, o).alias("t1")))
-    x = singles.select("line", "size", "weight", of.alias("block"), F.explode(tiles).alias("tile")).select("line", "size", "weight", "block", "tile.t0", "tile.t1")
-    a, b = x.alias("a"), x.alias("b")
+    tiles = min(blocks * (blocks + 1) // 2, 4_096)
+    x = singles.withColumn("block", of)
+    a = x.select("line", "size", "weight", F.col("block").alias("t0"), F.explode(F.sequence(F.col("block"), F.lit(blocks - 1))).alias("t1")).repartition(tiles, "t0", "t1").alias("a")
+    b = x.select("line", "size", "weight", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("t0"), F.col("block").alias("t1")).repartition(tiles, "t0", "t1").alias("b")
     after = (F.col("b.line") > F.col("a.line")) | ((F.col("b.line") == F.col("a.line")) & (F.col("b.size") >= F.col("a.size")))
-    # In a tile of two blocks only pairs of the one with the other count.
-    across = (F.col("a.t0") == F.col("a.t1")) | (F.col("a.block") != F.col("b.block"))
     same = (F.col("a.line") == F.col("b.line")) & (F.col("a.size") == F.col("b.size"))
     w = F.when(same, F.col("a.weight") * (F.col("a.weight") - 1) / 2).otherwise(F.col("a.weight") * F.col("b.weight"))
-    pairs = a.join(b, (F.col("a.t0") == F.col("b.t0")) & (F.col("a.t1") == F.col("b.t1")) & across & after)
-    return pairs.select(F.col("a.line").alias("line_0"), F.col("a.size").alias("size_0"), F.col("b.line").alias("line_1"), F.col("b.size").alias("size_1"), w.alias("weight")).where("weight > 0")
+    pairs = a.join(b, (F.col("a.t0") == F.col("b.t0")) & (F.col("a.t1") == F.col("b.t1")) & ((F.col("a.t0") != F.col("a.t1")) | after))
+    one, other = ([F.when(after, F.col(f"{x}.{c}")).otherwise(F.col(f"{y}.{c}")) for c in ("line", "size")] for x, y in ("ab", "ba"))
+    return pairs.select(one[0].alias("line_0"), one[1].alias("size_0"), other[0].alias("line_1"), other[1].alias("size_1"), w.alias("weight")).where("weight > 0")
 
 
 def merge_parallel(lines: DataFrame) -> DataFrame:

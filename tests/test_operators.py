@@ -276,3 +276,17 @@ def test_dbscan_of_rows_that_stand_for_several(spark):
         want = {r.key: (r.cluster, r.core) for r in clusters.dbscan(pairs, x.select("key"), 0.2, least, keep).collect()}
         got = {r.key: (r.cluster, r.core) for r in clusters.dbscan(near, u.select("key", "rows"), 0.2, least, keep).collect()}
         assert {k: got[f] for k, f in first.items()} == want
+
+
+def test_double_contingencies_are_dealt_by_number(spark, monkeypatch):
+    """More lines make more pairs of blocks, and no task forms a large part of the pairs; equal lines of two sizes count as well."""
+    monkeypatch.setattr(grid, "PAIRED", 10)
+    rows = [(k, z, 1 + k % 2) for k in range(100) for z in (1.0, 0.5)]
+    many = spark.createDataFrame(rows, "line long, size double, weight long").coalesce(1)
+    out = grid.double_contingencies(many)
+    per_task = [r.n for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(per_task) == 200 * 199 // 2 + 100 and max(per_task) < sum(per_task) / 10
+    got = {(r.line_0, r.size_0, r.line_1, r.size_1): r.weight for r in out.collect()}
+    ends = sorted((k, z, w) for k, z, w in rows)
+    want = {(a[0], a[1], b[0], b[1]): a[2] * b[2] for i, a in enumerate(ends) for b in ends[i + 1 :]} | {(k, z, k, z): 1 for k, z, w in ends if w == 2}
+    assert got == want
