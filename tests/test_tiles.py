@@ -31,8 +31,8 @@ def plan(df):
 
 @pytest.fixture
 def small(monkeypatch):
-    """Blocks and squares so small that a few rows make several of each."""
-    for name, value in (("LEAST_BLOCK", 8), ("BLOCK", 24), ("BLOCKS", 3), ("SIDE", 5)):
+    """Blocks so small that a few rows make several; workers keep their own SIDE."""
+    for name, value in (("LEAST_BLOCK", 8), ("BLOCK", 24), ("BLOCKS", 3)):
         monkeypatch.setattr(V, name, value)
 
 
@@ -101,3 +101,14 @@ def test_silhouettes_without_pairs(spark, small, monkeypatch, most):
 @pytest.mark.parametrize("name", ["silhouette", "result_index", "best_results"])
 def test_scores_take_no_pairs(spark, name):
     assert "FlatMapGroups" not in plan(entry.queries()[name](spark, SF))
+
+
+def test_squares_cover_each_pair_once(monkeypatch):
+    """Without a session: workers import the module anew and keep its own SIDE."""
+    monkeypatch.setattr(V, "SIDE", 5)
+    block = lambda keys: V.Block(np.array(keys), np.zeros((len(keys), 1)), np.zeros((len(keys), 1)))
+    p, q = block(range(0, 46, 2)), block(range(1, 35, 2))
+    for a, b, same in ((p, q, False), (p, p, True)):
+        got = [(i, j) for x, y, keep in V.squares(a, b, same) for r, i in enumerate(x.key.tolist()) for s, j in enumerate(y.key.tolist()) if keep is None or keep[r, s]]
+        want = [(i, j) for i in a.key.tolist() for j in b.key.tolist() if not same or i < j]
+        assert sorted(got) == want
